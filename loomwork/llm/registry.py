@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import compression_quality, decontaminate, simhash
 
-MODULES = [simhash]
+MODULES = [decontaminate, compression_quality, simhash]
 
 
 def queries() -> dict:
