@@ -116,6 +116,16 @@ def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def labelled_sample(docs: DataFrame, known: DataFrame, max_rows: int) -> list[tuple[bytes, int]]:
+    """(whole text, y) of at most ``max_rows`` rows of ``known`` (doc_id, y), the first by a hash
+    of doc_id; rows with a null id or y are left out, of repeated ids one row is taken."""
+    picked = known.where("doc_id is not null and y is not null").groupBy("doc_id").agg(F.max("y").cast("int").alias("y"))
+    picked = picked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(picked), "doc_id")
+    rows = rows.groupBy("doc_id", "y").agg(F.min("text").alias("text")).orderBy(F.xxhash64("doc_id"), "doc_id")
+    return [((r.text or "").encode(), r.y) for r in rows.limit(max_rows).collect()]
+
+
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column, null as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table, utf8
+from .common import labelled_sample, read_table, utf8
 
 #: Bound of the labelled sample that reaches the driver.
 MAX_ROWS = 6000
@@ -118,12 +118,9 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
 
 def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> Model:
     """Fit on at most ``max_rows`` labelled rows outside the held-out fold."""
-    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").cast("int").alias("y"))
-    known = known.where(fold_of("doc_id") != HELD_OUT).dropDuplicates(["doc_id"])
-    known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    picked = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(known), "doc_id")
-    rows = picked.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows).collect()
-    return fit([(r.text or "").encode() for r in rows], [r.y for r in rows])
+    known = labels.where("quality in (0, 1)").select("doc_id", F.col("quality").alias("y"))
+    rows = labelled_sample(docs, known.where(fold_of("doc_id") != HELD_OUT), max_rows)
+    return fit([t for t, _ in rows], [y for _, y in rows])
 
 
 def with_score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

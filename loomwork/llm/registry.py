@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, simhash
+from . import compression_quality, decontaminate, mixing, simhash
 
-MODULES = [decontaminate, compression_quality, simhash]
+MODULES = [decontaminate, mixing, compression_quality, simhash]
 
 
 def queries() -> dict:
