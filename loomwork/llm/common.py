@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -101,8 +102,6 @@ def bucket_of(key: str, bounds: list[int]) -> Column:
     """Number of the bounds that are below the key (0 for null): a range bucket in key order."""
     if not bounds:
         return F.lit(0)
-    import pandas as pd
-
     cuts = np.asarray(bounds, dtype=np.int64)
 
     @F.pandas_udf("int")

@@ -16,7 +16,7 @@ Labels, lang, source and doc_id are never inputs of a score.
 Edge cases: null and empty texts have x = 0 and the score of x = 0; labels that are null are
 not used; a doc_id that is null is never held out and never labelled; a label that occurs for
 one class only, or no label at all, gives every row the share of label 1 (0.5 if there is none);
-repeated rows get equal scores; extra columns are ignored by the query and kept by the filter.
+repeated rows get equal scores; extra columns are ignored by the query and kept by ``accepted``.
 """
 
 from __future__ import annotations
@@ -153,12 +153,10 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def drop_low_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
+def accepted(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of ``docs`` that the classifier does not reject, with their own columns."""
-    model = train(docs, labels, max_rows)
-    name = "score"
-    scored = with_score(docs.drop(name) if name in docs.columns else docs, model)
-    return scored.where(F.col(name) >= THRESHOLD).select([c for c in docs.columns if c != name])
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return with_score(whole, model).where(F.col("score") >= THRESHOLD).select("_row.*")
 
 
 QUERIES = {"op8_compression_quality": op8_compression_quality}

@@ -207,10 +207,9 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(docs, labels, ["doc_id"])
 
 
-def apply_rates(docs: DataFrame, labels: DataFrame, targets: dict[str, float] | None = None) -> DataFrame:
+def apply_rates(docs: DataFrame, model: Model, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row repeated floor(rate) times, and once more with the probability of
     the rest: a hash of the row's id and text decides, so a rerun gives the same rows."""
-    model = train(docs, labels)
     posteriors = [f"p_{d}" for d in DOMAINS]
     fit_on = written(soft_membership(docs, model, []), "mix-membership")
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")

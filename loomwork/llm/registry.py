@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, mixing, simhash
+from . import compression_quality, decontaminate, mixing, simhash, wavelet
 
-MODULES = [decontaminate, mixing, compression_quality, simhash]
+MODULES = [decontaminate, mixing, wavelet, compression_quality, simhash]
 
 
 def queries() -> dict:

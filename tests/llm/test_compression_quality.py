@@ -27,8 +27,8 @@ def test_folds_and_edge_cases(spark):
     assert len(out) == 6 and all(0 <= r.score <= 1 for r in out)
     held = docs.select("doc_id", (cq.fold_of("doc_id") == 2).alias("h")).where(F.col("doc_id").isNotNull()).collect()
     assert all(r.h == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in held)
-    kept = cq.drop_low_quality(docs, labels)
-    assert set(kept.columns) == {"doc_id", "text"}
+    kept = cq.accepted(docs, cq.train(docs, labels))
+    assert kept.columns == docs.columns and kept.count() in (0, len(rows))
     assert cq.score_quality(docs.limit(0), labels.limit(0), ["doc_id"]).count() == 0
 
 

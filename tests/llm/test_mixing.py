@@ -55,7 +55,7 @@ def test_edge_cases(spark):
     out = mx.mix(docs, labels, ["doc_id"]).collect()
     assert len(out) == 5 and sorted(r.tokens for r in out) == [0, 0, 2, 2, 30_000]
     assert all(abs(r.p_clean - 1 / 3) < 1e-9 for r in out)
-    kept = mx.apply_rates(docs, labels, {"clean": 1, "rough": 1, "toxic": 1})
+    kept = mx.apply_rates(docs, mx.train(docs, labels), {"clean": 1, "rough": 1, "toxic": 1})
     assert kept.columns == docs.columns and kept.count() == 5
     assert mx.mix(docs.limit(0), labels.limit(0), ["doc_id"]).count() == 0
-    assert mx.apply_rates(docs.limit(0), labels).count() == 0
+    assert mx.apply_rates(docs.limit(0), mx.fit([], [])).count() == 0
