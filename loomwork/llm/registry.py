@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, mixing, simhash, wavelet
+from . import compression_quality, decontaminate, line_chunks, mixing, oph, simhash, wavelet
 
-MODULES = [decontaminate, mixing, wavelet, compression_quality, simhash]
+MODULES = [oph, decontaminate, mixing, line_chunks, wavelet, compression_quality, simhash]
 
 
 def queries() -> dict:
