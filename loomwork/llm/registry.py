@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, line_chunks, mixing, oph, simhash, wavelet
+from . import compression_quality, decontaminate, line_chunks, mixing, oph, simhash, warc, wavelet
 
-MODULES = [oph, decontaminate, mixing, line_chunks, wavelet, compression_quality, simhash]
+MODULES = [warc, oph, decontaminate, mixing, line_chunks, wavelet, compression_quality, simhash]
 
 
 def queries() -> dict:
