@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, line_chunks, mixing, oph, simhash, warc, wavelet
+from . import compression_quality, decontaminate, line_chunks, mixing, oph, secrets, simhash, warc, wavelet
 
-MODULES = [warc, oph, decontaminate, mixing, line_chunks, wavelet, compression_quality, simhash]
+MODULES = [warc, oph, decontaminate, mixing, line_chunks, wavelet, compression_quality, secrets, simhash]
 
 
 def queries() -> dict:
