@@ -52,9 +52,9 @@ BLOCK_BITS = 1 << 17
 SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Pieces that a task keeps encoded; when full, the table starts anew.
-CACHE_PIECES = 400_000
-#: Letters of Latin-1, then ASCII marks other than the apostrophe.
-PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\]^_`{|}~]+)")
+CACHE_PIECES = 150_000
+#: A line that is a plain piece (letters of Latin-1, then marks of ASCII but the apostrophe), or any other.
+PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)|(.*))$", re.MULTILINE)
 PROBE = "Ab cd, E's x1;\tit"
 
 
@@ -66,54 +66,84 @@ def default_vocabulary() -> str:
 
 class Pieces:
     """Token ids of texts by their pieces.  A plain piece is a word and the marks after it, which the
-    tokenizer splits there; every other piece is encoded as it is."""
+    tokenizer splits there; every other piece is encoded as it is.  New words are encoded many at
+    a time, already in lower case, and cut where a token ends a word."""
 
     def __init__(self, vocabulary: str):
-        from tokenizers import Tokenizer
-
-        self._encode = Tokenizer.from_file(vocabulary).encode_batch_fast
-        parts = ["ab", "cd", ",", "E's", "x1;", "it"]
-        self.by_pieces = np.array_equal(self.ids([PROBE])[0], np.concatenate(self.ids(parts)))
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self._coder = whole = Tokenizer.from_file(vocabulary)
+        byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        plain = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+        self._as_is = (whole.normalizer, whole.pre_tokenizer)
+        self._plain = (normalizers.Sequence([]), plain)
+        suffix = getattr(whole.model, "end_of_word_suffix", None)
+        vocab = whole.get_vocab()
+        self._ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self._ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
         self.clear()
-
-    def ids(self, texts: list[str]) -> list[np.ndarray]:
-        return [np.array(e.ids, dtype=np.uint16) for e in self._encode(texts, add_special_tokens=False)]
+        if suffix:
+            self._learn(list(dict.fromkeys(PROBE.split())))
+            rows = [self.flat[self.starts[k] : self.starts[k + 1]] for k in (self.known[p] for p in PROBE.split())]
+            self.by_pieces = np.concatenate(rows).tobytes() == self.whole([PROBE])[0]
+        else:
+            self.by_pieces = False
+
+    def _encode(self, how: tuple, texts: list[str]) -> list:
+        self._coder.normalizer, self._coder.pre_tokenizer = how
+        return self._coder.encode_batch_fast(texts, add_special_tokens=False)
+
+    def whole(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as 16-bit numbers."""
+        return [np.array(e.ids, dtype=np.uint16).tobytes() for e in self._encode(self._as_is, texts)]
+
+    def words(self, words: list[str]) -> list[bytes]:
+        """Ids of lower-case words."""
+        out = []
+        for e in self._encode(self._plain, [" ".join(words[i : i + 1000]) for i in range(0, len(words), 1000)]):
+            ids = np.array(e.ids, dtype=np.uint16)
+            cuts = (2 * np.flatnonzero(self._ends[ids]) + 2).tolist()
+            raw = ids.tobytes()
+            out += [raw[a:z] for a, z in zip([0, *cuts], cuts)]
+        return out
 
     def clear(self) -> None:
-        self.known: dict[str, int] = {}
-        self.atoms: dict[str, np.ndarray] = {}
-        self.starts, self.flat = np.zeros(1, np.int64), np.zeros(0, np.uint16)
+        self.known: dict[str, int] = {"": 0}
+        self.atoms: dict[str, bytes] = {"": b""}
+        self.starts, self.flat = np.zeros(2, np.int64), np.zeros(0, np.uint16)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, new: list[str]) -> None:
         """Ids of new pieces, appended to the flat table."""
-        atoms = [(m[1].lower(), m[2]) if (m := PLAIN.fullmatch(p)) else (p.lower() if p.isascii() and p.isalpha() else p,) for p in pieces]
-        new = sorted({a for x in atoms for a in x if a not in self.atoms})
-        self.atoms.update(zip(new, self.ids(new)))
-        made = [self.atoms[x[0]] if len(x) == 1 else np.concatenate([self.atoms[x[0]], self.atoms[x[1]]]) for x in atoms]
-        for p in pieces:
-            self.known[p] = len(self.known)
-        ends = np.cumsum([len(i) for i in made]) + len(self.flat)
+        words, marks, other = zip(*PLAIN.findall("\n".join(new)))
+        words = "\n".join(words).lower().split("\n")
+        atoms = self.atoms
+        fresh = list(set(words).difference(atoms))
+        atoms.update(zip(fresh, self.words(fresh)))
+        fresh = list({*marks, *other}.difference(atoms))
+        atoms.update(zip(fresh, self.whole(fresh)))
+        at = atoms.__getitem__
+        rows = list(map(b"".join, zip(map(at, words), map(at, marks), map(at, other))))
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(rows))))
+        ends = np.cumsum(np.fromiter(map(len, rows), np.int64, len(rows))) // 2 + len(self.flat)
         self.starts = np.concatenate([self.starts, ends])
-        self.flat = np.concatenate([self.flat, *made])
+        self.flat = np.concatenate([self.flat, np.frombuffer(b"".join(rows), dtype=np.uint16)])
 
     def texts(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text, without an end id."""
         if not self.by_pieces:
-            return self.ids(texts)
+            return [np.frombuffer(ids, dtype=np.uint16) for ids in self.whole(texts)]
         if len(self.known) > CACHE_PIECES:
             self.clear()
-        known = self.known
         split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
-        new = sorted({p for s in split for p in s if p and p not in known})
+        new = list(set().union(*split).difference(self.known))
         if new:
             self._learn(new)
-        out = []
+        out, at = [], self.known.__getitem__
         for s in split:
-            k = np.fromiter((known[p] for p in s if p), np.int64)
+            k = np.fromiter(map(at, s), np.int64, len(s))
             first, n = self.starts[k], self.starts[k + 1] - self.starts[k]
             done = np.cumsum(n)
-            at = np.repeat(first - (done - n), n) + np.arange(done[-1] if len(done) else 0)
-            out.append(self.flat[at])
+            out.append(self.flat[np.repeat(first - (done - n), n) + np.arange(done[-1])])
         return out
 
 
@@ -325,6 +355,7 @@ def encode_corpus(
                         yield flush()
         if held:
             yield flush()
+        coder.clear()
 
     order = Window.orderBy("bucket", "shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = written(placed.mapInArrow(run, schema), "wavelet-shards")

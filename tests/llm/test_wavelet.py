@@ -1,4 +1,5 @@
 import zlib
+from functools import cache
 
 import numpy as np
 import pytest
@@ -46,12 +47,19 @@ TEXT = st.text(
 )
 
 
+@cache
+def _probe():
+    coder = wv.Pieces(wv.default_vocabulary())
+    assert coder.by_pieces
+    return Tokenizer.from_file(wv.default_vocabulary()), coder
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(TEXT, max_size=5))
 def test_pieces_give_the_ids_of_whole_texts(texts):
-    tok = Tokenizer.from_file(wv.default_vocabulary())
+    tok, coder = _probe()
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [list(map(int, x)) for x in wv.Pieces(wv.default_vocabulary()).texts(texts)] == want
+    assert [list(map(int, x)) for x in coder.texts(texts)] == want
 
 
 def test_rank_select_access_locate(monkeypatch):
