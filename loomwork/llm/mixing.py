@@ -45,8 +45,10 @@ DOMAINS = ("clean", "rough", "toxic")
 #: Target share of the expected tokens.
 TARGETS = {"clean": 0.9, "rough": 0.05, "toxic": 0.05}
 #: Bound of the labelled sample that reaches the driver.
-MAX_ROWS = 6000
+MAX_ROWS = 4000
 TERMS = 1000
+#: Rows that a term must be in.
+MIN_ROWS = 5
 EPOCHS = 5
 RATE = 0.1
 STEPS = 40
@@ -86,32 +88,37 @@ class Model:
         return e / e.sum()
 
 
-def choose_terms(seen: list[set[bytes]], y: np.ndarray) -> list[bytes]:
+def choose_terms(texts: list[bytes], y: np.ndarray) -> list[bytes]:
     """The terms whose counts in some domain stray most from its share of the rows."""
     share = np.bincount(y, minlength=len(DOMAINS)) / max(1, len(y))
-    counts = [Counter() for _ in DOMAINS]
-    for terms, d in zip(seen, y):
-        counts[d].update(terms)
-    total = sum(counts, Counter())
+    free = [(d, s) for d, s in enumerate(share) if 0 < s < 1]
+    seen: Counter[bytes] = Counter()
+    for t in texts:
+        seen.update(read_text(t)[1])
+    total = {t: n for t, n in seen.items() if n >= MIN_ROWS}
+    del seen
+    counts = {t: [0] * len(DOMAINS) for t in total}
+    for t, d in zip(texts, y):
+        for term in read_text(t)[1] & counts.keys():
+            counts[term][d] += 1
 
     def stray(term: bytes) -> float:
         n = total[term]
-        return max(abs(c[term] - n * s) / (n * s * (1 - s)) ** 0.5 for c, s in zip(counts, share) if 0 < s < 1)
+        return max(abs(counts[term][d] - n * s) / (n * s * (1 - s)) ** 0.5 for d, s in free)
 
-    if not ((share > 0) & (share < 1)).any():
-        return []
-    ranked = sorted((-stray(t), t) for t, n in total.items() if n >= 5)
+    ranked = sorted((-stray(t), t) for t in total) if free else []
     return sorted(t for _, t in ranked[:TERMS])
 
 
 def fit(texts: list[bytes], domains: list[int]) -> Model:
     """AdaGrad over whole labelled texts in a fixed order; without texts all weights are 0."""
-    read = [read_text(t) for t in texts]
     y = np.array(domains, dtype=np.int64)
-    terms = {t: i for i, t in enumerate(choose_terms([r[1] for r in read], y))} if len(y) else {}
+    terms = {t: i for i, t in enumerate(choose_terms(texts, y))}
     w, v = np.zeros((len(terms), len(DOMAINS))), np.zeros((5, len(DOMAINS)))
     gw, gv = np.full_like(w, 1e-2), np.full_like(v, 1e-2)
-    rows = [(np.array(sorted(terms[t] for t in r[1] & terms.keys()), dtype=np.int64), r[2]) for r in read]
+    rows = []
+    for _, found, measures in map(read_text, texts):
+        rows.append((np.array(sorted(terms[t] for t in found & terms.keys()), dtype=np.int64), measures))
     order = np.random.default_rng(0)
     for _ in range(EPOCHS):
         for i in order.permutation(len(rows)):
