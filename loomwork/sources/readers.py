@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -105,15 +107,14 @@ def read_folder(spark: SparkSession, path: str, glob: str = "*.csv", source_colu
     kind = glob.rsplit(".", 1)[-1]
     reader = spark.read.option("pathGlobFilter", glob)
     if kind in ("csv", "tsv", "txt"):
-        # each header by itself: the header lines of all files, one task each
-        heads = reader.option("wholetext", True).text(path).select(F.substring_index("value", "\n", 1).alias("h")).distinct().collect()
-        sep = "\t" if kind == "tsv" else ","
-        names = list(dict.fromkeys(x.strip().strip('"') for r in heads for x in r.h.strip().split(sep)))
-        lines = reader.option("wholetext", True).text(path).select(F.col("_metadata.file_name").alias(source_column), "value")
-        rows = lines.select(source_column, F.substring_index("value", "\n", 1).alias("h"), F.explode(F.filter(F.split("value", "\r?\n"), lambda x, i: i > 0)).alias("row")).where("trim(row) <> ''")
-        cells, head = F.split("row", sep), F.transform(F.split(F.regexp_replace("h", "[\r\"]", ""), sep), lambda x: F.trim(x))
-        pick = lambda n: F.when(F.array_contains(head, n), F.get(cells, F.array_position(head, n).cast("int") - 1)).alias(n)
-        return rows.select(*[pick(n) for n in names], source_column)
+        # files with one header are one read: only the first lines are looked at before
+        listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path")
+        sep, groups = "\t" if kind == "tsv" else ",", {}
+        for r in listed.orderBy("path").toLocalIterator():
+            names = tuple(spark.read.option("sep", sep).option("header", True).csv(r.path).columns)
+            groups.setdefault(names, []).append(r.path)
+        reads = [spark.read.option("sep", sep).option("header", True).csv(files).withColumn(source_column, F.col("_metadata.file_name")) for files in groups.values()]
+        return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), reads)
     df = reader.json(path) if kind in ("json", "ndjson", "jsonl") else reader.option("mergeSchema", True).parquet(path)
     return df.withColumn(source_column, F.col("_metadata.file_name"))
 
