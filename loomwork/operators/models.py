@@ -277,7 +277,8 @@ def holt_winters(y: np.ndarray, season: int, horizon: int) -> tuple[np.ndarray,
             for gamma in (0.05, 0.2, 0.5) if seasonal else (0.0,):
                 m = season if seasonal else 1
                 level, slope = (y[:m].mean(), (y[m : 2 * m].mean() - y[:m].mean()) / m) if seasonal else (y[0], y[1] - y[0])
-                s = list(y[:m] - level) if seasonal else [0.0]
+                s = list(y[:m] - level - slope * (np.arange(m) - (m - 1) / 2)) if seasonal else [0.0]
+                level += slope * (m - 1) / 2 if seasonal else 0.0
                 err = []
                 for t in range(m if seasonal else 1, len(y)):
                     k = t % m
