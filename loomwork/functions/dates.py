@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 
 def _months(start: str, end: str) -> Column:
-    """Whole calendar months from start to end."""
+    """Whole calendar months from start to end; the end of a month clamps."""
     apart = (F.year(end) - F.year(start)) * 12 + F.month(end) - F.month(start)
-    return F.when(F.dayofmonth(end) < F.dayofmonth(start), apart - 1).otherwise(apart).cast("long")
+    return F.when(F.add_months(start, apart) > F.col(end), apart - 1).otherwise(apart).cast("long")
 
 
 def diff(start: str, end: str) -> list[Column]:

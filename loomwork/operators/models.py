@@ -17,6 +17,7 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
 from .profile import column_roles
 
 
@@ -316,7 +317,7 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     The running minimum is taken inside ranges of x and carried over by the minimum of the ranges before."""
     best = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x).agg(F.min(y).alias("_y"))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    r = best.repartitionByRange(n, x).withColumn("_p", F.spark_partition_id())
+    r = stored(best.repartitionByRange(n, x).withColumn("_p", F.spark_partition_id()), "pareto")
     lows = r.groupBy("_p").agg(F.min("_y").alias("_m"))
     carry = lows.select("_p", F.min("_m").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)).alias("_c"))
     w = Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import stored
+
 
 def _ranged(df: DataFrame, order_by: list[str]) -> DataFrame:
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return df.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in order_by]).withColumn("_p", F.spark_partition_id())
+    ranged = df.repartitionByRange(n, *[F.col(c).asc_nulls_last() for c in order_by]).withColumn("_p", F.spark_partition_id())
+    return stored(ranged, "ranges")
 
 
 def _offsets(ranged: DataFrame, value) -> DataFrame:
@@ -26,12 +29,13 @@ def global_rank(df: DataFrame, order_by: list[str], name: str = "rank") -> DataF
     return out.withColumn(name, F.col(name) + F.col("_o")).drop("_p", "_o")
 
 
-def running_sum(df: DataFrame, order_by: list[str], column: str, name: str) -> DataFrame:
-    """Sum of ``column`` up to and with each row in the order."""
+def running_sum(df: DataFrame, order_by: list[str], column: str, name: str, part: str | None = None) -> DataFrame:
+    """Sum of ``column`` up to and with each row in the order; ``part`` names a column for the range of the row."""
     r = _ranged(df, order_by)
     w = Window.partitionBy("_p").orderBy(*[F.col(c).asc_nulls_last() for c in order_by]).rowsBetween(Window.unboundedPreceding, 0)
     out = r.withColumn(name, F.sum(column).over(w)).join(_offsets(r, F.sum(column)), "_p")
-    return out.withColumn(name, F.col(name) + F.col("_o")).drop("_p", "_o")
+    out = out.withColumn(name, F.col(name) + F.col("_o")).drop("_o")
+    return out.withColumnRenamed("_p", part) if part else out.drop("_p")
 
 
 def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:

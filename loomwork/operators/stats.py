@@ -143,12 +143,12 @@ def drift(a: DataFrame, b: DataFrame, column: str, alpha: float = 0.05, psi_limi
     x = a.select(F.col(column).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).where("v is not null")
     y = b.select(F.col(column).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")).where("v is not null")
     counts = x.unionByName(y).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    run = running_sum(running_sum(counts, ["v"], "a", "ca"), ["v"], "b", "cb")
+    run = running_sum(running_sum(counts, ["v"], "a", "ca"), ["v"], "b", "cb", "part")
     m = x.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.percentile("v", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q")).first()
     k = y.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
     gap = F.abs(F.col("ca") / m.n - F.col("cb") / k.n)
     # the distance is the area between the two step functions: each value's gap holds to the next value
-    p = run.withColumn("gap", gap).withColumn("part", F.spark_partition_id())
+    p = run.withColumn("gap", gap)
     w = Window.partitionBy("part").orderBy("v")
     inner = p.withColumn("next", F.lead("v").over(w))
     within = inner.where("next is not null").agg(F.sum(F.col("gap") * (F.col("next") - F.col("v"))).alias("w")).first().w or 0.0

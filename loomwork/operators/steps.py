@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_accents, title_case
+from ..tables import stored
 
 
 class StepError(ValueError):
@@ -113,7 +114,7 @@ def forward_fill(df: DataFrame, column: str, order_by: list[str], partition_by:
         w = Window.partitionBy(*partition_by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(column, F.last(column, True).over(w))
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id())
+    ranged = stored(df.repartitionByRange(n, *order).withColumn("_range", F.spark_partition_id()), "forward-fill")
     key = F.struct(*[F.struct(F.col(c).isNull().alias("n"), F.col(c).alias("v")) for c in order_by])
     last = ranged.where(F.col(column).isNotNull()).groupBy("_range").agg(F.max_by(F.col(column), key).alias("_v"))
     ranges = df.sparkSession.range(n).select(F.col("id").cast("int").alias("_range"))

@@ -2,27 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources import readers as rd
 from ..streaming import jobs
+from ..tables import scratch
 from .registry import Registry
 from .versions import Dataset, linear, replay
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under the shared one of the session."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 def delimited(part: DataFrame) -> DataFrame:
     path = scratch(part.sparkSession, "csv")
     rd.export(part.select("p_partkey", "p_name", "p_size", F.lpad(F.col("p_partkey").cast("string"), 8, "0").alias("code")), "csv", path)
