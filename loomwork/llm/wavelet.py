@@ -29,7 +29,9 @@ result; extra columns are ignored.
 
 from __future__ import annotations
 
+import gc
 import json
+import os
 import re
 import struct
 import zlib
@@ -70,6 +72,7 @@ class Pieces:
     a time, already in lower case, and cut where a token ends a word."""
 
     def __init__(self, vocabulary: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
         from tokenizers import Tokenizer, normalizers, pre_tokenizers
 
         self._coder = whole = Tokenizer.from_file(vocabulary)
@@ -325,6 +328,7 @@ def encode_corpus(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = pieces(vocabulary)
+        gc.disable()  # the tables of pieces are large and hold no cycles
         now, shard = None, 0
         held: list[tuple[int | None, np.ndarray]] = []
         size = 0
@@ -356,6 +360,7 @@ def encode_corpus(
         if held:
             yield flush()
         coder.clear()
+        gc.enable()
 
     order = Window.orderBy("bucket", "shard").rowsBetween(Window.unboundedPreceding, -1)
     shards = written(placed.mapInArrow(run, schema), "wavelet-shards")
