@@ -54,7 +54,7 @@ BLOCK_BITS = 1 << 17
 SHARD_TOKENS = 1 << 20
 END_ID = 1
 #: Pieces that a task keeps encoded; when full, the table starts anew.
-CACHE_PIECES = 150_000
+CACHE_PIECES = 300_000
 #: A line that is a plain piece (letters of Latin-1, then marks of ASCII but the apostrophe), or any other.
 PLAIN = re.compile("^(?:([A-Za-zÀ-ÖØ-öø-ÿ]+)([!\"#$%&()*+,\\-./:;<=>?@\\[\\\\\\]^_`{|}~]*)|(.*))$", re.MULTILINE)
 PROBE = "Ab cd, E's x1;\tit"
