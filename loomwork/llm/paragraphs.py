@@ -39,7 +39,7 @@ RADIUS = 6
 THRESHOLD = 0.8
 RECALL = 0.99
 #: Texts under one band key that are still compared in pairs.
-HOT = 64
+HOT = 1024
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -157,20 +157,23 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def with_shingles(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, s array<long>): the sorted shingle hashes of one occurrence (id, para) of each text."""
-    wanted = reps.groupBy("id").agg(F.collect_set(F.struct("para", "h")).alias("want"))
+    """(h, s array<long>): the sorted shingle hashes of one occurrence (id, first, last) of each text."""
+    wanted = reps.groupBy("id").agg(F.collect_set(F.struct("first", "last", "h")).alias("want"))
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
     src = src.join(wanted, src["id"].eqNullSafe(wanted["id"])).select("text", "want")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             hs, ss = [], []
-            for text, want in zip(utf8(b.column(0)), b.column(1).to_pylist()):
-                own = paragraphs(text)
+            for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in want:
-                    if w["para"] < len(own):
+                    words = (text or "")[w["first"] : w["last"]].encode().translate(LOWER_ASCII).split()
+                    if len(words) < MIN_WORDS:
+                        continue  # another row with this id
+                    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+                    if signatures([h])[0][0] == w["h"]:
                         hs.append(w["h"])
-                        ss.append(shingles(own[w["para"]][2]).view(np.int64))
+                        ss.append(shingles(h).view(np.int64))
             yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], ["h", "s"])
 
     return src.mapInArrow(run, "h long, s array<long>").groupBy("h").agg(F.min("s").alias("s"))
@@ -215,10 +218,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = written(counted, "para-keys")
     exact = counted.where("h = top").select("h").distinct()
     mixed = broadcast_if_small(written(counted.where("h <> top").select("key"), "para-mixed"))
-    members = occ.select("id", "para", "h", F.explode("keys").alias("key")).join(mixed, "key")
-    members = members.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "para")).alias("rep"))
+    members = occ.select("id", "para", "first", "last", "h", F.explode("keys").alias("key")).join(mixed, "key")
+    members = members.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "para", "first", "last")).alias("rep"))
     members = written(members, "para-candidates")
-    reps = members.groupBy("h").agg(F.min("rep").alias("rep")).select("h", "rep.id", "rep.para")
+    reps = members.groupBy("h").agg(F.min("rep").alias("rep")).select("h", "rep.id", "rep.first", "rep.last")
     texts = written(with_shingles(reps, docs, id_col, text_col), "para-shingles")
     links = written(links_of(members.select("key", "h"), texts), "para-links")
     comp = connected_components(links, "para-components").withColumnRenamed("node", "h")
