@@ -1,10 +1,17 @@
 """Substring dedup by paragraph MinHash banding.
 
-Paragraphs: lines, cut further inside at content-defined places (a word whose hash is the least among the
-RADIUS words on either side starts a paragraph), so that a passage in the middle of other text falls into
-the same paragraphs wherever it stands.  Paragraphs of fewer than MIN_WORDS words are left alone.
-
-1. Every paragraph gets the hash of its words and a MinHash band key per band over its SHINGLE-word shingles.
+Three kinds of paragraphs, each compared with its own kind only, for they overlap:
+
+* LINE: a whole line; consecutive lines of fewer than MIN_WORDS words are one.
+* PIECE: a line cut at content-defined places (a word whose hash is the least among the RADIUS words on
+  either side starts a piece), so that a passage in the middle of other text falls into the same pieces
+  wherever it stands.  Pieces of fewer than MIN_WORDS words belong to the piece before or after them,
+  and pieces of more than LONGEST words are cut again at their least hash, so that none is alike to its line.  A line that
+  is a single piece is both.
+* JOINED: short lines that together stay below MIN_WORDS, with the line after (else before) them.  A text that is
+  shorter than that as a whole is one LINE.
+
+1. Every paragraph gets the hash of its words and a MinHash band key per band and kind over its SHINGLE-word shingles.
    ``tune_bands`` picks the fewest keys whose recall at THRESHOLD is at least RECALL.
 2. Keys are counted with map-side combination.  A key under which a single text occurs more than once names an
    exact repeat; a key under which different texts meet names candidates.
@@ -13,11 +20,11 @@ the same paragraphs wherever it stands.  Paragraphs of fewer than MIN_WORDS word
    prefix tokens instead (the |x| - ceil(THRESHOLD |x|) + 1 rarest shingles, which two texts at
    the threshold must share one of), which loses no link and makes no pairs of texts that share common shingles only.
 4. Links form components; in each the first occurrence (smallest doc_id, then place) stays and the others are
-   marked as removed.
+   marked as removed, but for paragraphs of the same text that overlap the one that stays.
 
 Edge cases: null and empty texts have no paragraphs; a null doc_id comes after all others; repeated rows
-are exact repeats of one another; a text of any length is read whole; texts with fewer words than a
-shingle are below MIN_WORDS; an empty table gives an empty result; extra columns are ignored.
+are exact repeats of one another; a text of any length is read whole; fewer words than a shingle make
+one shingle; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -36,10 +43,16 @@ from .common import LOWER_ASCII, broadcast_if_small, connected_components, read_
 SHINGLE = 5
 MIN_WORDS = 8
 RADIUS = 6
+LONGEST = 4 * MIN_WORDS
 THRESHOLD = 0.8
 RECALL = 0.99
 #: Texts under one band key that are still compared in pairs.
 HOT = 1024
+#: Kinds of paragraphs: the two low bits of a band key.  A line that is a single piece has the keys of both.
+LINE, PIECE, JOINED = 0, 1, 2
+BOTH = 3
+#: Bits of the sieve that keeps most keys under which no texts meet out of a shuffle; it lets every other key pass.
+SIEVE_BITS = 26
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
 
@@ -70,27 +83,80 @@ def starts_of(h: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], least])
 
 
-def paragraphs(text: bytes) -> list[tuple[int, int, np.ndarray]]:
-    """(byte start, byte end, word hashes) of each paragraph of MIN_WORDS or more words."""
-    out, at = [], 0
+def _line(line: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(hash, byte start, byte end) of each word of a line that starts at byte ``at``."""
+    words = line.translate(LOWER_ASCII).split()
+    if not words:
+        return None
+    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    if sizes.sum() + len(words) - 1 == len(line):
+        ends = np.cumsum(sizes + 1) - 1
+    else:
+        ends, where = np.empty_like(sizes), 0
+        for i, w in enumerate(line.split()):
+            where = line.index(w, where) + len(w)
+            ends[i] = where
+    return h, at + ends - sizes, at + ends
+
+
+def pieces_of(h: np.ndarray) -> list[int]:
+    """Places at which the pieces of a line start; each has MIN_WORDS words or more, if the line has."""
+    cuts = [0]
+    for b in starts_of(h)[1:].tolist():
+        if b - cuts[-1] >= MIN_WORDS:
+            cuts.append(b)
+    if len(cuts) > 1 and len(h) - cuts[-1] < MIN_WORDS:
+        cuts.pop()
+    todo, out = list(zip(cuts, [*cuts[1:], len(h)]))[::-1], []
+    while todo:
+        a, z = todo.pop()
+        inner = h[a + MIN_WORDS : z - MIN_WORDS + 1]
+        if z - a > LONGEST and np.count_nonzero(inner == inner.min()) == 1:
+            cut = a + MIN_WORDS + int(inner.argmin())
+            todo += [(cut, z), (a, cut)]
+        else:
+            out.append(a)
+    return out
+
+
+def units(text: bytes) -> list[tuple[int, int, np.ndarray, int]]:
+    """(byte start, byte end, word hashes, kind) of each paragraph, the JOINED ones last."""
+    blocks, run, at = [], [], 0
     for line in text.split(b"\n"):
-        words = line.translate(LOWER_ASCII).split()
-        if len(words) >= MIN_WORDS:
-            h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-            begins = starts_of(h)
-            ends = np.append(begins[1:], len(h))
-            where, places = at, np.empty(len(words) + 1, dtype=np.int64)
-            for i, w in enumerate(line.split()):
-                where = text.index(w, where)
-                places[i] = where
-                where += len(w)
-            stop = where
-            for a, z in zip(begins.tolist(), ends.tolist()):
-                if z - a >= MIN_WORDS:
-                    last = stop if z == len(words) else places[z] - 1
-                    out.append((int(places[a]), int(last), h[a:z]))
+        made = _line(line, at)
         at += len(line) + 1
-    return out
+        if made is None:
+            continue
+        if len(made[0]) < MIN_WORDS:
+            run.append(made)
+            continue
+        if run:
+            blocks.append(tuple(map(np.concatenate, zip(*run))))
+            run = []
+        blocks.append(made)
+    if run:
+        blocks.append(tuple(map(np.concatenate, zip(*run))))
+    out, joined = [], []
+    for i, (h, first, last) in enumerate(blocks):
+        if len(h) < MIN_WORDS and len(blocks) > 1:
+            a, z = (i, i + 1) if i + 1 < len(blocks) else (i - 1, i)
+            joined.append((int(blocks[a][1][0]), int(blocks[z][2][-1]), np.concatenate([blocks[a][0], blocks[z][0]]), JOINED))
+            continue
+        cuts = pieces_of(h)
+        out.append((int(first[0]), int(last[-1]), h, LINE if len(cuts) > 1 else BOTH))
+        if len(cuts) > 1:
+            out += [(int(first[a]), int(last[z - 1]), h[a:z], PIECE) for a, z in zip(cuts, [*cuts[1:], len(h)])]
+    return out + joined
+
+
+def paragraphs(text: bytes) -> list[tuple[int, int, np.ndarray]]:
+    """(byte start, byte end, word hashes) of each LINE and PIECE; JOINED ones would be alike to the lines in them."""
+    return [u[:3] for u in units(text) if u[3] != JOINED]
+
+
+def _padded(h: np.ndarray) -> np.ndarray:
+    return h if len(h) >= SHINGLE else np.append(h, np.zeros(SHINGLE - len(h), np.uint64))
 
 
 def _rolled(h: np.ndarray) -> np.ndarray:
@@ -104,11 +170,12 @@ def _rolled(h: np.ndarray) -> np.ndarray:
 
 def shingles(h: np.ndarray) -> np.ndarray:
     """Distinct shingle hashes of a paragraph."""
-    return np.unique(_rolled(h))
+    return np.unique(_rolled(_padded(h)))
 
 
 def signatures(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of the words, BANDS band keys) of each paragraph, all at once."""
+    parts = [_padded(h) for h in parts]
     sizes = np.array([len(h) for h in parts])
     ends = np.cumsum(sizes)
     begins = ends - sizes
@@ -127,6 +194,12 @@ def signatures(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return whole.view(np.int64), keys.view(np.int64)
 
 
+def of_kind(keys: np.ndarray, kind: int) -> np.ndarray:
+    """Band keys (signed) under which only paragraphs of a kind meet."""
+    mixed = _mix(keys.view(np.uint64) ^ _WEIGHTS[kind + 1])
+    return (mixed & ~np.uint64(3) | np.uint64(kind)).view(np.int64)
+
+
 def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, para, first, last, n_words, h, keys) of every paragraph; first and last are code points."""
 
@@ -136,19 +209,24 @@ def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
-                rows, words = [], []
+                rows, words, kinds = [], [], []
                 for d, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                    seen, chars = 0, 0
-                    for no, (first, last, h) in enumerate(paragraphs(text)):
-                        chars += len(text[seen:first].decode("utf-8", "ignore"))
-                        size = len(text[first:last].decode("utf-8", "ignore"))
-                        rows.append((d, no, chars, chars + size, len(h)))
+                    point = None if text.isascii() else np.append(0, np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80))
+                    for no, (first, last, h, kind) in enumerate(units(text)):
+                        rows.append((d, no, first, last, len(h)) if point is None else (d, no, int(point[first]), int(point[last]), len(h)))
                         words.append(h)
-                        chars, seen = chars + size, last
+                        kinds.append(kind)
                 if rows:
-                    whole, keys = signatures(words)
-                    flat = pa.array(keys.ravel())
-                    listed = pa.ListArray.from_arrays(pa.array(np.arange(len(rows) + 1, dtype=np.int32) * BANDS), flat)
+                    whole, plain = signatures(words)
+                    kind = np.array(kinds)
+                    keys = np.empty((len(rows), 2 * BANDS), np.int64)
+                    for k in (LINE, PIECE, JOINED):
+                        own = (kind == k) | ((kind == BOTH) & (k == LINE))
+                        keys[own, :BANDS] = of_kind(plain[own], k)
+                    keys[kind == BOTH, BANDS:] = of_kind(plain[kind == BOTH], PIECE)
+                    size = np.where(kind == BOTH, 2 * BANDS, BANDS)
+                    flat = pa.array(keys[np.arange(2 * BANDS) < size[:, None]])
+                    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
                     made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
                     yield pa.RecordBatch.from_arrays([*made, pa.array(whole), listed], names)
 
@@ -168,7 +246,7 @@ def with_shingles(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str)
             for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 for w in want:
                     words = (text or "")[w["first"] : w["last"]].encode().translate(LOWER_ASCII).split()
-                    if len(words) < MIN_WORDS:
+                    if not words:
                         continue  # another row with this id
                     h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
                     if signatures([h])[0][0] == w["h"]:
@@ -198,15 +276,38 @@ def links_of(members: DataFrame, texts: DataFrame) -> DataFrame:
         return left.join(right, "key").where((F.col("a") < F.col("b")) & _alike("sa", "sb")).select("a", "b")
 
     cold = pairs(marked.where(F.col("n") <= HOT))
-    hot = written(marked.where(F.col("n") > HOT).select("h", "s").dropDuplicates(["h"]), "para-hot")
+    hot = written(marked.where(F.col("n") > HOT).select("h", "s", F.col("key").bitwiseAND(3).alias("kind")).dropDuplicates(["h", "kind"]), "para-hot")
     if hot.isEmpty():
         return cold.distinct()
-    tokens = hot.select("h", "s", F.explode("s").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count("*").alias("k"))
-    rank = Window.partitionBy("h").orderBy("k", "token")
-    ranked = tokens.join(rarity, "token").withColumn("r", F.row_number().over(rank))
+    tokens = hot.select("h", "s", "kind", F.explode("s").alias("token"))
+    rarity = tokens.groupBy("token", "kind").agg(F.count("*").alias("k"))
+    rank = Window.partitionBy("h", "kind").orderBy("k", "token")
+    ranked = tokens.join(rarity, ["token", "kind"]).withColumn("r", F.row_number().over(rank))
     prefix = ranked.where(F.col("r") <= F.size("s") - F.ceil(F.lit(THRESHOLD) * F.size("s")) + 1)
-    return cold.union(pairs(prefix.select(F.col("token").alias("key"), "h", "s"))).distinct()
+    return cold.union(pairs(prefix.select(F.xxhash64("token", "kind").alias("key"), "h", "s"))).distinct()
+
+
+def sieved(occ: DataFrame, mixed: DataFrame) -> DataFrame:
+    """(id, para, first, last, h, key) of ``occ`` for each key whose place in a bitmap of the ``mixed`` keys is set."""
+    place = F.shiftrightunsigned("key", 64 - SIEVE_BITS)
+    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - SIEVE_BITS}) & 63 as int))")
+    found = mixed.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    bits = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
+    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+    shared = occ.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value.view(np.uint64)
+        for b in batches:
+            listed = b.column(5)
+            keys = listed.flatten().to_numpy(zero_copy_only=False)
+            at = keys.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
+            hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
+            row = np.repeat(np.arange(b.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))[hit]
+            rest = b.select([0, 1, 2, 3, 4]).take(pa.array(row))
+            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(keys[hit])], ["id", "para", "first", "last", "h", "key"])
+
+    return occ.select("id", "para", "first", "last", "h", "keys").mapInArrow(run, "id long, para int, first long, last long, h long, key long")
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -217,8 +318,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     counted = keyed.groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("top"), F.count("*").alias("n")).where("n > 1")
     counted = written(counted, "para-keys")
     exact = counted.where("h = top").select("h").distinct()
-    mixed = broadcast_if_small(written(counted.where("h <> top").select("key"), "para-mixed"))
-    members = occ.select("id", "para", "first", "last", "h", F.explode("keys").alias("key")).join(mixed, "key")
+    mixed = written(counted.where("h <> top").select("key"), "para-mixed")
+    members = sieved(occ, mixed).join(broadcast_if_small(mixed), "key")
     members = members.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "para", "first", "last")).alias("rep"))
     members = written(members, "para-candidates")
     reps = members.groupBy("h").agg(F.min("rep").alias("rep")).select("h", "rep.id", "rep.first", "rep.last")
@@ -228,10 +329,10 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     again = exact.union(members.where("n > 1").select("h")).union(links.select("a")).union(links.select("b")).toDF("h").distinct()
     classes = written(again.join(comp, "h", "left").select("h", F.coalesce("root", "h").alias("cluster")), "para-classes")
     found = written(occ.drop("keys").join(broadcast_if_small(classes), "h"), "para-found")
-    place = F.struct(F.col("id").isNull().alias("null"), "id", "para", "first")
+    place = F.struct(F.col("id").isNull().alias("null"), "id", "para", "first", "last")
     keep = written(found.groupBy("cluster").agg(F.min(place).alias("keep"), F.count("*").alias("size")), "para-keep")
     out = found.join(broadcast_if_small(keep), "cluster").where("size > 1")
-    here = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("para") == F.col("keep.para")) & (F.col("first") == F.col("keep.first"))
+    here = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("first") < F.col("keep.last")) & (F.col("last") > F.col("keep.first"))
     return out.select(
         "id", "para", "first", "last", "n_words", "cluster", F.col("keep.id").alias("keep_id"), F.col("keep.para").alias("keep_para"), (~here).alias("removed")
     )

@@ -93,3 +93,45 @@ def test_empty_table_and_null_ids(spark):
     same = "one two three four five six seven eight nine"
     got = pg.repeated_paragraphs(spark.createDataFrame([(None, same, "x"), (4, same, "x"), (4, same, "x")], SCHEMA)).collect()
     assert len(got) == 3 and all(r.keep_id == 4 for r in got)
+
+
+def test_near_lines_are_linked_whole(spark):
+    """All pairs of uncut lines by exact likeness; one or two words changed cut pieces below the threshold."""
+    rnd = random.Random(21)
+    rows = []
+    for i in range(60):
+        base = words(rnd, rnd.choice([45, 60, 90, 120])).split()
+        for j in range(2):
+            w = list(base)
+            for at in rnd.sample(range(len(w)), j * rnd.choice([1, 1, 2])):
+                w[at] = f"edit{i}"
+            rows.append((2 * i + j, words(rnd, 20) + "\n" + " ".join(w) + "\n" + words(rnd, 12)))
+    got = pg.repeated_paragraphs(spark.createDataFrame([(a, b, "x") for a, b in rows], SCHEMA)).collect()
+    text = dict(rows)
+    marked = {(r.id, text[r.id][r["first"] : r["last"]]) for r in got if r.removed}
+    like, caught = 0, 0
+    for i in range(60):
+        a, b = (text[2 * i + j].split("\n")[1] for j in range(2))
+        sa, sb = ({tuple(x.split()[k : k + 5]) for k in range(len(x.split()) - 4)} for x in (a, b))
+        if len(sa & sb) / len(sa | sb) >= 0.8:
+            like += 1
+            caught += (2 * i + 1, b) in marked
+        else:
+            assert (2 * i + 1, b) not in marked
+    assert like >= 30 and caught >= 0.97 * like
+
+
+def test_short_lines_and_short_pieces_are_not_lost(spark):
+    rnd = random.Random(33)
+    verse = "\n".join(words(rnd, 5) for _ in range(6))
+    headed = words(rnd, 3) + "\n" + words(rnd, 25)
+    rows = [(i, words(rnd, 40) + "\n" + t + "\n" + words(rnd, 40)) for i, t in enumerate([verse, verse, headed, headed])]
+    rows += [(4, "three short words"), (5, "three short words"), (6, "Ünïcode wörds ïn ä shört lïne"), (7, "Ünïcode wörds ïn ä shört lïne")]
+    text = dict(rows)
+    out = pg.repeated_paragraphs(spark.createDataFrame([(a, b, "x") for a, b in rows], SCHEMA)).where("removed").collect()
+    spans = {(r.id, text[r.id][r["first"] : r["last"]]) for r in out}
+    assert {(1, verse), (3, headed), (5, rows[5][1]), (7, rows[7][1])} <= spans and {d for d, _ in spans} == {1, 3, 5, 7}
+    for _ in range(200):
+        h = np.array([rnd.getrandbits(64) for _ in range(rnd.randrange(8, 200))], dtype=np.uint64)
+        cuts = [*pg.pieces_of(h), len(h)]
+        assert all(z - a >= pg.MIN_WORDS for a, z in zip(cuts, cuts[1:]))
