@@ -58,9 +58,9 @@ def normalise_numbers(df: DataFrame, decimal: str | None = None) -> DataFrame:
     return df
 
 
-def sniff_dayfirst(df: DataFrame, column: str, sample: int = 500) -> str | None:
-    """dd/MM/yyyy or MM/dd/yyyy by tokens over 12 among the first ``sample`` values (a documented bound); mixed evidence: none."""
-    few = df.select(F.col(column).alias("v")).where("v is not null").limit(sample)
+def sniff_dayfirst(df: DataFrame, column: str) -> str | None:
+    """dd/MM/yyyy or MM/dd/yyyy by tokens over 12 among all values; mixed evidence or a value of another form: none."""
+    few = df.select(F.col(column).alias("v")).where("v is not null")
     a, b = (F.regexp_extract("v", r"^\s*(\d{1,2})[/.-](\d{1,2})[/.-]\d{4}", i).try_cast("int") for i in (1, 2))
     r = few.agg(F.count("*").alias("n"), F.count(a).alias("k"), F.count_if(a > 12).alias("day"), F.count_if(b > 12).alias("month")).first()
     if not r.n or r.k < r.n or (r.day and r.month):

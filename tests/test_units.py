@@ -106,3 +106,15 @@ def test_chunks_cover_the_text():
 def test_readable_page():
     title, text = tj.readable("<title>A &amp; b</title><nav>menu</nav><p>One <b>two</b></p><script>x()</script><div>three</div>")
     assert (title, text) == ("A & b", "One two\nthree")
+
+
+def test_dayfirst_looks_at_the_whole_column(spark):
+    from loomwork.sources.readers import sniff_dayfirst
+
+    early = ["01/02/2024"] * 600
+    kinds = {"dd/MM/yyyy": ["13/02/2024"], "MM/dd/yyyy": ["02/13/2024"], None: ["13/02/2024", "02/13/2024"]}
+    for want, late in kinds.items():
+        df = spark.createDataFrame([(v,) for v in early + late], "d string").coalesce(1)
+        assert sniff_dayfirst(df, "d") == want
+    odd = spark.createDataFrame([(v,) for v in ["13/02/2024", *early, "soon"]], "d string").coalesce(1)
+    assert sniff_dayfirst(odd, "d") is None
