@@ -5,259 +5,353 @@ Three kinds of paragraphs, each compared with its own kind only, for they overla
 * LINE: a whole line; consecutive lines of fewer than MIN_WORDS words are one.
 * PIECE: a line cut at content-defined places (a word whose hash is the least among the RADIUS words on
   either side starts a piece), so that a passage in the middle of other text falls into the same pieces
-  wherever it stands.  Pieces of fewer than MIN_WORDS words belong to the piece before or after them,
-  and pieces of more than LONGEST words are cut again at their least hash, so that none is alike to its line.  A line that
-  is a single piece is both.
+  wherever it stands.  RADIUS + 1 is MIN_WORDS, so no piece is shorter than that, if its line isn't.
+  A line that is a single piece is both.
 * JOINED: short lines that together stay below MIN_WORDS, with the line after (else before) them.  A text that is
   shorter than that as a whole is one LINE.
 
-1. Every paragraph gets the hash of its words and a MinHash band key per band and kind over its SHINGLE-word shingles.
-   ``tune_bands`` picks the fewest keys whose recall at THRESHOLD is at least RECALL.
+1. LINE and JOINED paragraphs get a MinHash key per band over their SHINGLE-word shingles; ``tune_bands`` picks the
+   fewest bands of ROWS rows whose recall at THRESHOLD is at least RECALL.  A PIECE has one key, the hash of its
+   words: pieces are so short that one changed word makes them unlike, so only equal ones are sought.
 2. Keys are counted with map-side combination.  A key under which a single text occurs more than once names an
    exact repeat; a key under which different texts meet names candidates.
-3. Candidates under one key are compared with each other by exact Jaccard likeness of their shingles inside
-   the join, so only true links leave it.  Keys with more than HOT texts are not paired: their texts join on
-   prefix tokens instead (the |x| - ceil(THRESHOLD |x|) + 1 rarest shingles, which two texts at
-   the threshold must share one of), which loses no link and makes no pairs of texts that share common shingles only.
-4. Links form components; in each the first occurrence (smallest doc_id, then place) stays and the others are
-   marked as removed, but for paragraphs of the same text that overlap the one that stays.
+3. Candidates under one key are compared with its least text first, by exact Jaccard likeness of their shingles
+   inside the join; those that are not alike to it are then compared with all others of the key.  What is alike
+   to the same text is connected already, so no component is lost and a group of near copies costs one
+   comparison a member.  Keys with more than HOT such left-overs are not paired: their texts join on prefix tokens instead
+   (the |x| - ceil(THRESHOLD |x|) + 1 rarest shingles, which two texts at the threshold must share one of), in the same way.
+4. Links form components; in each the first occurrence (smallest doc_id, then row, then place) stays and the others are
+   marked as removed, but for paragraphs of the same row that overlap the one that stays.  Repeats must agree in
+   two independent 64-bit hashes of their words.
+
+The texts are read three times (keys, shingles of candidates, places of what is repeated) instead of storing
+every paragraph; the last two readings are sieved by a bitmap of the hashes that matter, of SIEVE_BITS bits at most, which lets
+too much through rather than too little.  All hashing is done over whole Arrow batches in numpy.
 
 Edge cases: null and empty texts have no paragraphs; a null doc_id comes after all others; repeated rows
-are exact repeats of one another; a text of any length is read whole; fewer words than a shingle make
+are exact repeats of one another, of which one stays; a text of any length is read whole; fewer words than a shingle make
 one shingle; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import LOWER_ASCII, broadcast_if_small, connected_components, read_table, utf8, written
 
 SHINGLE = 5
-MIN_WORDS = 8
-RADIUS = 6
-LONGEST = 4 * MIN_WORDS
+MIN_WORDS = 7
+RADIUS = MIN_WORDS - 1
 THRESHOLD = 0.8
 RECALL = 0.99
-#: Texts under one band key that are still compared in pairs.
+#: Texts under one key, unlike its least text, that are still compared with all others of the key.
 HOT = 1024
-#: Kinds of paragraphs: the two low bits of a band key.  A line that is a single piece has the keys of both.
-LINE, PIECE, JOINED = 0, 1, 2
-BOTH = 3
-#: Bits of the sieve that keeps most keys under which no texts meet out of a shuffle; it lets every other key pass.
-SIEVE_BITS = 26
+#: Kinds of paragraphs: the two low bits of a key.  A line that is a single piece has keys of LINE and PIECE.
+LINE, PIECE, JOINED, BOTH = 0, 1, 2, 3
+#: Most bits of a sieve (32 MB); the fewest are SIEVE_LEAST.
+SIEVE_BITS, SIEVE_LEAST = 28, 16
+#: Bytes of text that are hashed at once; a longer text is hashed by itself.
+SLICE = 1 << 20
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 256
+
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
 _WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+_U = np.uint64
 
 
-def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, max_rows: int = 4) -> tuple[int, int]:
-    """(bands, rows) with the fewest bands whose recall 1 - (1 - s^rows)^bands at the threshold is enough."""
-    options = []
-    for rows in range(1, max_rows + 1):
-        options.append((math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows))
-    return min(options)
+def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int = 2) -> tuple[int, int]:
+    """(bands, rows): the fewest bands whose recall 1 - (1 - s^rows)^bands at the threshold is enough.  One row a band
+    would need fewer keys, but makes a candidate of every pair that shares a little, and those grow with the square."""
+    return math.ceil(math.log(1 - recall) / math.log(1 - threshold**rows)), rows
 
 
 BANDS, ROWS = tune_bands()
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-def starts_of(h: np.ndarray) -> np.ndarray:
-    """Places at which a paragraph starts in a line with these word hashes (0 first)."""
+    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
+    return x ^ (x >> _U(31))
+
+
+_SALTS = _mix(np.arange(1, 65, dtype=np.uint64))
+
+
+@dataclass
+class Units:
+    """Word hashes of some texts, and their paragraphs as ranges [a, z) of words."""
+
+    h: np.ndarray
+    text: np.ndarray
+    para: np.ndarray
+    a: np.ndarray
+    z: np.ndarray
+    kind: np.ndarray
+    first: np.ndarray
+    last: np.ndarray
+
+
+def _words(data: bytes, bytes_of: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each word: eight bytes at a time."""
+    eight = np.ndarray((len(bytes_of) - 7,), dtype="<u8", buffer=bytes_of, strides=(1,))
+    size = ends - starts
+    h = _mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * _WEIGHTS[0])
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < LONG_WORD:
+        h[more] = _mix(h[more] * _WEIGHTS[1] + (eight[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]))
+        k += 8
+        more = more[size[more] > k]
+    for i in more.tolist():
+        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
+    return h
+
+
+def piece_starts(h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Places (but for the begins) at which pieces start in the blocks [begin, end) of words."""
+    n = len(h) - 2 * RADIUS
+    if n < 1 or not len(begins):
+        return np.zeros(0, dtype=np.int64)
+    mid = h[RADIUS : RADIUS + n]
+    least = np.ones(n, dtype=bool)
+    for d in range(1, RADIUS + 1):
+        least &= mid < h[RADIUS - d : RADIUS - d + n]
+        least &= mid <= h[RADIUS + d : RADIUS + d + n]
+    at = np.flatnonzero(least) + RADIUS
+    block = np.searchsorted(begins, at, side="right") - 1
+    return at[(block >= 0) & (at - begins[block] >= MIN_WORDS) & (ends[block] - at >= MIN_WORDS)]
+
+
+def units_of(texts: list[bytes]) -> Units:
+    """The paragraphs of texts, in the order of the texts; first and last are code points of the text."""
+    data = b"\n".join(texts).translate(LOWER_ASCII)
+    size = len(data)
+    bytes_of = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    pad = np.ones(size + 2, dtype=bool)
+    pad[1:-1] = BLANK[bytes_of[:size]]
+    edge = np.flatnonzero(pad[1:] != pad[:-1])
+    starts, ends = edge[::2], edge[1::2]
+    h = _words(data, bytes_of, starts, ends)
     n = len(h)
-    if n < 2 * RADIUS + 1:
-        return np.zeros(1, dtype=np.int64)
-    around = np.lib.stride_tricks.sliding_window_view(h, 2 * RADIUS + 1)
-    least = np.flatnonzero(around.argmin(axis=1) == RADIUS) + RADIUS
-    return np.concatenate([[0], least])
-
-
-def _line(line: bytes, at: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
-    """(hash, byte start, byte end) of each word of a line that starts at byte ``at``."""
-    words = line.translate(LOWER_ASCII).split()
-    if not words:
-        return None
-    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    if sizes.sum() + len(words) - 1 == len(line):
-        ends = np.cumsum(sizes + 1) - 1
-    else:
-        ends, where = np.empty_like(sizes), 0
-        for i, w in enumerate(line.split()):
-            where = line.index(w, where) + len(w)
-            ends[i] = where
-    return h, at + ends - sizes, at + ends
-
-
-def pieces_of(h: np.ndarray) -> list[int]:
-    """Places at which the pieces of a line start; each has MIN_WORDS words or more, if the line has."""
-    cuts = [0]
-    for b in starts_of(h)[1:].tolist():
-        if b - cuts[-1] >= MIN_WORDS:
-            cuts.append(b)
-    if len(cuts) > 1 and len(h) - cuts[-1] < MIN_WORDS:
-        cuts.pop()
-    todo, out = list(zip(cuts, [*cuts[1:], len(h)]))[::-1], []
-    while todo:
-        a, z = todo.pop()
-        inner = h[a + MIN_WORDS : z - MIN_WORDS + 1]
-        if z - a > LONGEST and np.count_nonzero(inner == inner.min()) == 1:
-            cut = a + MIN_WORDS + int(inner.argmin())
-            todo += [(cut, z), (a, cut)]
-        else:
-            out.append(a)
-    return out
-
-
-def units(text: bytes) -> list[tuple[int, int, np.ndarray, int]]:
-    """(byte start, byte end, word hashes, kind) of each paragraph, the JOINED ones last."""
-    blocks, run, at = [], [], 0
-    for line in text.split(b"\n"):
-        made = _line(line, at)
-        at += len(line) + 1
-        if made is None:
-            continue
-        if len(made[0]) < MIN_WORDS:
-            run.append(made)
-            continue
-        if run:
-            blocks.append(tuple(map(np.concatenate, zip(*run))))
-            run = []
-        blocks.append(made)
-    if run:
-        blocks.append(tuple(map(np.concatenate, zip(*run))))
-    out, joined = [], []
-    for i, (h, first, last) in enumerate(blocks):
-        if len(h) < MIN_WORDS and len(blocks) > 1:
-            a, z = (i, i + 1) if i + 1 < len(blocks) else (i - 1, i)
-            joined.append((int(blocks[a][1][0]), int(blocks[z][2][-1]), np.concatenate([blocks[a][0], blocks[z][0]]), JOINED))
-            continue
-        cuts = pieces_of(h)
-        out.append((int(first[0]), int(last[-1]), h, LINE if len(cuts) > 1 else BOTH))
-        if len(cuts) > 1:
-            out += [(int(first[a]), int(last[z - 1]), h[a:z], PIECE) for a, z in zip(cuts, [*cuts[1:], len(h)])]
-    return out + joined
+    sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    line = np.searchsorted(np.flatnonzero(bytes_of[:size] == 10), starts)
+    first = np.flatnonzero(np.diff(line, prepend=-1))
+    owner = np.searchsorted(begins, starts[first], side="right") - 1
+    short = np.diff(np.append(first, n)) < MIN_WORDS
+    fresh = np.ones(len(first), dtype=bool)
+    fresh[1:] = ~(short[1:] & short[:-1] & (owner[1:] == owner[:-1]))
+    ba, owner = first[fresh], owner[fresh]
+    bz = np.append(ba[1:], n)[: len(ba)]
+    same = owner[1:] == owner[:-1]
+    after, before = np.append(same, False)[: len(ba)], np.append(False, same)[: len(ba)]
+    loose = (bz - ba < MIN_WORDS) & (after | before)
+    i = np.flatnonzero(loose)
+    ja, jz = np.where(after[i], ba[i], ba[i - 1]), np.where(after[i], bz[np.minimum(i + 1, len(bz) - 1)], bz[i])
+    wa, wz, wo = ba[~loose], bz[~loose], owner[~loose]
+    pa_ = np.sort(np.concatenate([wa, piece_starts(h, wa, wz)]))
+    block = np.searchsorted(wa, pa_, side="right") - 1
+    pz = np.append(pa_[1:], n)[: len(pa_)]
+    turn = np.append(block[1:] != block[:-1], True)[: len(pa_)]
+    pz[turn] = wz[block[turn]]
+    many = np.bincount(block, minlength=len(wa)) > 1
+    cut = many[block] if len(block) else np.zeros(0, dtype=bool)
+    a = np.concatenate([wa, pa_[cut], ja])
+    z = np.concatenate([wz, pz[cut], jz])
+    text = np.concatenate([wo, wo[block[cut]], owner[i]])
+    kind = np.concatenate([np.where(many, LINE, BOTH), np.full(cut.sum(), PIECE), np.full(len(i), JOINED)])
+    order = np.argsort(text, kind="stable")
+    a, z, text, kind = a[order], z[order], text[order], kind[order]
+    para = np.arange(len(a)) - np.searchsorted(text, text)
+    lo, hi = starts[a], ends[z - 1] if len(z) else z
+    if data.isascii():
+        return Units(h, text, para, a, z, kind, lo - begins[text], hi - begins[text])
+    point = np.zeros(size + 1, dtype=np.int64)
+    np.cumsum((bytes_of[:size] & 0xC0) != 0x80, out=point[1:])
+    return Units(h, text, para, a, z, kind, point[lo] - point[begins[text]], point[hi] - point[begins[text]])
 
 
 def paragraphs(text: bytes) -> list[tuple[int, int, np.ndarray]]:
-    """(byte start, byte end, word hashes) of each LINE and PIECE; JOINED ones would be alike to the lines in them."""
-    return [u[:3] for u in units(text) if u[3] != JOINED]
-
-
-def _padded(h: np.ndarray) -> np.ndarray:
-    return h if len(h) >= SHINGLE else np.append(h, np.zeros(SHINGLE - len(h), np.uint64))
+    """(first, last, word hashes) of each LINE and PIECE; JOINED ones would be alike to the lines in them."""
+    u = units_of([text])
+    return [(int(f), int(e), u.h[a:z]) for f, e, a, z, k in zip(u.first, u.last, u.a, u.z, u.kind) if k != JOINED]
 
 
 def _rolled(h: np.ndarray) -> np.ndarray:
-    """Hash of the shingle that starts at each word."""
-    n = len(h) - SHINGLE + 1
-    total = np.zeros(n, dtype=np.uint64)
-    for i in range(SHINGLE):
-        total += h[i : i + n] * _WEIGHTS[i]
+    """Hash of the shingle that starts at each word (the last ones are of no use but for texts shorter than that)."""
+    total = np.zeros(len(h), dtype=np.uint64)
+    for i in range(min(SHINGLE, len(h))):
+        total[: len(h) - i] += h[i:] * _WEIGHTS[i]
     return _mix(total)
 
 
+def _few(u: Units) -> tuple[np.ndarray, np.ndarray]:
+    """The paragraphs of fewer words than a shingle, and the hash of their single shingle."""
+    few = np.flatnonzero(u.z - u.a < SHINGLE)
+    total = np.zeros(len(few), dtype=np.uint64)
+    for i in range(SHINGLE - 1):
+        has = u.z[few] - u.a[few] > i
+        total[has] += u.h[u.a[few[has]] + i] * _WEIGHTS[i]
+    return few, _mix(total)
+
+
 def shingles(h: np.ndarray) -> np.ndarray:
     """Distinct shingle hashes of a paragraph."""
-    return np.unique(_rolled(_padded(h)))
-
-
-def signatures(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of the words, BANDS band keys) of each paragraph, all at once."""
-    parts = [_padded(h) for h in parts]
-    sizes = np.array([len(h) for h in parts])
-    ends = np.cumsum(sizes)
-    begins = ends - sizes
-    h = np.concatenate(parts)
-    place = (np.arange(len(h)) - np.repeat(begins, sizes)).astype(np.uint64)
-    whole = _mix(np.bitwise_xor.reduceat(_mix(h + _mix(place)), begins))
-    s = np.append(_rolled(h), np.zeros(SHINGLE, np.uint64))
-    cuts = np.stack([begins, ends - SHINGLE + 1], axis=1).ravel()
-    keys = np.empty((len(parts), BANDS), dtype=np.uint64)
+    return np.unique(_rolled(h)[: max(1, len(h) - SHINGLE + 1)])
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n + 1, base, dtype=np.uint64)
+    out[0] = 1
+    return np.multiply.accumulate(out)
+
+
+def whole_hashes(u: Units, which: int = 0) -> np.ndarray:
+    """Hash of all words of each paragraph in their order; ``which`` chooses one of two independent ones."""
+    base = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)[which]
+    h = u.h if which == 0 else _mix(u.h ^ _WEIGHTS[4])
+    total = np.append(_U(0), np.cumsum(h * _powers(base, len(h))[: len(h)], dtype=np.uint64))
+    back = _powers(pow(base, -1, 1 << 64), len(h))
+    return _mix((total[u.z] - total[u.a]) * back[u.a] + (u.z - u.a).astype(np.uint64) * _WEIGHTS[2]).view(np.int64)
+
+
+def band_keys(u: Units) -> np.ndarray:
+    """(paragraphs, BANDS) MinHash keys, before ``of_kind``."""
+    s = np.append(_rolled(u.h), _U(0))
+    few, single = _few(u)
+    cuts = np.stack([u.a, np.maximum(u.a + 1, u.z - SHINGLE + 1)], axis=1).ravel()
+    keys = np.empty((len(u.a), BANDS), dtype=np.uint64)
     for b in range(BANDS):
-        key = np.full(len(parts), b, dtype=np.uint64)
-        for r in range(ROWS):
-            salt = _mix(np.array([b * ROWS + r + 1], dtype=np.uint64))
-            key = _mix(key * _WEIGHTS[0] + np.minimum.reduceat(_mix(s ^ salt), cuts)[::2])
+        key = np.full(len(u.a), b, dtype=np.uint64)
+        for salt in _SALTS[b * ROWS : (b + 1) * ROWS]:
+            odd = _mix(np.array([salt]))[0] | _U(1)
+            least = np.minimum.reduceat((s ^ salt) * odd, cuts)[::2] if len(cuts) else np.zeros(0, np.uint64)
+            least[few] = (single ^ salt) * odd
+            key = _mix(key * _WEIGHTS[0] + least)
         keys[:, b] = key
-    return whole.view(np.int64), keys.view(np.int64)
+    return keys
 
 
-def of_kind(keys: np.ndarray, kind: int) -> np.ndarray:
-    """Band keys (signed) under which only paragraphs of a kind meet."""
-    mixed = _mix(keys.view(np.uint64) ^ _WEIGHTS[kind + 1])
-    return (mixed & ~np.uint64(3) | np.uint64(kind)).view(np.int64)
+def of_kind(keys: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
+    """Keys (signed) under which only paragraphs of a kind meet."""
+    kind = np.asarray(kind)
+    return (_mix(keys.view(np.uint64) ^ _WEIGHTS[kind + 1]) & ~_U(3) | kind.astype(np.uint64)).view(np.int64)
 
 
-def occurrences(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, para, first, last, n_words, h, keys) of every paragraph; first and last are code points."""
+def _some(u: Units, at: np.ndarray) -> Units:
+    return Units(u.h, u.text[at], u.para[at], u.a[at], u.z[at], u.kind[at], u.first[at], u.last[at])
+
+
+def banded(u: Units) -> tuple[Units, np.ndarray, np.ndarray]:
+    """(LINE and JOINED paragraphs, their hashes, their keys of shape (n, BANDS))."""
+    lines = _some(u, np.flatnonzero(u.kind != PIECE))
+    kind = np.where(lines.kind == JOINED, JOINED, LINE)
+    return lines, whole_hashes(lines), of_kind(band_keys(lines), kind[:, None])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "para", "first", "last", "n_words", "h", "keys"]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int32()]
-        for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
-                rows, words, kinds = [], [], []
-                for d, text in zip(part.column(0).to_pylist(), utf8(part.column(1))):
-                    point = None if text.isascii() else np.append(0, np.cumsum(np.frombuffer(text, np.uint8) & 0xC0 != 0x80))
-                    for no, (first, last, h, kind) in enumerate(units(text)):
-                        rows.append((d, no, first, last, len(h)) if point is None else (d, no, int(point[first]), int(point[last]), len(h)))
-                        words.append(h)
-                        kinds.append(kind)
-                if rows:
-                    whole, plain = signatures(words)
-                    kind = np.array(kinds)
-                    keys = np.empty((len(rows), 2 * BANDS), np.int64)
-                    for k in (LINE, PIECE, JOINED):
-                        own = (kind == k) | ((kind == BOTH) & (k == LINE))
-                        keys[own, :BANDS] = of_kind(plain[own], k)
-                    keys[kind == BOTH, BANDS:] = of_kind(plain[kind == BOTH], PIECE)
-                    size = np.where(kind == BOTH, 2 * BANDS, BANDS)
-                    flat = pa.array(keys[np.arange(2 * BANDS) < size[:, None]])
-                    listed = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(size)).astype(np.int32)), flat)
-                    made = [pa.array(c, t) for c, t in zip(zip(*rows), types)]
-                    yield pa.RecordBatch.from_arrays([*made, pa.array(whole), listed], names)
-
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    return src.mapInArrow(run, "id long, para int, first long, last long, n_words int, h long, keys array<long>")
-
-
-def with_shingles(reps: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(h, s array<long>): the sorted shingle hashes of one occurrence (id, first, last) of each text."""
-    wanted = reps.groupBy("id").agg(F.collect_set(F.struct("first", "last", "h")).alias("want"))
-    src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    src = src.join(wanted, src["id"].eqNullSafe(wanted["id"])).select("text", "want")
+
+def _read(docs: DataFrame, id_col: str, text_col: str, make: Callable, schema: str) -> DataFrame:
+    """``make(units, ids, rows)`` gives the columns of ``schema`` for a slice of rows, or None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            hs, ss = [], []
-            for text, want in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for w in want:
-                    words = (text or "")[w["first"] : w["last"]].encode().translate(LOWER_ASCII).split()
-                    if not words:
-                        continue  # another row with this id
-                    h = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
-                    if signatures([h])[0][0] == w["h"]:
-                        hs.append(w["h"])
-                        ss.append(shingles(h).view(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(hs, pa.int64()), pa.array(ss, pa.list_(pa.int64()))], ["h", "s"])
-
-    return src.mapInArrow(run, "h long, s array<long>").groupBy("h").agg(F.min("s").alias("s"))
-
-
-def _alike(a: str, b: str) -> F.Column:
+            texts = utf8(b.column(2))
+            ends = np.cumsum([len(t) + 1 for t in texts])
+            at = 0
+            while at < len(texts):
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+                u = units_of(texts[at:to])
+                if len(u.a):
+                    made = make(u, b.column(0).slice(at, to - at), b.column(1).slice(at, to - at))
+                    if made is not None:
+                        yield pa.RecordBatch.from_arrays(made, [x.split()[0] for x in schema.split(", ")])
+                at = to
+
+    src = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
+    return src.mapInArrow(run, schema)
+
+
+def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(key, h) of every paragraph and band, and of every piece."""
+
+    def make(u: Units, ids: pa.Array, rows: pa.Array) -> list[pa.Array]:
+        _, h, keys = banded(u)
+        same = whole_hashes(_some(u, np.flatnonzero((u.kind == PIECE) | (u.kind == BOTH))))
+        key = np.concatenate([keys.ravel(), of_kind(same, PIECE)])
+        return [pa.array(key), pa.array(np.concatenate([np.repeat(h, BANDS), same]))]
+
+    return _read(docs, id_col, text_col, make, "key long, h long")
+
+
+class Sieve:
+    """A bitmap of hashes, by their high bits."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        count = hashes.count()
+        self.bits = min(SIEVE_BITS, max(SIEVE_LEAST, (64 * count).bit_length()))
+        place = F.shiftrightunsigned(column, 64 - self.bits)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - self.bits}) & 63 as int))")
+        found = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(1 << (self.bits - 6), np.int64)
+        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.shared = hashes.sparkSession.sparkContext.broadcast(bits)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        words = self.shared.value.view(np.uint64)
+        at = hashes.view(np.uint64) >> _U(64 - self.bits)
+        return (words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
+
+
+def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
+
+
+def candidates(docs: DataFrame, sieve: Sieve, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(h, g, n, keys, s) of the texts with a key that passes the sieve: both hashes, occurrences in a slice, those keys
+    and the sorted shingles.  A text has a row per slice of rows that it is in."""
+
+    def make(u: Units, ids: pa.Array, rows: pa.Array) -> list[pa.Array] | None:
+        lines, h, keys = banded(u)
+        hit = sieve(keys)
+        at = np.flatnonzero(hit.any(axis=1))
+        if not len(at):
+            return None
+        _, one, n = np.unique(np.stack([h[at], lines.kind[at] == JOINED], axis=1), axis=0, return_index=True, return_counts=True)
+        at = at[one]
+        s = [shingles(u.h[lines.a[i] : lines.z[i]]).view(np.int64) for i in at]
+        listed = _lists(np.concatenate(s), np.fromiter(map(len, s), np.int64, len(s)))
+        g = whole_hashes(_some(lines, at), 1)
+        return [pa.array(h[at]), pa.array(g), pa.array(n), _lists(keys[at][hit[at]], hit[at].sum(axis=1)), listed]
+
+    return _read(docs, id_col, text_col, make, "h long, g long, n long, keys array<long>, s array<long>")
+
+
+def places(docs: DataFrame, sieve: Sieve, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, row, para, first, last, n_words, h, g) of the paragraphs whose h passes the sieve."""
+
+    def make(u: Units, ids: pa.Array, rows: pa.Array) -> list[pa.Array] | None:
+        h = whole_hashes(u)
+        at = np.flatnonzero(sieve(h))
+        if not len(at):
+            return None
+        some = _some(u, at)
+        text = pa.array(some.text)
+        whole = [pa.array(x.astype(np.int64)) for x in (some.para, some.first, some.last, some.z - some.a)]
+        return [ids.take(text), rows.take(text), *whole, pa.array(h[at]), pa.array(whole_hashes(some, 1))]
+
+    return _read(docs, id_col, text_col, make, "id long, row long, para long, first long, last long, n_words long, h long, g long")
+
+
+def _alike(a: str, b: str) -> Column:
     """Exact Jaccard likeness of two arrays of distinct values is at least THRESHOLD."""
     na, nb = F.size(a), F.size(b)
     fits = (na >= THRESHOLD * nb) & (nb >= THRESHOLD * na)
@@ -265,74 +359,61 @@ def _alike(a: str, b: str) -> F.Column:
     return fits & (common >= THRESHOLD * (na + nb - common) - 1e-9)
 
 
-def links_of(members: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b) text hashes at THRESHOLD or more, of ``members`` (key, h) with ``texts`` (h, s)."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n"))
-    marked = written(members.join(sizes, "key").join(texts, "h"), "para-members")
-
-    def pairs(side: DataFrame) -> DataFrame:
-        left = side.select("key", F.col("h").alias("a"), F.col("s").alias("sa"))
-        right = side.select("key", F.col("h").alias("b"), F.col("s").alias("sb"))
-        return left.join(right, "key").where((F.col("a") < F.col("b")) & _alike("sa", "sb")).select("a", "b")
-
-    cold = pairs(marked.where(F.col("n") <= HOT))
-    hot = written(marked.where(F.col("n") > HOT).select("h", "s", F.col("key").bitwiseAND(3).alias("kind")).dropDuplicates(["h", "kind"]), "para-hot")
-    if hot.isEmpty():
-        return cold.distinct()
-    tokens = hot.select("h", "s", "kind", F.explode("s").alias("token"))
-    rarity = tokens.groupBy("token", "kind").agg(F.count("*").alias("k"))
+def links_of(members: DataFrame, hot: int | None = None) -> DataFrame:
+    """(a, b) text hashes at THRESHOLD or more of written ``members`` (key, h, s): enough of them to connect every two
+    texts of a key that are alike.  Keys with more than ``hot`` texts unlike their least one go by prefix tokens."""
+    least = members.groupBy("key").agg(F.min(F.struct("h", "s")).alias("least"), F.count("*").alias("n")).where("n > 1")
+    least = written(least.select("key", F.col("least.h").alias("rep"), F.col("least.s").alias("rs")), "para-least")
+    star = members.join(least, "key").where("h <> rep").select("key", "h", "s", "rep", _alike("s", "rs").alias("near"))
+    star = written(star, "para-star")
+    links = star.where("near").select(F.col("rep").alias("a"), F.col("h").alias("b"))
+    left = star.where("not near")
+    dense = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (hot or 2**62)).select("key"), "para-dense")
+    one = left.select("key", F.col("h").alias("a"), F.col("s").alias("sa"))
+    other = star.select("key", F.col("h").alias("b"), F.col("s").alias("sb"), "near")
+    if dense.isEmpty():
+        pairs = one.join(other, "key")
+        return links.union(pairs.where((F.col("near") | (F.col("a") < F.col("b"))) & _alike("sa", "sb")).select("a", "b")).distinct()
+    pairs = one.join(broadcast_if_small(dense), "key", "left_anti").join(other, "key")
+    links = links.union(pairs.where((F.col("near") | (F.col("a") < F.col("b"))) & _alike("sa", "sb")).select("a", "b"))
+    kind = F.col("key").bitwiseAND(3).alias("kind")
+    crowd = written(star.join(broadcast_if_small(dense), "key", "left_semi").select("h", "s", kind).dropDuplicates(["h", "kind"]), "para-crowd")
+    tokens = crowd.select("h", "s", "kind", F.explode("s").alias("token"))
+    rarity = tokens.groupBy("token", "kind").agg(F.count("*").alias("k")).where("k > 1")
     rank = Window.partitionBy("h", "kind").orderBy("k", "token")
-    ranked = tokens.join(rarity, ["token", "kind"]).withColumn("r", F.row_number().over(rank))
-    prefix = ranked.where(F.col("r") <= F.size("s") - F.ceil(F.lit(THRESHOLD) * F.size("s")) + 1)
-    return cold.union(pairs(prefix.select(F.xxhash64("token", "kind").alias("key"), "h", "s"))).distinct()
-
-
-def sieved(occ: DataFrame, mixed: DataFrame) -> DataFrame:
-    """(id, para, first, last, h, key) of ``occ`` for each key whose place in a bitmap of the ``mixed`` keys is set."""
-    place = F.shiftrightunsigned("key", 64 - SIEVE_BITS)
-    bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned(key, {64 - SIEVE_BITS}) & 63 as int))")
-    found = mixed.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    bits = np.zeros(1 << (SIEVE_BITS - 6), np.int64)
-    bits[found["word"].to_numpy()] = found["bits"].to_numpy()
-    shared = occ.sparkSession.sparkContext.broadcast(bits)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = shared.value.view(np.uint64)
-        for b in batches:
-            listed = b.column(5)
-            keys = listed.flatten().to_numpy(zero_copy_only=False)
-            at = keys.view(np.uint64) >> np.uint64(64 - SIEVE_BITS)
-            hit = (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-            row = np.repeat(np.arange(b.num_rows), listed.value_lengths().to_numpy(zero_copy_only=False))[hit]
-            rest = b.select([0, 1, 2, 3, 4]).take(pa.array(row))
-            yield pa.RecordBatch.from_arrays([*rest.columns, pa.array(keys[hit])], ["id", "para", "first", "last", "h", "key"])
-
-    return occ.select("id", "para", "first", "last", "h", "keys").mapInArrow(run, "id long, para int, first long, last long, h long, key long")
+    ranked = tokens.join(written(rarity, "para-rarity"), ["token", "kind"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
+    ranked = ranked.withColumn("r", F.row_number().over(rank))
+    prefix = ranked.where((F.col("r") <= F.size("s") - F.ceil(F.lit(THRESHOLD) * F.size("s")) + 1) & (F.col("k") > 1))
+    more = links_of(written(prefix.select(F.xxhash64("token", "kind").alias("key"), "h", "s"), "para-prefix"))
+    return links.union(more).distinct()
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, para, first, last, n_words, cluster, keep_id, keep_para, removed): every paragraph that is in a
     cluster of two or more occurrences."""
-    occ = written(occurrences(docs, id_col, text_col), "para-occurrences")
-    keyed = occ.select(F.explode("keys").alias("key"), "h")
-    counted = keyed.groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("top"), F.count("*").alias("n")).where("n > 1")
-    counted = written(counted, "para-keys")
+    counted = keyed(docs, id_col, text_col).groupBy("key").agg(F.min("h").alias("h"), F.max("h").alias("top"), F.count("*").alias("n"))
+    counted = written(counted.where("n > 1"), "para-keys")
     exact = counted.where("h = top").select("h").distinct()
     mixed = written(counted.where("h <> top").select("key"), "para-mixed")
-    members = sieved(occ, mixed).join(broadcast_if_small(mixed), "key")
-    members = members.groupBy("key", "h").agg(F.count("*").alias("n"), F.min(F.struct(F.col("id").isNull().alias("null"), "id", "para", "first", "last")).alias("rep"))
-    members = written(members, "para-candidates")
-    reps = members.groupBy("h").agg(F.min("rep").alias("rep")).select("h", "rep.id", "rep.first", "rep.last")
-    texts = written(with_shingles(reps, docs, id_col, text_col), "para-shingles")
-    links = written(links_of(members.select("key", "h"), texts), "para-links")
-    comp = connected_components(links, "para-components").withColumnRenamed("node", "h")
-    again = exact.union(members.where("n > 1").select("h")).union(links.select("a")).union(links.select("b")).toDF("h").distinct()
-    classes = written(again.join(comp, "h", "left").select("h", F.coalesce("root", "h").alias("cluster")), "para-classes")
-    found = written(occ.drop("keys").join(broadcast_if_small(classes), "h"), "para-found")
-    place = F.struct(F.col("id").isNull().alias("null"), "id", "para", "first", "last")
-    keep = written(found.groupBy("cluster").agg(F.min(place).alias("keep"), F.count("*").alias("size")), "para-keep")
-    out = found.join(broadcast_if_small(keep), "cluster").where("size > 1")
-    here = F.col("id").eqNullSafe(F.col("keep.id")) & (F.col("first") < F.col("keep.last")) & (F.col("last") > F.col("keep.first"))
+    found = written(candidates(docs, Sieve(mixed, "key"), id_col, text_col), "para-candidates")
+    texts = found.groupBy("h").agg(F.min(F.struct("g", "s")).alias("x"), F.sum("n").alias("n"))
+    texts = written(texts.select("h", "x.g", "x.s", "n"), "para-texts")
+    members = found.select(F.explode("keys").alias("key"), "h").distinct().join(broadcast_if_small(mixed), "key")
+    members = written(members.join(texts.select("h", "s"), "h"), "para-members")
+    links = written(links_of(members, HOT), "para-links")
+    comp = written(connected_components(links, "para-components").withColumnRenamed("node", "h"), "para-roots")
+    again = exact.union(texts.where("n > 1").select("h")).union(comp.select("h")).distinct()
+    classes = again.join(comp, "h", "left").join(texts.select("h", "g"), "h", "left")
+    classes = classes.select("h", F.coalesce("root", "h").alias("cluster"), F.when(F.col("root").isNotNull(), F.col("g")).alias("own"))
+    classes = written(classes, "para-classes")
+    found = places(docs, Sieve(classes, "h"), id_col, text_col).join(broadcast_if_small(classes), "h")
+    # 0: the text that was compared; else the second hash, which repeats of the same text share
+    part = F.when(F.col("own") == F.col("g"), 0).otherwise(F.col("g"))
+    found = written(found.withColumn("part", part).drop("h", "g", "own"), "para-found")
+    place = F.struct(F.col("id").isNull().alias("null"), "id", "row", "para", "first", "last")
+    keep = found.groupBy("cluster", "part").agg(F.min(place).alias("keep"), F.count("*").alias("size")).where("size > 1")
+    out = found.join(broadcast_if_small(written(keep.drop("size"), "para-keep")), ["cluster", "part"])
+    here = (F.col("row") == F.col("keep.row")) & (F.col("first") < F.col("keep.last")) & (F.col("last") > F.col("keep.first"))
     return out.select(
         "id", "para", "first", "last", "n_words", "cluster", F.col("keep.id").alias("keep_id"), F.col("keep.para").alias("keep_para"), (~here).alias("removed")
     )

@@ -82,7 +82,7 @@ def test_bands_reach_the_recall():
         a = rng.integers(0, 2**63, 60).astype(np.uint64)
         b = a.copy()
         b[-4:] = rng.integers(0, 2**63, 4).astype(np.uint64)
-        keys = pg.signatures([a, b])[1]
+        keys = pg.band_keys(pg.Units(np.append(a, b), *[np.zeros(2, int)] * 2, np.array([0, 60]), np.array([60, 120]), *[np.zeros(2, int)] * 3))
         hits.append((keys[0] == keys[1]).any())
     assert np.mean(hits) > 0.98
 
@@ -93,6 +93,7 @@ def test_empty_table_and_null_ids(spark):
     same = "one two three four five six seven eight nine"
     got = pg.repeated_paragraphs(spark.createDataFrame([(None, same, "x"), (4, same, "x"), (4, same, "x")], SCHEMA)).collect()
     assert len(got) == 3 and all(r.keep_id == 4 for r in got)
+    assert sorted((r.id or 0, r.removed) for r in got) == [(0, True), (4, False), (4, True)]
 
 
 def test_near_lines_are_linked_whole(spark):
@@ -132,6 +133,39 @@ def test_short_lines_and_short_pieces_are_not_lost(spark):
     spans = {(r.id, text[r.id][r["first"] : r["last"]]) for r in out}
     assert {(1, verse), (3, headed), (5, rows[5][1]), (7, rows[7][1])} <= spans and {d for d, _ in spans} == {1, 3, 5, 7}
     for _ in range(200):
-        h = np.array([rnd.getrandbits(64) for _ in range(rnd.randrange(8, 200))], dtype=np.uint64)
-        cuts = [*pg.pieces_of(h), len(h)]
+        h = np.array([rnd.getrandbits(64) for _ in range(rnd.randrange(7, 200))], dtype=np.uint64)
+        cuts = [0, *pg.piece_starts(h, np.array([0]), np.array([len(h)])), len(h)]
         assert all(z - a >= pg.MIN_WORDS for a, z in zip(cuts, cuts[1:]))
+
+
+def test_a_large_group_of_near_copies_is_one_cluster_with_few_links(spark):
+    rnd = random.Random(2)
+    base = words(rnd, 60).split()
+    rows = []
+    for i in range(3000):
+        w = list(base)
+        w[rnd.randrange(60)] = f"edit{i}"
+        rows.append((i, " ".join(w), "x"))
+    df = spark.createDataFrame(rows, SCHEMA).repartition(8)
+    got = [r for r in pg.repeated_paragraphs(df).collect() if r.n_words == 60]
+    assert len(got) == 3000 and len({r.cluster for r in got}) == 1 and sum(not r.removed for r in got) == 1
+    texts = [(k, h, s) for k in (0, 4) for h, s in ((i, sorted(map(hash, [f"{t}" for t in range(40)] + [f"{i}"]))) for i in range(500))]
+    members = spark.createDataFrame(texts, "key long, h long, s array<long>")
+    assert pg.links_of(members).count() == 499
+
+
+def test_hashes_agree_wherever_a_passage_stands_and_whatever_is_around_it():
+    rnd = random.Random(4)
+    line = (words(rnd, 30) + " \u00e4\u00f6 " + "longword" * 60 + " " + words(rnd, 20)).encode()
+    texts = [line, b"a b\n" + line + b"\nc", line.upper().replace(b" ", b"  "), b"", b" \n\n\t", line + b"\n"]
+    u = pg.units_of(texts)
+    whole, keys = pg.whole_hashes(u), pg.band_keys(u)
+    lines = [i for i in range(len(u.a)) if u.kind[i] == pg.LINE]
+    assert [u.text[i] for i in lines] == [0, 1, 2, 5] and len(set(whole[lines].tolist())) == 1
+    assert (keys[lines] == keys[lines[0]]).all()
+    for i in range(len(u.a)):
+        t = texts[u.text[i]].decode()[u.first[i] : u.last[i]]
+        assert len(t.split()) == u.z[i] - u.a[i]
+    alone = [pg.units_of([t]) for t in texts]
+    assert np.concatenate([pg.whole_hashes(x, 1) for x in alone]).tolist() == pg.whole_hashes(u, 1).tolist()
+    assert np.concatenate([x.para for x in alone]).tolist() == u.para.tolist()
