@@ -5,10 +5,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +130,56 @@ def labelled_sample(docs: DataFrame, known: DataFrame, max_rows: int) -> list[tu
 def utf8(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     """UTF-8 bytes of each text of an Arrow column, null as empty."""
     return [b or b"" for b in column.cast(pa.large_binary()).to_pylist()]
+
+
+_U = np.uint64
+#: Odd 64-bit multipliers.
+WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+#: Bytes of a word beyond which it is hashed by itself.
+LONG_WORD = 256
+
+
+def mix64(x: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of unsigned 64-bit numbers."""
+    x = (x ^ (x >> _U(30))) * WEIGHTS[1]
+    x = (x ^ (x >> _U(27))) * WEIGHTS[2]
+    return x ^ (x >> _U(31))
+
+
+def runs(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each run of true values."""
+    pad = np.zeros(len(inside) + 2, dtype=bool)
+    pad[1:-1] = inside
+    edge = np.flatnonzero(pad[1:] != pad[:-1])
+    return edge[::2], edge[1::2]
+
+
+def span_hashes(padded: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of each span of bytes, eight bytes at a time; ``padded`` ends in eight bytes more.
+    Up to eight bytes the second is those bytes themselves."""
+    eight = np.ndarray((len(padded) - 7,), dtype="<u8", buffer=padded, strides=(1,))
+    size = ends - starts
+    g = eight[starts] & _MASKS[np.minimum(size, 8)]
+    h = mix64(g + size.astype(np.uint64) * WEIGHTS[0])
+    more, k = np.flatnonzero(size > 8), 8
+    while len(more) and k < LONG_WORD:
+        part = eight[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]
+        h[more] = mix64(h[more] * WEIGHTS[1] + part)
+        g[more] = g[more] * WEIGHTS[3] + part + _U(k)
+        k += 8
+        more = more[size[more] > k]
+    for i in more.tolist():
+        whole = padded[starts[i] : ends[i]].tobytes()
+        h[i], g[i] = xxhash.xxh64_intdigest(whole), xxhash.xxh64_intdigest(whole, 1)
+    return h, g
+
+
+def slices(texts: list[bytes], size: int) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``size`` bytes together; a longer text stands alone."""
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    at = 0
+    while at < len(texts):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right")))
+        yield at, to
+        at = to

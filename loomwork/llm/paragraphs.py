@@ -41,11 +41,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, broadcast_if_small, connected_components, read_table, utf8, written
+from .common import LOWER_ASCII, WEIGHTS, broadcast_if_small, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
 
 SHINGLE = 5
 MIN_WORDS = 7
@@ -60,13 +59,9 @@ LINE, PIECE, JOINED, BOTH = 0, 1, 2, 3
 SIEVE_BITS, SIEVE_LEAST = 28, 16
 #: Bytes of text that are hashed at once; a longer text is hashed by itself.
 SLICE = 1 << 20
-#: Bytes of a word beyond which it is hashed by itself.
-LONG_WORD = 256
 
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
-_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
-_WEIGHTS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 _U = np.uint64
 
 
@@ -79,13 +74,7 @@ def tune_bands(threshold: float = THRESHOLD, recall: float = RECALL, rows: int =
 BANDS, ROWS = tune_bands()
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
-_SALTS = _mix(np.arange(1, 65, dtype=np.uint64))
+_SALTS = mix64(np.arange(1, 65, dtype=np.uint64))
 
 
 @dataclass
@@ -102,21 +91,6 @@ class Units:
     last: np.ndarray
 
 
-def _words(data: bytes, bytes_of: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of each word: eight bytes at a time."""
-    eight = np.ndarray((len(bytes_of) - 7,), dtype="<u8", buffer=bytes_of, strides=(1,))
-    size = ends - starts
-    h = _mix((eight[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * _WEIGHTS[0])
-    more, k = np.flatnonzero(size > 8), 8
-    while len(more) and k < LONG_WORD:
-        h[more] = _mix(h[more] * _WEIGHTS[1] + (eight[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]))
-        k += 8
-        more = more[size[more] > k]
-    for i in more.tolist():
-        h[i] = xxhash.xxh64_intdigest(data[starts[i] : ends[i]])
-    return h
-
-
 def piece_starts(h: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Places (but for the begins) at which pieces start in the blocks [begin, end) of words."""
     n = len(h) - 2 * RADIUS
@@ -137,11 +111,8 @@ def units_of(texts: list[bytes]) -> Units:
     data = b"\n".join(texts).translate(LOWER_ASCII)
     size = len(data)
     bytes_of = np.frombuffer(data + bytes(8), dtype=np.uint8)
-    pad = np.ones(size + 2, dtype=bool)
-    pad[1:-1] = BLANK[bytes_of[:size]]
-    edge = np.flatnonzero(pad[1:] != pad[:-1])
-    starts, ends = edge[::2], edge[1::2]
-    h = _words(data, bytes_of, starts, ends)
+    starts, ends = runs(~BLANK[bytes_of[:size]])
+    h, _ = span_hashes(bytes_of, starts, ends)
     n = len(h)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     begins = np.cumsum(sizes + 1) - sizes - 1
@@ -191,8 +162,8 @@ def _rolled(h: np.ndarray) -> np.ndarray:
     """Hash of the shingle that starts at each word (the last ones are of no use but for texts shorter than that)."""
     total = np.zeros(len(h), dtype=np.uint64)
     for i in range(min(SHINGLE, len(h))):
-        total[: len(h) - i] += h[i:] * _WEIGHTS[i]
-    return _mix(total)
+        total[: len(h) - i] += h[i:] * WEIGHTS[i]
+    return mix64(total)
 
 
 def _few(u: Units) -> tuple[np.ndarray, np.ndarray]:
@@ -201,8 +172,8 @@ def _few(u: Units) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(few), dtype=np.uint64)
     for i in range(SHINGLE - 1):
         has = u.z[few] - u.a[few] > i
-        total[has] += u.h[u.a[few[has]] + i] * _WEIGHTS[i]
-    return few, _mix(total)
+        total[has] += u.h[u.a[few[has]] + i] * WEIGHTS[i]
+    return few, mix64(total)
 
 
 def shingles(h: np.ndarray) -> np.ndarray:
@@ -219,10 +190,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 def whole_hashes(u: Units, which: int = 0) -> np.ndarray:
     """Hash of all words of each paragraph in their order; ``which`` chooses one of two independent ones."""
     base = (0x5851F42D4C957F2D, 0x2545F4914F6CDD1D)[which]
-    h = u.h if which == 0 else _mix(u.h ^ _WEIGHTS[4])
+    h = u.h if which == 0 else mix64(u.h ^ WEIGHTS[4])
     total = np.append(_U(0), np.cumsum(h * _powers(base, len(h))[: len(h)], dtype=np.uint64))
     back = _powers(pow(base, -1, 1 << 64), len(h))
-    return _mix((total[u.z] - total[u.a]) * back[u.a] + (u.z - u.a).astype(np.uint64) * _WEIGHTS[2]).view(np.int64)
+    return mix64((total[u.z] - total[u.a]) * back[u.a] + (u.z - u.a).astype(np.uint64) * WEIGHTS[2]).view(np.int64)
 
 
 def band_keys(u: Units) -> np.ndarray:
@@ -234,10 +205,10 @@ def band_keys(u: Units) -> np.ndarray:
     for b in range(BANDS):
         key = np.full(len(u.a), b, dtype=np.uint64)
         for salt in _SALTS[b * ROWS : (b + 1) * ROWS]:
-            odd = _mix(np.array([salt]))[0] | _U(1)
+            odd = mix64(np.array([salt]))[0] | _U(1)
             least = np.minimum.reduceat((s ^ salt) * odd, cuts)[::2] if len(cuts) else np.zeros(0, np.uint64)
             least[few] = (single ^ salt) * odd
-            key = _mix(key * _WEIGHTS[0] + least)
+            key = mix64(key * WEIGHTS[0] + least)
         keys[:, b] = key
     return keys
 
@@ -245,7 +216,7 @@ def band_keys(u: Units) -> np.ndarray:
 def of_kind(keys: np.ndarray, kind: np.ndarray | int) -> np.ndarray:
     """Keys (signed) under which only paragraphs of a kind meet."""
     kind = np.asarray(kind)
-    return (_mix(keys.view(np.uint64) ^ _WEIGHTS[kind + 1]) & ~_U(3) | kind.astype(np.uint64)).view(np.int64)
+    return (mix64(keys.view(np.uint64) ^ WEIGHTS[kind + 1]) & ~_U(3) | kind.astype(np.uint64)).view(np.int64)
 
 
 def _some(u: Units, at: np.ndarray) -> Units:
@@ -265,16 +236,12 @@ def _read(docs: DataFrame, id_col: str, text_col: str, make: Callable, schema: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = utf8(b.column(2))
-            ends = np.cumsum([len(t) + 1 for t in texts])
-            at = 0
-            while at < len(texts):
-                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE, side="right")))
+            for at, to in slices(texts, SLICE):
                 u = units_of(texts[at:to])
                 if len(u.a):
                     made = make(u, b.column(0).slice(at, to - at), b.column(1).slice(at, to - at))
                     if made is not None:
                         yield pa.RecordBatch.from_arrays(made, [x.split()[0] for x in schema.split(", ")])
-                at = to
 
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.monotonically_increasing_id().alias("row"), F.col(text_col).cast("string").alias("text"))
     return src.mapInArrow(run, schema)

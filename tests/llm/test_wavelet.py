@@ -59,11 +59,25 @@ def _probe():
 def test_pieces_give_the_ids_of_whole_texts(texts):
     tok, coder = _probe()
     want = [tok.encode(t, add_special_tokens=False).ids for t in texts]
-    assert [list(map(int, x)) for x in coder.texts(texts)] == want
+    assert [list(map(int, x)) for x in coder.texts([t.encode() for t in texts])] == want
+
+
+def test_the_table_grows_and_starts_anew(monkeypatch, tokenizer):
+    words = [f"word{chr(97 + i % 26)}{'q' * (i % 300)}{i} Pläne{chr(97 + i // 7 % 26)}x{chr(97 + i % 26)}!" for i in range(3000)]
+    monkeypatch.setattr(wv, "CACHE_PIECES", 2000)
+    coder = wv.Pieces(wv.default_vocabulary())
+    for at in range(0, 3000, 1000):
+        part = words[at : at + 1000]
+        assert [x.tolist() for x in coder.texts([t.encode() for t in part])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+    coder.clear()
+    h = np.arange(100_000, dtype=np.uint64) * np.uint64(1 << 16)  # all begin at one slot
+    coder.add(h[:300], h[:300], [b"ab"] * 300)
+    assert coder.find(h[:301], h[:301]).tolist() == [*range(300), -1]
 
 
 def test_rank_select_access_locate(monkeypatch):
     monkeypatch.setattr(wv, "BLOCK_BITS", 64)
+    monkeypatch.setattr(wv, "STEP", 16)
     rng = np.random.default_rng(4)
     tokens = (rng.zipf(1.3, 900) % 49_408).astype(np.uint16)
     s = wv.Shard(wv.pack_shard(tokens, [1, None], [400, 500]))
