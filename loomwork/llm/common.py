@@ -13,9 +13,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows up to which a side of a join may be broadcast after it was counted.
-BROADCAST_ROWS = 500_000
+#: Bytes up to which a side of a join is broadcast after they were counted.
+BROADCAST_BYTES = 24_000_000
 
 #: Byte table that lower-cases A-Z and leaves every other byte of UTF-8 alone.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -50,17 +51,30 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast hint behind a count (``df`` should be a written table, so that the
-    count is cheap); beyond ``rows`` Spark joins by a shuffle."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _width(kind: T.DataType, c: Column) -> Column:
+    """Bytes of a value in a row, about."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+    if isinstance(kind, T.ArrayType):
+        return 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) + 24
+    if isinstance(kind, T.StructType):
+        return sum((_width(f.dataType, c[f.name]) for f in kind.fields), F.lit(16))
+    return F.lit(8)
+
+
+def broadcast_if_small(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast hint behind a count of the bytes (``df`` should be a written table, so that the
+    count is cheap); beyond ``size`` Spark joins by a shuffle."""
+    width = sum((_width(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(16))
+    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= size else df
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) long pairs -> (node, root) for every node of an edge; root is the least
     node of its component.  Alternates large-star and small-star steps (Kiveris et al.,
     2014) until the edge set stays the same; each step is written to the shared folder,
-    nothing but two numbers per round reaches the driver."""
+    nothing but two numbers per round reaches the driver.  The least neighbours are written too, so that
+    the join with them has no aggregation on its side and Spark may split the edges of a hub."""
     e = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name
     )
@@ -72,10 +86,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large.where("u <> v").distinct(), name)
+        low = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
         small = large.join(low, "u")
         small = small.select("u", "m").union(small.select(F.col("v"), F.col("m"))).toDF("u", "v").where("u <> v")
         e = written(small.distinct(), name)

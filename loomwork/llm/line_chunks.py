@@ -1,15 +1,16 @@
 """Line dedup by content-defined chunks, in DataFrame functions only.
 
 Each line has a hash; a rolling hash over the hashes of SPAN consecutive lines chooses the boundaries: a
-chunk ends after a line where it is 0 modulo MEAN.  A boundary depends on the SPAN lines before it
-alone, so the chunks of a passage are the same wherever it stands, after at most SPAN - 1 lines.  Chunks of
+chunk ends after a line whose rolling hash is less than its neighbours'.  A boundary depends on SPAN + 2 lines
+alone, so the chunks of a passage are the same wherever it stands, but for its first and last ones, and no chunk has
+fewer than two lines (the last line of a text is not cut off either).  Chunks of
 two lines or more that occur more than once in the corpus keep their first occurrence (smallest
 doc_id, then place); the others are removed.  The hash of a chunk only proposes; chunks are grouped by
 their bytes.
 
 Edge cases: a null text has no lines and stays null; an empty text is one empty line; a null doc_id
 comes after all others; repeated rows are repeated chunks (the first row keeps them); texts without a
-boundary are one chunk; an empty table gives an empty result; extra columns are ignored.
+boundary are one chunk, of any length; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from pyspark.sql import functions as F
 from .common import broadcast_if_small, read_table, written
 
 SPAN = 2
-MEAN = 4
 PRIME = 31
+MODULUS = 2**31 - 1
 
 
 def line_hash(line: Column) -> Column:
@@ -33,16 +34,23 @@ def chunks_of(text: Column) -> Column:
     """array<struct<n int, t string>>: lines and text of each chunk, in order."""
     lines = F.split(text, "\n")
 
-    def cut(made: Column) -> Column:
-        n = F.size(made["l"])
-
-        def rolled(i: Column) -> Column:
+    def rolled(made: Column) -> Column:
+        def at(i: Column) -> Column:
             total = F.get(made["h"], i)
             for back in range(1, SPAN):
                 total = total + PRIME**back * F.coalesce(F.get(made["h"], i - back), F.lit(0))
-            return total
+            return F.pmod(total, F.lit(MODULUS))
+
+        return F.struct(made["l"].alias("l"), F.transform(F.sequence(F.lit(0), F.size(made["l"]) - 1), at).alias("r"))
+
+    def cut(made: Column) -> Column:
+        n, r = F.size(made["l"]), made["r"]
+
+        def ends_here(i: Column) -> Column:
+            least = (F.get(r, i) < F.get(r, i - 1)) & (F.get(r, i) <= F.get(r, i + 1))
+            return ((i > 0) & (i < n - 2) & least) | (i == n - 1)
 
-        ends = F.filter(F.sequence(F.lit(0), n - 1), lambda i: (F.pmod(rolled(i), F.lit(MEAN)) == 0) | (i == n - 1))
+        ends = F.filter(F.sequence(F.lit(0), n - 1), ends_here)
 
         def chunk(end: Column, j: Column, all_ends: Column) -> Column:
             first = F.when(j == 0, 0).otherwise(F.get(all_ends, j - 1) + 1)
@@ -53,7 +61,7 @@ def chunks_of(text: Column) -> Column:
         return F.get(inner, F.lit(0))
 
     made = F.array(F.struct(lines.alias("l"), F.transform(lines, line_hash).alias("h")))
-    return F.get(F.transform(made, cut), F.lit(0))
+    return F.get(F.transform(F.transform(made, rolled), cut), F.lit(0))
 
 
 def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -66,11 +74,13 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     found = written(multi.join(broadcast_if_small(again), "h"), "lines-found")
     at = F.struct(F.col("id").isNull().alias("null"), "id", "rid", "no")
     kept = found.groupBy("h", "t").agg(F.min(at).alias("keep"), F.count("*").alias("k")).where("k > 1").select("h", "t", "keep")
-    gone = found.join(kept, ["h", "t"]).where((F.col("rid") != F.col("keep.rid")) | (F.col("no") != F.col("keep.no")))
+    kept = written(kept, "lines-kept")
+    gone = found.join(broadcast_if_small(kept), ["h", "t"]).where((F.col("rid") != F.col("keep.rid")) | (F.col("no") != F.col("keep.no")))
     gone = written(gone.groupBy("rid").agg(F.collect_set("no").alias("gone")), "lines-gone")
     out = rows.join(broadcast_if_small(gone), "rid", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
-    stay = F.filter("chunks", lambda c, i: ~F.array_contains("gone", i))
-    left = F.filter("chunks", lambda c, i: F.array_contains("gone", i))
+    places = F.when(F.col("chunks").isNotNull(), F.sequence(F.lit(0), F.size("chunks") - 1))
+    stay = F.transform(F.array_except(places, "gone"), lambda i: F.get("chunks", i))
+    left = F.transform("gone", lambda i: F.get("chunks", i))
 
     def lines(a: Column) -> Column:
         return F.coalesce(F.aggregate(a, F.lit(0).cast("long"), lambda s, c: s + c["n"]), F.lit(0))
@@ -102,10 +112,13 @@ WITH split AS (
   SELECT doc_id, i, l[i] AS t, CAST('0x' || substr(md5(l[i]), 1, 8) AS BIGINT) AS h, len(l) AS n
   FROM (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM split)
 ), rolled AS (
-  SELECT *, (h + {PRIME} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {MEAN} = 0 AS cut FROM line
+  SELECT *, (h + {PRIME} * coalesce(lag(h) OVER (PARTITION BY doc_id ORDER BY i), 0)) % {MODULUS} AS r FROM line
+), ended AS (
+  SELECT *, i > 1 AND i < n - 1 AND r < lag(r) OVER (PARTITION BY doc_id ORDER BY i) AND r <= lead(r) OVER (PARTITION BY doc_id ORDER BY i) AS cut
+  FROM rolled
 ), placed AS (
   SELECT *, coalesce(sum(CAST(cut AS INT)) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS no
-  FROM rolled
+  FROM ended
 ), chunk AS (
   SELECT doc_id, no, count(*) AS n, string_agg(t, chr(10) ORDER BY i) AS t FROM placed GROUP BY doc_id, no
 ), ranked AS (
