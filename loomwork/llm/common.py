@@ -5,10 +5,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +17,11 @@ from pyspark.sql import types as T
 #: Bytes up to which a side of a join is broadcast after they were counted.
 BROADCAST_BYTES = 24_000_000
 
+#: Nodes of a key, not near to its least one, beyond which ``connect`` draws others, and how often.
+CROWD, ROUNDS = 16, 8
+#: Most bits of a sieve (32 MB); the fewest are SIEVE_LEAST.
+SIEVE_BITS, SIEVE_LEAST = 28, 16
+
 #: Byte table that lower-cases A-Z and leaves every other byte of UTF-8 alone.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -103,28 +107,81 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     )
 
 
-def order_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
-    """Up to ``parts - 1`` ascending cut values of a long column: approximate quantiles,
-    as a range partitioner takes them (a list as long as the number of partitions)."""
-    if parts < 2:
-        return []
-    cuts = df.where(F.col(key).isNotNull()).agg(
-        F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts).alias("q")
-    ).first()["q"]
-    return sorted(set(cuts or []))
-
-
-def bucket_of(key: str, bounds: list[int]) -> Column:
-    """Number of the bounds that are below the key (0 for null): a range bucket in key order."""
-    if not bounds:
-        return F.lit(0)
-    cuts = np.asarray(bounds, dtype=np.int64)
-
-    @F.pandas_udf("int")
-    def bucket(k: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(cuts, k.to_numpy(dtype=np.int64), side="left").astype(np.int32))
-
-    return bucket(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
+def connect(
+    members: DataFrame, near: Callable[[Column, Column], Column], name: str, dense: Callable[[DataFrame], DataFrame] | None = None, hot: int = 1024
+) -> DataFrame:
+    """(a, b): enough pairs of nodes that share a key and are ``near`` to connect all nodes that such pairs connect.
+    ``members`` is a written table (key, node, value); ``near`` takes two values.
+
+    1. Each key's least node is compared with its others: a group of alike nodes costs one comparison a member.
+    2. In keys with more than CROWD nodes that are not near to it, further nodes, drawn by a hash among those left over, are
+       compared with all nodes of the key, ROUNDS times: what is left over shrinks by the share that is near to the drawn one.
+    3. Nodes that are not yet in the component of their key's least node are compared with all nodes of the key that are in
+       other components.  Keys with more than ``hot`` such nodes go to ``dense`` if that is given, which must find the links of
+       (key, node, value) in a cheaper way.
+    So no component is lost, and the links do not grow with the square of a group of alike nodes."""
+    first = members.groupBy("key").agg(F.min(F.struct("node", "value")).alias("x"), F.count("*").alias("n")).where("n > 1")
+    first = written(first.select("key", F.col("x.node").alias("rep"), F.col("x.value").alias("rv"), "n"), name + "-first")
+    star = members.join(first, "key").where("node <> rep").select("key", "node", "rep", "n", near(F.col("value"), F.col("rv")).alias("near"))
+    star = written(star, name + "-star")
+    links = star.where("near").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
+    left = star.where("not near and n > 2").select("key", "node")
+    crowd = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), name + "-crowd")
+    if not crowd.isEmpty():
+        some = written(members.join(broadcast_if_small(crowd), "key", "left_semi"), name + "-some")
+        left = written(left.join(broadcast_if_small(crowd), "key", "left_semi"), name + "-left")
+        for turn in range(ROUNDS):
+            drawn = left.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
+            drawn = some.join(broadcast_if_small(written(drawn, name + "-drawn")), ["key", "node"])
+            drawn = written(drawn.select("key", F.col("node").alias("rep"), F.col("value").alias("rv")), name + "-drawn")
+            found = some.join(broadcast_if_small(drawn), "key").where((F.col("node") != F.col("rep")) & near(F.col("value"), F.col("rv")))
+            found = written(found.select("key", "node", "rep"), name + "-found")
+            links = links.union(found.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
+            gone = found.select("key", "node").union(drawn.select("key", "rep"))
+            left = written(left.join(gone.withColumnRenamed("rep", "node"), ["key", "node"], "left_anti"), name + "-left")
+            if left.isEmpty():
+                break
+    links = written(links.distinct(), name + "-links")
+    comp = written(connected_components(links, name + "-parts"), name + "-parts")
+    # keys of two nodes are done
+    placed = star.where("n > 2").select("key", "node", "rep")
+    reps = first.where("n > 2").select("key", F.col("rep").alias("node"), "rep")
+    placed = placed.union(reps).join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("rep")).alias("first"))
+    placed = written(placed, name + "-placed")
+    main = placed.where("first").select("key", F.col("root").alias("main"))
+    odd = placed.join(main, "key").where("root <> main").groupBy("key", "main").agg(F.count("*").alias("odd"))
+    odd = written(odd, name + "-odd")
+    if odd.isEmpty():
+        return links
+    opened = members.join(broadcast_if_small(odd), "key").join(placed.select("key", "node", "root"), ["key", "node"])
+    opened = written(opened, name + "-open")
+    small = opened.where(F.col("odd") <= hot) if dense else opened
+    one = small.where("root <> main").select("key", F.col("node").alias("a"), F.col("value").alias("va"), F.col("root").alias("ra"))
+    other = small.select("key", F.col("node").alias("b"), F.col("value").alias("vb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
+    pairs = one.join(other, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & near(F.col("va"), F.col("vb")))
+    links = links.union(pairs.select("a", "b"))
+    if dense and not (rest := opened.where(F.col("odd") > hot)).isEmpty():
+        links = links.union(dense(rest.select("key", "node", "value")))
+    return links.distinct()
+
+
+class Sieve:
+    """A bitmap of hashes, by their high bits: of SIEVE_BITS bits at most, so beyond that it lets more through, never less."""
+
+    def __init__(self, hashes: DataFrame, column: str):
+        count = hashes.count()
+        self.bits = min(SIEVE_BITS, max(SIEVE_LEAST, (64 * count).bit_length()))
+        place = F.shiftrightunsigned(column, 64 - self.bits)
+        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - self.bits}) & 63 as int))")
+        found = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+        bits = np.zeros(1 << (self.bits - 6), np.int64)
+        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
+        self.shared = hashes.sparkSession.sparkContext.broadcast(bits)
+
+    def __call__(self, hashes: np.ndarray) -> np.ndarray:
+        words = self.shared.value.view(np.uint64)
+        at = hashes.view(np.uint64) >> _U(64 - self.bits)
+        return (words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
 
 
 def partitions_of(spark: SparkSession) -> int:

@@ -15,10 +15,9 @@ Three kinds of paragraphs, each compared with its own kind only, for they overla
    words: pieces are so short that one changed word makes them unlike, so only equal ones are sought.
 2. Keys are counted with map-side combination.  A key under which a single text occurs more than once names an
    exact repeat; a key under which different texts meet names candidates.
-3. Candidates under one key are compared with its least text first, by exact Jaccard likeness of their shingles
-   inside the join; those that are not alike to it are then compared with all others of the key.  What is alike
-   to the same text is connected already, so no component is lost and a group of near copies costs one
-   comparison a member.  Keys with more than HOT such left-overs are not paired: their texts join on prefix tokens instead
+3. Candidates under one key are compared with a few of its texts by exact Jaccard likeness of their shingles inside the join,
+   and then with what is not connected to them (see ``common.connect``), so no component is lost and a group of near copies
+   costs some comparisons a member.  Keys with more than HOT such left-overs are not paired: their texts join on prefix tokens instead
    (the |x| - ceil(THRESHOLD |x|) + 1 rarest shingles, which two texts at the threshold must share one of), in the same way.
 4. Links form components; in each the first occurrence (smallest doc_id, then row, then place) stays and the others are
    marked as removed, but for paragraphs of the same row that overlap the one that stays.  Repeats must agree in
@@ -44,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WEIGHTS, broadcast_if_small, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
+from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connect, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
 
 SHINGLE = 5
 MIN_WORDS = 7
@@ -55,8 +54,6 @@ RECALL = 0.99
 HOT = 1024
 #: Kinds of paragraphs: the two low bits of a key.  A line that is a single piece has keys of LINE and PIECE.
 LINE, PIECE, JOINED, BOTH = 0, 1, 2, 3
-#: Most bits of a sieve (32 MB); the fewest are SIEVE_LEAST.
-SIEVE_BITS, SIEVE_LEAST = 28, 16
 #: Bytes of text that are hashed at once; a longer text is hashed by itself.
 SLICE = 1 << 20
 
@@ -259,25 +256,6 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return _read(docs, id_col, text_col, make, "key long, h long")
 
 
-class Sieve:
-    """A bitmap of hashes, by their high bits."""
-
-    def __init__(self, hashes: DataFrame, column: str):
-        count = hashes.count()
-        self.bits = min(SIEVE_BITS, max(SIEVE_LEAST, (64 * count).bit_length()))
-        place = F.shiftrightunsigned(column, 64 - self.bits)
-        bit = F.expr(f"shiftleft(1L, cast(shiftrightunsigned({column}, {64 - self.bits}) & 63 as int))")
-        found = hashes.groupBy(F.shiftright(place, 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
-        bits = np.zeros(1 << (self.bits - 6), np.int64)
-        bits[found["word"].to_numpy()] = found["bits"].to_numpy()
-        self.shared = hashes.sparkSession.sparkContext.broadcast(bits)
-
-    def __call__(self, hashes: np.ndarray) -> np.ndarray:
-        words = self.shared.value.view(np.uint64)
-        at = hashes.view(np.uint64) >> _U(64 - self.bits)
-        return (words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
-
-
 def _lists(flat: np.ndarray, sizes: np.ndarray) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)).astype(np.int32)), pa.array(flat))
 
@@ -318,7 +296,7 @@ def places(docs: DataFrame, sieve: Sieve, id_col: str = "doc_id", text_col: str
     return _read(docs, id_col, text_col, make, "id long, row long, para long, first long, last long, n_words long, h long, g long")
 
 
-def _alike(a: str, b: str) -> Column:
+def _alike(a: Column, b: Column) -> Column:
     """Exact Jaccard likeness of two arrays of distinct values is at least THRESHOLD."""
     na, nb = F.size(a), F.size(b)
     fits = (na >= THRESHOLD * nb) & (nb >= THRESHOLD * na)
@@ -326,33 +304,20 @@ def _alike(a: str, b: str) -> Column:
     return fits & (common >= THRESHOLD * (na + nb - common) - 1e-9)
 
 
+def by_prefix_tokens(members: DataFrame) -> DataFrame:
+    """Links of (key, node, value) through the tokens that alike texts must share, whatever their key."""
+    crowd = members.select("node", "value", F.col("key").bitwiseAND(3).alias("kind")).dropDuplicates(["node", "kind"])
+    tokens = written(crowd, "para-crowd").select("node", "value", "kind", F.explode("value").alias("token"))
+    rarity = written(tokens.groupBy("token", "kind").agg(F.count("*").alias("k")).where("k > 1"), "para-rarity")
+    rank = Window.partitionBy("node", "kind").orderBy("k", "token")
+    ranked = tokens.join(rarity, ["token", "kind"], "left").withColumn("k", F.coalesce("k", F.lit(1))).withColumn("r", F.row_number().over(rank))
+    prefix = ranked.where((F.col("r") <= F.size("value") - F.ceil(F.lit(THRESHOLD) * F.size("value")) + 1) & (F.col("k") > 1))
+    return connect(written(prefix.select(F.xxhash64("token", "kind").alias("key"), "node", "value"), "para-prefix"), _alike, "para-tokens")
+
+
 def links_of(members: DataFrame, hot: int | None = None) -> DataFrame:
-    """(a, b) text hashes at THRESHOLD or more of written ``members`` (key, h, s): enough of them to connect every two
-    texts of a key that are alike.  Keys with more than ``hot`` texts unlike their least one go by prefix tokens."""
-    least = members.groupBy("key").agg(F.min(F.struct("h", "s")).alias("least"), F.count("*").alias("n")).where("n > 1")
-    least = written(least.select("key", F.col("least.h").alias("rep"), F.col("least.s").alias("rs")), "para-least")
-    star = members.join(least, "key").where("h <> rep").select("key", "h", "s", "rep", _alike("s", "rs").alias("near"))
-    star = written(star, "para-star")
-    links = star.where("near").select(F.col("rep").alias("a"), F.col("h").alias("b"))
-    left = star.where("not near")
-    dense = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (hot or 2**62)).select("key"), "para-dense")
-    one = left.select("key", F.col("h").alias("a"), F.col("s").alias("sa"))
-    other = star.select("key", F.col("h").alias("b"), F.col("s").alias("sb"), "near")
-    if dense.isEmpty():
-        pairs = one.join(other, "key")
-        return links.union(pairs.where((F.col("near") | (F.col("a") < F.col("b"))) & _alike("sa", "sb")).select("a", "b")).distinct()
-    pairs = one.join(broadcast_if_small(dense), "key", "left_anti").join(other, "key")
-    links = links.union(pairs.where((F.col("near") | (F.col("a") < F.col("b"))) & _alike("sa", "sb")).select("a", "b"))
-    kind = F.col("key").bitwiseAND(3).alias("kind")
-    crowd = written(star.join(broadcast_if_small(dense), "key", "left_semi").select("h", "s", kind).dropDuplicates(["h", "kind"]), "para-crowd")
-    tokens = crowd.select("h", "s", "kind", F.explode("s").alias("token"))
-    rarity = tokens.groupBy("token", "kind").agg(F.count("*").alias("k")).where("k > 1")
-    rank = Window.partitionBy("h", "kind").orderBy("k", "token")
-    ranked = tokens.join(written(rarity, "para-rarity"), ["token", "kind"], "left").withColumn("k", F.coalesce("k", F.lit(1)))
-    ranked = ranked.withColumn("r", F.row_number().over(rank))
-    prefix = ranked.where((F.col("r") <= F.size("s") - F.ceil(F.lit(THRESHOLD) * F.size("s")) + 1) & (F.col("k") > 1))
-    more = links_of(written(prefix.select(F.xxhash64("token", "kind").alias("key"), "h", "s"), "para-prefix"))
-    return links.union(more).distinct()
+    """(a, b) text hashes at THRESHOLD or more of written ``members`` (key, node, value): see ``connect``."""
+    return connect(members, _alike, "para", by_prefix_tokens, hot or HOT)
 
 
 def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -366,8 +331,8 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = found.groupBy("h").agg(F.min(F.struct("g", "s")).alias("x"), F.sum("n").alias("n"))
     texts = written(texts.select("h", "x.g", "x.s", "n"), "para-texts")
     members = found.select(F.explode("keys").alias("key"), "h").distinct().join(broadcast_if_small(mixed), "key")
-    members = written(members.join(texts.select("h", "s"), "h"), "para-members")
-    links = written(links_of(members, HOT), "para-links")
+    members = members.join(texts.select("h", "s"), "h").select("key", F.col("h").alias("node"), F.col("s").alias("value"))
+    links = written(links_of(written(members, "para-members")), "para-links")
     comp = written(connected_components(links, "para-components").withColumnRenamed("node", "h"), "para-roots")
     again = exact.union(texts.where("n > 1").select("h")).union(comp.select("h")).distinct()
     classes = again.join(comp, "h", "left").join(texts.select("h", "g"), "h", "left")

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from loomwork.llm import paragraphs as pg
+from loomwork.llm.common import connect
 
 SCHEMA = "doc_id long, text string, cluster string"
 
@@ -150,10 +151,37 @@ def test_a_large_group_of_near_copies_is_one_cluster_with_few_links(spark):
     got = [r for r in pg.repeated_paragraphs(df).collect() if r.n_words == 60]
     assert len(got) == 3000 and len({r.cluster for r in got}) == 1 and sum(not r.removed for r in got) == 1
     texts = [(k, h, s) for k in (0, 4) for h, s in ((i, sorted(map(hash, [f"{t}" for t in range(40)] + [f"{i}"]))) for i in range(500))]
-    members = spark.createDataFrame(texts, "key long, h long, s array<long>")
+    members = spark.createDataFrame(texts, "key long, node long, value array<long>")
     assert pg.links_of(members).count() == 499
 
 
+def test_connect_finds_all_components_with_few_links(spark):
+    rnd = random.Random(8)
+    rows = [(k, n, v) for k in range(3) for n, v in ((i, rnd.randrange(200 * (k + 1) ** 3)) for i in range(400))]
+    near = lambda a, b: F.abs(a - b) <= 1
+    parent = {n: n for n in range(400)}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    value = {(k, n): v for k, n, v in rows}
+    for k in range(3):
+        for a in range(400):
+            for b in range(a):
+                if abs(value[k, a] - value[k, b]) <= 1:
+                    parent[find(a)] = find(b)
+    df = spark.createDataFrame(rows, "key long, node long, value long")
+    links = [(r.a, r.b) for r in connect(df, near, "test").collect()]
+    want = len({find(n) for n in range(400)})
+    parent = {n: n for n in range(400)}
+    for a, b in links:
+        assert any(abs(value[k, a] - value[k, b]) <= 1 for k in range(3))
+        parent[find(a)] = find(b)
+    assert len({find(n) for n in range(400)}) == want and len(links) < 6000
+
+
 def test_hashes_agree_wherever_a_passage_stands_and_whatever_is_around_it():
     rnd = random.Random(4)
     line = (words(rnd, 30) + " \u00e4\u00f6 " + "longword" * 60 + " " + words(rnd, 20)).encode()
