@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -108,10 +109,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
 
 
 def connect(
-    members: DataFrame, near: Callable[[Column, Column], Column], name: str, dense: Callable[[DataFrame], DataFrame] | None = None, hot: int = 1024
+    members: DataFrame, near: Callable[[Column, Column], Column], name: str, dense: Callable[[DataFrame], DataFrame] | None = None, hot: int = 1024,
+    verify: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """(a, b): enough pairs of nodes that share a key and are ``near`` to connect all nodes that such pairs connect.
-    ``members`` is a written table (key, node, value); ``near`` takes two values.
+    ``members`` is a written table (key, node, value); ``near`` takes two values (and may use the column ``key``).
+    ``verify``, if given, takes pairs (a, b) that are near and gives those that count.
 
     1. Each key's least node is compared with its others: a group of alike nodes costs one comparison a member.
     2. In keys with more than CROWD nodes that are not near to it, further nodes, drawn by a hash among those left over, are
@@ -124,6 +127,11 @@ def connect(
     first = written(first.select("key", F.col("x.node").alias("rep"), F.col("x.value").alias("rv"), "n"), name + "-first")
     star = members.join(first, "key").where("node <> rep").select("key", "node", "rep", "n", near(F.col("value"), F.col("rv")).alias("near"))
     star = written(star, name + "-star")
+    if verify:
+        good = written(verify(star.where("near").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()), name + "-good")
+        good = broadcast_if_small(good.select(F.col("a").alias("rep"), F.col("b").alias("node"), F.lit(True).alias("good")))
+        star = star.join(good, ["rep", "node"], "left").withColumn("near", F.coalesce("good", F.lit(False)))
+        star = written(star.select("key", "node", "rep", "n", "near"), name + "-star")
     links = star.where("near").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
     left = star.where("not near and n > 2").select("key", "node")
     crowd = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), name + "-crowd")
@@ -136,6 +144,9 @@ def connect(
             drawn = written(drawn.select("key", F.col("node").alias("rep"), F.col("value").alias("rv")), name + "-drawn")
             found = some.join(broadcast_if_small(drawn), "key").where((F.col("node") != F.col("rep")) & near(F.col("value"), F.col("rv")))
             found = written(found.select("key", "node", "rep"), name + "-found")
+            if verify:
+                good = written(verify(found.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()), name + "-good")
+                found = found.join(broadcast_if_small(good.toDF("rep", "node")), ["rep", "node"], "left_semi")
             links = links.union(found.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
             gone = found.select("key", "node").union(drawn.select("key", "rep"))
             left = written(left.join(gone.withColumnRenamed("rep", "node"), ["key", "node"], "left_anti"), name + "-left")
@@ -159,7 +170,8 @@ def connect(
     one = small.where("root <> main").select("key", F.col("node").alias("a"), F.col("value").alias("va"), F.col("root").alias("ra"))
     other = small.select("key", F.col("node").alias("b"), F.col("value").alias("vb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
     pairs = one.join(other, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & near(F.col("va"), F.col("vb")))
-    links = links.union(pairs.select("a", "b"))
+    pairs = pairs.select("a", "b")
+    links = links.union(verify(written(pairs.distinct(), name + "-pairs")) if verify else pairs)
     if dense and not (rest := opened.where(F.col("odd") > hot)).isEmpty():
         links = links.union(dense(rest.select("key", "node", "value")))
     return links.distinct()
@@ -184,6 +196,30 @@ class Sieve:
         return (words[(at >> _U(6)).astype(np.int64)] >> (at & _U(63)) & _U(1)).astype(bool)
 
 
+def order_bounds(df: DataFrame, key: str, parts: int) -> list[int]:
+    """Up to ``parts - 1`` ascending cut values of a long column: approximate quantiles,
+    as a range partitioner takes them (a list as long as the number of partitions)."""
+    if parts < 2:
+        return []
+    cuts = df.where(F.col(key).isNotNull()).agg(
+        F.percentile_approx(key, [i / parts for i in range(1, parts)], 20 * parts).alias("q")
+    ).first()["q"]
+    return sorted(set(cuts or []))
+
+
+def bucket_of(key: str, bounds: list[int]) -> Column:
+    """Number of the bounds that are below the key (0 for null): a range bucket in key order."""
+    if not bounds:
+        return F.lit(0)
+    cuts = np.asarray(bounds, dtype=np.int64)
+
+    @F.pandas_udf("int")
+    def bucket(k: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(cuts, k.to_numpy(dtype=np.int64), side="left").astype(np.int32))
+
+    return bucket(F.coalesce(F.col(key).cast("long"), F.lit(-(2**63)).cast("long")))
+
+
 def partitions_of(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -26,23 +26,18 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, bucket_of, order_bounds, partitions_of, read_table
+from .common import LOWER_ASCII, bucket_of, mix64, order_bounds, partitions_of, read_table
 
 SHINGLE = 5
 BINS = 512
 LOW_BITS = 4
+#: Most rows of a task, on average.
+RANGE_ROWS = 50_000
 _SHIFT = np.uint64(64 - BINS.bit_length() + 1)
 EMPTY = bytes(BINS * LOW_BITS // 8)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """A 64-bit finalizer (multiply and xor-shift)."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_WEIGHTS = _mix(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
+_WEIGHTS = mix64(np.arange(1, SHINGLE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def shingle_hashes(text: bytes) -> np.ndarray:
@@ -55,12 +50,12 @@ def shingle_hashes(text: bytes) -> np.ndarray:
     total = np.zeros(n, dtype=np.uint64)
     for i in range(width):
         total += h[i : i + n] * _WEIGHTS[i]
-    return _mix(total)
+    return mix64(total)
 
 
 def donors(attempt: int) -> np.ndarray:
     """The bin that each bin asks in an attempt: the same for every text."""
-    return (_mix(np.arange(BINS, dtype=np.uint64) + np.uint64((attempt + 1) << 32)) % np.uint64(BINS)).astype(np.int64)
+    return (mix64(np.arange(BINS, dtype=np.uint64) + np.uint64((attempt + 1) << 32)) % np.uint64(BINS)).astype(np.int64)
 
 
 _DONORS = [donors(a) for a in range(64)]
@@ -119,7 +114,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     the lowest bucket; the table of those is as long as the number of buckets."""
     spark = docs.sparkSession
     src = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    parts = partitions_of(spark)
+    parts = max(partitions_of(spark), src.count() // RANGE_ROWS)
     bounds = order_bounds(src.select("id"), "id", 4 * parts)
     placed = src.withColumn("bucket", bucket_of("id", bounds))
     heads = {r.bucket: r.head for r in placed.select("bucket", "id").groupBy("bucket").agg(F.max("id").alias("head")).collect()}

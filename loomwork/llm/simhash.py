@@ -1,6 +1,6 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-``simhash`` gives each text a 64-bit fingerprint; ``pigeonring_links`` finds every pair of
+``simhash`` gives each text a 64-bit fingerprint; ``pigeonring_links`` finds pairs of
 distinct fingerprints that differ in at most TAU bits; ``simhash_components`` labels each row.
 
 Pigeonring (Qin and Xiao, 2018): cut the 64 bits into a ring of SEGMENTS segments.  If two
@@ -10,12 +10,20 @@ TAU = 4 and five segments these budgets are 0, 1, 2, 3, 4.  So the first segment
 is equal, one of the two halves of the second is equal (at most one difference) and one of
 the three thirds of the third is equal (at most two): that gives 5 x 2 x 3 join keys of about
 24 bits.  A pair that meets in a key must then pass the budgets of the longer chains
-before its full distance is taken.  No link can be lost.
+before its full distance is taken.  No component can be lost.
+
+Keys are counted first; only fingerprints whose key is shared (a bitmap tells) are joined.  In a key, fingerprints are compared
+as ``common.connect`` says, so the links of a group of near copies do not grow with its square.
+
+``dedup_simhash`` is for whole corpora: shingles of DEDUP_WIDTH words, RINGS fingerprints of 64 bits each with its 30 keys; pairs
+that meet in a key and differ in at most RINGS_TAU of all RINGS x 64 bits are candidates, and count if the exact Jaccard likeness of
+their shingle sets is at least LIKE.  (At 4 bits of one fingerprint hardly any pair of that likeness would meet.)  Keys find a pair by
+chance here: 0.7 of pairs at likeness 0.8, 0.97 at 0.9, nearly all at 0.95; members of larger groups are reached by others too.
 
 Edge cases: null texts and texts without words have fingerprint 0 and link like any other;
 fewer words than the shingle width make one shingle of the whole sequence; rows with a
 null id get a fingerprint and the component's smallest non-null id (null if there is none);
-repeated rows stay repeated rows; an empty table gives an empty result; extra columns
+repeated rows stay repeated rows; texts of any length are read whole; an empty table gives an empty result; extra columns
 of the input are ignored by the query and kept by ``dedup_simhash``.
 
 Exact copies collapse to one fingerprint before any pairing, so a group of copies that
@@ -24,22 +32,32 @@ holds a third of all rows adds one row to the join.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, broadcast_if_small, connected_components, read_table, utf8, written
+from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connect, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
 
 TAU = 4
 #: (first bit, bits) of the five segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Shingle hashes taken at once when bits are counted, so that long texts need little memory.
 BLOCK = 1 << 15
+#: ``dedup_simhash``: words of a shingle, fingerprints, differing bits of all of them that a candidate may have, least Jaccard likeness.
+DEDUP_WIDTH, RINGS, RINGS_TAU, LIKE = 5, 4, 50, 0.8
+#: Differing bits that one of several fingerprints may have beyond its share of RINGS_TAU: they are split unevenly.
+SPARE = 8
+#: Bytes of text that are hashed at once; a longer text is hashed by itself.
+SLICE = 1 << 20
+BLANK = np.zeros(256, dtype=bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: Low bits of a key that hold its number.
+KEY_BITS = 7
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -98,37 +116,93 @@ def _keys() -> list[tuple[int, list[int]]]:
     return out
 
 
+KEYS = _keys()
+_MASKS = np.array([m for m, _ in KEYS], dtype=np.uint64)
+
+
+def _key_columns(fps: np.ndarray) -> np.ndarray:
+    """(n, rings) unsigned fingerprints -> (n, rings x 30) keys; the low KEY_BITS are the number of the key."""
+    cut = fps[:, :, None] & _MASKS
+    no = np.arange(cut.shape[1] * len(_MASKS), dtype=np.uint64)
+    flat = cut.reshape(len(fps), -1) + mix64(no + np.uint64(1))
+    return (mix64(flat) & ~np.uint64((1 << KEY_BITS) - 1) | no).view(np.int64)
+
+
+def shared_keys(nodes: DataFrame, name: str) -> DataFrame:
+    """Written (key, node, value) of written ``nodes`` (node long, value array<long>), for every key that different nodes share."""
+
+    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        rings = len(b.column(1)[0])
+        flat = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, rings)
+        return b.column(0).to_numpy(zero_copy_only=False), _key_columns(flat)
+
+    def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                node, key = keys(b.slice(at, 2048))
+                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node, key.shape[1]))], ["key", "node"])
+
+    counted = nodes.mapInArrow(every, "key long, node long").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    shared = written(counted.where("a <> b").select("key"), name + "-keys")
+    sieve = Sieve(shared, "key")
+
+    def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 2048):
+                part = b.slice(at, 2048)
+                _, key = keys(part)
+                row, col = np.nonzero(sieve(key))
+                chosen = part.take(pa.array(row))
+                yield pa.RecordBatch.from_arrays([pa.array(key[row, col]), chosen.column(0), chosen.column(1)], ["key", "node", "value"])
+
+    members = nodes.mapInArrow(some, "key long, node long, value array<long>")
+    return written(members.join(broadcast_if_small(shared), "key"), name + "-members")
+
+
+def _distance(a: Column, b: Column, rings: int) -> Column:
+    return sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(rings)), F.lit(0))
+
+
+def _near(tau: int, rings: int) -> Callable[[Column, Column], Column]:
+    """Chains of 2, 3 and 4 segments from the key's start within their budgets, then the full distance."""
+    chains = [F.array(*[F.lit(_signed(c[j])) for _ in range(rings) for _, c in KEYS]) for j in range(3)]
+    share = tau if rings == 1 else tau // rings + SPARE
+    budgets = [length * share // len(SEGMENTS) for length in (2, 3, 4)]
+
+    def near(a: Column, b: Column) -> Column:
+        no = F.col("key").bitwiseAND((1 << KEY_BITS) - 1).cast("int")
+        ring = F.floor(no / len(KEYS)).cast("int")
+        diff = F.get(a, ring).bitwiseXOR(F.get(b, ring))
+        viable = F.lit(True)
+        for budget, chain in zip(budgets, chains):
+            viable = viable & (F.bit_count(diff.bitwiseAND(F.get(chain, no))) <= budget)
+        return viable & (_distance(a, b, rings) <= tau)
+
+    return near
+
+
 def pigeonring_links(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` longs -> (a, b), a < b: every pair at TAU or fewer differing bits, once."""
-    keys = _keys()
-    exploded = fps.select(
-        "fp",
-        F.explode(
-            F.array(*[F.struct(F.lit(i).cast("short").alias("k"), F.col("fp").bitwiseAND(_signed(m)).alias("v")) for i, (m, _) in enumerate(keys)])
-        ).alias("key"),
-    ).select("key.k", "key.v", "fp")
-    left, right = exploded.withColumnRenamed("fp", "a"), exploded.withColumnRenamed("fp", "b")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    chain = [F.element_at(F.array(*[F.lit(_signed(c[j])) for _, c in keys]), F.col("k").cast("int") + 1) for j in range(3)]
-    viable = F.col("a") < F.col("b")
-    for budget, mask in enumerate(chain, start=1):
-        viable = viable & (F.bit_count(diff.bitwiseAND(mask)) <= budget)
-    pairs = left.join(right, ["k", "v"]).where(viable & (F.bit_count(diff) <= TAU))
-    return pairs.select("a", "b").distinct()
+    """Distinct ``fp`` longs -> (a, b) at TAU or fewer differing bits: enough to connect all that such pairs connect."""
+    nodes = written(fps.select(F.col("fp").alias("node"), F.array("fp").alias("value")), "simhash-single")
+    return connect(shared_keys(nodes, "simhash"), _near(TAU, 1), "simhash")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
-    """(id, fp, component_id, n_links) per row; n_links counts linked different fingerprints."""
+    """(id, fp, component_id) per row."""
     rows = written(simhash(docs, id_col, text_col, width), "simhash-rows")
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
     links = written(pigeonring_links(nodes.select("fp")), "simhash-links")
-    comp = connected_components(links, "simhash-components").withColumnRenamed("node", "fp")
-    rooted = nodes.join(comp, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    degree = links.select(F.col("a").alias("fp")).union(links.select("b")).groupBy("fp").agg(F.count("*").alias("n_links"))
-    low = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
-    labels = rooted.join(low, "root").join(degree, "fp", "left")
-    labels = labels.select("fp", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return rows.join(labels, "fp").select("id", "fp", "component_id", "n_links")
+    return _labelled(rows, nodes, links, "fp")
+
+
+def _labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
+    """``rows`` with component_id, the least ``low`` of the nodes that ``links`` connect."""
+    comp = written(connected_components(links, "simhash-components").withColumnRenamed("node", node), "simhash-roots")
+    linked = nodes.join(broadcast_if_small(comp), node)
+    low = written(linked.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-low")
+    labels = written(nodes.join(broadcast_if_small(comp), node, "left").select(node, "root", "low"), "simhash-labels")
+    labels = labels.join(broadcast_if_small(low), "root", "left").select(node, F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("component_id")).alias("component_id"))
+    return rows.join(written(labels, "simhash-labels"), node).select("id", node, "component_id")
 
 
 def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -137,32 +211,130 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("id").alias("doc_id"),
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         "component_id",
-        "n_links",
     )
 
 
+def ring_fingerprints(texts: list[bytes], width: int = DEDUP_WIDTH) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """(node of each text, its RINGS fingerprints, its distinct shingle hashes), all texts at once."""
+    data = b"\n".join(texts).translate(LOWER_ASCII)
+    padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
+    starts, ends = runs(~BLANK[padded[: len(data)]])
+    h, _ = span_hashes(padded, starts, ends)
+    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
+    cuts = np.searchsorted(starts, begins)
+    words = np.diff(cuts)
+    n = np.where(words > 0, np.maximum(1, words - width + 1), 0)
+    total = np.zeros(len(h), dtype=np.uint64)
+    left = np.repeat(cuts[1:], words) - np.arange(len(h))
+    for i in range(min(width, len(h))):
+        has = left[: len(h) - i] > i
+        total[: len(h) - i][has] += h[i:][has] * WEIGHTS[i % len(WEIGHTS)] + np.uint64(i // len(WEIGHTS))
+    s = mix64(total)
+    keep = np.arange(len(h)) - np.repeat(cuts[:-1], words) < np.repeat(n, words)
+    s = s[keep]
+    at = np.cumsum(n) - n
+    some = np.flatnonzero(n)
+    fps = np.zeros((len(texts), RINGS), dtype=np.uint64)
+    for r in range(RINGS):
+        votes = np.zeros((len(some), 64), dtype=np.int64)
+        mixed = mix64(s ^ mix64(np.array([r + 101], dtype=np.uint64)))
+        if len(some) == 1:  # a long text
+            for k in range(0, len(mixed), BLOCK):
+                votes[0] += np.unpackbits(mixed[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        elif len(some):
+            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            votes = np.add.reduceat(bits, at[some], axis=0, dtype=np.int64)
+        fps[some, r] = np.packbits(2 * votes > n[some, None], axis=1, bitorder="little").view("<u8")[:, 0] if len(some) else 0
+    node = np.zeros(len(texts), dtype=np.uint64)
+    for r in range(RINGS):
+        node = mix64(node * WEIGHTS[0] + fps[:, r])
+    return node.view(np.int64), fps, [s[a : a + k] for a, k in zip(at, n)]
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, make: Callable, schema: str) -> DataFrame:
+    """``make(ids, texts)`` gives the columns of ``schema`` for a slice of rows."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column(1))
+            for i, j in slices(texts, SLICE):
+                yield pa.RecordBatch.from_arrays(make(b.column(0).slice(i, j - i), ring_fingerprints(texts[i:j], width)), [x.split()[0] for x in schema.split(", ")])
+
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = DEDUP_WIDTH, like: float = LIKE) -> DataFrame:
+    """(id, node, component_id) per row, of rows with ids; texts link at a Jaccard likeness of ``like`` of their shingles."""
+
+    def marked(ids: pa.Array, made: tuple) -> list[pa.Array]:
+        node, fps, _ = made
+        listed = pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), RINGS).cast(pa.list_(pa.int64()))
+        return [ids, pa.array(node), listed]
+
+    rows = written(_rows(docs, id_col, text_col, width, marked, "id long, node long, value array<long>"), "dedup-rows")
+    nodes = written(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("value").alias("value")), "dedup-nodes")
+    members = shared_keys(nodes.select("node", "value"), "dedup")
+    near = _near(RINGS_TAU, RINGS)
+    close = written(connect(members, near, "dedup-close"), "dedup-close")
+    if close.isEmpty():
+        return _labelled(rows, nodes, close, "node")
+    wanted = written(close.select("a").union(close.select("b")).toDF("node").distinct(), "dedup-wanted")
+    asked = written(rows.join(broadcast_if_small(wanted), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "dedup-asked")
+    sieve = Sieve(wanted, "node")
+
+    def sets(ids: pa.Array, made: tuple) -> list[pa.Array]:
+        node, _, shingles = made
+        at = np.flatnonzero(sieve(node))
+        at = at[np.unique(node[at], return_index=True)[1]]
+        s = [np.unique(shingles[i]).view(np.int64) for i in at]
+        ends = np.append(0, np.cumsum(np.fromiter(map(len, s), np.int64, len(s)))).astype(np.int32)
+        flat = np.concatenate(s) if s else np.zeros(0, np.int64)
+        return [pa.array(node[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
+
+    ids = broadcast_if_small(asked.select("id").distinct()).withColumnRenamed("id", id_col)
+    texts = docs.withColumn(id_col, F.col(id_col).cast("long")).join(ids, id_col, "left_semi")
+    sets_of = _rows(texts, id_col, text_col, width, sets, "node long, s array<long>").join(broadcast_if_small(wanted), "node", "left_semi")
+    sets_of = written(sets_of.groupBy("node").agg(F.min("s").alias("s")), "dedup-sets")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        one = sets_of.select(F.col("node").alias("a"), F.col("s").alias("sa"))
+        other = sets_of.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+        both = pairs.join(one, "a").join(other, "b")
+        na, nb = F.size("sa"), F.size("sb")
+        common = F.size(F.array_intersect("sa", "sb"))
+        fits = (na >= like * nb) & (nb >= like * na)
+        return both.where(fits & (common >= like * (na + nb - common) - 1e-9)).select("a", "b")
+
+    members = written(members.join(broadcast_if_small(wanted), "node", "left_semi").select("key", "node", "value"), "dedup-members")
+    return _labelled(rows, nodes, written(connect(members, near, "dedup-alike", verify=verify), "dedup-links"), "node")
+
+
 def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of each group: the row whose id is its component's smallest.  Where rows share
-    that id, the one with the least text stays.  Rows without an id go if their component has
-    an id; else one row per text stays.  The rows to drop are the small side of the join."""
-    labels = written(simhash_components(docs, id_col, text_col).select("id", "component_id", "fp"), "simhash-labels")
-    drop = labels.where(F.col("id") > F.col("component_id")).select("id").distinct()
-    twice = labels.where(F.col("id").isNotNull()).groupBy("id").count().where("count > 1").select("id")
-    drop, twice = written(drop, "simhash-drop"), written(twice, "simhash-twice")
-    named = docs.where(F.col(id_col).isNotNull())
+    that id, the one with the least text stays.  Rows without an id count as if they had one beyond all others, by a
+    hash of their text.  The rows to drop are the small side of the join."""
+    kind = docs.schema[id_col].dataType
+    lone = docs.where(F.col(id_col).isNull())
+    last = None
+    if not lone.isEmpty():
+        last = docs.agg(F.coalesce(F.max(F.col(id_col).cast("long")), F.lit(0))).first()[0]
+        stand_in = F.lit(last + 1).cast("long") + F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(1 << 40))
+        named = docs.where(F.col(id_col).isNotNull()).withColumn(id_col, F.col(id_col).cast("long"))
+        docs = named.unionByName(lone.withColumn(id_col, stand_in))
+    labels = written(near_components(docs, id_col, text_col), "simhash-labels")
+    drop = written(labels.where(F.col("id") > F.col("component_id")).select("id").distinct(), "simhash-drop")
+    twice = written(labels.groupBy("id").count().where("count > 1").select("id"), "simhash-twice")
     aside = written(drop.union(twice).distinct(), "simhash-aside")
-    kept = named.join(broadcast_if_small(aside).withColumnRenamed("id", id_col), id_col, "left_anti")
+    kept = docs.join(broadcast_if_small(aside).withColumnRenamed("id", id_col), id_col, "left_anti").select(docs.columns)
     if not twice.isEmpty():
-        again = twice.join(drop, "id", "left_anti").withColumnRenamed("id", id_col)
-        rank = Window.partitionBy(id_col).orderBy(text_col)
-        pick = named.join(again, id_col, "left_semi").withColumn("_rank", F.row_number().over(rank))
-        kept = kept.unionByName(pick.where("_rank = 1").drop("_rank"))
-    if not labels.where("component_id is null").isEmpty():
-        fps = simhash(docs.where(F.col(id_col).isNull()), id_col, text_col).select("fp").distinct()
-        free = labels.where("component_id is null").select("fp").distinct()
-        nameless = docs.where(F.col(id_col).isNull()) if fps.join(free, "fp", "left_anti").isEmpty() else docs.where("false")
-        kept = kept.unionByName(nameless.dropDuplicates([text_col]))
-    return kept.select(docs.columns)
+        again = written(twice.join(drop, "id", "left_anti").withColumnRenamed("id", id_col), "simhash-again")
+        packed = docs.join(broadcast_if_small(again), id_col, "left_semi").select(F.struct(*docs.columns).alias("row"))
+        text = F.struct(F.col(f"row.{text_col}").isNotNull().alias("has"), F.col(f"row.{text_col}").alias("text"))
+        least = packed.groupBy(F.col(f"row.{id_col}").alias("id")).agg(F.min_by("row", text).alias("row"))
+        kept = kept.unionByName(least.select("row.*"))
+    if last is not None:
+        kept = kept.withColumn(id_col, F.when(F.col(id_col) <= last, F.col(id_col)).cast(kind))
+    return kept
 
 
 QUERIES = {"op10_simhash_pigeonring": op10_simhash_pigeonring}
