@@ -11,15 +11,15 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes up to which a side of a join is broadcast after they were counted.
 BROADCAST_BYTES = 24_000_000
 
-#: Nodes of a key, not near to its least one, beyond which ``connect`` draws others, and how often.
-CROWD, ROUNDS = 16, 8
+#: Nodes of a key that are not yet connected to its least one beyond which ``connect`` draws some of them, and how many.
+CROWD, DRAWS = 16, 8
 #: Most bits of a sieve (32 MB); the fewest are SIEVE_LEAST.
 SIEVE_BITS, SIEVE_LEAST = 28, 16
 
@@ -78,8 +78,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     """(a, b) long pairs -> (node, root) for every node of an edge; root is the least
     node of its component.  Alternates large-star and small-star steps (Kiveris et al.,
     2014) until the edge set stays the same; each step is written to the shared folder,
-    nothing but two numbers per round reaches the driver.  The least neighbours are written too, so that
-    the join with them has no aggregation on its side and Spark may split the edges of a hub."""
+    nothing but two numbers per round reaches the driver."""
     e = written(
         edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name
     )
@@ -91,10 +90,10 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     before = mark(e)
     while before[0]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = written(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), name)
+        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = written(large.where("u <> v").distinct(), name)
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), name)
+        large = large.where("u <> v").distinct()
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u")
         small = small.select("u", "m").union(small.select(F.col("v"), F.col("m"))).toDF("u", "v").where("u <> v")
         e = written(small.distinct(), name)
@@ -112,69 +111,61 @@ def connect(
     members: DataFrame, near: Callable[[Column, Column], Column], name: str, dense: Callable[[DataFrame], DataFrame] | None = None, hot: int = 1024,
     verify: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
-    """(a, b): enough pairs of nodes that share a key and are ``near`` to connect all nodes that such pairs connect.
+    """Written (node, root) of all nodes that pairs of nodes connect which share a key and are ``near``; root is the least node.
     ``members`` is a written table (key, node, value); ``near`` takes two values (and may use the column ``key``).
     ``verify``, if given, takes pairs (a, b) that are near and gives those that count.
 
-    1. Each key's least node is compared with its others: a group of alike nodes costs one comparison a member.
-    2. In keys with more than CROWD nodes that are not near to it, further nodes, drawn by a hash among those left over, are
-       compared with all nodes of the key, ROUNDS times: what is left over shrinks by the share that is near to the drawn one.
-    3. Nodes that are not yet in the component of their key's least node are compared with all nodes of the key that are in
-       other components.  Keys with more than ``hot`` such nodes go to ``dense`` if that is given, which must find the links of
-       (key, node, value) in a cheaper way.
-    So no component is lost, and the links do not grow with the square of a group of alike nodes."""
+    1. Each key's least node is compared with its others, and what is near is connected.
+    2. Only nodes that are still in another component than their key's least node go on.  In keys with more than CROWD of them,
+       DRAWS of those, by a hash, are compared with all nodes of the key that are in other components.
+    3. What is left over is compared with all nodes of the key that are in other components.  Keys with more than ``hot`` such
+       nodes go to ``dense`` if that is given, which must find the components of (key, node, value) in a cheaper way.
+    So no component is lost, and comparisons grow with a group of alike nodes, not with its square."""
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        """(a, b) written, verified."""
+        pairs = pairs.distinct()
+        return written(verify(written(pairs, name + "-near")) if verify else pairs, name + "-links")
+
     first = members.groupBy("key").agg(F.min(F.struct("node", "value")).alias("x"), F.count("*").alias("n")).where("n > 1")
     first = written(first.select("key", F.col("x.node").alias("rep"), F.col("x.value").alias("rv"), "n"), name + "-first")
-    star = members.join(first, "key").where("node <> rep").select("key", "node", "rep", "n", near(F.col("value"), F.col("rv")).alias("near"))
-    star = written(star, name + "-star")
-    if verify:
-        good = written(verify(star.where("near").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()), name + "-good")
-        good = broadcast_if_small(good.select(F.col("a").alias("rep"), F.col("b").alias("node"), F.lit(True).alias("good")))
-        star = star.join(good, ["rep", "node"], "left").withColumn("near", F.coalesce("good", F.lit(False)))
-        star = written(star.select("key", "node", "rep", "n", "near"), name + "-star")
-    links = star.where("near").select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()
-    left = star.where("not near and n > 2").select("key", "node")
-    crowd = written(left.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), name + "-crowd")
-    if not crowd.isEmpty():
-        some = written(members.join(broadcast_if_small(crowd), "key", "left_semi"), name + "-some")
-        left = written(left.join(broadcast_if_small(crowd), "key", "left_semi"), name + "-left")
-        for turn in range(ROUNDS):
-            drawn = left.groupBy("key").agg(F.min_by("node", F.xxhash64("node", F.lit(turn))).alias("node"))
-            drawn = some.join(broadcast_if_small(written(drawn, name + "-drawn")), ["key", "node"])
-            drawn = written(drawn.select("key", F.col("node").alias("rep"), F.col("value").alias("rv")), name + "-drawn")
-            found = some.join(broadcast_if_small(drawn), "key").where((F.col("node") != F.col("rep")) & near(F.col("value"), F.col("rv")))
-            found = written(found.select("key", "node", "rep"), name + "-found")
-            if verify:
-                good = written(verify(found.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct()), name + "-good")
-                found = found.join(broadcast_if_small(good.toDF("rep", "node")), ["rep", "node"], "left_semi")
-            links = links.union(found.select(F.col("rep").alias("a"), F.col("node").alias("b")).distinct())
-            gone = found.select("key", "node").union(drawn.select("key", "rep"))
-            left = written(left.join(gone.withColumnRenamed("rep", "node"), ["key", "node"], "left_anti"), name + "-left")
-            if left.isEmpty():
-                break
-    links = written(links.distinct(), name + "-links")
+    star = members.join(first, "key").where((F.col("node") != F.col("rep")) & near(F.col("value"), F.col("rv")))
+    links = counted(star.select(F.col("rep").alias("a"), F.col("node").alias("b")))
     comp = written(connected_components(links, name + "-parts"), name + "-parts")
-    # keys of two nodes are done
-    placed = star.where("n > 2").select("key", "node", "rep")
-    reps = first.where("n > 2").select("key", F.col("rep").alias("node"), "rep")
-    placed = placed.union(reps).join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"), (F.col("node") == F.col("rep")).alias("first"))
-    placed = written(placed, name + "-placed")
-    main = placed.where("first").select("key", F.col("root").alias("main"))
-    odd = placed.join(main, "key").where("root <> main").groupBy("key", "main").agg(F.count("*").alias("odd"))
-    odd = written(odd, name + "-odd")
-    if odd.isEmpty():
-        return links
-    opened = members.join(broadcast_if_small(odd), "key").join(placed.select("key", "node", "root"), ["key", "node"])
-    opened = written(opened, name + "-open")
-    small = opened.where(F.col("odd") <= hot) if dense else opened
+    more = first.where("n > 2").select("key", "rep")  # keys of two nodes are done
+
+    def opened() -> DataFrame:
+        """(key, node, value, root, main, odd) of keys with ``odd`` nodes in other components than the least one's, main."""
+        placed = members.select("key", "node").join(more, "key").join(comp, "node", "left")
+        placed = written(placed.select("key", "node", "rep", F.coalesce("root", "node").alias("root")), name + "-placed")
+        main = written(placed.where("node = rep").select("key", F.col("root").alias("main")), name + "-main")
+        odd = placed.join(broadcast_if_small(main), "key").where("root <> main").groupBy("key", "main").agg(F.count("*").alias("odd"))
+        odd = broadcast_if_small(written(odd, name + "-odd"))
+        some = members.join(odd, "key").join(placed.select("key", "node", "root"), ["key", "node"])
+        return written(some, name + "-open")
+
+    def joined(comp: DataFrame, links: DataFrame) -> DataFrame:
+        """Components after further links: those of the roots."""
+        own = comp.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        return written(connected_components(own.union(links), name + "-parts"), name + "-parts")
+
+    some = opened()
+    crowd = some.where((F.col("odd") > CROWD) & (F.col("root") != F.col("main")))
+    if not crowd.isEmpty():
+        order = Window.partitionBy("key").orderBy(F.xxhash64("node"))
+        drawn = crowd.withColumn("no", F.row_number().over(order)).where(F.col("no") <= DRAWS)
+        drawn = written(drawn.select("key", F.col("node").alias("a"), F.col("value").alias("va"), F.col("root").alias("ra")), name + "-drawn")
+        pairs = some.join(broadcast_if_small(drawn), "key").where((F.col("root") != F.col("ra")) & near(F.col("va"), F.col("value")))
+        comp = joined(comp, counted(pairs.select("a", F.col("node").alias("b"))))
+        some = opened()
+    small = some.where(F.col("odd") <= hot) if dense else some
     one = small.where("root <> main").select("key", F.col("node").alias("a"), F.col("value").alias("va"), F.col("root").alias("ra"))
     other = small.select("key", F.col("node").alias("b"), F.col("value").alias("vb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
     pairs = one.join(other, "key").where((F.col("ra") != F.col("rb")) & (F.col("in_main") | (F.col("a") < F.col("b"))) & near(F.col("va"), F.col("vb")))
-    pairs = pairs.select("a", "b")
-    links = links.union(verify(written(pairs.distinct(), name + "-pairs")) if verify else pairs)
-    if dense and not (rest := opened.where(F.col("odd") > hot)).isEmpty():
-        links = links.union(dense(rest.select("key", "node", "value")))
-    return links.distinct()
+    links = counted(pairs.select("a", "b"))
+    if dense and not (rest := some.where(F.col("odd") > hot)).isEmpty():
+        links = links.union(dense(rest.select("key", "node", "value")).toDF("a", "b"))
+    return comp if links.isEmpty() else joined(comp, links)
 
 
 class Sieve:

@@ -29,6 +29,7 @@ columns are ignored by the query and kept by ``apply_rates``.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -51,7 +52,8 @@ TERMS = 1000
 MIN_ROWS = 5
 EPOCHS = 5
 RATE = 0.1
-STEPS = 40
+#: Miss of the targets, as a share of the least, that ends the steps; share by which a step must lower the loss.
+CLOSE, STALL = 1e-4, 1e-3
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 CAPITALS = bytes(range(65, 91))
 
@@ -177,8 +179,10 @@ def _rate(steps: list[list[float]]) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(len(steps) - 1)), F.lit(1.0), fold)
 
 
-def fit_rates(member: DataFrame, targets: dict[str, float], steps: int = STEPS) -> list[list[float]]:
-    """Step vectors of the projected gradient method over a written ``soft_membership`` table."""
+def fit_rates(member: DataFrame, targets: dict[str, float]) -> tuple[list[list[float]], float]:
+    """(step vectors of the projected gradient method over a written ``soft_membership`` table, largest miss of a
+    target as a share of it).  Steps end when every target is met to CLOSE, or when a step no longer lowers
+    the loss by the share STALL: then the targets can't be met by these posteriors, and a warning says so."""
     d = len(DOMAINS)
     p = [F.col(f"p_{x}") for x in DOMAINS]
     first = member.agg(
@@ -187,26 +191,31 @@ def fit_rates(member: DataFrame, targets: dict[str, float], steps: int = STEPS)
     ).first()
     e = np.array([first[f"e{i}"] or 0.0 for i in range(d)])
     if not e.sum():
-        return []
+        return [], 0.0
     want = np.array([targets[x] for x in DOMAINS])
     want = want / want.sum() * e.sum()
     gram = np.array([[first[f"m{i}_{j}"] for j in range(d)] for i in range(d)])
     gram += 1e-6 * np.trace(gram) * np.eye(d)
+    loss = lambda e: float((e - want) @ np.linalg.solve(gram, e - want))
     done: list[list[float]] = []
-    for _ in range(steps):
-        if np.abs(e - want).max() < 1e-4 * want.min():
-            break
+    before = np.inf
+    while np.abs(e - want).max() >= CLOSE * want.min() and loss(e) < (1 - STALL) * before:
+        before = loss(e)
         done.append(np.linalg.solve(gram, e - want).tolist())
         rated = member.withColumn("r", _rate(done))
         row = rated.agg(*[F.sum(F.col("r") * F.col("tokens") * p[i]).alias(f"e{i}") for i in range(d)]).first()
         e = np.array([row[f"e{i}"] for i in range(d)])
-    return done
+    miss = float((np.abs(e - want) / want).max())
+    if np.abs(e - want).max() >= CLOSE * want.min():
+        warnings.warn(f"mixing targets are missed by up to {miss:.2%} after {len(done)} steps: the posteriors can't meet them", stacklevel=2)
+    return done, miss
 
 
 def mix(docs: DataFrame, labels: DataFrame, keep: list[str], targets: dict[str, float] | None = None) -> DataFrame:
-    """``keep``, tokens, posteriors and the fitted ``rate`` per row."""
+    """``keep``, tokens, posteriors and the fitted ``rate`` per row; ``target_miss``: largest miss of a target as a share of it."""
     member = written(soft_membership(docs, train(docs, labels), keep), "mix-membership")
-    return member.withColumn("rate", _rate(fit_rates(member, targets or TARGETS)))
+    steps, miss = fit_rates(member, targets or TARGETS)
+    return member.withColumn("rate", _rate(steps)).withColumn("target_miss", F.lit(miss))
 
 
 def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -217,11 +226,10 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_rates(docs: DataFrame, model: Model, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row repeated floor(rate) times, and once more with the probability of
     the rest: a hash of the row's id and text decides, so a rerun gives the same rows."""
-    posteriors = [f"p_{d}" for d in DOMAINS]
-    fit_on = written(soft_membership(docs, model, []), "mix-membership")
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    rated = soft_membership(whole, model, ["_row"]).select("_row", *posteriors)
-    rated = rated.withColumn("_rate", _rate(fit_rates(fit_on, targets or TARGETS)))
+    member = written(soft_membership(whole, model, ["_row"]), "mix-membership")
+    steps, _ = fit_rates(member, targets or TARGETS)
+    rated = member.withColumn("_rate", _rate(steps))
     draw = F.pmod(F.xxhash64("_row.doc_id", "_row.text"), F.lit(1 << 20)) / float(1 << 20)
     copies = (F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
     return rated.select(F.explode(F.array_repeat("_row", copies)).alias("_row")).select("_row.*")

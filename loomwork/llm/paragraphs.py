@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connect, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
+from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connect, mix64, read_table, runs, slices, span_hashes, utf8, written
 
 SHINGLE = 5
 MIN_WORDS = 7
@@ -305,7 +305,7 @@ def _alike(a: Column, b: Column) -> Column:
 
 
 def by_prefix_tokens(members: DataFrame) -> DataFrame:
-    """Links of (key, node, value) through the tokens that alike texts must share, whatever their key."""
+    """Components of (key, node, value) through the tokens that alike texts must share, whatever their key."""
     crowd = members.select("node", "value", F.col("key").bitwiseAND(3).alias("kind")).dropDuplicates(["node", "kind"])
     tokens = written(crowd, "para-crowd").select("node", "value", "kind", F.explode("value").alias("token"))
     rarity = written(tokens.groupBy("token", "kind").agg(F.count("*").alias("k")).where("k > 1"), "para-rarity")
@@ -315,8 +315,8 @@ def by_prefix_tokens(members: DataFrame) -> DataFrame:
     return connect(written(prefix.select(F.xxhash64("token", "kind").alias("key"), "node", "value"), "para-prefix"), _alike, "para-tokens")
 
 
-def links_of(members: DataFrame, hot: int | None = None) -> DataFrame:
-    """(a, b) text hashes at THRESHOLD or more of written ``members`` (key, node, value): see ``connect``."""
+def classes_of(members: DataFrame, hot: int | None = None) -> DataFrame:
+    """Written (node, root) of text hashes that a likeness of THRESHOLD or more connects, of written ``members`` (key, node, value)."""
     return connect(members, _alike, "para", by_prefix_tokens, hot or HOT)
 
 
@@ -332,8 +332,7 @@ def repeated_paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     texts = written(texts.select("h", "x.g", "x.s", "n"), "para-texts")
     members = found.select(F.explode("keys").alias("key"), "h").distinct().join(broadcast_if_small(mixed), "key")
     members = members.join(texts.select("h", "s"), "h").select("key", F.col("h").alias("node"), F.col("s").alias("value"))
-    links = written(links_of(written(members, "para-members")), "para-links")
-    comp = written(connected_components(links, "para-components").withColumnRenamed("node", "h"), "para-roots")
+    comp = classes_of(written(members, "para-members")).withColumnRenamed("node", "h")
     again = exact.union(texts.where("n > 1").select("h")).union(comp.select("h")).distinct()
     classes = again.join(comp, "h", "left").join(texts.select("h", "g"), "h", "left")
     classes = classes.select("h", F.coalesce("root", "h").alias("cluster"), F.when(F.col("root").isNotNull(), F.col("g")).alias("own"))

@@ -1,7 +1,7 @@
 """SimHash near-duplicates with pigeonring filtering.
 
-``simhash`` gives each text a 64-bit fingerprint; ``pigeonring_links`` finds pairs of
-distinct fingerprints that differ in at most TAU bits; ``simhash_components`` labels each row.
+``simhash`` gives each text a 64-bit fingerprint; ``pigeonring_classes`` connects
+fingerprints that differ in at most TAU bits; ``simhash_components`` labels each row.
 
 Pigeonring (Qin and Xiao, 2018): cut the 64 bits into a ring of SEGMENTS segments.  If two
 fingerprints differ in TAU bits in all, some segment starts a chain in which the first
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connect, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
+from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connect, mix64, read_table, runs, slices, span_hashes, utf8, written
 
 TAU = 4
 #: (first bit, bits) of the five segments.
@@ -181,8 +181,8 @@ def _near(tau: int, rings: int) -> Callable[[Column, Column], Column]:
     return near
 
 
-def pigeonring_links(fps: DataFrame) -> DataFrame:
-    """Distinct ``fp`` longs -> (a, b) at TAU or fewer differing bits: enough to connect all that such pairs connect."""
+def pigeonring_classes(fps: DataFrame) -> DataFrame:
+    """Distinct ``fp`` longs -> written (node, root) of those that pairs at TAU or fewer differing bits connect."""
     nodes = written(fps.select(F.col("fp").alias("node"), F.array("fp").alias("value")), "simhash-single")
     return connect(shared_keys(nodes, "simhash"), _near(TAU, 1), "simhash")
 
@@ -191,13 +191,12 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, fp, component_id) per row."""
     rows = written(simhash(docs, id_col, text_col, width), "simhash-rows")
     nodes = written(rows.groupBy("fp").agg(F.min("id").alias("low")), "simhash-nodes")
-    links = written(pigeonring_links(nodes.select("fp")), "simhash-links")
-    return _labelled(rows, nodes, links, "fp")
+    return _labelled(rows, nodes, pigeonring_classes(nodes.select("fp")), "fp")
 
 
-def _labelled(rows: DataFrame, nodes: DataFrame, links: DataFrame, node: str) -> DataFrame:
-    """``rows`` with component_id, the least ``low`` of the nodes that ``links`` connect."""
-    comp = written(connected_components(links, "simhash-components").withColumnRenamed("node", node), "simhash-roots")
+def _labelled(rows: DataFrame, nodes: DataFrame, comp: DataFrame, node: str) -> DataFrame:
+    """``rows`` with component_id, the least ``low`` of the nodes of a component (node, root)."""
+    comp = comp.withColumnRenamed("node", node)
     linked = nodes.join(broadcast_if_small(comp), node)
     low = written(linked.groupBy("root").agg(F.min("low").alias("component_id")), "simhash-low")
     labels = written(nodes.join(broadcast_if_small(comp), node, "left").select(node, "root", "low"), "simhash-labels")
@@ -275,10 +274,10 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("value").alias("value")), "dedup-nodes")
     members = shared_keys(nodes.select("node", "value"), "dedup")
     near = _near(RINGS_TAU, RINGS)
-    close = written(connect(members, near, "dedup-close"), "dedup-close")
+    close = connect(members, near, "dedup-close")
     if close.isEmpty():
         return _labelled(rows, nodes, close, "node")
-    wanted = written(close.select("a").union(close.select("b")).toDF("node").distinct(), "dedup-wanted")
+    wanted = close.select("node")
     asked = written(rows.join(broadcast_if_small(wanted), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "dedup-asked")
     sieve = Sieve(wanted, "node")
 
@@ -306,7 +305,7 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return both.where(fits & (common >= like * (na + nb - common) - 1e-9)).select("a", "b")
 
     members = written(members.join(broadcast_if_small(wanted), "node", "left_semi").select("key", "node", "value"), "dedup-members")
-    return _labelled(rows, nodes, written(connect(members, near, "dedup-alike", verify=verify), "dedup-links"), "node")
+    return _labelled(rows, nodes, connect(members, near, "dedup-alike", verify=verify), "node")
 
 
 def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -17,7 +17,9 @@ ARC header lines (fixed formats of the ARC specification):
 The page_id travels as an ``X-Page-Id`` head of the archived HTTP answer.
 
 Edge cases: null html is an empty payload, null url is ``-`` and white space in URLs is percent-encoded; a
-null page_id has no head and sorts before all others; rows with equal page_id and payload stay
+null page_id has no head and sorts before all others; payloads of any length are written whole, one in memory at a time; records
+of other archives may have heads of any bytes, folded or without a colon, short dates, blanks in URLs, or no HTTP
+answer at all (``dns:``), which become resource records and are never revisits; rows with equal page_id and payload stay
 separate records, the last in the archives is the response; an empty table writes no archive
 and gives an empty result; extra columns are ignored.  Files are written whole under a task's own
 name and then renamed, so a task that is run again replaces its file by the same bytes.
@@ -37,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import new_dir, partitions_of, read_table, utf8, written
+from .common import broadcast_if_small, new_dir, partitions_of, read_table, utf8, written
 
 #: Payloads of fewer bytes are always responses.
 REVISIT_BYTES = 1000
@@ -117,13 +119,14 @@ def read_arc(path: str) -> Iterator[tuple[dict, bytes]]:
         while line := f.readline():
             if line == b"\n":
                 continue
-            parts = line.decode("utf-8").rstrip("\n").split(" ")
+            line = line.decode("utf-8", "surrogateescape").rstrip("\r\n")
             if version is None:
-                size = int(parts[-1])
+                size = int(line.rsplit(" ", 1)[-1])
                 version = int(f.read(size).split(b" ", 1)[0])
                 if version not in ARC_FIELDS:
                     raise ValueError(f"{path}: ARC version {version}")
                 continue
+            parts = line.rsplit(" ", ARC_FIELDS[version] - 1)  # a URL may hold blanks
             if len(parts) != ARC_FIELDS[version]:
                 raise ValueError(f"{path}: {len(parts)} fields in a header line of version {version}")
             size = int(parts[-1])
@@ -134,28 +137,50 @@ def read_arc(path: str) -> Iterator[tuple[dict, bytes]]:
             yield head, block
 
 
-def split_http(block: bytes) -> tuple[dict[str, str], bytes, bytes]:
-    """(heads in lower case, head bytes with the blank line, payload) of an HTTP answer."""
-    head, gap, payload = block.partition(b"\r\n\r\n")
-    heads = dict(x.split(": ", 1) for x in head.decode("utf-8").split("\r\n")[1:])
-    return {k.lower(): v for k, v in heads.items()}, head + gap, payload
+def split_http(block: bytes) -> tuple[dict[str, str] | None, bytes, bytes]:
+    """(heads in lower case, head bytes with the blank line, payload) of an HTTP answer; of any other block the heads
+    are None and the payload is the block.  Heads may be folded, lack their colon (then they are left out) and hold any bytes."""
+    if not block.startswith(b"HTTP/"):
+        return None, b"", block
+    ends = [(at, len(gap)) for gap in (b"\r\n\r\n", b"\n\n") if (at := block.find(gap)) >= 0]
+    at, gap = min(ends, default=(len(block), 0))
+    heads, last = {}, None
+    for line in block[:at].decode("utf-8", "surrogateescape").replace("\r\n", "\n").split("\n")[1:]:
+        name, colon, value = line.partition(":")
+        if line[:1] in (" ", "\t") and last is not None:
+            heads[last] += " " + line.strip()
+        elif colon:
+            last = name.strip().lower()
+            heads[last] = value.strip()
+    return heads, block[: at + gap], block[at + gap :]
 
 
-def page_of(heads: dict[str, str]) -> int | None:
-    return int(heads["x-page-id"]) if "x-page-id" in heads else None
+def page_of(heads: dict[str, str] | None) -> int | None:
+    page = (heads or {}).get("x-page-id", "")
+    return int(page) if re.fullmatch(r"-?[0-9]{1,18}", page) else None
 
 
 def warc_date(date: str) -> str:
+    date = date + "00000101000000"[len(date) :]
     return f"{date[:4]}-{date[4:6]}-{date[6:8]}T{date[8:10]}:{date[10:12]}:{date[12:14]}Z"
 
 
+def warc_info(name: str) -> bytes:
+    """The record that describes the file."""
+    body = b"software: loomwork\r\nformat: WARC File Format 1.1\r\n"
+    lines = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <{record_id(name)}>", "WARC-Date: 2000-01-01T00:00:00Z", f"WARC-Filename: {name}"]
+    lines += ["Content-Type: application/warc-fields", f"Content-Length: {len(body)}", "", ""]
+    return "\r\n".join(lines).encode() + body + b"\r\n\r\n"
+
+
 def warc_record(head: dict, block: bytes, place: str, refers_to: tuple[int | None, str] | None, digest: str) -> bytes:
-    """A response record, or a revisit record that refers to (page_id, record id)."""
-    _, http, _ = split_http(block)
+    """A response record, or a revisit record that refers to (page_id, record id); what is no HTTP answer is a resource."""
+    heads, http, payload = split_http(block)
     body = block if refers_to is None else http
+    kind = "revisit" if refers_to is not None else "resource" if heads is None else "response"
     lines = [
         "WARC/1.1",
-        f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
+        f"WARC-Type: {kind}",
         f"WARC-Record-ID: <{record_id(place)}>",
         f"WARC-Date: {warc_date(head['date'])}",
         f"WARC-Target-URI: {head['url']}",
@@ -165,11 +190,12 @@ def warc_record(head: dict, block: bytes, place: str, refers_to: tuple[int | Non
     ]
     if refers_to is not None:
         page, rid = refers_to
-        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{rid}>"]
+        lines += ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <{rid}>", f"X-Payload-Length: {len(payload)}"]
         if page is not None:
             lines.append(f"X-Refers-To-Page-Id: {page}")
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    return "\r\n".join([*lines, "", ""]).encode() + body + b"\r\n\r\n"
+    content = head["type"] if kind == "resource" else "application/http; msgtype=response"
+    lines += [f"Content-Type: {content}", f"Content-Length: {len(body)}"]
+    return "\r\n".join([*lines, "", ""]).encode("utf-8", "surrogateescape") + body + b"\r\n\r\n"
 
 
 def record_id(place: str) -> str:
@@ -184,8 +210,8 @@ def parse_warc(path: str) -> Iterator[tuple[dict[str, str], bytes]]:
                 raise ValueError(f"{path}: {line[:40]!r} instead of a version line")
             heads = {}
             while (line := f.readline()) not in (b"\r\n", b""):
-                k, v = line.decode("utf-8").rstrip("\r\n").split(": ", 1)
-                heads[k.lower()] = v
+                k, _, v = line.decode("utf-8", "surrogateescape").rstrip("\r\n").partition(":")
+                heads[k.lower()] = v.strip()
             body = f.read(int(heads["content-length"]))
             if f.read(4) != b"\r\n\r\n":
                 raise ValueError(f"{path}: a record is longer than its declared length")
@@ -219,7 +245,7 @@ def write_arc(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def scan_arc(files: DataFrame) -> DataFrame:
-    """(path, no, page_id, bytes, digest) of every ARC record."""
+    """(path, no, page_id, bytes, digest, http) of every ARC record."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,11 +253,11 @@ def scan_arc(files: DataFrame) -> DataFrame:
                 rows = []
                 for no, (_, block) in enumerate(read_arc(path)):
                     heads, _, payload = split_http(block)
-                    rows.append((path, no, page_of(heads), len(payload), hashlib.sha1(payload).hexdigest()))
+                    rows.append((path, no, page_of(heads), len(payload), hashlib.sha1(payload).hexdigest(), heads is not None))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) if i != 2 else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows))], ["path", "no", "page_id", "bytes", "digest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) if i != 2 else pa.array(c, pa.int64()) for i, c in enumerate(zip(*rows))], ["path", "no", "page_id", "bytes", "digest", "http"])
 
-    return files.mapInArrow(run, "path string, no long, page_id long, bytes long, digest string")
+    return files.mapInArrow(run, "path string, no long, page_id long, bytes long, digest string, http boolean")
 
 
 def convert(files: DataFrame, folder: str) -> DataFrame:
@@ -240,9 +266,10 @@ def convert(files: DataFrame, folder: str) -> DataFrame:
     spread = files.repartition(4 * parts, "path")
     records = written(scan_arc(spread), "arc-records")
     place = F.struct("page_id", "path", "no")  # nulls first: the largest page_id, then the last place
-    large = records.where(F.col("bytes") >= REVISIT_BYTES)
+    large = records.where((F.col("bytes") >= REVISIT_BYTES) & F.col("http"))
     first = large.groupBy("digest").agg(F.max(place).alias("kept"), F.count("*").alias("n")).where("n > 1").select("digest", "kept")
-    again = large.join(first, "digest").where((F.col("path") != F.col("kept.path")) | (F.col("no") != F.col("kept.no")))
+    # written, so that Spark may split a very common payload
+    again = large.join(broadcast_if_small(written(first, "arc-first")), "digest").where((F.col("path") != F.col("kept.path")) | (F.col("no") != F.col("kept.no")))
     revisits = again.select("path", "no", F.col("kept.page_id").alias("to_page"), F.col("kept.path").alias("to_path"), F.col("kept.no").alias("to_no"))
     plan = files.select("path", F.lit(-1).cast("long").alias("no"), F.lit(None).cast("long").alias("to_page"), F.lit(None).cast("string").alias("to_path"), F.lit(None).cast("long").alias("to_no"))
     plan = plan.unionByName(revisits).repartition(4 * parts, "path").sortWithinPartitions("path", "no")
@@ -253,6 +280,7 @@ def convert(files: DataFrame, folder: str) -> DataFrame:
     def one(path: str, to: dict[int, tuple[int | None, str]]) -> str:
         made = f"{folder}/{path.rsplit('/', 1)[1].replace('.arc.gz', '.warc.gz')}"
         out = Output(made)
+        out.member(warc_info(made.rsplit("/", 1)[1]))
         for no, (head, block) in enumerate(read_arc(path)):
             payload = split_http(block)[2]
             out.member(warc_record(head, block, place_name(path, no), to.get(no), hashlib.sha1(payload).hexdigest()))
@@ -288,15 +316,17 @@ def read_warc(files: DataFrame) -> DataFrame:
             for path in b.column("path").to_pylist():
                 rows = []
                 for w, body in parse_warc(path):
-                    heads, _, payload = split_http(body)
+                    if w["warc-type"] == "warcinfo":
+                        continue
+                    heads, _, payload = split_http(body) if w["warc-type"] != "resource" else (None, b"", body)
                     digest = w["warc-payload-digest"].removeprefix("sha1:")
                     if hashlib.sha1(body).hexdigest() != w["warc-block-digest"].removeprefix("sha1:"):
                         raise ValueError(f"{path}: block digest of {w['warc-record-id']}")
-                    if w["warc-type"] == "response" and hashlib.sha1(payload).hexdigest() != digest:
+                    if w["warc-type"] != "revisit" and hashlib.sha1(payload).hexdigest() != digest:
                         raise ValueError(f"{path}: payload digest of {w['warc-record-id']}")
                     to = w.get("x-refers-to-page-id")
                     rows.append(
-                        (page_of(heads), w["warc-target-uri"], w["warc-date"], w["warc-record-id"][1:-1], int(heads["content-length"]), digest,
+                        (page_of(heads), w["warc-target-uri"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), w["warc-date"], w["warc-record-id"][1:-1], int(w.get("x-payload-length", len(payload))), digest,
                          w["warc-type"], None if to is None else int(to), w.get("warc-refers-to", "")[1:-1] or None)
                     )
                 if rows:

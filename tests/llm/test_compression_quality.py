@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import functions as F
 
 from loomwork.llm import compression_quality as cq
@@ -41,6 +42,52 @@ def test_model_does_not_see_ids_or_labels_of_the_held_out_fold(spark):
     assert a == b
 
 
+def plain_isotonic(x, y):
+    """f(i) = max over j <= i of min over k >= i of the mean of y[j..k], by definition, and the ends of its steps."""
+    order = np.argsort(x, kind="stable")
+    x, y = x[order], y[order].astype(float)
+    c = np.append(0, np.cumsum(y))
+    mean = lambda j, k: (c[k + 1] - c[j]) / (k + 1 - j)
+    f = np.array([max(min(mean(j, k) for k in range(i, len(y))) for j in range(i + 1)) for i in range(len(y))])
+    cuts = [0, *(np.flatnonzero(np.abs(np.diff(f)) > 1e-12) + 1).tolist(), len(y)]
+    return [(x[a:b].mean(), (y[a:b].sum() + 0.5) / (b - a + 1)) for a, b in zip(cuts, cuts[1:])]
+
+
+def test_scores_against_brute_force(spark):
+    """Plain zstandard over whole texts, an isotonic fit by its definition, and interpolation by hand."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    got = {r.doc_id: r for r in cq.op8_compression_quality(spark, sf).collect()}
+    text = {r.doc_id: (r.text or "").encode() for r in docs.collect()}
+    known = [r for r in labels.orderBy(F.xxhash64("doc_id"), "doc_id").collect() if r.quality is not None and r.doc_id in text and zlib.crc32(str(r.doc_id).encode()) % 4 != 2]
+    assert len(known) <= cq.MAX_ROWS
+    cut = lambda t: [t[i : i + 2048] for i in range(0, len(t), 2048)]
+    side = {c: [b for i, r in enumerate(known) if i % 3 and r.quality == c for b in cut(text[r.doc_id])] for c in (0, 1)}
+    made = {c: zstandard.train_dictionary(min(112_640, sum(map(len, s)) // 8), s, level=3) for c, s in side.items()}
+
+    def size(t, c):
+        coder = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(made[c].as_bytes()), write_content_size=False, write_checksum=False, write_dict_id=False)
+        return sum(len(coder.compress(b)) for b in cut(t))
+
+    diff = {d: (size(t, 0) - size(t, 1)) / (len(t) + 64) for d, t in text.items()}
+    aside = [r for i, r in enumerate(known) if i % 3 == 0]
+    knots = plain_isotonic(np.array([diff[r.doc_id] for r in aside]), np.array([r.quality for r in aside]))
+    xs, ps = [k[0] for k in knots], np.maximum.accumulate([k[1] for k in knots])
+
+    def curve(x):
+        if x <= xs[0]:
+            return ps[0]
+        for a, b, p, q in zip(xs, xs[1:], ps, ps[1:]):
+            if x <= b:
+                return p + (q - p) * (x - a) / (b - a)
+        return ps[-1]
+
+    assert got.keys() == text.keys()
+    for d, r in got.items():
+        want = curve(diff[d])
+        assert abs(r.score - want) < 1e-9 and r.predicted == int(r.score >= 0.7) and r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2)
+
+
 def test_calibration_is_monotone():
     rng = np.random.default_rng(0)
     x = rng.normal(size=500)

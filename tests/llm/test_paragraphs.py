@@ -139,20 +139,21 @@ def test_short_lines_and_short_pieces_are_not_lost(spark):
         assert all(z - a >= pg.MIN_WORDS for a, z in zip(cuts, cuts[1:]))
 
 
-def test_a_large_group_of_near_copies_is_one_cluster_with_few_links(spark):
+def test_a_large_group_of_near_copies_is_one_cluster(spark):
     rnd = random.Random(2)
     base = words(rnd, 60).split()
     rows = []
-    for i in range(3000):
+    for i in range(800):
         w = list(base)
         w[rnd.randrange(60)] = f"edit{i}"
         rows.append((i, " ".join(w), "x"))
     df = spark.createDataFrame(rows, SCHEMA).repartition(8)
     got = [r for r in pg.repeated_paragraphs(df).collect() if r.n_words == 60]
-    assert len(got) == 3000 and len({r.cluster for r in got}) == 1 and sum(not r.removed for r in got) == 1
+    assert len(got) == 800 and len({r.cluster for r in got}) == 1 and sum(not r.removed for r in got) == 1
     texts = [(k, h, s) for k in (0, 4) for h, s in ((i, sorted(map(hash, [f"{t}" for t in range(40)] + [f"{i}"]))) for i in range(500))]
     members = spark.createDataFrame(texts, "key long, node long, value array<long>")
-    assert pg.links_of(members).count() == 499
+    got = {r.node: r.root for r in pg.classes_of(members).collect()}
+    assert got == {i: 0 for i in range(500)}
 
 
 def test_connect_finds_all_components_with_few_links(spark):
@@ -173,27 +174,11 @@ def test_connect_finds_all_components_with_few_links(spark):
                 if abs(value[k, a] - value[k, b]) <= 1:
                     parent[find(a)] = find(b)
     df = spark.createDataFrame(rows, "key long, node long, value long")
-    links = [(r.a, r.b) for r in connect(df, near, "test").collect()]
-    want = len({find(n) for n in range(400)})
-    parent = {n: n for n in range(400)}
-    for a, b in links:
-        assert any(abs(value[k, a] - value[k, b]) <= 1 for k in range(3))
-        parent[find(a)] = find(b)
-    assert len({find(n) for n in range(400)}) == want and len(links) < 6000
-
-
-def test_hashes_agree_wherever_a_passage_stands_and_whatever_is_around_it():
-    rnd = random.Random(4)
-    line = (words(rnd, 30) + " \u00e4\u00f6 " + "longword" * 60 + " " + words(rnd, 20)).encode()
-    texts = [line, b"a b\n" + line + b"\nc", line.upper().replace(b" ", b"  "), b"", b" \n\n\t", line + b"\n"]
-    u = pg.units_of(texts)
-    whole, keys = pg.whole_hashes(u), pg.band_keys(u)
-    lines = [i for i in range(len(u.a)) if u.kind[i] == pg.LINE]
-    assert [u.text[i] for i in lines] == [0, 1, 2, 5] and len(set(whole[lines].tolist())) == 1
-    assert (keys[lines] == keys[lines[0]]).all()
-    for i in range(len(u.a)):
-        t = texts[u.text[i]].decode()[u.first[i] : u.last[i]]
-        assert len(t.split()) == u.z[i] - u.a[i]
-    alone = [pg.units_of([t]) for t in texts]
-    assert np.concatenate([pg.whole_hashes(x, 1) for x in alone]).tolist() == pg.whole_hashes(u, 1).tolist()
-    assert np.concatenate([x.para for x in alone]).tolist() == u.para.tolist()
+    got = {}
+    for r in connect(df, near, "test").collect():
+        got.setdefault(r.root, set()).add(r.node)
+    want = {}
+    for n in range(400):
+        want.setdefault(find(n), set()).add(n)
+    assert {frozenset(g) for g in got.values()} == {frozenset(g) for g in want.values() if len(g) > 1}
+    assert all(root == min(g) for root, g in got.items())

@@ -59,3 +59,26 @@ def test_both_versions_parse_by_declared_length(tmp_path):
         path.write_bytes(gzip.compress(b"".join(parts)[:-10]))
         with pytest.raises(ValueError):
             list(w.read_arc(f"file://{path}"))
+
+
+def test_records_of_other_archives(spark, tmp_path):
+    page = b"<p>caf\xe9</p>" * 200
+    blocks = [
+        (b"dns:example.org 1.2.3.4 20010101 text/dns", b"20010101\nexample.org. 300 IN A 1.2.3.4\n"),
+        (b"http://example.org/a b\xe9 1.2.3.4 20010101020304 text/html", b"HTTP/1.0 200 OK\r\nServer: caf\xe9\r\nX-Long: one\r\n\ttwo\r\nno colon here\r\nX-Page-Id: x1\r\n\r\n" + page),
+        (b"http://example.org/c 1.2.3.4 20010101020305 text/html", b"HTTP/1.0 200 OK\nServer: x\n\n" + page),
+        (b"http://example.org/d 1.2.3.4 20010101020306 text/html", b"HTTP/1.0 204 No Content"),
+        (b"ftp://example.org/e 1.2.3.4 20010101020307 application/octet-stream", page),
+    ]
+    path = tmp_path / "old.arc.gz"
+    path.write_bytes(b"".join([gzip.compress(w.arc_head(1, "old")), *[gzip.compress(h + b" %d\n" % len(b) + b + b"\n") for h, b in blocks]]))
+    files = spark.createDataFrame([(f"file://{path}",)], "path string")
+    got = {r.url: r for r in w.read_warc(w.convert(files, f"file://{tmp_path}/warc")).collect()}
+    assert len(got) == 5 and {u: r.record_type for u, r in got.items()} == {
+        "dns:example.org": "resource", "http://example.org/a b\ufffd": "revisit", "http://example.org/c": "response", "http://example.org/d": "response",
+        "ftp://example.org/e": "resource",
+    }
+    assert got["http://example.org/a b\ufffd"].payload_digest == hashlib.sha1(page).hexdigest() == got["ftp://example.org/e"].payload_digest
+    assert got["http://example.org/a b\ufffd"].payload_bytes == len(page) and got["dns:example.org"].warc_date == "2001-01-01T00:00:00Z"
+    heads, http, payload = w.split_http(blocks[1][1])
+    assert heads["x-long"] == "one two" and payload == page and http + payload == blocks[1][1] and w.page_of(heads) is None
