@@ -183,7 +183,7 @@ def scaled(df: DataFrame, features: list[str]) -> DataFrame:
     return Pipeline(stages=stages).fit(src).transform(src).drop("_raw")
 
 
-def kmeans(df: DataFrame, features: list[str], k_min: int = 2, k_max: int = 5, seed: int = 42) -> tuple[DataFrame, DataFrame]:
+def kmeans(df: DataFrame, features: list[str], k_min: int = 2, k_max: int = 8, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(rows with cluster, scores per k): the best silhouette picks k."""
     src = scaled(df, features)
     found = []
@@ -203,11 +203,20 @@ def pca(df: DataFrame, features: list[str], n: int = 2) -> tuple[DataFrame, list
     return out.select(*df.columns, *[F.col("_p")[i].alias(f"pc{i + 1}") for i in range(n)]), m.explainedVariance.toArray().tolist()
 
 
-def isolation_forest(df: DataFrame, features: list[str], key: list[str], trees: int = 100, sample: int = 256, contamination: float = 0.05, seed: int = 42) -> DataFrame:
-    """Rows with ``anomaly_score`` and ``anomaly``: trees grown on hashed samples of at most ``sample`` rows each (a documented
+def isolation_forest(df: DataFrame, features: list[str], key: list[str], trees: int = 200, sample: int = 256, contamination: float = 0.05, seed: int = 42) -> DataFrame:
+    """Rows with ``anomaly_score`` and ``anomaly``: trees grown on at most ``sample`` rows each, drawn from all rows by a hash per tree (a documented
     bound), all rows scored in Arrow batches, the cut at the 1 - contamination quantile."""
     src = df.where(" and ".join(f"`{f}` is not null" for f in features))
-    few = src.select(*features).orderBy(F.xxhash64(F.lit(seed), *key)).limit(20 * sample).toPandas().to_numpy(dtype=float)
+    # each tree draws from all rows by its own hash; ties and repeated keys are broken by the values
+    total = src.count()
+    share = min(1.0, 4.0 * sample / max(1, total))
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")
+    drawn = src.select(*[F.col(f).cast("double").alias(f) for f in features], F.struct(*key).alias("_key"), tree)
+    drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed), "_tree", "_key")).where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    order = Window.partitionBy("_tree").orderBy("_h", *features)
+    drawn = drawn.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
+    table = drawn.orderBy("_tree", "_r").select("_tree", *features).toPandas()
+    draws = [g[features].to_numpy(dtype=float) for _, g in table.groupby("_tree")]
     rng = np.random.default_rng(seed)
     depth = int(np.ceil(np.log2(max(2, sample))))
 
@@ -221,7 +230,7 @@ def isolation_forest(df: DataFrame, features: list[str], key: list[str], trees:
         left = x[:, f] < cut
         return f, cut, grow(x[left], d + 1), grow(x[~left], d + 1)
 
-    forest = [grow(few[rng.choice(len(few), min(sample, len(few)), replace=False)], 0) for _ in range(trees)] if len(few) else []
+    forest = [grow(x, 0) for x in draws]
     shared, norm = df.sparkSession.sparkContext.broadcast(forest), _path(sample)
 
     @F.pandas_udf("double")
@@ -241,7 +250,7 @@ def isolation_forest(df: DataFrame, features: list[str], key: list[str], trees:
                 walk(t, np.arange(len(x)))
             yield pd.Series(2 ** (-total / max(1, len(shared.value)) / norm))
 
-    out = src.withColumn("anomaly_score", score(F.struct(*[F.col(f).cast("double") for f in features])))
+    out = stored(src.withColumn("anomaly_score", score(F.struct(*[F.col(f).cast("double") for f in features]))), "anomaly-scores")
     cut = out.agg(F.percentile_approx("anomaly_score", 1 - contamination, 10_000).alias("_cut"))
     return out.crossJoin(F.broadcast(cut)).withColumn("anomaly", F.col("anomaly_score") > F.col("_cut")).drop("_cut")
 

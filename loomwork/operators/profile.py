@@ -137,32 +137,41 @@ def encoding_suggestions(df: DataFrame, columns: list[str]) -> DataFrame:
         if roles[c] == "numeric":
             what = F.when(F.abs(k) < 0.5, "standard").when(F.abs(k) < 1, "minmax").when(lo > 0, "log").otherwise("yeo_johnson")
         else:
-            what = F.when((d > 30) & (d > 0.05 * F.col("_n")), "id_like").when(d <= 10, "one_hot").otherwise("target_or_frequency")
+            what = F.when((d > 30) & (d > 0.05 * F.col("_n")), "id_like").when(d <= 12, "one_hot").otherwise("target_or_frequency")
         rows.append(F.struct(F.lit(c).alias("column"), d.alias("distinct"), what.alias("suggestion")))
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
+# Texts that stand for a missing value.
+PLACEHOLDERS = ["null", "n/a", "na", "none", "unknown", "unk", "?", "-", "--", "missing", "#n/a", "nan"]
+
+
 def quality_score(df: DataFrame) -> DataFrame:
-    """0 to 100: completeness .30, uniqueness .20, validity .20, outliers .15, constants .15; at most 99 unless all are perfect."""
+    """Validity: share of texts that are no placeholder; outliers: a quarter of outliers on average counts 0.
+
+    0 to 100: completeness .30, uniqueness .20, validity .20, outliers .15, constants .15; at most 99 unless all are perfect."""
     numbers = [c for c, r in column_roles(df.schema).items() if r == "numeric"]
     cells = [F.count("*").alias("n")]
     for c in df.columns:
         cells += [F.count(c).alias(f"{c}__k"), (F.min(c) == F.max(c)).alias(f"{c}__one")]
-    for c in numbers:
-        cells.append(F.count_if(F.isnan(F.col(c).cast("double"))).alias(f"{c}__nan"))
+    texts = [c for c, k in column_roles(df.schema).items() if k == "categorical"]
+    for c in texts:
+        cells.append(F.count_if(F.lower(F.trim(F.col(c).cast("string"))).isin("", *PLACEHOLDERS)).alias(f"{c}__bad"))
     one = df.agg(*cells)
     rows = df.distinct().agg(F.count("*").alias("unique_rows"))
     out = one.crossJoin(F.broadcast(rows))
     if numbers:
-        report = outliers_report(df, numbers).agg(F.sum("iqr_outliers").alias("out"))
+        seen = df.agg(*[F.count(c).alias(c) for c in numbers]).unpivot([], numbers, "column", "seen")
+        report = outliers_report(df, numbers).join(seen, "column").where("seen >= 4")
+        report = report.agg(F.coalesce(F.avg(F.col("iqr_outliers") / F.col("seen")), F.lit(0.0)).alias("out"))
         out = out.crossJoin(F.broadcast(report))
     else:
         out = out.withColumn("out", F.lit(0))
     n, width = F.col("n"), len(df.columns)
     add = lambda xs: reduce(lambda a, b: a + b, xs, F.lit(0))
     complete = add([F.col(f"`{c}__k`") for c in df.columns]) / (n * width)
-    valid = 1 - add([F.col(f"`{c}__nan`") for c in numbers]) / F.greatest(F.lit(1), n * max(1, len(numbers)))
-    inside = 1 - F.col("out") / F.greatest(F.lit(1), n * max(1, len(numbers)))
+    valid = 1 - add([F.col(f"`{c}__bad`") for c in texts]) / F.greatest(F.lit(1), add([F.col(f"`{c}__k`") for c in texts]))
+    inside = 1 - F.least(F.lit(1.0), 4 * F.col("out"))
     varied = 1 - add([F.coalesce(F.col(f"`{c}__one`"), F.lit(True)).cast("int") for c in df.columns]) / width
     unique = F.col("unique_rows") / n
     score = 100 * (0.3 * complete + 0.2 * unique + 0.2 * valid + 0.15 * inside + 0.15 * varied)

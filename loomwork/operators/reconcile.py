@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def key(cols: list[str], trim: bool = True, lower: bool = True, numeric: bool = False, empty_missing: bool = True) -> Column:
@@ -15,7 +16,7 @@ def key(cols: list[str], trim: bool = True, lower: bool = True, numeric: bool =
         v = F.col(c).cast("string")
         v = F.trim(v) if trim else v
         v = F.lower(v) if lower else v
-        v = F.coalesce(v.try_cast("double").cast("string"), v) if numeric else v
+        v = v.try_cast("double").cast("string") if numeric else v
         parts.append(F.nullif(v, F.lit("")) if empty_missing else v)
     missing = reduce(lambda a, b: a | b, [p.isNull() for p in parts])
     return F.when(~missing, F.concat_ws("\x1f", *parts))
@@ -36,25 +37,27 @@ def statuses(left: DataFrame, right: DataFrame, left_key: Column, right_key: Col
     return marked(a, "only_left"), marked(b, "only_right")
 
 
-def category(a: Column, b: Column, tolerance: float = 0.0) -> Column:
-    """Category of a pair of cells, in this order."""
-    ta, tb = F.trim(a.cast("string")), F.trim(b.cast("string"))
+def category(a: Column, b: Column, tolerance: float = 0.0, numeric: bool = False) -> Column:
+    """Category of a pair of cells, in this order.  Texts are compared as they are; as numbers too if ``numeric`` (a side is a
+    number column), within the tolerance if it is so or a tolerance is given."""
+    ta, tb = a.cast("string"), b.cast("string")
     na, nb = ta.try_cast("double"), tb.try_cast("double")
     none_a, none_b = a.isNull(), b.isNull()
     zero = (none_a & (nb == 0)) | (none_b & (na == 0))
     empty = (none_a & (tb == "")) | (none_b & (ta == ""))
-    return (
-        F.when(none_a & none_b, "both_missing").when(zero, "zero_vs_missing").when(empty, "empty_vs_missing")
-        .when(none_b, "only_left_value").when(none_a, "only_right_value").when((ta == tb) | (na == nb), "equal")
-        .when(F.abs(na - nb) <= tolerance, "within_tolerance").otherwise("different")
-    )
+    out = F.when(none_a & none_b, "both_missing").when(zero, "zero_vs_missing").when(empty, "empty_vs_missing")
+    out = out.when(none_b, "only_left_value").when(none_a, "only_right_value").when(ta == tb, "equal")
+    out = out.when(na == nb, "equal") if numeric else out
+    out = out.when(F.abs(na - nb) <= tolerance, "equal_within_tolerance") if numeric or tolerance else out
+    return out.otherwise("different")
 
 
 def cells(left: DataFrame, right: DataFrame, compare: list[tuple[str, str]], tolerance: float = 0.0) -> DataFrame:
     """(field, category, n) over the paired rows of two tables with statuses, all fields in one pass."""
     a = left.where("_status = 'paired'").select("_key", *[F.col(x).alias(f"_l{i}") for i, (x, _) in enumerate(compare)])
     b = right.where("_status = 'paired'").select("_key", *[F.col(y).alias(f"_r{i}") for i, (_, y) in enumerate(compare)])
-    rows = [F.struct(F.lit(x).alias("field"), category(F.col(f"_l{i}"), F.col(f"_r{i}"), tolerance).alias("category")) for i, (x, _) in enumerate(compare)]
+    number = [any(isinstance(t, T.NumericType) for t in (left.schema[x].dataType, right.schema[y].dataType)) for x, y in compare]
+    rows = [F.struct(F.lit(x).alias("field"), category(F.col(f"_l{i}"), F.col(f"_r{i}"), tolerance, number[i]).alias("category")) for i, (x, _) in enumerate(compare)]
     return a.join(b, "_key").select(F.explode(F.array(*rows)).alias("c")).groupBy("c.field", "c.category").agg(F.count("*").alias("n"))
 
 

@@ -110,8 +110,8 @@ def register(r: Registry) -> None:
     add("ml_knn", "part", lambda d: md.knn(d, d.where("p_partkey % 20 = 0"), "p_partkey", ["p_size", "p_retailprice"], "p_brand"),
         """WITH d AS (SELECT q.p_partkey AS query, t.p_brand AS label, row_number() OVER (PARTITION BY q.p_partkey ORDER BY (t.p_size - q.p_size)::DOUBLE ** 2 + (t.p_retailprice - q.p_retailprice) ** 2, t.p_partkey) AS r FROM part q, part t WHERE q.p_partkey % 20 = 0 AND q.p_partkey <> t.p_partkey), v AS (SELECT query, label, count(*) AS n FROM d WHERE r <= 5 GROUP BY 1, 2)
            SELECT query, label AS prediction FROM v QUALIFY row_number() OVER (PARTITION BY query ORDER BY n DESC, label) = 1""")
-    add("ml_resample", "orders", lambda d: monthly(d.where("o_orderkey % 3 = 0")).withColumn("value", F.round("value", 2)),
-        """WITH g AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) AS v FROM orders WHERE o_orderkey % 3 = 0 GROUP BY 1, 2), s AS (SELECT o_orderpriority, unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS period FROM g GROUP BY 1)
+    add("ml_resample", "orders", lambda d: monthly(d).withColumn("value", F.round("value", 2)),
+        """WITH g AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), s AS (SELECT o_orderpriority, unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS period FROM g GROUP BY 1)
            SELECT s.o_orderpriority, s.period, round(coalesce(v, 0), 2) AS value FROM s LEFT JOIN g USING (o_orderpriority, period)""")
     add("ml_forecast__naive", "orders", lambda d: md.seasonal_naive(monthly(d), ["o_orderpriority"], 12, 18).withColumn("forecast", F.round("forecast", 2)),
         """WITH g AS (SELECT o_orderpriority, date_trunc('month', o_orderdate)::DATE AS period, sum(o_totalprice) AS v FROM orders GROUP BY 1, 2), s AS (SELECT o_orderpriority, unnest(generate_series(min(period)::TIMESTAMP, max(period)::TIMESTAMP, INTERVAL 1 MONTH))::DATE AS period FROM g GROUP BY 1),

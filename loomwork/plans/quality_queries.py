@@ -87,8 +87,18 @@ def register(r: Registry) -> None:
     add("eda_outliers", "lineitem", lambda d: pf.outliers_report(d, ["l_extendedprice", "l_quantity"]), " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", count(*) FILTER ({c} < lo OR {c} > hi) AS iqr_outliers, count(*) FILTER (abs(({c} - m) / s) > 3) AS z_outliers, min({c}) FILTER ({c} >= lo AND {c} <= hi) AS low_whisker, max({c}) FILTER ({c} >= lo AND {c} <= hi) AS high_whisker
             FROM lineitem, (SELECT q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) AS hi, m, s FROM (SELECT quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, avg({c}) AS m, stddev_samp({c}) AS s FROM lineitem))""" for c in ("l_extendedprice", "l_quantity")))
-    add("eda_encoding", "part", lambda d: pf.encoding_suggestions(d, ["p_brand", "p_type", "p_size", "p_name"]))
-    add("eda_score", "orders", pf.quality_score)
+    label = "CASE WHEN d > 30 AND d > 0.05 * n THEN 'id_like' WHEN d <= 12 THEN 'one_hot' ELSE 'target_or_frequency' END"
+    text_sql = " UNION ALL ".join(f"SELECT '{c}' AS \"column\", d AS distinct, {label} AS suggestion FROM (SELECT count(DISTINCT {c}) AS d, count(*) AS n FROM part)" for c in ("p_brand", "p_type", "p_name"))
+    add("eda_encoding", "part", lambda d: pf.encoding_suggestions(d, ["p_brand", "p_type", "p_size", "p_name"]),
+        f"""{text_sql} UNION ALL SELECT 'p_size', d, CASE WHEN abs(k) < 0.5 THEN 'standard' WHEN abs(k) < 1 THEN 'minmax' WHEN lo > 0 THEN 'log' ELSE 'yeo_johnson' END
+            FROM (SELECT count(DISTINCT p_size) AS d, min(p_size) AS lo, (avg(p_size ** 3) - 3 * avg(p_size) * avg(p_size ** 2) + 2 * avg(p_size) ** 3) / stddev_pop(p_size) ** 3 AS k FROM part)""")
+    rates = " + ".join(f"(SELECT avg(({c} < a - 1.5 * (b - a) OR {c} > b + 1.5 * (b - a))::INT) FROM orders, (SELECT quantile_cont({c}, 0.25) AS a, quantile_cont({c}, 0.75) AS b FROM orders))" for c in ("o_orderkey", "o_custkey", "o_totalprice"))
+    add("eda_score", "orders", pf.quality_score,
+        f"""WITH p AS (SELECT 1.0::DOUBLE AS completeness, (SELECT count(*) FROM (SELECT DISTINCT * FROM orders)) / count(*)::DOUBLE AS uniqueness,
+                1 - count(*) FILTER (lower(trim(o_orderpriority)) IN ('', 'null', 'n/a', 'na', 'none', 'unknown', 'unk', '?', '-', '--', 'missing', '#n/a', 'nan')) / (2.0 * count(*)) AS validity,
+                1 - least(1, 4 * ({rates}) / 3) AS outliers, 1.0::DOUBLE AS constants FROM orders)
+            SELECT round(completeness, 6) AS completeness, round(uniqueness, 6) AS uniqueness, round(validity, 6)::DOUBLE AS validity, round(outliers, 6) AS outliers, constants,
+                round(CASE WHEN least(uniqueness, validity, outliers) = 1 THEN 100 ELSE least(99, 30 + 20 * uniqueness + 20 * validity + 15 * outliers + 15) END, 4)::DOUBLE AS score FROM p""")
 
     # rules
     kept = lambda d: d.select("o_orderkey")
@@ -121,7 +131,7 @@ def register(r: Registry) -> None:
     add("rec_status", "orders", lambda d: rc.bucket_counts(*sides(d)), f"{SIDES} SELECT 'left' AS side, s AS status, count(*) AS n FROM ls GROUP BY s UNION ALL SELECT 'right', s, count(*) FROM rs GROUP BY s")
     add("rec_cells", "orders", lambda d: rc.cells(*sides(d), [("price", "price"), ("status", "status")], 0.01),
         f"""{SIDES}, p AS (SELECT ls.price AS a, rs.price AS b, ls.status AS c, rs.status AS d FROM ls JOIN rs ON ls.k = rs.k WHERE ls.s = 'paired' AND rs.s = 'paired')
-            SELECT 'price' AS field, CASE WHEN a IS NULL AND b IS NULL THEN 'both_missing' WHEN b IS NULL THEN CASE WHEN a = 0 THEN 'zero_vs_missing' ELSE 'only_left_value' END WHEN a = b THEN 'equal' WHEN abs(a - b) <= 0.01 THEN 'within_tolerance' ELSE 'different' END AS category, count(*) AS n FROM p GROUP BY 2
+            SELECT 'price' AS field, CASE WHEN a IS NULL AND b IS NULL THEN 'both_missing' WHEN b IS NULL THEN CASE WHEN a = 0 THEN 'zero_vs_missing' ELSE 'only_left_value' END WHEN a = b THEN 'equal' WHEN abs(a - b) <= 0.01 THEN 'equal_within_tolerance' ELSE 'different' END AS category, count(*) AS n FROM p GROUP BY 2
             UNION ALL SELECT 'status', CASE WHEN d IS NULL THEN 'only_left_value' WHEN c = d THEN 'equal' ELSE 'different' END, count(*) FROM p GROUP BY 2""")
     add("rec_rows", "orders", lambda d: rc.rows_table(*sides(d), "id", "id"),
         f"""{SIDES} SELECT ls.k AS key, ls.id AS left_id, rs.id AS right_id, 'paired' AS status FROM ls JOIN rs ON ls.k = rs.k WHERE ls.s = 'paired' AND rs.s = 'paired'

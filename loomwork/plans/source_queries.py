@@ -157,7 +157,7 @@ def register(r: Registry) -> None:
     add("src_delimited", "part", delimited, "SELECT p_partkey::INT AS p_partkey, p_name, p_size, lpad(p_partkey::VARCHAR, 8, '0') AS code FROM part")
     add("src_locale_numbers", "part", locale, "SELECT p_partkey, round(p_retailprice, 2) AS price, p_brand AS brand FROM part")
     add("src_dayfirst", "orders", dayfirst, "SELECT o_orderkey, o_orderdate::DATE AS d FROM orders")
-    add("src_parquet", "region", lambda d: d, "SELECT * FROM region")
+    add("src_parquet", "lineitem", lambda d: d, "SELECT * FROM lineitem")
     add("src_json", "orders", json_flat, "SELECT o_orderkey, o_custkey AS c_o_custkey, o_orderstatus AS c_s_o_orderstatus FROM orders")
     add("src_folder", "customer", folder, "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 1 THEN c_nationkey END AS c_nationkey FROM customer")
     add("src_records", "events", records, "SELECT event_id, event_type AS what_event_type, round(value, 4) AS what_value, '[' || user_id || ']' AS users, date_trunc('second', ts) AS at FROM events")

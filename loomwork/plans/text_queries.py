@@ -16,11 +16,11 @@ def register(r: Registry) -> None:
     add("txt_clean", "documents", lambda d: d.select("doc_id", tx.clean_text(F.concat(F.lit("​  a\tb \r\n"), "text", F.lit("\n\n\n\nfoo-\nbar  "))).alias("v")),
         r"""SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate('a' || chr(9) || 'b ' || chr(10) || text || chr(10) || chr(10) || chr(10) || chr(10) || 'foo-' || chr(10) || 'bar', chr(9), ' '), '([a-z])-\n([a-z])', '\1\2', 'g'), ' +', ' ', 'g'), ' *\n *', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g')) AS v FROM documents""")
     add("txt_repeated_lines", "documents", lambda d: tj.repeated_lines(d, "doc_id", "source", "text", 0.01).select("source", "line", "n"),
-        r"""WITH l AS (SELECT DISTINCT source, doc_id, regexp_replace(trim(unnest(string_split(text, chr(10)))), '[0-9]', '#', 'g') AS line FROM documents), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1)
-            SELECT source, line, count(*) AS n FROM l JOIN p USING (source) WHERE line <> '' AND length(line) <= 160 AND pages >= 3 GROUP BY source, line, pages HAVING count(*) > 0.01 * pages""")
+        r"""WITH l AS (SELECT DISTINCT source, doc_id, regexp_replace(lower(trim(raw)), '[0-9]+', '#', 'g') AS line, FROM (SELECT source, doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents) WHERE trim(raw) <> '' AND length(trim(raw)) <= 160), p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1)
+            SELECT source, line, count(*) AS n FROM l JOIN p USING (source) WHERE pages >= 3 GROUP BY source, line, pages HAVING count(*) > 0.01 * pages""")
     add("txt_strip_lines", "documents", lambda d: tj.strip_repeated_lines(d, "doc_id", "source", "text", threshold=0.01),
-        r"""WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, source, i, l[i] AS raw, regexp_replace(trim(l[i]), '[0-9]', '#', 'g') AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)),
-            p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1), f AS (SELECT source, line FROM (SELECT DISTINCT source, doc_id, line FROM e) JOIN p USING (source) WHERE line <> '' AND length(line) <= 160 AND pages >= 3 GROUP BY source, line, pages HAVING count(*) > 0.01 * pages)
+        r"""WITH s AS (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents), e AS (SELECT doc_id, source, i, l[i] AS raw, regexp_replace(lower(trim(l[i])), '[0-9]+', '#', 'g') AS line FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM s)),
+            p AS (SELECT source, count(DISTINCT doc_id) AS pages FROM documents GROUP BY 1), f AS (SELECT source, line FROM (SELECT DISTINCT source, doc_id, line FROM e WHERE trim(raw) <> '' AND length(trim(raw)) <= 160) JOIN p USING (source) WHERE pages >= 3 GROUP BY source, line, pages HAVING count(*) > 0.01 * pages)
             SELECT d.doc_id, coalesce(t, '') AS text FROM documents d LEFT JOIN (SELECT doc_id, string_agg(raw, chr(10) ORDER BY i) AS t FROM e WHERE NOT EXISTS (SELECT 1 FROM f WHERE f.source = e.source AND f.line = e.line) GROUP BY 1) x USING (doc_id)""")
     add("txt_chunk", "documents", lambda d: tj.chunks(d, "doc_id", "text"))
     def idf(i):
@@ -32,10 +32,13 @@ def register(r: Registry) -> None:
             s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f), g AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM f, s) SELECT * FROM g WHERE score > 0""")
     add("txt_pii", "documents", lambda d: tj.scan_pii(d, "doc_id", "text"))
     add("txt_pii_mask", "documents", lambda d: tj.mask(d, "doc_id", "text"))
-    add("txt_name_match", "part", lambda d: tj.name_matches(d.where("p_partkey % 40 = 0"), d.where("p_partkey % 40 = 1"), "p_type", "p_type", 0.5),
-        f"""WITH a AS (SELECT DISTINCT p_type AS a, list_distinct({TOK.format('p_type')}) AS wa FROM part WHERE p_partkey % 40 = 0), b AS (SELECT DISTINCT p_type AS b, list_distinct({TOK.format('p_type')}) AS wb FROM part WHERE p_partkey % 40 = 1)
-            SELECT a, b, round(len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb)))::DOUBLE, 6) AS score FROM a, b WHERE score >= 0.5""")
-    add("txt_link", "customer supplier", lambda c, s: tj.link_names(c.select(F.regexp_replace("c_mktsegment", "I", "1").alias("q")), c.select("c_mktsegment"), "q", "c_mktsegment"))
+    add("txt_name_match", "part", lambda d: tj.name_matches(d, d, "p_name", "p_name", 0.3),
+        f"""WITH a AS (SELECT DISTINCT p_name AS a, list_distinct({TOK.format('p_name')}) AS wa FROM part), b AS (SELECT DISTINCT p_name AS b, list_distinct({TOK.format('p_name')}) AS wb FROM part)
+            SELECT a, b, round(len(list_intersect(wa, wb)) / (len(wa) + len(wb) - len(list_intersect(wa, wb)))::DOUBLE, 6) AS score FROM a, b WHERE score >= 0.3""")
+    typo = "translate(p_name, 'ae', 'ea')"
+    add("txt_link", "part", lambda d: tj.link_names(d.select(F.expr(typo).alias("q")), d, "q", "p_name"),
+        f"""WITH q AS (SELECT DISTINCT {typo} AS q FROM part), n AS (SELECT DISTINCT p_name AS name FROM part), s AS (SELECT q, name, CASE WHEN q = name THEN 1.0 WHEN starts_with(name, q) THEN 0.95 WHEN len(list_filter(string_split(q, ' '), lambda t: NOT list_contains(string_split(name, ' '), t))) = 0 THEN 0.9 ELSE 1 - levenshtein(q, name) / greatest(length(q), length(name))::DOUBLE END::DOUBLE AS score FROM q, n)
+            SELECT q, name, round(score, 6) AS score FROM s WHERE score >= 0.78 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, name) <= 3""")
     add("txt_amounts", "part", lambda d: d.select("p_partkey", tj.parse_amount(F.expr("case p_partkey % 4 when 0 then concat('EUR 1.', lpad(p_size, 3, '0'), ',50') when 1 then concat('$1,', lpad(p_size, 3, '0'), '.50') when 2 then concat(p_size, ',5') else concat('1.', lpad(p_size, 3, '0')) end")).alias("v")),
         "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1000.5 + p_size WHEN 1 THEN 1000.5 + p_size WHEN 2 THEN p_size + 0.5 ELSE 1000 + p_size END::DOUBLE AS v FROM part")
     add("url_normalise", "pages", lambda d: d.select("page_id", tx.normalize_url(F.col("url")).alias("v")),
@@ -46,8 +49,11 @@ def register(r: Registry) -> None:
     add("page_text", "pages", lambda d: tj.page_texts(d, "page_id", "html"))
     add("page_quality", "documents", lambda d: d.select("doc_id", tj.page_quality(F.col("text")).alias("quality")),
         f"""WITH t AS (SELECT doc_id, text, len({TOK.format('text')}) AS w, list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '') AS l FROM documents), s AS (SELECT *, len(list_filter(l, lambda x: len(regexp_split_to_array(trim(x), '\\s+')) <= 3)) AS sh FROM t)
-            SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'access denied|captcha|enable javascript|verify you are human') AND w < 200 THEN 'blocked' WHEN w < 50 THEN 'too_short' WHEN sh > 0.7 * len(l) THEN 'navigation' ELSE 'ok' END AS quality FROM s""")
-    norm = "regexp_replace(regexp_replace(lower(trim(raw)), '[0-9]+', '#', 'g'), '\\s+', ' ', 'g')"
+            SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{tj.REFUSED}') AND w < 200 THEN 'blocked' WHEN w < 50 THEN 'too_short' WHEN sh > 0.7 * len(l) THEN 'navigation' ELSE 'ok' END AS quality FROM s""")
+    norm = "lower(raw)"
+    for pattern in tj.VOLATILE:
+        norm = f"regexp_replace({norm}, '{pattern}', ' ', 'g')"
+    norm = f"trim(regexp_replace({norm}, '\\s+', ' ', 'g'))"
     def after(d):
         return d.select("doc_id", F.concat(F.lit("new line\n"), F.regexp_replace("text", "^[^\n]*\n", "")).alias("text"))
     add("page_change", "documents", lambda d: tj.page_changes(d, after(d), "doc_id", "text"),
