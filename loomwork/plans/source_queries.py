@@ -147,11 +147,22 @@ def ss_pair(spark, sf_dir):
 
 
 def ss_change(spark, sf_dir):
-    stream, work = streamed(spark, sf_dir, "documents")
-    fetches = stream.select(F.col("source").alias("url"), F.col("doc_id").alias("ms"), "text", F.lit(False).alias("blocked"))
+    """Every page is fetched twice, the second time with another first line."""
+    stream, work = streamed(spark, sf_dir, "pages")
+    later = F.concat(F.lit("Fetched  anew\n"), F.regexp_replace("html", "^[^\n]*\n", ""))
+    both = F.explode(F.array(F.struct((2 * F.col("page_id")).alias("ms"), F.col("html").alias("text")), F.struct((2 * F.col("page_id") + 1).alias("ms"), later.alias("text"))))
+    fetches = stream.select("url", both.alias("f")).select("url", "f.ms", "f.text", F.lit(False).alias("blocked"))
     return drained(jobs.changes(fetches), work)
 
 
+CHANGE_SQL = r"""WITH f AS (SELECT url, 2 * page_id AS ms, html AS text FROM pages UNION ALL SELECT url, 2 * page_id + 1, 'Fetched  anew' || chr(10) || regexp_replace(html, '^[^\n]*\n', '') FROM pages),
+    l AS (SELECT url, ms, list_distinct(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(lower(x), '\s+', ' ', 'g'))), lambda x: x <> '')) AS l FROM f),
+    p AS (SELECT url, ms, l, lag(l) OVER (PARTITION BY url ORDER BY ms) AS before FROM l)
+    SELECT url, ms, unnest(list_filter(l, lambda x: NOT list_contains(before, x))) AS line FROM p WHERE before IS NOT NULL"""
+#: Every start has its complete a minute later, so the first in is the first out.
+PAIR_SQL = "SELECT user_id AS \"case\", event_type AS activity, epoch_us(ts) // 1000 AS start_ms, epoch_us(ts + INTERVAL 1 MINUTE) // 1000 AS end_ms, 'paired' AS status FROM events"
+
+
 def register(r: Registry) -> None:
     add = r.add
     add("src_delimited", "part", delimited, "SELECT p_partkey::INT AS p_partkey, p_name, p_size, lpad(p_partkey::VARCHAR, 8, '0') AS code FROM part")
@@ -174,8 +185,8 @@ def register(r: Registry) -> None:
         "ss_quality": (ss_quality, "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') AND o_totalprice >= 1000 THEN 'good' ELSE 'bad' END AS \"where\" FROM orders"),
         "ss_rollup": (ss_rollup, "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"),
         "ss_dedupe": (ss_dedupe, "SELECT DISTINCT user_id, event_type FROM events"),
-        "ss_pair": (ss_pair, None),
-        "ss_change": (ss_change, None),
+        "ss_pair": (ss_pair, PAIR_SQL),
+        "ss_change": (ss_change, CHANGE_SQL),
     }
     for name, (fn, sql) in streams.items():
         r.queries[name] = fn

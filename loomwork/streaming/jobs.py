@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,7 +61,10 @@ def dedupe(stream: DataFrame, time: str, keys: list[str], watermark: str) -> Dat
 
 
 class Pairing(StatefulProcessor):
-    """First in, first out pairing of starts and completes of a key; an open start that outlives the timeout comes out unmatched."""
+    """First in, first out pairing of starts and completes of a key; an open start that outlives the timeout comes out unmatched.
+
+    The rows of a key and micro-batch come in several chunks without an order: their times (a number each) are gathered and
+    sorted first.  Micro-batches must follow each other in event time."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
@@ -71,16 +76,20 @@ class Pairing(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         waiting = json.loads(self.open.get()[0]) if self.open.exists() else []
         out = []
-        for pdf in rows:
-            for ts, kind in sorted(zip(pdf["ms"], pdf["lifecycle"]), key=lambda x: (x[0], x[1] != "start")):
-                if kind == "start":
-                    waiting.append(int(ts))
-                    self.handle.registerTimer(int(ts) + self.timeout_ms)
-                elif waiting:
-                    out.append((*key, waiting.pop(0), int(ts), "paired"))
-                else:
-                    out.append((*key, None, int(ts), "complete without start"))
-        self.open.update((json.dumps(waiting),))
+        chunks = [(pdf["ms"].to_numpy(dtype="int64"), (pdf["lifecycle"] != "start").to_numpy(dtype="int64")) for pdf in rows]
+        times, ends = (np.concatenate(x) for x in zip(*chunks))
+        waiting = deque(waiting)
+        for i in np.lexsort((ends, times)).tolist():
+            ts = int(times[i])
+            if not ends[i]:
+                waiting.append(ts)
+            elif waiting:
+                out.append((*key, waiting.popleft(), ts, "paired"))
+            else:
+                out.append((*key, None, ts, "complete without start"))
+        for ts in set(waiting):
+            self.handle.registerTimer(ts + self.timeout_ms)
+        self.open.update((json.dumps(list(waiting)),))
         yield pd.DataFrame(out, columns=["case", "activity", "start_ms", "end_ms", "status"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
 
     def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
@@ -112,14 +121,14 @@ class Changes(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
         out = []
         known = json.loads(self.seen.get()[0]) if self.seen.exists() else None
-        for pdf in rows:
-            for _, r in pdf.sort_values("ms").iterrows():
-                if r["blocked"]:
-                    continue
-                lines = list(dict.fromkeys(" ".join(x.lower().split()) for x in (r["text"] or "").split("\n") if x.strip()))
-                if known is not None:
-                    out += [(key[0], int(r["ms"]), x) for x in lines if x not in set(known)]
-                known = lines
+        # the chunks of a key's micro-batch have no order among them; a key is one page, whose fetches are few
+        fetched = pd.concat(list(rows))
+        for _, r in fetched[~fetched["blocked"].astype(bool)].sort_values(["ms", "text"]).iterrows():
+            lines = list(dict.fromkeys(" ".join(x.lower().split()) for x in (r["text"] or "").split("\n") if x.strip()))
+            if known is not None:
+                before = set(known)
+                out += [(key[0], int(r["ms"]), x) for x in lines if x not in before]
+            known = lines
         if known is not None:
             self.seen.update((json.dumps(known),))
         yield pd.DataFrame(out, columns=["url", "ms", "line"])

@@ -21,7 +21,7 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under the shared one that the session names; only where it names none, a temporary one is set."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        if not spark.sparkContext.master.startswith("local["):
+        if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("name a shared folder in spark.checkpoint.dir: executors don't share a temporary one")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
         base = spark.sparkContext.getCheckpointDir()
