@@ -3,8 +3,6 @@ size-checked broadcasts, connected components and ordered partitions."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -13,10 +11,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: Bytes up to which a side of a join is broadcast after they were counted.
-BROADCAST_BYTES = 24_000_000
+from ..tables import broadcast_if_small, scratch, stored  # noqa: F401
 
 #: Nodes of a key that are not yet connected to its least one beyond which ``connect`` draws some of them, and how many.
 CROWD, DRAWS = 16, 8
@@ -31,80 +27,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir of the session.
-    Only where the session names none (tests on one machine) a temporary one is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
-    if not base:
-        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-"))
-        base = spark.sparkContext.getCheckpointDir()
-    return base.rstrip("/")
-
-
 def new_dir(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there, and a
     lost executor costs a re-read instead of a recomputation."""
-    spark = df.sparkSession
-    path = new_dir(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _width(kind: T.DataType, c: Column) -> Column:
-    """Bytes of a value in a row, about."""
-    if isinstance(kind, (T.StringType, T.BinaryType)):
-        return F.coalesce(F.octet_length(c), F.lit(0)) + 16
-    if isinstance(kind, T.ArrayType):
-        return 8 * F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)) + 24
-    if isinstance(kind, T.StructType):
-        return sum((_width(f.dataType, c[f.name]) for f in kind.fields), F.lit(16))
-    return F.lit(8)
-
-
-def broadcast_if_small(df: DataFrame, size: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast hint behind a count of the bytes (``df`` should be a written table, so that the
-    count is cheap); beyond ``size`` Spark joins by a shuffle."""
-    width = sum((_width(f.dataType, F.col(f.name)) for f in df.schema.fields), F.lit(16))
-    return F.broadcast(df) if (df.agg(F.sum(width.cast("long"))).first()[0] or 0) <= size else df
+    return stored(df, name)
 
 
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) long pairs -> (node, root) for every node of an edge; root is the least
     node of its component.  Alternates large-star and small-star steps (Kiveris et al.,
-    2014) until the edge set stays the same; each step is written to the shared folder,
-    nothing but two numbers per round reaches the driver."""
-    e = written(
-        edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), name
-    )
-
-    def mark(df: DataFrame) -> tuple:
-        row = df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        return tuple(row)
-
-    before = mark(e)
-    while before[0]:
-        both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u")
-        small = small.select("u", "m").union(small.select(F.col("v"), F.col("m"))).toDF("u", "v").where("u <> v")
+    2014) until every node hangs on its root; each round is written to the shared folder,
+    nothing but a flag per round reaches the driver.
+
+    An edge (u, v) has u > v.  Large-star hangs u on the least neighbour of v; those are written first, so Spark may
+    split the many edges of a hub v.  Small-star hangs u and its other smaller neighbours on the least of them."""
+    e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
+    e = written(e, name)
+
+    def stars(e: DataFrame) -> bool:
+        ends = e.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high"))
+        ends = ends.union(e.select("v", F.lit(0), F.lit(1)))
+        sums = ends.groupBy("node").agg(F.sum("low").alias("low"), F.max("high").alias("high"))
+        return sums.where("low > 1 or low = 1 and high = 1").isEmpty()
+
+    while not stars(e):
+        least = written(e.groupBy("u").agg(F.min("v").alias("m")), name)
+        large = e.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
+        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        both = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        small = small.select(F.explode(both).alias("x")).select("x.u", "x.v").where("u <> v")
         e = written(small.distinct(), name)
-        after = mark(e)
-        if after == before:
-            break
-        before = after
-    nodes = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root"))).groupBy("node").agg(
-        F.min("root").alias("root")
-    )
+    return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 
 def connect(
