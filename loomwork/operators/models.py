@@ -17,7 +17,8 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..tables import stored
+from ..tables import broadcast_if_small, stored
+from .nearest import nearest
 from .profile import column_roles
 
 
@@ -79,10 +80,21 @@ def train(df: DataFrame, target: str, features: list[str], key: list[str], algor
     else:
         label, rows = [], rows.withColumn("_y", F.col(target).cast("double"))
     part = fold_column(key, seed)
-    model = Pipeline(stages=[*prep_stages(df, features), *label, estimator(algorithm, task)]).fit(rows.where(part >= 100 * test_size))
+    prepared = Pipeline(stages=[*prep_stages(df, features), *label]).fit(rows.where(part >= 100 * test_size))
+    learn = stored(prepared.transform(rows.where(part >= 100 * test_size)).select("features", "_y"), "model-rows")
+    fitted = with_layers(estimator(algorithm, task), learn).fit(learn)
+    model = PipelineModel(stages=[*prepared.stages, fitted])
     return model, model.transform(rows.where(part < 100 * test_size))
 
 
+def with_layers(made, learn: DataFrame):
+    """A network gets as many inputs as there are features, two hidden layers and as many outputs as classes."""
+    if isinstance(made, MultilayerPerceptronClassifier):
+        classes = int(learn.agg(F.max("_y")).first()[0]) + 1
+        made.setLayers([len(learn.first()["features"]), 32, 16, max(2, classes)])
+    return made
+
+
 def regression_metrics(pred: DataFrame, y: str = "_y", p: str = "prediction") -> DataFrame:
     e = F.col(y) - F.col(p)
     return pred.agg(
@@ -169,11 +181,11 @@ def random_search(df: DataFrame, target: str, features: list[str], key: list[str
 
 def knn(train_rows: DataFrame, queries: DataFrame, id_col: str, features: list[str], label: str, k: int = 5) -> DataFrame:
     """(query, prediction): most frequent label of the k nearest rows (Euclid; ties by id, then label).  Queries are a stated set."""
-    q = queries.select(F.col(id_col).alias("query"), *[F.col(f).alias(f"_q_{f}") for f in features])
-    dist = reduce(lambda a, b: a + b, [(F.col(f) - F.col(f"_q_{f}")) ** 2 for f in features])
-    d = train_rows.join(F.broadcast(q), F.col(id_col) != F.col("query")).select("query", F.col(id_col).alias("id"), F.col(label).alias("label"), dist.alias("d"))
-    near = d.withColumn("r", F.row_number().over(Window.partitionBy("query").orderBy("d", "id"))).where(F.col("r") <= k)
-    votes = near.groupBy("query", "label").agg(F.count("*").alias("n"))
+    vector = F.array(*[F.col(f).cast("double") for f in features])
+    there = " and ".join(f"`{f}` is not null" for f in features)
+    near = stored(nearest(train_rows.where(there), queries.where(there), id_col, vector, k).select("query", "id"), "knn-near")
+    labels = train_rows.select(F.col(id_col).cast("long").alias("id"), F.col(label).alias("label"))
+    votes = labels.join(broadcast_if_small(near), "id").groupBy("query", "label").agg(F.count("*").alias("n"))
     return votes.groupBy("query").agg(F.min_by("label", F.struct(-F.col("n"), "label")).alias("prediction"))
 
 

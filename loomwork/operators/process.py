@@ -171,33 +171,72 @@ def conform_steps(log: DataFrame, reference: list[str]) -> DataFrame:
     )
 
 
+#: Most activities of a way through the model that a skip may stand for, ends included.
+WAY = 8
+
+
+def _transition_kinds(transitions: list[tuple[str, str]], known: set[str]) -> list[tuple[str, str, str]]:
+    """(a, b, kind) of every ordered pair of known activities: allowed; reordered if only the other way round is;
+    skipped if a way of up to WAY activities leads from a to b; else unexpected."""
+    allowed, reach = set(transitions), {a: {a} for a in known}
+    within: dict[str, set[str]] = {a: set() for a in known}
+    for _ in range(WAY - 1):
+        reach = {a: {y for x in now for p, y in transitions if p == x} for a, now in reach.items()}
+        for a, now in reach.items():
+            within[a] |= now
+    out = []
+    for a in sorted(known):
+        for b in sorted(known):
+            kind = "allowed" if (a, b) in allowed else "reordered" if (b, a) in allowed else "skipped" if b in within[a] and a != b else "unexpected"
+            out.append((a, b, kind))
+    return out
+
+
 def conform_transitions(log: DataFrame, transitions: list[tuple[str, str]], start: list[str], end: list[str]) -> DataFrame:
-    """(case, wrong_start, wrong_end, unexpected) against allowed transitions; a transition that skips one allowed step counts as skipped."""
-    nexts: dict[str, set[str]] = {}
-    for a, b in transitions:
-        nexts.setdefault(a, set()).add(b)
-    two = {(a, c) for a, bs in nexts.items() for b in bs for c in nexts.get(b, ())} - set(transitions)
-    kinds = [(a, b, "allowed") for a, b in transitions] + [(a, b, "skipped") for a, b in sorted(two)]
+    """(case, inserted, wrong_start, wrong_end, reordered, skipped, unexpected) against allowed transitions.  An activity that the model
+    doesn't know is inserted, and its transitions and its place at an end count as nothing else."""
+    known = {x for t in transitions for x in t} | {*start, *end}
+    kinds = _transition_kinds(transitions, known)
     ref = F.broadcast(log.sparkSession.createDataFrame(kinds, "activity string, next string, kind string"))
     s = steps(log).join(ref, ["activity", "next"], "left")
     c = s.groupBy("case").agg(
-        F.min_by("activity", F.struct(*BY_CASE)).alias("a"), F.max_by("activity", F.struct(*BY_CASE)).alias("z"),
-        F.count_if(F.col("next").isNotNull() & F.col("kind").isNull()).alias("unexpected"), F.count_if(F.col("kind") == "skipped").alias("skipped"),
+        F.min_by("activity", F.struct(*BY_CASE)).alias("a"), F.max_by("activity", F.struct(*BY_CASE)).alias("z"), F.count_if(~F.col("activity").isin(*known)).alias("inserted"),
+        *[F.count_if(F.col("kind") == k).alias(k) for k in ("reordered", "skipped", "unexpected")],
     )
-    return c.select("case", (~F.col("a").isin(start)).alias("wrong_start"), (~F.col("z").isin(end)).alias("wrong_end"), "unexpected", "skipped")
+    wrong = lambda col, ends: (F.col(col).isin(*known) & ~F.col(col).isin(*ends)) if ends else F.lit(False)
+    return c.select("case", "inserted", wrong("a", start).alias("wrong_start"), wrong("z", end).alias("wrong_end"), "reordered", "skipped", "unexpected")
+
+
+#: Least expected count of a slot for its test to be relied on.
+LEAST_EXPECTED = 5
 
 
 def season(log: DataFrame) -> DataFrame:
-    """(weekday, hour, arrivals, expected, chi2 part): case arrivals against the exposure of each hour of the week."""
-    c = log.groupBy("case").agg(F.min(F.coalesce("start", "end")).alias("t"))
-    ends = c.agg(F.date_trunc("hour", F.min("t")).alias("a"), F.date_trunc("hour", F.max("t")).alias("z"))
-    hours = ends.select(F.explode(F.sequence("a", "z", F.expr("interval 1 hour"))).alias("h"))
-    exposure = hours.groupBy(F.weekday("h").alias("weekday"), F.hour("h").alias("hour")).agg(F.count("*").alias("exposure"))
-    n = c.groupBy(F.weekday("t").alias("weekday"), F.hour("t").alias("hour")).agg(F.count("*").alias("arrivals"))
-    both = exposure.join(n, ["weekday", "hour"], "left").fillna(0, ["arrivals"])
-    total = both.agg(F.sum("arrivals").alias("_n"), F.sum("exposure").alias("_e"))
-    e = F.col("_n") * F.col("exposure") / F.col("_e")
-    return both.crossJoin(F.broadcast(total)).select("weekday", "hour", "exposure", "arrivals", F.round(e, 6).alias("expected"), F.round((F.col("arrivals") - e) ** 2 / e, 6).alias("chi2"))
+    """(part, slot, exposure, arrivals, rate, expected, chi2): case arrivals by hour of the day and by weekday (0 is Monday), against the
+    hours that were observed from the first arrival, which only opens the window, to the last."""
+    c = log.groupBy("case").agg(F.min(F.coalesce("start", "end")).cast("timestamp").alias("t"))
+    ends = c.agg(F.min("t").alias("a"), F.max("t").alias("z"), F.count("*").alias("n"))
+    hours = ends.select("a", "z", F.explode(F.sequence(F.date_trunc("hour", "a"), F.date_trunc("hour", "z"), F.expr("interval 1 hour"))).alias("h"))
+    clipped = (F.unix_micros(F.least("z", F.col("h") + F.expr("interval 1 hour"))) - F.unix_micros(F.greatest("a", "h"))) / 3.6e9
+    both = lambda t: F.explode(F.array(F.struct(F.lit("hour").alias("part"), F.hour(t).alias("slot")), F.struct(F.lit("weekday").alias("part"), F.weekday(t).alias("slot")))).alias("s")
+    exposure = hours.select(both("h"), clipped.alias("e")).groupBy("s.part", "s.slot").agg(F.sum("e").alias("exposure")).where("exposure > 1e-9")
+    later = c.join(F.broadcast(ends.select("a")), F.col("t") > F.col("a"))
+    same = c.join(F.broadcast(ends.select("a")), F.col("t") == F.col("a")).agg((F.count("*") - 1).alias("k"), F.max("t").alias("t")).where("k > 0")
+    n = later.select(both("t"), F.lit(1).alias("k")).unionByName(same.select(both("t"), "k")).groupBy("s.part", "s.slot").agg(F.sum("k").alias("arrivals"))
+    table = exposure.join(n, ["part", "slot"], "left").fillna(0, ["arrivals"])
+    w = Window.partitionBy("part")  # 31 rows
+    e = F.sum("arrivals").over(w) * F.col("exposure") / F.sum("exposure").over(w)
+    table = table.withColumn("expected", e)
+    return table.select("part", "slot", "exposure", "arrivals", (F.col("arrivals") / F.col("exposure")).alias("rate"), "expected", ((F.col("arrivals") - F.col("expected")) ** 2 / F.col("expected")).alias("chi2"))
+
+
+def season_tests(log: DataFrame) -> DataFrame:
+    """(part, statistic, df, p, min_expected, reliable) of even arrivals over the hours of the day and over the weekdays."""
+    from ..functions import tails
+
+    one = season(log).groupBy("part").agg(F.sum("chi2").alias("statistic"), (F.count("*") - 1).alias("df"), F.min("expected").alias("m")).collect()  # two rows
+    rows = [(r.part, r.statistic, r.df, tails.chi2_tail(r.statistic, r.df) if r.df else None, r.m, r.m >= LEAST_EXPECTED) for r in one]
+    return log.sparkSession.createDataFrame(rows, "part string, statistic double, df long, p double, min_expected double, reliable boolean")
 
 
 def routing(log: DataFrame) -> DataFrame:

@@ -108,13 +108,21 @@ def register(r: Registry) -> None:
             f AS (SELECT *, list_distinct(known) AS u, list_filter({REF}, lambda x: NOT list_contains(trace, x)) AS sk, list_transform(list_sort(list_transform(list_distinct(known), lambda x: list_position(known, x))), lambda p: list_position({REF}, known[p])) AS place FROM k)
             SELECT variant, n, len(trace) - len(known) AS inserted, len(known) - len(u) AS repeated, array_to_string(sk, ',') AS skipped, place <> list_sort(place) AS reordered FROM f""")
     add("pm_conform_transitions", "events", lambda e: pm.conform_transitions(log(e), [("view", "click"), ("click", "purchase"), ("view", "view")], ["view"], ["purchase"]),
-        f"""WITH {L}, {S}, k AS (SELECT *, CASE WHEN (activity, nxt) IN (('view', 'click'), ('click', 'purchase'), ('view', 'view')) THEN 'a' WHEN (activity, nxt) = ('view', 'purchase') THEN 's' END AS kind FROM s)
-            SELECT "case", first(activity ORDER BY "end", row_id) <> 'view' AS wrong_start, last(activity ORDER BY "end", row_id) <> 'purchase' AS wrong_end, count(*) FILTER (nxt IS NOT NULL AND kind IS NULL) AS unexpected, count(*) FILTER (kind = 's') AS skipped FROM k GROUP BY 1""")
-    add("pm_season", "events", lambda e: pm.season(log(e)),
-        f"""WITH {L}, c AS (SELECT min("end") AS t FROM l GROUP BY "case"), h AS (SELECT unnest(generate_series(date_trunc('hour', (SELECT min(t) FROM c)), date_trunc('hour', (SELECT max(t) FROM c)), INTERVAL 1 HOUR)) AS h),
-            x AS (SELECT isodow(h) - 1 AS weekday, hour(h) AS hour, count(*) AS exposure FROM h GROUP BY 1, 2), n AS (SELECT isodow(t) - 1 AS weekday, hour(t) AS hour, count(*) AS a FROM c GROUP BY 1, 2),
-            b AS (SELECT weekday, hour, exposure, coalesce(a, 0) AS arrivals FROM x LEFT JOIN n USING (weekday, hour)), e AS (SELECT *, sum(arrivals) OVER () * exposure / sum(exposure) OVER () AS ex FROM b)
-            SELECT weekday, hour, exposure, arrivals, round(ex, 6) AS expected, round((arrivals - ex) ** 2 / ex, 6) AS chi2 FROM e""")
+        f"""WITH {L}, {S}, k AS (SELECT *, CASE WHEN (activity, nxt) IN (('view', 'click'), ('click', 'purchase'), ('view', 'view')) THEN 'a' WHEN (activity, nxt) IN (('click', 'view'), ('purchase', 'click')) THEN 'r'
+                WHEN (activity, nxt) = ('view', 'purchase') THEN 's' WHEN activity IN ('view', 'click', 'purchase') AND nxt IN ('view', 'click', 'purchase') THEN 'u' END AS kind FROM s),
+                c AS (SELECT "case", first(activity ORDER BY "end", row_id) AS a, last(activity ORDER BY "end", row_id) AS z, count(*) FILTER (activity NOT IN ('view', 'click', 'purchase')) AS inserted,
+                    count(*) FILTER (kind = 'r') AS reordered, count(*) FILTER (kind = 's') AS skipped, count(*) FILTER (kind = 'u') AS unexpected FROM k GROUP BY 1)
+            SELECT "case", inserted, a IN ('click', 'purchase') AS wrong_start, z IN ('view', 'click') AS wrong_end, reordered, skipped, unexpected FROM c""")
+    season_sql = f"""WITH {L}, c AS (SELECT min("end") AS t FROM l GROUP BY "case"), w AS (SELECT min(t) AS a, max(t) AS z FROM c), h AS (SELECT a, z, unnest(generate_series(date_trunc('hour', a), date_trunc('hour', z), INTERVAL 1 HOUR)) AS h FROM w),
+            q AS (SELECT h, (epoch_us(least(z, h + INTERVAL 1 HOUR)) - epoch_us(greatest(a, h))) / 3.6e9 AS e FROM h), o AS (SELECT t, row_number() OVER (ORDER BY t) AS r FROM c),
+            x AS (SELECT 'hour' AS part, hour(h)::INT AS slot, e FROM q UNION ALL SELECT 'weekday', (isodow(h) - 1)::INT, e FROM q), xs AS (SELECT part, slot, sum(e) AS exposure FROM x GROUP BY 1, 2 HAVING sum(e) > 1e-9),
+            n AS (SELECT 'hour' AS part, hour(t)::INT AS slot FROM o WHERE r > 1 UNION ALL SELECT 'weekday', (isodow(t) - 1)::INT FROM o WHERE r > 1), ns AS (SELECT part, slot, count(*) AS arrivals FROM n GROUP BY 1, 2),
+            b AS (SELECT part, slot, exposure, coalesce(arrivals, 0) AS arrivals FROM xs LEFT JOIN ns USING (part, slot)), g AS (SELECT *, sum(arrivals) OVER (PARTITION BY part) * exposure / sum(exposure) OVER (PARTITION BY part) AS ex FROM b)"""
+    six = lambda d: d.withColumns({c: F.round(c, 6) for c, t in d.dtypes if t == "double"})
+    add("pm_season", "events", lambda e: six(pm.season(log(e))),
+        f"{season_sql} SELECT part, slot, round(exposure, 6) AS exposure, arrivals::BIGINT AS arrivals, round(arrivals / exposure, 6) AS rate, round(ex, 6) AS expected, round((arrivals - ex) ** 2 / ex, 6) AS chi2 FROM g")
+    add("pm_season__tests", "events", lambda e: six(pm.season_tests(log(e)).drop("p")),
+        f"{season_sql} SELECT part, round(sum((arrivals - ex) ** 2 / ex), 6) AS statistic, count(*) - 1 AS df, round(min(ex), 6) AS min_expected, min(ex) >= 5 AS reliable FROM g GROUP BY part")
     add("pm_params__routing", "events", lambda e: pm.routing(log(e)), f"WITH {L}, {S} SELECT activity, nxt AS next, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY activity), 6) AS share FROM s GROUP BY 1, 2")
     add("pm_params__arrivals", "events", lambda e: pm.arrivals(log(e)),
         f"""WITH {L}, c AS (SELECT min("end") AS t FROM l GROUP BY "case"), g AS (SELECT {SEC('lag(t) OVER (ORDER BY t)', 't')} AS g FROM c) SELECT count(g) AS n, round(avg(g), 4) AS mean_gap, round(stddev_samp(g) / avg(g), 6) AS cv FROM g""")
