@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 
 def parse_timestamp(raw: Column, zone: str = "UTC") -> Column:
     """struct(ts UTC, problem): ISO (with or without offset) or day-first text in the declared zone.
@@ -108,5 +110,5 @@ def split_cases(log: DataFrame, holdout: float = 0.3) -> DataFrame:
     """(case, start, part): train or holdout by the case's start; the cut is the start at 1 - holdout of the cases."""
     cases = log.groupBy("case").agg(F.min(F.coalesce("start", "end")).alias("start"))
     micros = F.unix_micros(F.col("start").cast("timestamp"))
-    cut = cases.agg(F.percentile(micros, 1 - holdout).alias("cut"))
-    return cases.crossJoin(F.broadcast(cut)).select("case", "start", F.when(micros >= F.col("cut"), "holdout").otherwise("train").alias("part"))
+    cut = quantiles(cases, {"t": micros}, [1 - holdout])["t"][0]
+    return cases.select("case", "start", F.when(micros >= F.lit(cut), "holdout").otherwise("train").alias("part"))

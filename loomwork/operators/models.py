@@ -80,9 +80,13 @@ def train(df: DataFrame, target: str, features: list[str], key: list[str], algor
     else:
         label, rows = [], rows.withColumn("_y", F.col(target).cast("double"))
     part = fold_column(key, seed)
-    prepared = Pipeline(stages=[*prep_stages(df, features), *label]).fit(rows.where(part >= 100 * test_size))
-    learn = stored(prepared.transform(rows.where(part >= 100 * test_size)).select("features", "_y"), "model-rows")
-    fitted = with_layers(estimator(algorithm, task), learn).fit(learn)
+    # a network needs features of one scale
+    scale = [StandardScaler(inputCol="features", outputCol="_scaled", withMean=True)] if algorithm == "mlp" else []
+    prepared = Pipeline(stages=[*prep_stages(df, features), *label, *scale]).fit(rows.where(part >= 100 * test_size))
+    made = estimator(algorithm, task)
+    made.setFeaturesCol("_scaled" if scale else "features")
+    learn = stored(prepared.transform(rows.where(part >= 100 * test_size)).select(made.getFeaturesCol(), "_y"), "model-rows")
+    fitted = with_layers(made, learn).fit(learn)
     model = PipelineModel(stages=[*prepared.stages, fitted])
     return model, model.transform(rows.where(part < 100 * test_size))
 
@@ -91,7 +95,7 @@ def with_layers(made, learn: DataFrame):
     """A network gets as many inputs as there are features, two hidden layers and as many outputs as classes."""
     if isinstance(made, MultilayerPerceptronClassifier):
         classes = int(learn.agg(F.max("_y")).first()[0]) + 1
-        made.setLayers([len(learn.first()["features"]), 32, 16, max(2, classes)])
+        made.setLayers([len(learn.first()[made.getFeaturesCol()]), 32, 16, max(2, classes)])
     return made
 
 

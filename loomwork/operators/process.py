@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranks import quantiles
+
 BY_CASE = ("end", "row_id")
 
 
@@ -98,8 +100,8 @@ def starts_ends(log: DataFrame) -> DataFrame:
 def throughput(log: DataFrame) -> DataFrame:
     c = log.groupBy("case").agg(F.min(F.coalesce("start", "end")).alias("b"), F.max("end").alias("f"))
     c = c.withColumn("d", seconds("b", "f"))
-    q = F.percentile("d", F.array(F.lit(0.5), F.lit(0.9)))
-    out = c.agg(F.count("*").alias("cases"), F.avg("d").alias("m"), q.alias("q"), F.max("d").alias("x"), seconds(F.min("b"), F.max("f")).alias("s"))
+    q = F.array(*[F.lit(x).cast("double") for x in quantiles(c, {"d": "d"}, [0.5, 0.9])["d"]])
+    out = c.agg(F.count("*").alias("cases"), F.avg("d").alias("m"), F.max("d").alias("x"), seconds(F.min("b"), F.max("f")).alias("s")).withColumn("q", q)
     return out.select("cases", F.round("m", 4).alias("mean_s"), F.round(F.col("q")[0], 4).alias("median_s"), F.round(F.col("q")[1], 4).alias("p90_s"), F.round("x", 4).alias("max_s"),
                       F.round(F.col("cases") / (F.col("s") / 3600), 6).alias("cases_per_hour"))
 

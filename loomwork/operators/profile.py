@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ranks import quantiles
+
 
 def column_roles(schema: T.StructType) -> dict[str, str]:
     """numeric, temporal or categorical."""
@@ -39,11 +41,11 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 
 def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, low, high, mean, sd, median, q1, q3, outliers): two scans whatever the number of columns."""
-    made = []
+    """(column, low, high, mean, sd, median, q1, q3, outliers): three scans whatever the number of columns."""
+    made, quarters = [], quantiles(df, {c: c for c in columns}, [0.25, 0.5, 0.75])
     for c in columns:
         v = F.col(c).cast("double")
-        q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+        q = F.array(*[F.lit(x).cast("double") for x in quarters[c]])
         made += [F.min(v).alias(f"{c}__low"), F.max(v).alias(f"{c}__high"), F.avg(v).alias(f"{c}__mean"), F.stddev_samp(v).alias(f"{c}__sd"), q.alias(f"{c}__q")]
     stats = df.agg(*made)
     out = _stack(stats, columns, ["low", "high", "mean", "sd", "q"])
@@ -106,10 +108,10 @@ def null_patterns(df: DataFrame, columns: list[str], least: float = 0.05) -> Dat
 
 
 def outliers_report(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, iqr_outliers, z_outliers, low_whisker, high_whisker): two scans."""
-    made = []
+    """(column, iqr_outliers, z_outliers, low_whisker, high_whisker): three scans."""
+    made, quarters = [], quantiles(df, {c: c for c in columns}, [0.25, 0.75])
     for c in columns:
-        made += [F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"{c}__q"), F.avg(c).alias(f"{c}__m"), F.stddev_samp(c).alias(f"{c}__s")]
+        made += [F.array(*[F.lit(x).cast("double") for x in quarters[c]]).alias(f"{c}__q"), F.avg(c).alias(f"{c}__m"), F.stddev_samp(c).alias(f"{c}__s")]
     stats = df.agg(*made)
     second = []
     for c in columns:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..tables import stored
@@ -44,3 +44,41 @@ def mid_ranks(df: DataFrame, column: str, name: str) -> DataFrame:
     ends = running_sum(counts, [column], "_k", "_e")
     ranks = ends.select(F.col(column).alias("_v"), (F.col("_e") - (F.col("_k") - 1) / 2).alias(name))
     return df.join(ranks, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
+def quantiles(df: DataFrame, columns: dict[str, Column | str], shares: list[float]) -> dict[str, list[float | None]]:
+    """Exact quantiles of whole columns with linear interpolation, as ``percentile`` gives them, without a task that holds all values of a
+    column: the values of all columns are counted, summed along range partitions, and the two around each place are picked.
+    A row per column reaches the driver."""
+    cells = [F.struct(F.lit(n).alias("name"), (F.col(c) if isinstance(c, str) else c).cast("double").alias("v")) for n, c in columns.items()]
+    counts = df.select(F.explode(F.array(*cells)).alias("x")).where("x.v is not null").groupBy("x.name", "x.v").agg(F.count("*").alias("k"))
+    r = _ranged(counts, ["name", "v"])
+    sums = r.groupBy("name", "_p").agg(F.sum("k").alias("_s"))
+    before = Window.partitionBy("name").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = F.broadcast(sums.select("name", "_p", F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_o"), F.sum("_s").over(Window.partitionBy("name")).alias("n")))
+    w = Window.partitionBy("_p", "name").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    ends = r.withColumn("e", F.sum("k").over(w)).join(offsets, ["name", "_p"]).withColumn("e", F.col("e") + F.col("_o"))
+    made = [F.max("n").alias("n")]
+    for i, share in enumerate(shares):
+        place = F.lit(share) * (F.col("n") - 1)  # from 0
+        for side, at in (("l", F.floor(place)), ("h", F.ceil(place))):
+            made.append(F.max(F.when((at < F.col("e")) & (at >= F.col("e") - F.col("k")), F.col("v"))).alias(f"{side}{i}"))
+    out: dict[str, list[float | None]] = {n: [None] * len(shares) for n in columns}
+    for x in ends.groupBy("name").agg(*made).collect():
+        places = [s * (x.n - 1) for s in shares]
+        out[x.name] = [x[f"l{i}"] + (at - int(at)) * (x[f"h{i}"] - x[f"l{i}"]) if x[f"h{i}"] != x[f"l{i}"] else x[f"l{i}"] for i, at in enumerate(places)]
+    return out
+
+
+#: Rows of a block of ``blocked``.
+BLOCK_ROWS = 100_000
+
+
+def blocked(df: DataFrame, order_by: list[str], before: int, after: int) -> DataFrame:
+    """Rows with ``_i`` (row number in the order), ``_block`` and ``_own``: each block of BLOCK_ROWS consecutive rows also holds ``before`` rows
+    of the block before and ``after`` rows of the next, as context (``_own`` false), so windows of that reach can run per block."""
+    rows = global_rank(df, order_by, "_i").withColumn("_b", F.floor((F.col("_i") - 1) / BLOCK_ROWS))
+    first = F.floor((F.col("_i") - 1 - after) / BLOCK_ROWS)
+    last = F.floor((F.col("_i") - 1 + before) / BLOCK_ROWS)
+    rows = rows.withColumn("_block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    return rows.withColumn("_own", F.col("_block") == F.col("_b")).drop("_b")

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .ranks import mid_ranks, running_sum
+from .ranks import mid_ranks, running_sum, quantiles
 
 
 def one_row(source: DataFrame, /, **values) -> DataFrame:
@@ -25,10 +25,10 @@ def moments(df: DataFrame, column: str, group: str | None = None) -> DataFrame:
 
 def describe(df: DataFrame, column: str, confidence: float = 0.95) -> DataFrame:
     v = F.col(column).cast("double")
-    q = F.percentile(v, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    r = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), q.alias("q"), F.skewness(v).alias("skew")).first()
+    q = quantiles(df, {"v": v}, [0.25, 0.5, 0.75])["v"]
+    r = df.agg(F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("sd"), F.skewness(v).alias("skew")).first()
     half = tails.t_quantile(confidence, r.n - 1) * r.sd / math.sqrt(r.n) if r.n > 1 else math.nan
-    return one_row(df, n=r.n, mean=r.mean, sd=r.sd, median=r.q[1], iqr=r.q[2] - r.q[0], skew=r.skew, ci_low=r.mean - half, ci_high=r.mean + half)
+    return one_row(df, n=r.n, mean=r.mean, sd=r.sd, median=q[1], iqr=q[2] - q[0], skew=r.skew, ci_low=r.mean - half, ci_high=r.mean + half)
 
 
 def ttest_1samp(df: DataFrame, column: str, mu: float) -> DataFrame:
@@ -144,7 +144,8 @@ def drift(a: DataFrame, b: DataFrame, column: str, alpha: float = 0.05, psi_limi
     y = b.select(F.col(column).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b")).where("v is not null")
     counts = x.unionByName(y).groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
     run = running_sum(running_sum(counts, ["v"], "a", "ca"), ["v"], "b", "cb", "part")
-    m = x.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s"), F.percentile("v", F.array(*[F.lit(i / 10) for i in range(1, 10)])).alias("q")).first()
+    m = x.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
+    deciles = quantiles(x, {"v": "v"}, [i / 10 for i in range(1, 10)])["v"]
     k = y.agg(F.count("*").alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).first()
     gap = F.abs(F.col("ca") / m.n - F.col("cb") / k.n)
     # the distance is the area between the two step functions: each value's gap holds to the next value
@@ -158,7 +159,7 @@ def drift(a: DataFrame, b: DataFrame, column: str, alpha: float = 0.05, psi_limi
     en = math.sqrt(m.n * k.n / (m.n + k.n))
     lam = (en + 0.12 + 0.11 / en) * ks
     p_value = min(1.0, max(0.0, 2 * sum((-1) ** (j - 1) * math.exp(-2 * j * j * lam * lam) for j in range(1, 101)))) if lam > 0.2 else 1.0
-    cuts = sorted(set(m.q))
+    cuts = sorted(set(deciles))
     place = sum((F.when(F.col("v") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     bins = {r.k: (r.a, r.b) for r in counts.groupBy(place.alias("k")).agg(F.sum("a").alias("a"), F.sum("b").alias("b")).collect()}
     psi = 0.0
@@ -191,9 +192,9 @@ def group_gap(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def outlier_share(df: DataFrame, column: str) -> DataFrame:
-    q = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    lo, hi = F.col("q")[0] - 1.5 * (F.col("q")[1] - F.col("q")[0]), F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])
-    r = df.select(column).crossJoin(F.broadcast(q)).agg(F.count(column).alias("n"), F.count_if((F.col(column) < lo) | (F.col(column) > hi)).alias("outliers"))
+    a, b = quantiles(df, {"v": column}, [0.25, 0.75])["v"]
+    lo, hi = (F.lit(a - 1.5 * (b - a)), F.lit(b + 1.5 * (b - a))) if a is not None else (F.lit(None), F.lit(None))
+    r = df.select(column).agg(F.count(column).alias("n"), F.count_if((F.col(column) < lo) | (F.col(column) > hi)).alias("outliers"))
     share = F.col("outliers") / F.col("n")
     return r.select("n", "outliers", F.round(share, 6).alias("share"), ((F.col("n") >= 20) & (share > 0) & (share <= 0.1)).alias("found"))
 
@@ -210,8 +211,8 @@ def concentration(df: DataFrame, group: str, value: str, top: int = 12) -> DataF
 def change(df: DataFrame, date: str, value: str) -> DataFrame:
     """Before and after the median time: Welch's test and the relative gap."""
     t = F.unix_micros(F.col(date).cast("timestamp"))
-    cut = df.agg(F.percentile(t, 0.5).alias("c"))
-    m = moments(df.crossJoin(F.broadcast(cut)).withColumn("late", t > F.col("c")), value, "late")
+    cut = quantiles(df, {"t": t}, [0.5])["t"][0]
+    m = moments(df.withColumn("late", t > F.lit(cut)), value, "late")
     before, after = m.orderBy("late").collect()
     t_, _, p = welch(after, before)
     gap = (after.mean - before.mean) / abs(before.mean) if before.mean else math.inf

@@ -101,9 +101,13 @@ def fill_null(df: DataFrame, column: str, strategy: str = "value", value=None, o
         return df.withColumn(column, F.coalesce(F.col(column), F.lit(value)))
     if strategy == "forward":
         return forward_fill(df, column, order_by or [], partition_by or [])
-    stat = {"mean": F.avg(column), "median": F.median(column), "mode": F.mode(column, True)}
-    if strategy not in stat:
+    stat = {"mean": F.avg(column), "mode": F.mode(column, True)}
+    if strategy not in (*stat, "median"):
         raise StepError(f"unknown strategy {strategy}")
+    if strategy == "median":
+        from .ranks import quantiles
+
+        return df.withColumn(column, F.coalesce(F.col(column), F.lit(quantiles(df, {"v": column}, [0.5])["v"][0])))
     one = df.agg(stat[strategy].alias("_fill"))
     return df.crossJoin(F.broadcast(one)).withColumn(column, F.coalesce(F.col(column), F.col("_fill"))).drop("_fill")
 
@@ -292,14 +296,42 @@ def window(
     if fn not in WINDOW_FNS:
         raise StepError(f"unknown window function {fn}; one of {WINDOW_FNS}")
     need_columns(df, [*order_by, *(partition_by or []), *([column] if column else [])])
-    w = Window.partitionBy(*(partition_by or [])).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    name = new_column or (f"{fn}_{column}" if column else fn)
+    if not partition_by:
+        return _whole_table_window(df, fn, order_by, column, offset, window_size, name)
+    w = Window.partitionBy(*partition_by).orderBy(*[F.col(c).asc_nulls_last() for c in order_by])
+    return df.withColumn(name, _window_value(fn, w, column, offset, window_size))
+
+
+def _window_value(fn: str, w, column: str | None, offset: int, window_size: int) -> Column:
     rolling = w.rowsBetween(-(window_size - 1), 0)
     made = {
         "lag": lambda: F.lag(column, offset).over(w), "lead": lambda: F.lead(column, offset).over(w),
         "rolling_mean": lambda: F.avg(column).over(rolling), "rolling_sum": lambda: F.sum(column).over(rolling),
         "row_number": lambda: F.row_number().over(w), "rank": lambda: F.rank().over(w),
     }
-    return df.withColumn(new_column or (f"{fn}_{column}" if column else fn), made[fn]())
+    return made[fn]()
+
+
+def _whole_table_window(df: DataFrame, fn: str, order_by: list[str], column: str | None, offset: int, window_size: int, name: str) -> DataFrame:
+    """A window without partitions, but not in one task: row numbers along range partitions; the others in blocks of consecutive rows that
+    hold the rows their windows reach back or forward to."""
+    from .ranks import blocked, global_rank
+
+    if fn == "row_number":
+        return global_rank(df, order_by, name).withColumn(name, F.col(name).cast("int"))
+    if fn == "rank":
+        rows = stored(global_rank(df, order_by, "_i"), "window-ranks")
+        first = rows.groupBy(*[F.col(c).alias(f"_k{i}") for i, c in enumerate(order_by)]).agg(F.min("_i").cast("int").alias(name))
+        same = [F.col(c).eqNullSafe(F.col(f"_k{i}")) for i, c in enumerate(order_by)]
+        cond = same[0]
+        for s in same[1:]:
+            cond = cond & s
+        return rows.join(first, cond).select(*df.columns, name)
+    before = offset if fn == "lag" else window_size - 1 if fn.startswith("rolling") else 0
+    rows = blocked(df, order_by, before, offset if fn == "lead" else 0)
+    w = Window.partitionBy("_block").orderBy("_i")
+    return rows.withColumn(name, _window_value(fn, w, column, offset, window_size)).where("_own").select(*df.columns, name)
 
 
 #: Step name -> (function, required parameters, optional parameters).

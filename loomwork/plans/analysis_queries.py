@@ -92,6 +92,7 @@ def register(r: Registry) -> None:
     add("ml_train__linear", "lineitem", lambda d: md.regression_metrics(md.train(d, "l_extendedprice", feats, key)[1]))
     add("ml_train__random_forest", "lineitem", lambda d: md.regression_metrics(md.train(d, "l_extendedprice", feats, key, "random_forest")[1]))
     add("ml_train__logistic", "lineitem", lambda d: md.precision_recall(md.train(d, "l_linestatus", ["l_quantity", "l_returnflag"], key, "logistic")[1], "_y", "prediction"))
+    add("ml_train__mlp", "part", lambda d: md.precision_recall(md.train(d.withColumn("dear", F.when(F.col("p_retailprice") > 1100, "yes").otherwise("no")), "dear", ["p_size", "p_retailprice", "p_type"], ["p_partkey"], "mlp")[1], "_y", "prediction"))
     add("ml_predict", "lineitem", lambda d: md.train(d, "l_extendedprice", feats, key)[0].transform(d.withColumn("_y", F.lit(0.0))).select(*key, "prediction"))
     add("ml_importance", "lineitem", lambda d: md.permutation_importance(md.train(d, "l_extendedprice", ["l_quantity", "l_discount"], key)[0], d.withColumn("_y", F.col("l_extendedprice")), "l_extendedprice", ["l_quantity", "l_discount"], key))
     add("ml_fit_gap", "lineitem", lambda d: md.fit_gap(d, "l_extendedprice", feats, key))

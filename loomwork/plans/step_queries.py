@@ -154,6 +154,15 @@ def register(r: Registry) -> None:
             return out.withColumn("w", F.round("w", 4)) if fn.startswith("rolling") else out
         add(f"window__{fn}", "orders", run, f"{base} {sql} AS w FROM orders")
 
+    whole = "OVER (ORDER BY o_totalprice, o_orderkey"
+    for fn, sql in (("lag", f"lag(o_totalprice, 2) {whole})"), ("lead", f"lead(o_totalprice, 2) {whole})"), ("rolling_mean", f"round(avg(o_totalprice) {whole} ROWS 2 PRECEDING), 4)"),
+                    ("rolling_sum", f"round(sum(o_totalprice) {whole} ROWS 2 PRECEDING), 4)"), ("row_number", f"row_number() {whole})"), ("rank", "rank() OVER (ORDER BY o_custkey)")):
+        def run_all(d, fn=fn):
+            column = None if fn in ("row_number", "rank") else "o_totalprice"
+            out = st.window(cols(d), fn, ["o_custkey"] if fn == "rank" else ["o_totalprice", "o_orderkey"], column, offset=2, new_column="w")
+            return out.withColumn("w", F.round("w", 4)) if fn.startswith("rolling") else out
+        add(f"window__whole_{fn}", "orders", run_all, f"{base} {sql} AS w FROM orders")
+
     # sort, limit, sets
     add("sort_limit", "orders", lambda d: st.sort(d.select("o_orderkey", "o_totalprice"), [{"column": "o_totalprice", "desc": True}, "o_orderkey"]).limit(100),
         "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 100")

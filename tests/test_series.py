@@ -126,3 +126,30 @@ def test_chunks_of_a_key_pair_in_time_order():
     pairing.init(handle)
     out = pd.concat(pairing.handleInputRows((1, "a"), iter([pdf[:10_000], pdf[10_000:]]), None))
     assert len(out) == n and (out.status == "paired").all() and (out.end_ms - out.start_ms == 50).all() and not handle.timers
+
+
+@pytest.mark.parametrize("fn", ["lag", "lead", "rolling_sum", "rank"])
+def test_whole_table_windows_cross_blocks(spark, monkeypatch, fn):
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from loomwork.operators import ranks, steps
+
+    monkeypatch.setattr(ranks, "BLOCK_ROWS", 7)
+    df = spark.createDataFrame([(i, i // 3, float(i * 37 % 11)) for i in range(60)], "i int, k int, v double").repartition(5)
+    order, column = (["k"], None) if fn == "rank" else (["i"], "v")
+    got = sorted(map(tuple, steps.window(df, fn, order, column, offset=3, window_size=4, new_column="w").collect()))
+    w = Window.orderBy(*order)
+    want = {"lag": F.lag("v", 3).over(w), "lead": F.lead("v", 3).over(w), "rolling_sum": F.sum("v").over(w.rowsBetween(-3, 0)), "rank": F.rank().over(w)}[fn]
+    assert got == sorted(map(tuple, df.withColumn("w", want).collect()))
+
+
+def test_quantiles_of_columns(spark):
+    from loomwork.operators.ranks import quantiles
+
+    rng = np.random.default_rng(1)
+    a, b = rng.integers(0, 40, 501), rng.normal(size=501)
+    df = spark.createDataFrame([(int(x), float(y), None) for x, y in zip(a, b)], "a int, b double, c double")
+    got = quantiles(df, {"a": "a", "b": "b", "c": "c"}, [0.0, 0.1, 0.5, 0.77, 1.0])
+    assert got["a"] == pytest.approx(np.quantile(a, [0, 0.1, 0.5, 0.77, 1]).tolist()) and got["c"] == [None] * 5
+    assert got["b"] == pytest.approx(np.quantile(b, [0, 0.1, 0.5, 0.77, 1]).tolist())
