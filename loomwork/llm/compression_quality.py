@@ -154,7 +154,9 @@ def op8_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that the classifier does not reject, with their own columns."""
+    """The rows of ``docs`` that the classifier does not reject, with their own columns; one that could not be trained rejects none."""
+    if not model.good:
+        return docs
     whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
     return with_score(whole, model).where(F.col("score") >= THRESHOLD).select("_row.*")
 
