@@ -86,10 +86,14 @@ def connect(
 
     first = members.groupBy("key").agg(F.min(F.struct("node", "value")).alias("x"), F.count("*").alias("n")).where("n > 1")
     first = written(first.select("key", F.col("x.node").alias("rep"), F.col("x.value").alias("rv"), "n"), name + "-first")
+    if first.isEmpty():
+        return members.select("node", F.col("node").alias("root")).where("false")
     star = members.join(first, "key").where((F.col("node") != F.col("rep")) & near(F.col("value"), F.col("rv")))
     links = counted(star.select(F.col("rep").alias("a"), F.col("node").alias("b")))
     comp = written(connected_components(links, name + "-parts"), name + "-parts")
     more = first.where("n > 2").select("key", "rep")  # keys of two nodes are done
+    if more.isEmpty():
+        return comp
 
     def opened() -> DataFrame:
         """(key, node, value, root, main, odd) of keys with ``odd`` nodes in other components than the least one's, main."""
@@ -107,6 +111,8 @@ def connect(
         return written(connected_components(own.union(links), name + "-parts"), name + "-parts")
 
     some = opened()
+    if some.isEmpty():
+        return comp
     crowd = some.where((F.col("odd") > CROWD) & (F.col("root") != F.col("main")))
     if not crowd.isEmpty():
         order = Window.partitionBy("key").orderBy(F.xxhash64("node"))
@@ -115,6 +121,8 @@ def connect(
         pairs = some.join(broadcast_if_small(drawn), "key").where((F.col("root") != F.col("ra")) & near(F.col("va"), F.col("value")))
         comp = joined(comp, counted(pairs.select("a", F.col("node").alias("b"))))
         some = opened()
+        if some.isEmpty():
+            return comp
     small = some.where(F.col("odd") <= hot) if dense else some
     one = small.where("root <> main").select("key", F.col("node").alias("a"), F.col("value").alias("va"), F.col("root").alias("ra"))
     other = small.select("key", F.col("node").alias("b"), F.col("value").alias("vb"), F.col("root").alias("rb"), (F.col("root") == F.col("main")).alias("in_main"))
