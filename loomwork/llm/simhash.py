@@ -13,7 +13,7 @@ the three thirds of the third is equal (at most two): that gives 5 x 2 x 3 join
 before its full distance is taken.  No component can be lost.
 
 Keys are counted first; only fingerprints whose key is shared (a bitmap tells) are joined.  In a key, fingerprints are compared
-as ``common.connect`` says, so the links of a group of near copies do not grow with its square.
+as ``connect_nodes`` says, so the links of a group of near copies do not grow with its square.
 
 ``dedup_simhash`` is for whole corpora: shingles of DEDUP_WIDTH words, RINGS fingerprints of 64 bits each with its 30 keys; pairs
 that meet in a key and differ in at most RINGS_TAU of all RINGS x 64 bits are candidates, and count if the exact Jaccard likeness of
@@ -41,7 +41,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connect, mix64, read_table, runs, slices, span_hashes, utf8, written
+from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
 
 TAU = 4
 #: (first bit, bits) of the five segments.
@@ -58,6 +58,8 @@ BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
 #: Low bits of a key that hold its number.
 KEY_BITS = 7
+#: Keys, all of one segment of one fingerprint, under which nodes are compared first.
+FIRST_KEYS = 6
 
 
 def fingerprint(text: bytes, width: int = 4) -> int:
@@ -128,35 +130,78 @@ def _key_columns(fps: np.ndarray) -> np.ndarray:
     return (mix64(flat) & ~np.uint64((1 << KEY_BITS) - 1) | no).view(np.int64)
 
 
-def shared_keys(nodes: DataFrame, name: str) -> DataFrame:
-    """Written (key, node, value) of written ``nodes`` (node long, value array<long>), for every key that different nodes share."""
+def _keys_of(b: pa.RecordBatch, few: bool) -> np.ndarray:
+    """(rows, keys) of a batch (node, value, root)."""
+    rings = len(b.column(1)[0])
+    flat = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, rings)
+    keys = _key_columns(flat)
+    return keys[:, :FIRST_KEYS] if few else keys
 
-    def keys(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
-        rings = len(b.column(1)[0])
-        flat = b.column(1).flatten().to_numpy(zero_copy_only=False).view(np.uint64).reshape(-1, rings)
-        return b.column(0).to_numpy(zero_copy_only=False), _key_columns(flat)
+
+def open_members(nodes: DataFrame, name: str, few: bool) -> DataFrame | None:
+    """Written (key, node, value, root) of written ``nodes`` (node, value array<long>, root), for the keys (``few``: the first ones only) that nodes
+    of different roots share; None if there is no such key.  Keys are counted with map-side combination, and a bitmap of those that
+    matter sieves the nodes' keys; what it lets through by chance has one root."""
 
     def every(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
-                node, key = keys(b.slice(at, 2048))
-                yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), pa.array(np.repeat(node, key.shape[1]))], ["key", "node"])
+                part = b.slice(at, 2048)
+                keys = _keys_of(part, few)
+                root = np.repeat(part.column(2).to_numpy(zero_copy_only=False), keys.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(root)], ["key", "root"])
 
-    counted = nodes.mapInArrow(every, "key long, node long").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
+    counted = nodes.mapInArrow(every, "key long, root long").groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"))
     shared = written(counted.where("a <> b").select("key"), name + "-keys")
+    if shared.isEmpty():
+        return None
     sieve = Sieve(shared, "key")
 
     def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 2048):
                 part = b.slice(at, 2048)
-                _, key = keys(part)
-                row, col = np.nonzero(sieve(key))
+                keys = _keys_of(part, few)
+                row, col = np.nonzero(sieve(keys))
                 chosen = part.take(pa.array(row))
-                yield pa.RecordBatch.from_arrays([pa.array(key[row, col]), chosen.column(0), chosen.column(1)], ["key", "node", "value"])
-
-    members = nodes.mapInArrow(some, "key long, node long, value array<long>")
-    return written(members.join(broadcast_if_small(shared), "key"), name + "-members")
+                yield pa.RecordBatch.from_arrays([pa.array(keys[row, col]), *chosen.columns], ["key", "node", "value", "root"])
+
+    return written(nodes.mapInArrow(some, "key long, node long, value array<long>, root long"), name + "-members")
+
+
+def connect_nodes(nodes: DataFrame, near: Callable[[Column, Column], Column], name: str, verify: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Written (node, root) of all nodes that pairs connect which share a key, are ``near`` and count for ``verify``.
+
+    First under a few of the keys, then under all, each key's least node (by root) is compared with those of other roots; then all that
+    is still of different roots under a key.  Only keys with nodes of different roots take part, so a group of near copies is
+    compared a few times a member and no component is lost."""
+    plain = nodes.select("node", "value")
+    labelled, comp = written(plain.withColumn("root", F.col("node")), name + "-nodes"), None
+    for turn, few in enumerate((True, False, False)):
+        members = open_members(labelled, name, few)
+        if members is None:
+            if few:
+                continue
+            break
+        first = members.groupBy("key").agg(F.min(F.struct("root", "node", "value")).alias("x"), F.max("root").alias("top")).where("x.root <> top")
+        first = written(first.select("key", F.col("x.root").alias("main"), F.col("x.node").alias("a"), F.col("x.value").alias("va")), name + "-first")
+        if turn < 2:
+            pairs = members.join(first, "key").where((F.col("root") != F.col("main")) & near(F.col("va"), F.col("value"))).select("a", F.col("node").alias("b"))
+        else:
+            odd = members.join(first.select("key", "main"), "key").where("root <> main")
+            odd = written(odd.select("key", "main", F.col("node").alias("a"), F.col("value").alias("va"), F.col("root").alias("ra")), name + "-odd")
+            apart = (F.col("ra") != F.col("root")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node")))
+            pairs = odd.join(members, "key").where(apart & near(F.col("va"), F.col("value"))).select("a", F.col("node").alias("b"))
+        links = written(pairs.distinct(), name + "-links")
+        links = written(verify(links), name + "-links") if verify and not links.isEmpty() else links
+        if links.isEmpty():
+            continue
+        edges = links if comp is None else links.union(comp.toDF("a", "b"))
+        comp = written(connected_components(edges, name + "-parts"), name + "-parts")
+        if turn < 2:
+            labelled = plain.join(broadcast_if_small(comp), "node", "left").select("node", "value", F.coalesce("root", "node").alias("root"))
+            labelled = written(labelled, name + "-nodes")
+    return nodes.select("node", F.col("node").alias("root")).where("false") if comp is None else comp
 
 
 def _distance(a: Column, b: Column, rings: int) -> Column:
@@ -184,7 +229,7 @@ def _near(tau: int, rings: int) -> Callable[[Column, Column], Column]:
 def pigeonring_classes(fps: DataFrame) -> DataFrame:
     """Distinct ``fp`` longs -> written (node, root) of those that pairs at TAU or fewer differing bits connect."""
     nodes = written(fps.select(F.col("fp").alias("node"), F.array("fp").alias("value")), "simhash-single")
-    return connect(shared_keys(nodes, "simhash"), _near(TAU, 1), "simhash")
+    return connect_nodes(nodes, _near(TAU, 1), "simhash")
 
 
 def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4) -> DataFrame:
@@ -272,9 +317,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     rows = written(_rows(docs, id_col, text_col, width, marked, "id long, node long, value array<long>"), "dedup-rows")
     nodes = written(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("value").alias("value")), "dedup-nodes")
-    members = shared_keys(nodes.select("node", "value"), "dedup")
     near = _near(RINGS_TAU, RINGS)
-    close = connect(members, near, "dedup-close")
+    close = connect_nodes(nodes, near, "dedup-close")
     if close.isEmpty():
         return _labelled(rows, nodes, close, "node")
     wanted = close.select("node")
@@ -304,8 +348,8 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         fits = (na >= like * nb) & (nb >= like * na)
         return both.where(fits & (common >= like * (na + nb - common) - 1e-9)).select("a", "b")
 
-    members = written(members.join(broadcast_if_small(wanted), "node", "left_semi").select("key", "node", "value"), "dedup-members")
-    return _labelled(rows, nodes, connect(members, near, "dedup-alike", verify=verify), "node")
+    asked = nodes.join(broadcast_if_small(wanted), "node", "left_semi")
+    return _labelled(rows, nodes, connect_nodes(asked, near, "dedup-alike", verify), "node")
 
 
 def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
