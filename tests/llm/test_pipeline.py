@@ -9,7 +9,7 @@ from loomwork.llm import mixing as mx
 from loomwork.llm import wavelet as wv
 
 from .test_decontaminate import words
-from .test_simhash import classes, like
+from .test_simhash import classes
 
 SF = "/root/testdata/sf0.001"
 
@@ -73,8 +73,12 @@ def test_stages_against_brute_force(spark):
 
 def near_classes(text):
     """Classes of texts at a likeness of 0.8 or more, from all pairs."""
-    ids = sorted(text)
-    return classes(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if like(text[a], text[b]) >= 0.8])
+    ids, sets = sorted(text), {}
+    for d, t in text.items():
+        w = (t or "").split()
+        sets[d] = {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+    near = lambda a, b: len(a & b) >= 0.8 * len(a | b) - 1e-9
+    return classes(ids, [(a, b) for i, a in enumerate(ids) for b in ids[:i] if near(sets[a], sets[b])])
 
 
 def test_stages_with_nothing_and_with_odd_rows(spark, tmp_path):
