@@ -54,6 +54,8 @@ EPOCHS = 5
 RATE = 0.1
 #: Miss of the targets, as a share of the least, that ends the steps; share by which a step must lower the loss.
 CLOSE, STALL = 1e-4, 1e-3
+#: Most steps: a step is one aggregation over all rows.
+STEPS = 40
 WORD = re.compile(rb"[a-z\x80-\xff]+")
 CAPITALS = bytes(range(65, 91))
 
@@ -182,7 +184,7 @@ def _rate(steps: list[list[float]]) -> Column:
 def fit_rates(member: DataFrame, targets: dict[str, float]) -> tuple[list[list[float]], float]:
     """(step vectors of the projected gradient method over a written ``soft_membership`` table, largest miss of a
     target as a share of it).  Steps end when every target is met to CLOSE, or when a step no longer lowers
-    the loss by the share STALL: then the targets can't be met by these posteriors, and a warning says so."""
+    the loss by the share STALL, or after STEPS of them; a warning tells targets that are missed then."""
     d = len(DOMAINS)
     p = [F.col(f"p_{x}") for x in DOMAINS]
     first = member.agg(
@@ -199,7 +201,7 @@ def fit_rates(member: DataFrame, targets: dict[str, float]) -> tuple[list[list[f
     loss = lambda e: float((e - want) @ np.linalg.solve(gram, e - want))
     done: list[list[float]] = []
     before = np.inf
-    while np.abs(e - want).max() >= CLOSE * want.min() and loss(e) < (1 - STALL) * before:
+    while len(done) < STEPS and np.abs(e - want).max() >= CLOSE * want.min() and loss(e) < (1 - STALL) * before:
         before = loss(e)
         done.append(np.linalg.solve(gram, e - want).tolist())
         rated = member.withColumn("r", _rate(done))
@@ -207,7 +209,7 @@ def fit_rates(member: DataFrame, targets: dict[str, float]) -> tuple[list[list[f
         e = np.array([row[f"e{i}"] for i in range(d)])
     miss = float((np.abs(e - want) / want).max())
     if np.abs(e - want).max() >= CLOSE * want.min():
-        warnings.warn(f"mixing targets are missed by up to {miss:.2%} after {len(done)} steps: the posteriors can't meet them", stacklevel=2)
+        warnings.warn(f"mixing targets are missed by up to {miss:.2%} after {len(done)} steps", stacklevel=2)
     return done, miss
 
 

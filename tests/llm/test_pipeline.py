@@ -55,8 +55,9 @@ def test_stages_against_brute_force(spark):
     r = np.ones(len(t))
     e, before = t @ p, np.inf
     loss = lambda e: (e - want) @ np.linalg.solve(gram, e - want)
-    while np.abs(e - want).max() >= mx.CLOSE * want.min() and loss(e) < (1 - mx.STALL) * before:
-        before = loss(e)
+    turns = 0
+    while turns < mx.STEPS and np.abs(e - want).max() >= mx.CLOSE * want.min() and loss(e) < (1 - mx.STALL) * before:
+        before, turns = loss(e), turns + 1
         r = np.maximum(0, r - p @ np.linalg.solve(gram, e - want))
         e = (r * t) @ p
     times = {d: sets[3].count(d) for d in sets[2]}
