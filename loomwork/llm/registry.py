@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import compression_quality, decontaminate, line_chunks, merkle, mixing, oph, paragraphs, periodic, secrets, simhash, warc, wavelet
+from . import compression_quality, decontaminate, jaccard, line_chunks, merkle, mixing, oph, paragraphs, periodic, secrets, simhash, warc, wavelet
 
-MODULES = [warc, paragraphs, oph, decontaminate, mixing, line_chunks, wavelet, compression_quality, secrets, simhash, merkle, periodic]
+MODULES = [warc, paragraphs, oph, decontaminate, mixing, line_chunks, wavelet, compression_quality, secrets, simhash, merkle, periodic, jaccard]
 
 
 def queries() -> dict:
