@@ -13,8 +13,11 @@ Both are summed over all sets of at most LIGHT_MOST shingles.  Rarity and length
 shingle hashes; any order of the shingles gives the same links.
 
 Equal sets collapse first to one node, by 128 bits of hash.  Only keys that two nodes share are joined; each key's least node is compared with the others, first
-under an eighth of the keys, and what is already connected is not compared again, so the links of a group of near copies don't grow with its square.  Every
-candidate's exact intersection decides.
+under an eighth of the keys, and what is already connected is not compared again, so the links of a group of near copies don't grow with its square.
+
+A node has a bitmap of about half a bit a shingle, the parity of the hashes that fall on each bit.  The bits in which two differ are at most the shingles that
+only one has, so candidates that differ in more go without a look at their sets, and no pair is lost.  The sets of those that are left are
+read from their texts, and every candidate's exact intersection decides.
 
 Edge cases: null texts and texts without words have an empty set and link with nothing, component_id is their own doc_id; fewer words than a shingle make one
 shingle of all; rows without a doc_id take part, their component is its least doc_id that is not null, or null; rows that share a doc_id are rows of
@@ -30,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import (
@@ -107,6 +110,24 @@ def prefix_keys(s: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DE
     return mix64(s[first] ^ WEIGHTS[4])
 
 
+def parity_bits(s: np.ndarray) -> np.ndarray:
+    """Bitmap of a set: bit i is the parity of the number of hashes with i as their low bits; a power of two bits, 64 at least."""
+    width = max(64, 1 << (len(s) // 2).bit_length())
+    ones = np.bincount((mix64(s ^ WEIGHTS[3]) & _U(width - 1)).view(np.int64), minlength=width) & 1
+    return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def bits_apart(a: str, b: str) -> Column:
+    """Differing bits of two bitmaps, of which the wider one is folded to the width of the other (twice at most, as sizes that fit do)."""
+
+    def folded(x: str, y: str) -> Column:
+        half = lambda c: F.zip_with(F.slice(c, 1, F.size(c) / 2), F.slice(c, F.size(c) / 2 + 1, F.size(c) / 2), lambda u, v: u.bitwiseXOR(v))
+        return F.when(F.size(x) > F.size(y), half(F.col(x))).otherwise(F.col(x))
+
+    bits = F.zip_with(folded(a, b), folded(b, a), lambda u, v: F.bit_count(u.bitwiseXOR(v)))
+    return F.aggregate(bits, F.lit(0), lambda total, k: total + k)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64)).astype(np.int32)
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
@@ -193,7 +214,7 @@ def choose_boundary(nodes: DataFrame, counts, num: int = NUM, den: int = DEN) ->
 
 
 def large_keys(docs: DataFrame, text_col: str, counts, width: int, num: int, den: int) -> DataFrame:
-    """(h1, h2, keys) of the sets too large to be light; copies within a task come once."""
+    """(h1, h2, keys, bits) of the sets too large to be light; copies within a task come once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -204,33 +225,33 @@ def large_keys(docs: DataFrame, text_col: str, counts, width: int, num: int, den
                 for s in shingle_sets(texts[i:j], width):
                     if len(s) > LIGHT_MOST and (h := set_hashes(s)) not in seen:
                         seen.add(h)
-                        new.append((h, prefix_keys(s, counts.value, num, den)))
-                columns = [pa.array([h[x] for h, _ in new], pa.int64()) for x in (0, 1)]
-                yield pa.RecordBatch.from_arrays([*columns, _lists([k for _, k in new])], ["h1", "h2", "keys"])
+                        new.append((h, prefix_keys(s, counts.value, num, den), parity_bits(s)))
+                columns = [pa.array([h[x] for h, *_ in new], pa.int64()) for x in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*columns, *[_lists([x[i] for x in new]) for i in (1, 2)]], ["h1", "h2", "keys", "bits"])
 
-    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, keys array<long>")
+    return docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, keys array<long>, bits array<long>")
 
 
 def small_keys(nodes: DataFrame, counts, boundary: int, num: int, den: int) -> DataFrame:
-    """(node, n, keys) of the sets small enough to be light: subsets up to the boundary, and prefixes where a heavy set can link."""
+    """(node, n, keys, bits) of the sets small enough to be light: subsets up to the boundary, and prefixes where a heavy set can link."""
     least = -(-num * (boundary + 1) // den)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys = []
-            for s in b.column(2).to_pylist():
-                s = np.array(s, np.int64).view(np.uint64)
+            keys, sets = [], [np.array(s, np.int64).view(np.uint64) for s in b.column(2).to_pylist()]
+            for s in sets:
                 own = [subset_keys(s, num, den)] if len(s) <= boundary else []
                 own += [prefix_keys(s, counts.value, num, den)] if len(s) >= least else []
                 keys.append(np.concatenate(own))
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(keys)], ["node", "n", "keys"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(keys), _lists([parity_bits(s) for s in sets])], ["node", "n", "keys", "bits"])
 
-    return nodes.where(F.col("n") <= LIGHT_MOST).select("node", "n", "small").mapInArrow(run, "node long, n long, keys array<long>")
+    return nodes.where(F.col("n") <= LIGHT_MOST).select("node", "n", "small").mapInArrow(run, "node long, n long, keys array<long>, bits array<long>")
 
 
 def shared_members(keyed: DataFrame, name: str) -> DataFrame | None:
-    """Written (key, node, n) of written (node, n, keys), for keys of two nodes or more (and a few others by chance); None if there is none.
-    Keys are counted with map-side combination; a bitmap of those that matter sieves the nodes' keys."""
+    """Written (key, node, n) of written (node, n, keys), for keys of two nodes or more; None if there is none.
+    Keys are counted with map-side combination; a bitmap of those that matter sieves the nodes' keys, so few others are shuffled."""
+    keyed = keyed.select("node", "n", "keys")
     keys = keyed.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
     shared = written(keys.where("a <> b").select("key"), name + "-shared")
     if shared.isEmpty():
@@ -246,11 +267,11 @@ def shared_members(keyed: DataFrame, name: str) -> DataFrame | None:
             row = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column(0).take(row), b.column(1).take(row)], ["key", "node", "n"])
 
-    return written(keyed.mapInArrow(run, "key long, node long, n long"), name + "-members")
+    return written(keyed.mapInArrow(run, "key long, node long, n long").join(broadcast_if_small(shared), "key", "left_semi"), name + "-members")
 
 
 def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, width: int, name: str) -> DataFrame:
-    """Written (node, s) of ``wanted`` (node, h1, h2, n, small); large sets are read from the texts once more."""
+    """Written (node, n, v) of ``wanted`` (node, h1, h2, n, small); large sets are read from the texts once more."""
     sieve = Sieve(wanted, "h1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -264,12 +285,13 @@ def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, width: int, name:
                 yield pa.RecordBatch.from_arrays([pa.array(hashes[at, 0]), pa.array(hashes[at, 1]), _lists([sets[k] for k in at])], ["h1", "h2", "s"])
 
     large = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "h1 long, h2 long, s array<long>").groupBy("h1", "h2").agg(F.min("s").alias("s"))
-    large = wanted.where(F.col("n") > LIGHT_MOST).select("node", "h1", "h2").join(large, ["h1", "h2"]).select("node", "s")
-    return written(large.union(wanted.where(F.col("n") <= LIGHT_MOST).select("node", "small")), name + "-sets")
+    large = large.join(broadcast_if_small(wanted.where(F.col("n") > LIGHT_MOST).select("node", "n", "h1", "h2")), ["h1", "h2"]).select("node", "n", "s")
+    return written(large.union(wanted.where(F.col("n") <= LIGHT_MOST).select("node", "n", "small")).toDF("node", "n", "v"), name + "-sets")
 
 
-def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str) -> DataFrame | None:
-    """Written (node, root) of the nodes that pairs connect which share a key of ``members`` and whose ``sets`` link; None if none do.
+def link(members: DataFrame, values: DataFrame, good: Column, num: int, den: int, name: str) -> DataFrame | None:
+    """Written (node, root) of the nodes that pairs connect which share a key of ``members``, fit in size and whose ``values`` (node, n, v)
+    are ``good``, an expression in va, vb, na and nb; None if there are none.
 
     A key's least node (by root) is compared with those of other roots: under one key in SOME, then under all, then again; then all
     that is of different roots under a key.  Components of all links come out, and what is connected isn't compared again."""
@@ -278,11 +300,9 @@ def link(members: DataFrame, sets: DataFrame, num: int, den: int, name: str) ->
         return (den * F.least(a, b) >= num * F.greatest(a, b)) & (F.col("root") != F.col("ra"))
 
     def verified(pairs: DataFrame) -> DataFrame:
-        one = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-        other = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        common = F.size(F.array_intersect("sa", "sb"))
-        good = den * common >= num * (F.size("sa") + F.size("sb") - common)
-        return written(written(pairs.distinct(), name + "-near").join(one, "a").join(other, "b").where(good).select("a", "b"), name + "-links")
+        one, other = (values.select(*[F.col(c).alias(d + x) for c, d in (("node", ""), ("n", "n"), ("v", "v"))]) for x in "ab")
+        pairs = broadcast_if_small(written(pairs.distinct(), name + "-near"))
+        return written(one.join(pairs, "a").join(other, "b").where(good).select("a", "b"), name + "-links")
 
     comp = None
     for turn in range(4):
@@ -320,14 +340,20 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), name + "-nodes")
     counts = docs.sparkSession.sparkContext.broadcast(sketch_counts(read))
     boundary = choose_boundary(nodes, counts, num, den)
-    large = large_keys(docs, text_col, counts, width, num, den).groupBy("h1", "h2").agg(F.min("keys").alias("keys"))
-    large = nodes.where(F.col("n") > LIGHT_MOST).select("h1", "h2", "node", "n").join(large, ["h1", "h2"]).select("node", "n", "keys")
+    large = large_keys(docs, text_col, counts, width, num, den).groupBy("h1", "h2").agg(F.min("keys").alias("keys"), F.min("bits").alias("bits"))
+    large = nodes.where(F.col("n") > LIGHT_MOST).select("h1", "h2", "node", "n").join(large, ["h1", "h2"]).select("node", "n", "keys", "bits")
     keyed = written(large.union(small_keys(nodes, counts, boundary, num, den)), name + "-keys")
-    members, comp = shared_members(keyed, name), None
+    members, comp, close = shared_members(keyed, name), None, None
     if members is not None:
-        wanted = broadcast_if_small(written(members.select("node").distinct(), name + "-wanted"))
-        wanted = written(nodes.join(wanted, "node", "left_semi"), name + "-wanted")
-        comp = link(members, sets_of(docs, text_col, wanted, width, name), num, den, name)
+        most = F.col("na") + F.col("nb") - 2 * F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9)
+        bits = keyed.select("node", "n", F.col("bits").alias("v")).join(broadcast_if_small(members.select("node").distinct()), "node", "left_semi")
+        close = link(members, written(bits, name + "-bits"), bits_apart("va", "vb") <= most, num, den, name + "-close")
+    if close is not None:
+        wanted = broadcast_if_small(close.select("node"))
+        sets = sets_of(docs, text_col, written(nodes.join(wanted, "node", "left_semi"), name + "-wanted"), width, name)
+        common = F.size(F.array_intersect("va", "vb"))
+        exact = den * common >= num * (F.col("na") + F.col("nb") - common)
+        comp = link(written(members.join(wanted, "node", "left_semi"), name + "-asked"), sets, exact, num, den, name)
     grouped = nodes.select("h1", "h2", "node", "low", "copies")
     if comp is None:
         labels = grouped.where("copies > 1").select("h1", "h2", F.col("low").alias("component_id"))

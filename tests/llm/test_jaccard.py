@@ -88,6 +88,23 @@ def test_every_linked_pair_shares_a_key():
     assert min(tried.values()) > 20
 
 
+def test_bitmaps_differ_in_no_more_than_the_sets(spark):
+    rnd = np.random.default_rng(5)
+    rows = []
+    for n in (1, 3, 16, 60, 127, 128, 250, 1100):
+        for cut in (0, 1, n // 12, n // 7):
+            a = np.unique(rnd.integers(0, 2**64, n, dtype=np.uint64))
+            b = np.unique(np.append(a[cut:], rnd.integers(0, 2**64, cut // 2, dtype=np.uint64)))
+            if len(b):
+                rows.append((len(set(a.tolist()) ^ set(b.tolist())), *[jc.parity_bits(x).view(np.int64).tolist() for x in (a, b)]))
+        other = rnd.integers(0, 2**64, n, dtype=np.uint64)
+        rows.append((2 * n, *[jc.parity_bits(x).view(np.int64).tolist() for x in (a, other)]))
+    df = spark.createDataFrame(rows, "d long, a array<long>, b array<long>")
+    got = df.select("d", jc.bits_apart("a", "b").alias("x"), jc.bits_apart("b", "a").alias("y")).collect()
+    assert all(r.x == r.y <= r.d and (r.d - r.x) % 2 == 0 for r in got)
+    assert all(r.x > 0.162 * r.d / 2 for r in got if r.d > 100 and r.d % 2 == 0 and r.d in (120, 254, 256, 500, 2200))
+
+
 def test_many_near_copies_and_a_common_passage(spark):
     rnd = random.Random(8)
     base = [f"b{i}" for i in range(80)]
