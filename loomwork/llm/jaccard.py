@@ -26,7 +26,7 @@ their own; texts of any length are read whole; an empty table gives an empty res
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 from math import comb
 
@@ -192,6 +192,19 @@ def sketch_counts(read: DataFrame) -> np.ndarray:
     return counts.reshape(-1)
 
 
+def row_hashes(rows: DataFrame, width: int) -> DataFrame:
+    """(no, h1, h2) of rows (no, text): the hashes of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = utf8(b.column(1))
+            for i, j in slices(texts, SLICE):
+                hashes = [set_hashes(s) for s in shingle_sets(texts[i:j], width)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, j - i), *[pa.array([h[x] for h in hashes], pa.int64()) for x in (0, 1)]], ["no", "h1", "h2"])
+
+    return rows.mapInArrow(run, "no long, h1 long, h2 long")
+
+
 def choose_boundary(nodes: DataFrame, counts, num: int = NUM, den: int = DEN) -> int:
     """Most shingles of a light set: the boundary of least cost.  A set costs its enumerated subsets if it is light, else its indexed shingles
     and the lengths of their lists (the sketch's counters beyond their mean)."""
@@ -213,8 +226,8 @@ def choose_boundary(nodes: DataFrame, counts, num: int = NUM, den: int = DEN) ->
     return min(range(LIGHT_MOST + 1), key=lambda x: (light(x) + heavy(x), x))
 
 
-def large_keys(docs: DataFrame, text_col: str, counts, width: int, num: int, den: int) -> DataFrame:
-    """(h1, h2, keys, bits) of the sets too large to be light; copies within a task come once."""
+def large_keys(docs: DataFrame, text_col: str, counts, width: int, num: int, den: int, more: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
+    """(h1, h2, keys, bits) of the sets too large to be light; copies within a task come once.  ``more`` gives further keys of a set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = set()
@@ -225,7 +238,8 @@ def large_keys(docs: DataFrame, text_col: str, counts, width: int, num: int, den
                 for s in shingle_sets(texts[i:j], width):
                     if len(s) > LIGHT_MOST and (h := set_hashes(s)) not in seen:
                         seen.add(h)
-                        new.append((h, prefix_keys(s, counts.value, num, den), parity_bits(s)))
+                        keys = prefix_keys(s, counts.value, num, den)
+                        new.append((h, np.append(keys, more(s)) if more else keys, parity_bits(s)))
                 columns = [pa.array([h[x] for h, *_ in new], pa.int64()) for x in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*columns, *[_lists([x[i] for x in new]) for i in (1, 2)]], ["h1", "h2", "keys", "bits"])
 
@@ -331,16 +345,18 @@ def link(members: DataFrame, values: DataFrame, good: Column, num: int, den: int
     return comp
 
 
-def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(id, n, component_id) per row."""
-    name = "jaccard"
+def jaccard_nodes(
+    docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int, name: str, more: Callable[[np.ndarray], np.ndarray] | None = None,
+) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """Written rows (id, n, h1, h2), distinct sets (node, h1, h2, n, low, copies; low is the least id) and components (node, root) of the sets that links
+    connect, None if there are no links.  ``more`` gives further keys under which large sets are compared; links are the same without it."""
     read = _read(docs, id_col, text_col, width)
     rows = read.where("piece is null")
     nodes = rows.where("n > 0").groupBy("h1", "h2").agg(F.min("n").alias("n"), F.min("id").alias("low"), F.count("*").alias("copies"), F.min("small").alias("small"))
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), name + "-nodes")
     counts = docs.sparkSession.sparkContext.broadcast(sketch_counts(read))
     boundary = choose_boundary(nodes, counts, num, den)
-    large = large_keys(docs, text_col, counts, width, num, den).groupBy("h1", "h2").agg(F.min("keys").alias("keys"), F.min("bits").alias("bits"))
+    large = large_keys(docs, text_col, counts, width, num, den, more).groupBy("h1", "h2").agg(F.min("keys").alias("keys"), F.min("bits").alias("bits"))
     large = nodes.where(F.col("n") > LIGHT_MOST).select("h1", "h2", "node", "n").join(large, ["h1", "h2"]).select("node", "n", "keys", "bits")
     keyed = written(large.union(small_keys(nodes, counts, boundary, num, den)), name + "-keys")
     members, comp, close = shared_members(keyed, name), None, None
@@ -354,6 +370,13 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         common = F.size(F.array_intersect("va", "vb"))
         exact = den * common >= num * (F.col("na") + F.col("nb") - common)
         comp = link(written(members.join(wanted, "node", "left_semi"), name + "-asked"), sets, exact, num, den, name)
+    return rows.select("id", "n", "h1", "h2"), nodes.drop("small"), comp
+
+
+def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN) -> DataFrame:
+    """(id, n, component_id) per row."""
+    name = "jaccard"
+    rows, nodes, comp = jaccard_nodes(docs, id_col, text_col, width, num, den, name)
     grouped = nodes.select("h1", "h2", "node", "low", "copies")
     if comp is None:
         labels = grouped.where("copies > 1").select("h1", "h2", F.col("low").alias("component_id"))
@@ -361,8 +384,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         linked = written(grouped.join(broadcast_if_small(comp), "node", "left"), name + "-linked").where("copies > 1 or root is not null")
         least = written(linked.where("root is not null").groupBy("root").agg(F.min("low").alias("least")), name + "-least")
         labels = linked.join(broadcast_if_small(least), "root", "left").select("h1", "h2", F.when(F.col("root").isNull(), F.col("low")).otherwise(F.col("least")).alias("component_id"))
-    labels = written(labels.withColumn("n", F.lit(1)), name + "-labels")
-    out = rows.select("id", "n", "h1", "h2").join(broadcast_if_small(labels.withColumnRenamed("n", "known")), ["h1", "h2"], "left")
+    labels = written(labels.withColumn("known", F.lit(1)), name + "-labels")
+    out = rows.join(broadcast_if_small(labels), ["h1", "h2"], "left")
     # an empty set has the hash of no node
     return out.select("id", "n", F.when(F.col("known").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 

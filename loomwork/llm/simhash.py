@@ -15,10 +15,10 @@ before its full distance is taken.  No component can be lost.
 Keys are counted first; only fingerprints whose key is shared (a bitmap tells) are joined.  In a key, fingerprints are compared
 as ``connect_nodes`` says, so the links of a group of near copies do not grow with its square.
 
-``dedup_simhash`` is for whole corpora: shingles of DEDUP_WIDTH words, RINGS fingerprints of 64 bits each with its 30 keys; pairs
-that meet in a key and differ in at most RINGS_TAU of all RINGS x 64 bits are candidates, and count if the exact Jaccard likeness of
-their shingle sets is at least LIKE.  (At 4 bits of one fingerprint hardly any pair of that likeness would meet.)  Keys find a pair by
-chance here: 0.7 of pairs at likeness 0.8, 0.97 at 0.9, nearly all at 0.95; members of larger groups are reached by others too.
+``dedup_simhash`` is for whole corpora: texts link at an exact Jaccard likeness of LIKE or more of their sets of DEDUP_WIDTH-word shingles.  Candidates
+come from the pigeonring keys of RINGS fingerprints of 64 bits, made of the distinct shingles.  At that likeness fingerprints differ in far more than four bits and
+the keys find a pair by chance only, so the exact key family of ``jaccard`` (subsets of small sets, rarest shingles of large ones) is added: no
+link is missed.  Every link is checked against the sets themselves.
 
 Edge cases: null texts and texts without words have fingerprint 0 and link like any other;
 fewer words than the shingle width make one shingle of the whole sequence; rows with a
@@ -41,21 +41,16 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connected_components, mix64, read_table, runs, slices, span_hashes, utf8, written
+from .common import LOWER_ASCII, Sieve, broadcast_if_small, connected_components, mix64, read_table, utf8, written
+from .jaccard import jaccard_nodes, row_hashes
 
 TAU = 4
 #: (first bit, bits) of the five segments.
 SEGMENTS = ((0, 13), (13, 13), (26, 13), (39, 13), (52, 12))
 #: Shingle hashes taken at once when bits are counted, so that long texts need little memory.
 BLOCK = 1 << 15
-#: ``dedup_simhash``: words of a shingle, fingerprints, differing bits of all of them that a candidate may have, least Jaccard likeness.
-DEDUP_WIDTH, RINGS, RINGS_TAU, LIKE = 5, 4, 50, 0.8
-#: Differing bits that one of several fingerprints may have beyond its share of RINGS_TAU: they are split unevenly.
-SPARE = 8
-#: Bytes of text that are hashed at once; a longer text is hashed by itself.
-SLICE = 1 << 20
-BLANK = np.zeros(256, dtype=bool)
-BLANK[[9, 10, 11, 12, 13, 32]] = True
+#: ``dedup_simhash``: words of a shingle, fingerprints, least Jaccard likeness in hundredths.
+DEDUP_WIDTH, RINGS, LIKE = 5, 2, (80, 100)
 #: Low bits of a key that hold its number.
 KEY_BITS = 7
 #: Keys, all of one segment of one fingerprint, under which nodes are compared first.
@@ -211,8 +206,7 @@ def _distance(a: Column, b: Column, rings: int) -> Column:
 def _near(tau: int, rings: int) -> Callable[[Column, Column], Column]:
     """Chains of 2, 3 and 4 segments from the key's start within their budgets, then the full distance."""
     chains = [F.array(*[F.lit(_signed(c[j])) for _ in range(rings) for _, c in KEYS]) for j in range(3)]
-    share = tau if rings == 1 else tau // rings + SPARE
-    budgets = [length * share // len(SEGMENTS) for length in (2, 3, 4)]
+    budgets = [length * tau // len(SEGMENTS) for length in (2, 3, 4)]
 
     def near(a: Column, b: Column) -> Column:
         no = F.col("key").bitwiseAND((1 << KEY_BITS) - 1).cast("int")
@@ -258,126 +252,57 @@ def op10_simhash_pigeonring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def ring_fingerprints(texts: list[bytes], width: int = DEDUP_WIDTH) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """(node of each text, its RINGS fingerprints, its distinct shingle hashes), all texts at once."""
-    data = b"\n".join(texts).translate(LOWER_ASCII)
-    padded = np.frombuffer(data + bytes(8), dtype=np.uint8)
-    starts, ends = runs(~BLANK[padded[: len(data)]])
-    h, _ = span_hashes(padded, starts, ends)
-    begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
-    cuts = np.searchsorted(starts, begins)
-    words = np.diff(cuts)
-    n = np.where(words > 0, np.maximum(1, words - width + 1), 0)
-    total = np.zeros(len(h), dtype=np.uint64)
-    left = np.repeat(cuts[1:], words) - np.arange(len(h))
-    for i in range(min(width, len(h))):
-        has = left[: len(h) - i] > i
-        total[: len(h) - i][has] += h[i:][has] * WEIGHTS[i % len(WEIGHTS)] + np.uint64(i // len(WEIGHTS))
-    s = mix64(total)
-    keep = np.arange(len(h)) - np.repeat(cuts[:-1], words) < np.repeat(n, words)
-    s = s[keep]
-    at = np.cumsum(n) - n
-    some = np.flatnonzero(n)
-    fps = np.zeros((len(texts), RINGS), dtype=np.uint64)
+def ring_keys(s: np.ndarray) -> np.ndarray:
+    """Pigeonring keys of RINGS SimHash fingerprints over the distinct shingle hashes of a text."""
+    fps = np.zeros((1, RINGS), dtype=np.uint64)
     for r in range(RINGS):
-        votes = np.zeros((len(some), 64), dtype=np.int64)
-        mixed = mix64(s ^ mix64(np.array([r + 101], dtype=np.uint64)))
-        if len(some) == 1:  # a long text
-            for k in range(0, len(mixed), BLOCK):
-                votes[0] += np.unpackbits(mixed[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-        elif len(some):
-            bits = np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            votes = np.add.reduceat(bits, at[some], axis=0, dtype=np.int64)
-        fps[some, r] = np.packbits(2 * votes > n[some, None], axis=1, bitorder="little").view("<u8")[:, 0] if len(some) else 0
-    node = np.zeros(len(texts), dtype=np.uint64)
-    for r in range(RINGS):
-        node = mix64(node * WEIGHTS[0] + fps[:, r])
-    return node.view(np.int64), fps, [s[a : a + k] for a, k in zip(at, n)]
-
-
-def _rows(docs: DataFrame, id_col: str, text_col: str, width: int, make: Callable, schema: str) -> DataFrame:
-    """``make(ids, texts)`` gives the columns of ``schema`` for a slice of rows."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = utf8(b.column(1))
-            for i, j in slices(texts, SLICE):
-                yield pa.RecordBatch.from_arrays(make(b.column(0).slice(i, j - i), ring_fingerprints(texts[i:j], width)), [x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, schema)
-
-
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = DEDUP_WIDTH, like: float = LIKE) -> DataFrame:
-    """(id, node, component_id) per row, of rows with ids; texts link at a Jaccard likeness of ``like`` of their shingles."""
-
-    def marked(ids: pa.Array, made: tuple) -> list[pa.Array]:
-        node, fps, _ = made
-        listed = pa.FixedSizeListArray.from_arrays(pa.array(fps.view(np.int64).ravel()), RINGS).cast(pa.list_(pa.int64()))
-        return [ids, pa.array(node), listed]
-
-    rows = written(_rows(docs, id_col, text_col, width, marked, "id long, node long, value array<long>"), "dedup-rows")
-    nodes = written(rows.groupBy("node").agg(F.min("id").alias("low"), F.min("value").alias("value")), "dedup-nodes")
-    near = _near(RINGS_TAU, RINGS)
-    close = connect_nodes(nodes, near, "dedup-close")
-    if close.isEmpty():
-        return _labelled(rows, nodes, close, "node")
-    wanted = close.select("node")
-    asked = written(rows.join(broadcast_if_small(wanted), "node", "left_semi").groupBy("node").agg(F.min("id").alias("id")), "dedup-asked")
-    sieve = Sieve(wanted, "node")
-
-    def sets(ids: pa.Array, made: tuple) -> list[pa.Array]:
-        node, _, shingles = made
-        at = np.flatnonzero(sieve(node))
-        at = at[np.unique(node[at], return_index=True)[1]]
-        s = [np.unique(shingles[i]).view(np.int64) for i in at]
-        ends = np.append(0, np.cumsum(np.fromiter(map(len, s), np.int64, len(s)))).astype(np.int32)
-        flat = np.concatenate(s) if s else np.zeros(0, np.int64)
-        return [pa.array(node[at]), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat))]
-
-    ids = broadcast_if_small(asked.select("id").distinct()).withColumnRenamed("id", id_col)
-    texts = docs.withColumn(id_col, F.col(id_col).cast("long")).join(ids, id_col, "left_semi")
-    sets_of = _rows(texts, id_col, text_col, width, sets, "node long, s array<long>").join(broadcast_if_small(wanted), "node", "left_semi")
-    sets_of = written(sets_of.groupBy("node").agg(F.min("s").alias("s")), "dedup-sets")
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        one = sets_of.select(F.col("node").alias("a"), F.col("s").alias("sa"))
-        other = sets_of.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-        both = pairs.join(one, "a").join(other, "b")
-        na, nb = F.size("sa"), F.size("sb")
-        common = F.size(F.array_intersect("sa", "sb"))
-        fits = (na >= like * nb) & (nb >= like * na)
-        return both.where(fits & (common >= like * (na + nb - common) - 1e-9)).select("a", "b")
-
-    asked = nodes.join(broadcast_if_small(wanted), "node", "left_semi")
-    return _labelled(rows, nodes, connect_nodes(asked, near, "dedup-alike", verify), "node")
+        votes = np.zeros(64, dtype=np.int64)
+        for k in range(0, len(s), BLOCK):
+            mixed = mix64(s[k : k + BLOCK] ^ mix64(np.array([r + 101], dtype=np.uint64)))
+            votes += np.unpackbits(mixed.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        fps[0, r] = np.packbits(2 * votes > len(s), bitorder="little").view("<u8")[0]
+    return _key_columns(fps)[0]
 
 
 def dedup_simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group: the row whose id is its component's smallest.  Where rows share
-    that id, the one with the least text stays.  Rows without an id count as if they had one beyond all others, by a
-    hash of their text.  The rows to drop are the small side of the join."""
-    kind = docs.schema[id_col].dataType
-    lone = docs.where(F.col(id_col).isNull())
-    last = None
-    if not lone.isEmpty():
-        last = docs.agg(F.coalesce(F.max(F.col(id_col).cast("long")), F.lit(0))).first()[0]
-        stand_in = F.lit(last + 1).cast("long") + F.pmod(F.xxhash64(F.coalesce(text_col, F.lit(""))), F.lit(1 << 40))
-        named = docs.where(F.col(id_col).isNotNull()).withColumn(id_col, F.col(id_col).cast("long"))
-        docs = named.unionByName(lone.withColumn(id_col, stand_in))
-    labels = written(near_components(docs, id_col, text_col), "simhash-labels")
-    drop = written(labels.where(F.col("id") > F.col("component_id")).select("id").distinct(), "simhash-drop")
-    twice = written(labels.groupBy("id").count().where("count > 1").select("id"), "simhash-twice")
-    aside = written(drop.union(twice).distinct(), "simhash-aside")
-    kept = docs.join(broadcast_if_small(aside).withColumnRenamed("id", id_col), id_col, "left_anti").select(docs.columns)
-    if not twice.isEmpty():
-        again = written(twice.join(drop, "id", "left_anti").withColumnRenamed("id", id_col), "simhash-again")
-        packed = docs.join(broadcast_if_small(again), id_col, "left_semi").select(F.struct(*docs.columns).alias("row"))
-        text = F.struct(F.col(f"row.{text_col}").isNotNull().alias("has"), F.col(f"row.{text_col}").alias("text"))
-        least = packed.groupBy(F.col(f"row.{id_col}").alias("id")).agg(F.min_by("row", text).alias("row"))
-        kept = kept.unionByName(least.select("row.*"))
-    if last is not None:
-        kept = kept.withColumn(id_col, F.when(F.col(id_col) <= last, F.col(id_col)).cast(kind))
-    return kept
+    """One row of each group of near copies, with its own columns: the row of the least id (rows without one come last), then of the
+    least hash of its shingles and of its text.  Rows are decided one by one, also where they share an id.
+
+    What most rows need is known by their id: ids of one row that go, and ids no row of which is in a group.  Only rows that share an id
+    and have a near copy are set aside, written and hashed again.  The rows to drop are the small side of the join."""
+    name = "dedup"
+    rows, nodes, comp = jaccard_nodes(docs, id_col, text_col, DEDUP_WIDTH, *LIKE, name, ring_keys)
+    none = nodes.select("h1", "h2", F.col("node").alias("root")).where("false")
+    roots = none if comp is None else nodes.join(broadcast_if_small(comp), "node").select("h1", "h2", "root")
+    roots = broadcast_if_small(written(roots, name + "-roots"))
+    # a group is a component, or all rows of a set that is in none
+    group = F.when(F.col("root").isNull(), F.struct(F.lit(-1).cast("long").alias("root"), "h1", "h2")).otherwise(F.struct("root", F.lit(0).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "h1", "h2")
+    placed = rows.join(roots, ["h1", "h2"], "left").withColumn("group", group)
+    several = placed.groupBy("group").agg(F.count("*").alias("k"), F.min(order).alias("best")).where("k > 1")
+    several = written(several.select("group", "best"), name + "-groups")
+    member = written(placed.join(broadcast_if_small(several), "group").select("group", "id", "best", (order == F.col("best")).alias("stays")), name + "-members")
+    ids = broadcast_if_small(written(member.select("id").distinct(), name + "-ids"))
+    shared = rows.join(ids, rows["id"].eqNullSafe(ids["id"]), "left_semi").groupBy("id").agg(F.count("*").alias("k")).where("k > 1 or id is null")
+    shared = written(shared.select("id"), name + "-shared")
+    drop = member.where("not stays and id is not null").select("id").union(shared.where("id is not null")).distinct()
+    drop = broadcast_if_small(written(drop, name + "-drop")).withColumnRenamed("id", id_col)
+    kept = docs.join(drop, id_col, "left_anti").select(docs.columns)
+    if shared.isEmpty():
+        return kept
+    lone = not shared.where("id is null").isEmpty()
+    if lone:
+        kept = kept.where(F.col(id_col).isNotNull())
+    # the rows in question, each with a number of its own
+    held = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    held = held.join(broadcast_if_small(shared.where("id is not null")), "id", "left_semi").union(held.where("id is null" if lone else "false").select("id", "row", "text"))
+    held = written(held.withColumn("no", F.monotonically_increasing_id()), name + "-held")
+    marks = row_hashes(held.select("no", "text"), DEDUP_WIDTH).join(held.select("no", "id", F.xxhash64("text").alias("t")), "no")
+    marks = written(marks.join(roots, ["h1", "h2"], "left").withColumn("group", group).withColumn("order", order), name + "-marks")
+    first = marks.join(broadcast_if_small(several), "group").where("order = best").groupBy("group").agg(F.min(F.struct("t", "no")).alias("x")).select("x.no")
+    alone = marks.join(broadcast_if_small(several), "group", "left_anti").select("no")
+    stay = broadcast_if_small(written(first.union(alone), name + "-stay"))
+    return kept.unionByName(held.join(stay, "no", "left_semi").select("row.*"))
 
 
 QUERIES = {"op10_simhash_pigeonring": op10_simhash_pigeonring}
