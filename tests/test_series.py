@@ -57,11 +57,22 @@ def test_gaps_runs_and_curves_of_a_literal_series(spark):
 
 
 def test_event_log_roles(spark):
-    df = spark.sql("select id div 4 as case_id, concat('step', id % 4) as activity, timestamp'2024-01-01' + make_dt_interval(0, 0, id) as finished, id * 1.5 as cost, concat('p', id % 9) as worker from range(200)")
-    best = {}
-    for r in se.suggest_mapping(df).orderBy("score").collect():
-        best[r.role] = r.column
-    assert best == {"case": "case_id", "activity": "activity", "timestamp": "finished", "cost": "cost", "resource": "worker"}
+    df = spark.sql(
+        """select id div 4 as case_id, concat('step', id % 4) as activity, timestamp'2024-01-01' + make_dt_interval(0, 0, id + 5) as finished, timestamp'2024-01-01' + make_dt_interval(0, 0, id) as v2,
+        id * 1.5 as cost, concat('p', id % 9) as worker, id as row from range(200)"""
+    )
+    found = {(r.role, r.column): r.score for r in se.suggest_mapping(df).collect()}
+    best = {role: max((s, c) for (r, c), s in found.items() if r == role)[1] for role in se.NAME_PARTS}
+    assert best == {"case": "case_id", "activity": "activity", "timestamp": "finished", "start": "v2", "cost": "cost", "resource": "worker"}
+    # by hand: 50 cases, 4 activities and 9 workers in 200 rows
+    spread = {c: np.log(d) / np.log(200) for c, d in (("case_id", 50), ("activity", 4), ("worker", 9))}
+    want = {
+        ("case", "case_id"): 2 * spread["case_id"] * (1 - spread["case_id"]) + 0.5, ("activity", "activity"): 1 - spread["activity"] / 2, ("activity", "worker"): 0.5 - spread["worker"] / 2,
+        ("resource", "worker"): 1 - abs(2 * spread["worker"] - 0.6) / 2, ("start", "v2"): 0.5, ("start", "finished"): 0.0, ("timestamp", "v2"): 0.5, ("cost", "cost"): 1.0,
+    }
+    assert {k: found[k] for k in want} == pytest.approx({k: round(v, 3) for k, v in want.items()}, abs=0.03)
+    assert found.get(("case", "row"), 0.0) < 0.02 and ("timestamp", "worker") not in found
+    assert se.name_parts("OrderID_startedAt2") == {"order", "id", "started", "at"}
 
 
 def test_no_link_is_lost(spark):

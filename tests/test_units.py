@@ -118,3 +118,15 @@ def test_dayfirst_looks_at_the_whole_column(spark):
         assert sniff_dayfirst(df, "d") == want
     odd = spark.createDataFrame([(v,) for v in ["13/02/2024", *early, "soon"]], "d string").coalesce(1)
     assert sniff_dayfirst(odd, "d") is None
+
+
+def test_what_moves_in_a_page_is_no_change(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["Seen 12:30:05 by 7 people", "  2024-05-01T10:00:00Z  news", "built deadbeefdeadbeef01 today", "Posted 5 minutes ago", "5 minutes left", "12 apples", "ago", "day ago", "face 3 days", ""]
+    want = ["seen by 7 people", "news", "built today", "posted", "5 minutes left", "12 apples", "", "", "face 3 days", ""]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    assert [r.y for r in df.select(tj.stable_line(F.col("x")).alias("y")).collect()] == want
+    page = lambda rows: spark.createDataFrame(rows, "k int, t string")
+    got = tj.page_changes(page([(1, "a 10:00\nb"), (1, "c"), (2, "x")]), page([(1, "a 11:00\nc\nd\nd"), (3, "n"), (4, None)]), "k", "t")
+    assert sorted(map(tuple, got.collect())) == [(1, "added", "d"), (1, "removed", "b"), (2, "removed", "x"), (3, "added", "n")]
