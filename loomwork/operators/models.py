@@ -7,6 +7,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, MultilayerPerceptronClassifier, RandomForestClassifier
 from pyspark.ml.clustering import KMeans
@@ -348,3 +349,53 @@ def pareto_front(df: DataFrame, x: str, y: str) -> DataFrame:
     w = Window.partitionBy("_p").orderBy(x).rowsBetween(Window.unboundedPreceding, -1)
     stand = r.withColumn("_b", F.min("_y").over(w)).join(F.broadcast(carry), "_p").where(F.col("_y") < F.coalesce(F.least("_b", "_c"), F.lit(float("inf"))))
     return df.join(stand.select(F.col(x).alias("_x"), "_y"), (F.col(x) == F.col("_x")) & (F.col(y) == F.col("_y"))).drop("_x", "_y")
+
+
+#: Quantile cells along each objective of ``skyline``.
+CELLS = 8
+
+
+def _front(points: np.ndarray) -> np.ndarray:
+    """Places of the points that no other one dominates (all coordinates at most as large, one smaller)."""
+    order = np.argsort(points.sum(axis=1), kind="stable")
+    left = order
+    kept = []
+    while len(left):
+        p = points[left[0]]  # least sum of what is left: nothing dominates it
+        kept.append(left[0])
+        worse = (points[left] >= p).all(axis=1)
+        left = left[~worse]
+    return np.array(kept, dtype=np.int64)
+
+
+def skyline(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows that no other row beats in all objectives (smaller is better; equal rows all stand).
+
+    Distinct points fall into a grid of quantile cells; a cell that is behind a filled one in every objective goes whole.  Points are thinned to
+    their batch's own front; those left are compared with the fronts of cells that are not behind them in any objective."""
+    k = len(columns)
+    points = df.where(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in columns)).select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(columns)]).distinct()
+
+    def thin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = np.column_stack([c.to_numpy(zero_copy_only=False) for c in b.columns])
+            yield b.take(pa.array(_front(values)))
+
+    local = stored(points.mapInArrow(thin, points.schema), "skyline-local")
+    cuts = local.approxQuantile([f"v{i}" for i in range(k)], [j / CELLS for j in range(1, CELLS)], 0.01)
+    cell = lambda i: sum(((F.col(f"v{i}") > x).cast("int") for x in sorted(set(cuts[i]))), F.lit(0))
+    local = stored(local.withColumns({f"c{i}": cell(i) for i in range(k)}), "skyline-cells")
+    filled = stored(local.select(*[f"c{i}" for i in range(k)]).distinct(), "skyline-filled")  # CELLS^k rows at most
+    ahead = filled.select(*[F.col(f"c{i}").alias(f"d{i}") for i in range(k)])
+    behind = " and ".join(f"d{i} < c{i}" for i in range(k))
+    live = filled.join(F.broadcast(ahead), F.expr(behind), "left_anti")
+    open_ = stored(local.join(F.broadcast(live), [f"c{i}" for i in range(k)]), "skyline-open")
+    rivals = open_.select(*[F.col(f"v{i}").alias(f"w{i}") for i in range(k)], *[F.col(f"c{i}").alias(f"d{i}") for i in range(k)])
+    # each live cell meets the live cells that are not behind it
+    pairs = live.join(F.broadcast(live.select(*[F.col(f"c{i}").alias(f"d{i}") for i in range(k)])), F.expr(" and ".join(f"d{i} <= c{i}" for i in range(k))))
+    met = open_.join(broadcast_if_small(stored(pairs, "skyline-pairs")), [f"c{i}" for i in range(k)])
+    beaten = met.join(rivals, [f"d{i}" for i in range(k)]).where(F.expr(" and ".join(f"w{i} <= v{i}" for i in range(k))) & F.expr(" or ".join(f"w{i} < v{i}" for i in range(k))))
+    gone = stored(beaten.select(*[f"v{i}" for i in range(k)]).distinct(), "skyline-beaten")
+    front = open_.join(broadcast_if_small(gone), [f"v{i}" for i in range(k)], "left_anti").select(*[f"v{i}" for i in range(k)])
+    same = [F.col(c).cast("double") == F.col(f"v{i}") for i, c in enumerate(columns)]
+    return df.join(broadcast_if_small(stored(front, "skyline-front")), same, "left_semi")

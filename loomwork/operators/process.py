@@ -173,6 +173,55 @@ def conform_steps(log: DataFrame, reference: list[str]) -> DataFrame:
     )
 
 
+def slot(*activities: str, optional: tuple[str, ...] = ()) -> list[tuple[str, bool]]:
+    """A place in an expected process: one activity, or several that may come in any order; ``optional`` ones may be missing."""
+    return [(a, False) for a in activities] + [(a, True) for a in optional]
+
+
+def slot_deviations(log: DataFrame, slots: list[list[tuple[str, bool]]]) -> DataFrame:
+    """(variant, n, inserted, repeated, skipped, reordered, fits) of each distinct trace against slots in order.
+
+    ``inserted`` and ``repeated`` name activities, ``skipped`` those that must be there and are not, ``reordered`` pairs "x before y" of which y belongs
+    to an earlier slot, by first occurrences.  The pairs come from one fold along the trace, whose state is what has been seen of each slot."""
+    names = [a for members in slots for a, _ in members]
+    if len(set(names)) < len(names) or not names:
+        raise ValueError("an activity belongs to one slot, and there must be one")
+    place = F.create_map(*[x for i, members in enumerate(slots) for a, _ in members for x in (F.lit(a), F.lit(i))])
+    known = F.array(*[F.lit(a) for a in names])
+    must = F.array(*[F.lit(a) for members in slots for a, free in members if not free]).cast("array<string>")
+    v = traces(log).groupBy("trace").agg(F.count("*").alias("n"))
+    v = v.withColumns({"_known": F.filter("trace", lambda x: F.array_contains(known, x)), "_other": F.filter("trace", lambda x: ~F.array_contains(known, x))})
+    v = v.withColumn("_first", F.array_distinct("_known"))
+    start = F.struct(F.array_repeat(F.array().cast("array<string>"), len(slots)).alias("seen"), F.array().cast("array<string>").alias("pairs"))
+
+    def step(state, x):
+        at = F.element_at(place, x)
+        late = F.flatten(F.slice(state["seen"], at + 2, F.lit(len(slots))))
+        pairs = F.concat(state["pairs"], F.transform(late, lambda y: F.concat(y, F.lit(" before "), x)))
+        seen = F.transform(state["seen"], lambda s, i: F.when(i == at, F.concat(s, F.array(x))).otherwise(s))
+        return F.struct(seen.alias("seen"), pairs.alias("pairs"))
+
+    out = v.select(
+        F.array_join("trace", " > ").alias("variant"), "n", F.array_distinct("_other").alias("inserted"),
+        F.filter("_first", lambda a: F.size(F.filter("_known", lambda x: x == a)) > 1).alias("repeated"), F.array_except(must, "trace").alias("skipped"),
+        F.aggregate("_first", start, step, lambda state: state["pairs"]).alias("reordered"),
+    )
+    kinds = ("inserted", "repeated", "skipped", "reordered")
+    return out.withColumn("fits", sum((F.size(k) for k in kinds), F.lit(0)) == 0)
+
+
+def slot_summary(deviations: DataFrame) -> DataFrame:
+    """(kind, detail, cases) over all cases; kind ``fits`` counts those without any."""
+    kinds = ("inserted", "repeated", "skipped", "reordered")
+
+    def named(kind: str):
+        return lambda d: F.struct(F.lit(kind).alias("kind"), d.alias("detail"))
+
+    fits = F.filter(F.array(named("fits")(F.lit(""))), lambda _: F.col("fits"))
+    each = F.concat(*[F.transform(k, named(k)) for k in kinds], fits)
+    return deviations.select("n", F.explode(each).alias("d")).groupBy("d.kind", "d.detail").agg(F.sum("n").alias("cases"))
+
+
 #: Most activities of a way through the model that a skip may stand for, ends included.
 WAY = 8
 

@@ -120,3 +120,7 @@ def register(r: Registry) -> None:
     add("ml_forecast__holt_winters", "orders", lambda d: md.forecast(monthly(d), ["o_orderpriority"]))
     add("ml_pareto", "part", lambda d: md.pareto_front(d.select("p_partkey", F.col("p_size").cast("double").alias("x"), F.col("p_retailprice").alias("y")), "x", "y"),
         "SELECT p_partkey, p_size::DOUBLE AS x, p_retailprice AS y FROM part a WHERE NOT EXISTS (SELECT 1 FROM part b WHERE b.p_size <= a.p_size AND b.p_retailprice <= a.p_retailprice AND (b.p_size < a.p_size OR b.p_retailprice < a.p_retailprice))")
+    three = lambda d: d.select("l_orderkey", "l_linenumber", (-F.col("l_quantity")).cast("double").alias("x"), F.col("l_extendedprice").alias("y"), (-F.col("l_discount")).alias("z"))
+    add("ml_pareto__three", "lineitem", lambda d: md.skyline(three(d), ["x", "y", "z"]),
+        """WITH p AS (SELECT l_orderkey, l_linenumber, -l_quantity::DOUBLE AS x, l_extendedprice AS y, -l_discount AS z FROM lineitem), u AS (SELECT x, z, min(y) AS y FROM p GROUP BY 1, 2)
+           SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.x <= a.x AND b.y <= a.y AND b.z <= a.z AND (b.x < a.x OR b.y < a.y OR b.z < a.z))""")

@@ -52,6 +52,10 @@ def raw(events):
     return events.sparkSession.sql(RAW, t=events)
 
 
+#: View and (if at all) click in any order, then purchase.
+SLOTS = [pm.slot("view", optional=("click",)), pm.slot("purchase")]
+
+
 def register(r: Registry) -> None:
     add = r.add
     add("el_parse", "events", lambda e: raw(e).select("event_id", el.parse_timestamp(F.col("raw"), "Europe/Madrid").alias("p")).select("event_id", F.col("p.ts").cast("timestamp_ntz").alias("ts"), "p.problem"),
@@ -107,6 +111,14 @@ def register(r: Registry) -> None:
         f"""WITH {L}, {T}, v AS (SELECT trace, variant, count(*) AS n FROM t GROUP BY 1, 2), k AS (SELECT *, list_filter(trace, lambda x: x IN {tuple(REF)}) AS known FROM v),
             f AS (SELECT *, list_distinct(known) AS u, list_filter({REF}, lambda x: NOT list_contains(trace, x)) AS sk, list_transform(list_sort(list_transform(list_distinct(known), lambda x: list_position(known, x))), lambda p: list_position({REF}, known[p])) AS place FROM k)
             SELECT variant, n, len(trace) - len(known) AS inserted, len(known) - len(u) AS repeated, array_to_string(sk, ',') AS skipped, place <> list_sort(place) AS reordered FROM f""")
+    add("pm_conform_steps__slots", "events", lambda e: pm.slot_summary(pm.slot_deviations(log(e), SLOTS)),
+        f"""WITH {L}, {T}, v AS (SELECT trace, count(*) AS n FROM t GROUP BY 1), k AS (SELECT *, row_number() OVER () AS i, list_filter(trace, lambda x: x IN ('view', 'click', 'purchase')) AS known FROM v),
+            u AS (SELECT i, n, x, min(p) AS p, count(*) AS c FROM (SELECT i, n, unnest(known) AS x, generate_subscripts(known, 1) AS p FROM k) GROUP BY 1, 2, 3),
+            s AS (SELECT *, CASE x WHEN 'purchase' THEN 1 ELSE 0 END AS slot FROM u),
+            d AS (SELECT i, n, 'inserted' AS kind, unnest(list_distinct(list_filter(trace, lambda x: x NOT IN ('view', 'click', 'purchase')))) AS detail FROM k
+                UNION ALL SELECT i, n, 'repeated', x FROM u WHERE c > 1 UNION ALL SELECT i, n, 'skipped', m FROM k, (SELECT unnest(['view', 'purchase']) AS m) WHERE NOT list_contains(trace, m)
+                UNION ALL SELECT a.i, a.n, 'reordered', a.x || ' before ' || b.x FROM s a JOIN s b USING (i) WHERE a.p < b.p AND b.slot < a.slot)
+            SELECT kind, detail, CAST(sum(n) AS BIGINT) AS cases FROM d GROUP BY 1, 2 UNION ALL SELECT 'fits', '', CAST(sum(n) AS BIGINT) FROM k WHERE i NOT IN (SELECT i FROM d) HAVING count(*) > 0""")
     add("pm_conform_transitions", "events", lambda e: pm.conform_transitions(log(e), [("view", "click"), ("click", "purchase"), ("view", "view")], ["view"], ["purchase"]),
         f"""WITH {L}, {S}, k AS (SELECT *, CASE WHEN (activity, nxt) IN (('view', 'click'), ('click', 'purchase'), ('view', 'view')) THEN 'a' WHEN (activity, nxt) IN (('click', 'view'), ('purchase', 'click')) THEN 'r'
                 WHEN (activity, nxt) = ('view', 'purchase') THEN 's' WHEN activity IN ('view', 'click', 'purchase') AND nxt IN ('view', 'click', 'purchase') THEN 'u' END AS kind FROM s),

@@ -27,9 +27,9 @@ class Registry:
 
 
 def collect() -> Registry:
-    from . import analysis_queries, process_queries, quality_queries, series_queries, source_queries, step_queries, text_queries
+    from . import analysis_queries, effect_queries, process_queries, quality_queries, series_queries, source_queries, step_queries, text_queries
 
     r = Registry()
-    for module in (step_queries, quality_queries, analysis_queries, process_queries, text_queries, series_queries, source_queries):
+    for module in (step_queries, quality_queries, analysis_queries, process_queries, text_queries, series_queries, effect_queries, source_queries):
         module.register(r)
     return r
