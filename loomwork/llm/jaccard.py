@@ -15,7 +15,7 @@ shingle hashes; any order of the shingles gives the same links.
 Equal sets collapse first to one node, by 128 bits of hash.  Only keys that two nodes share are joined; each key's least node is compared with the others, first
 under an eighth of the keys, and what is already connected is not compared again, so the links of a group of near copies don't grow with its square.
 
-A node has a bitmap of about half a bit a shingle, the parity of the hashes that fall on each bit.  The bits in which two differ are at most the shingles that
+A node has a bitmap of one or two bits a shingle, the parity of the hashes that fall on each bit.  The bits in which two differ are at most the shingles that
 only one has, so candidates that differ in more go without a look at their sets, and no pair is lost.  The sets of those that are left are
 read from their texts, and every candidate's exact intersection decides.
 
@@ -33,7 +33,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (
@@ -47,8 +47,8 @@ LIGHT_MOST = 16
 SKETCH_BITS, PIECE_BITS = 22, 14
 #: Bytes of text that are hashed at once; a longer text is hashed by itself.
 SLICE = 1 << 20
-#: One in so many keys is joined first.
-SOME = 8
+#: One in so many keys is joined first; nodes drawn of each key that is still open.
+SOME, DRAWS = 8, 8
 _U = np.uint64
 BLANK = np.zeros(256, dtype=bool)
 BLANK[[9, 10, 11, 12, 13, 32]] = True
@@ -112,7 +112,7 @@ def prefix_keys(s: np.ndarray, counts: np.ndarray, num: int = NUM, den: int = DE
 
 def parity_bits(s: np.ndarray) -> np.ndarray:
     """Bitmap of a set: bit i is the parity of the number of hashes with i as their low bits; a power of two bits, 64 at least."""
-    width = max(64, 1 << (len(s) // 2).bit_length())
+    width = max(64, 1 << len(s).bit_length())
     ones = np.bincount((mix64(s ^ WEIGHTS[3]) & _U(width - 1)).view(np.int64), minlength=width) & 1
     return np.packbits(ones.astype(np.uint8), bitorder="little").view(np.uint64)
 
@@ -128,6 +128,12 @@ def bits_apart(a: str, b: str) -> Column:
     return F.aggregate(bits, F.lit(0), lambda total, k: total + k)
 
 
+def most_apart(a: str, b: str, num: int, den: int) -> Column:
+    """Shingles that only one of two linked sets of these sizes has, at most."""
+    both = F.col(a) + F.col(b)
+    return both - 2 * F.ceil(num * both / (num + den) - 1e-9)
+
+
 def _lists(parts: list[np.ndarray]) -> pa.Array:
     ends = np.append(0, np.cumsum([len(p) for p in parts], dtype=np.int64)).astype(np.int32)
     flat = np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)
@@ -303,16 +309,19 @@ def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, width: int, name:
     return written(large.union(wanted.where(F.col("n") <= LIGHT_MOST).select("node", "n", "small")).toDF("node", "n", "v"), name + "-sets")
 
 
-def link(members: DataFrame, values: DataFrame, good: Column, num: int, den: int, name: str) -> DataFrame | None:
+def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, num: int, den: int, name: str) -> DataFrame | None:
     """Written (node, root) of the nodes that pairs connect which share a key of ``members``, fit in size and whose ``values`` (node, n, v)
-    are ``good``, an expression in va, vb, na and nb; None if there are none.
+    are ``good``, an expression in va, vb, na and nb; None if there are none.  ``bits`` (node, v) are their bitmaps.
 
-    A key's least node (by root) is compared with those of other roots: under one key in SOME, then under all, then again; then all
-    that is of different roots under a key.  Components of all links come out, and what is connected isn't compared again."""
+    A key's least node (by root) is compared with those of other roots: under one key in SOME, then under all.  Of what is still of different roots under a key,
+    DRAWS nodes drawn by a hash are compared with all others, and at last all with all; there bitmaps decide within the join.  Components of
+    all links come out, and what is connected isn't compared again."""
 
     def fits(a: str, b: str):
         return (den * F.least(a, b) >= num * F.greatest(a, b)) & (F.col("root") != F.col("ra"))
 
+    alike = bits_apart("v", "va") <= most_apart("n", "na", num, den)
+
     def verified(pairs: DataFrame) -> DataFrame:
         one, other = (values.select(*[F.col(c).alias(d + x) for c, d in (("node", ""), ("n", "n"), ("v", "v"))]) for x in "ab")
         pairs = broadcast_if_small(written(pairs.distinct(), name + "-near"))
@@ -331,12 +340,18 @@ def link(members: DataFrame, values: DataFrame, good: Column, num: int, den: int
                 continue
             break
         labelled = written(labelled.join(broadcast_if_small(first.select("key")), "key", "left_semi"), name + "-open")
-        if turn < 3:
+        if turn < 2:
             pairs = labelled.join(first, "key").where(fits("n", "na"))
         else:
-            odd = labelled.join(first.select("key", F.col("ra").alias("main")), "key").where("root <> main")
-            odd = written(odd.select("key", "main", F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na")), name + "-odd")
-            pairs = labelled.join(odd, "key").where(fits("n", "na") & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))))
+            labelled = written(labelled.join(bits, "node"), name + "-marked")
+            if turn == 2:
+                odd = labelled.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node")))).where(F.col("no") <= DRAWS)
+            else:
+                odd = labelled.join(first.select("key", F.col("ra").alias("main")), "key").where("root <> main")
+            main = F.col("main") if turn == 3 else F.col("root")
+            odd = written(odd.select("key", main.alias("main"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("v").alias("va")), name + "-odd")
+            once = F.lit(True) if turn == 2 else (F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))
+            pairs = labelled.join(odd, "key").where(fits("n", "na") & once & alike)
         links = verified(pairs.select("a", F.col("node").alias("b")))
         if links.isEmpty():
             continue
@@ -361,15 +376,15 @@ def jaccard_nodes(
     keyed = written(large.union(small_keys(nodes, counts, boundary, num, den)), name + "-keys")
     members, comp, close = shared_members(keyed, name), None, None
     if members is not None:
-        most = F.col("na") + F.col("nb") - 2 * F.ceil(num * (F.col("na") + F.col("nb")) / (num + den) - 1e-9)
         bits = keyed.select("node", "n", F.col("bits").alias("v")).join(broadcast_if_small(members.select("node").distinct()), "node", "left_semi")
-        close = link(members, written(bits, name + "-bits"), bits_apart("va", "vb") <= most, num, den, name + "-close")
+        bits = written(bits, name + "-bits")
+        close = link(members, bits.select("node", "v"), bits, bits_apart("va", "vb") <= most_apart("na", "nb", num, den), num, den, name + "-close")
     if close is not None:
         wanted = broadcast_if_small(close.select("node"))
         sets = sets_of(docs, text_col, written(nodes.join(wanted, "node", "left_semi"), name + "-wanted"), width, name)
         common = F.size(F.array_intersect("va", "vb"))
         exact = den * common >= num * (F.col("na") + F.col("nb") - common)
-        comp = link(written(members.join(wanted, "node", "left_semi"), name + "-asked"), sets, exact, num, den, name)
+        comp = link(written(members.join(wanted, "node", "left_semi"), name + "-asked"), bits.select("node", "v"), sets, exact, num, den, name)
     return rows.select("id", "n", "h1", "h2"), nodes.drop("small"), comp
 
 
