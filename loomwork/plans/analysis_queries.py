@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import models as md
 from ..operators import stats as sa
+from ..operators import training as tr
+from ..operators.profile import column_roles
 from ..operators.ranks import global_rank, mid_ranks
 from .registry import Registry
 
@@ -124,3 +126,21 @@ def register(r: Registry) -> None:
     add("ml_pareto__three", "lineitem", lambda d: md.skyline(three(d), ["x", "y", "z"]),
         """WITH p AS (SELECT l_orderkey, l_linenumber, -l_quantity::DOUBLE AS x, l_extendedprice AS y, -l_discount AS z FROM lineitem), u AS (SELECT x, z, min(y) AS y FROM p GROUP BY 1, 2)
            SELECT * FROM p a WHERE NOT EXISTS (SELECT 1 FROM u b WHERE b.x <= a.x AND b.y <= a.y AND b.z <= a.z AND (b.x < a.x OR b.y < a.y OR b.z < a.z))""")
+    add("ml_split__strata", "orders", lambda d: tr.split(d.select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["o_orderkey"]).groupBy("o_orderstatus").agg(F.count_if(~F.col("held_out")).alias("train"), F.count_if("held_out").alias("test")),
+        "SELECT o_orderstatus, CAST(n - t AS BIGINT) AS train, CAST(t AS BIGINT) AS test FROM (SELECT o_orderstatus, count(*) AS n, least(count(*) - 1, greatest(1, round(0.2 * count(*)))) AS t FROM orders GROUP BY 1)")
+    add("ml_train__cv", "lineitem", lambda d: tr.cross_validate(d, "l_extendedprice", feats, key))
+    add("ml_train__cv_classes", "lineitem", lambda d: tr.cross_validate(d, "l_linestatus", ["l_quantity", "l_returnflag"], key, "logistic", 3))
+    add("ml_train__ridge", "lineitem", lambda d: md.regression_metrics(md.train(d, "l_extendedprice", feats, key, "ridge")[1]))
+    add("ml_train__gradient_boosting", "part", lambda d: md.regression_metrics(md.train(d, "p_retailprice", ["p_size", "p_type"], ["p_partkey"], "gradient_boosting")[1]))
+
+    def kept(d):
+        """A stored model, loaded twice, gives the same predictions."""
+        tr.train_saved(d, "l_extendedprice", feats, key, "price")
+        model, _ = tr.load_model(d.sparkSession, "price")
+        both = model.transform(tr.predict_saved(d, "price").withColumnRenamed("prediction", "first"))
+        return both.agg(F.count("*").alias("n"), F.count_if(F.abs(F.col("prediction") - F.col("first")) < 1e-9).alias("equal"))
+
+    add("ml_predict__saved", "lineitem", kept, "SELECT count(*) AS n, count(*) AS equal FROM lineitem")
+    add("ml_roles", "lineitem", lambda d: d.sparkSession.createDataFrame([(c, "numeric" if r == "numeric" else "other", md.is_id_like(d, c)) for c, r in column_roles(d.schema).items()], "name string, role string, id_like boolean"),
+        """SELECT name, CASE WHEN name IN ('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax') THEN 'numeric' ELSE 'other' END AS role, coalesce(d > 30 AND d > 0.05 * n, false) AS id_like
+           FROM (SELECT column_name AS name FROM duckdb_columns() WHERE table_name = 'lineitem') LEFT JOIN (SELECT 'l_shipdate' AS name, count(DISTINCT l_shipdate) AS d, count(*) AS n FROM lineitem) USING (name)""")

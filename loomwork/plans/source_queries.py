@@ -172,6 +172,15 @@ def register(r: Registry) -> None:
     add("src_json", "orders", json_flat, "SELECT o_orderkey, o_custkey AS c_o_custkey, o_orderstatus AS c_s_o_orderstatus FROM orders")
     add("src_folder", "customer", folder, "SELECT c_custkey, c_mktsegment, CASE WHEN c_custkey % 2 = 1 THEN c_nationkey END AS c_nationkey FROM customer")
     add("src_records", "events", records, "SELECT event_id, event_type AS what_event_type, round(value, 4) AS what_value, '[' || user_id || ']' AS users, date_trunc('second', ts) AS at FROM events")
+    def mixed(e):
+        number = F.when(F.col("event_id") % 2 == 0, F.col("event_id").cast("string")).otherwise(F.concat(F.col("event_id").cast("string"), F.lit(".5")))
+        value = F.when(F.col("event_id") % 3 == 0, F.concat(F.lit('"'), "event_type", F.lit('"'))).otherwise(F.col("event_id").cast("string"))
+        made = F.format_string('{"id":%s,"who":{"u":%s},"v":%s,"n":%s%s,"from":%s,"to":%s}', "event_id", "user_id", value, number, F.when(F.col("event_id") % 5 == 0, ',"odd":[1]').otherwise(""), F.lit("86400"), F.col("event_id") * 43200)
+        return rd.read_mixed_records(e.select(made.alias("j")), "j", ["to"], {"days": ("from", "to")})
+
+    add("src_records__mixed", "events", mixed,
+        """SELECT event_id AS id, user_id AS who_u, CASE WHEN event_id % 3 = 0 THEN event_type ELSE event_id::VARCHAR END AS v, event_id + CASE WHEN event_id % 2 = 0 THEN 0.0 ELSE 0.5 END::DOUBLE AS n, CASE WHEN event_id % 5 = 0 THEN '[1]' END AS odd,
+           86400::BIGINT AS "from", round((event_id * 43200 - 86400) / 86400.0, 1) AS days, make_timestamp(event_id * 43200 * 1000000) AS "to" FROM events""")
     add("snk_append_cols", "part", lambda d: rd.write_output(d.select("p_partkey", "p_size"), d.select("p_partkey", (F.col("p_size") * 2).alias("score")), ["p_partkey"]), "SELECT p_partkey, p_size, p_size * 2 AS score FROM part")
     add("snk_handoff", "part", lambda d: rd.handoff(d, ["p_partkey"], ["p_partkey", "p_brand"], "p_size > 10")[0], "SELECT p_partkey, p_brand FROM part WHERE p_size > 10 ORDER BY p_partkey LIMIT 2000")
     add("snk_handoff__print", "part", lambda d: rd.handoff(d, ["p_partkey"], ["p_partkey", "p_brand"])[1],

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -108,11 +109,14 @@ def read_folder(spark: SparkSession, path: str, glob: str = "*.csv", source_colu
     reader = spark.read.option("pathGlobFilter", glob)
     if kind in ("csv", "tsv", "txt"):
         # files with one header are one read: only the first lines are looked at before
-        listed = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", True).load(path).select("path")
         sep, groups = "\t" if kind == "tsv" else ",", {}
-        for r in listed.orderBy("path").toLocalIterator():
-            names = tuple(spark.read.option("sep", sep).option("header", True).csv(r.path).columns)
-            groups.setdefault(names, []).append(r.path)
+        # a header may hold quoted separators; a file's first line is the one at its first byte
+        lines = spark.read.option("pathGlobFilter", glob).option("recursiveFileLookup", True).text(path)
+        block = F.col("_metadata.file_block_start")
+        heads = lines.where(block == 0).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.first("value").alias("head"))
+        heads = heads.groupBy("head").agg(F.array_sort(F.collect_list("path")).alias("paths")).orderBy("head")
+        for r in heads.toLocalIterator():  # a row a header
+            groups[r.head] = [unquote(p) for p in r.paths]
         reads = [spark.read.option("sep", sep).option("header", True).csv(files).withColumn(source_column, F.col("_metadata.file_name")) for files in groups.values()]
         return reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), reads)
     df = reader.json(path) if kind in ("json", "ndjson", "jsonl") else reader.option("mergeSchema", True).parquet(path)
@@ -149,6 +153,48 @@ def read_records(df: DataFrame, list_path: str | None = None, epoch_columns: lis
     return rows.withColumns({c: F.timestamp_seconds(F.col(c)) for c in epoch_columns})
 
 
+#: Types that hold all values of two others.
+WIDER = {frozenset(("bigint", "double")): "double", frozenset(("bigint", "decimal")): "double", frozenset(("decimal", "double")): "double"}
+
+
+def _settled(kinds: set[str]) -> str:
+    """One type for all values of a column; numbers of several types are doubles, whatever else is mixed is text."""
+    kinds = kinds - {"void"} or {"string"}
+    while len(kinds) > 1:
+        a, b, *more = sorted(kinds)
+        kinds = {WIDER.get(frozenset((a, b)), "string"), *more}
+    kind = kinds.pop()
+    return "string" if kind.startswith(("array", "object", "struct", "variant")) else "double" if kind == "decimal" else kind
+
+
+def read_mixed_records(df: DataFrame, column: str, epoch_columns: list[str] = (), derive: dict[str, tuple[str, str]] | None = None) -> DataFrame:
+    """Columns of JSON objects in a text column whose fields differ from row to row in presence and type.
+
+    Rows become VARIANT values; their fields, nested ones as ``a_b``, and the types that each has anywhere come from one aggregation over all
+    rows a level of nesting.  A field of one type keeps it, whole and broken numbers are doubles, other mixtures and lists are their JSON text.  Rows that are no
+    JSON object are null in all columns.  ``epoch_columns`` are seconds since 1970; ``derive`` names day counts from one number of seconds to another."""
+    rows = df.select(F.try_parse_json(column).alias("v"))
+    members = lambda x: F.explode(F.expr(f"map_entries(try_cast({x} as map<string, variant>))")).alias("e")
+    level = rows.select(members("v")).select(F.array("e.key").alias("path"), F.col("e.value").alias("value"))
+    kinds: dict[tuple[str, ...], set[str]] = {}
+    while True:  # a turn a level of nesting
+        told = F.lower(F.regexp_extract(F.schema_of_variant("value"), "^[A-Za-z]+", 0))
+        seen = level.groupBy("path", told.alias("kind")).agg(F.count("*").alias("n")).collect()  # a row a field and type
+        for r in sorted(seen, key=lambda r: (list(r.path), r.kind)):
+            kinds.setdefault(tuple(r.path), set()).add(r.kind)
+        if not any(r.kind == "object" for r in seen):
+            break
+        level = level.where(told == "object").select("path", members("value")).select(F.concat("path", F.array("e.key")).alias("path"), F.col("e.value").alias("value"))
+    cols = []
+    for p in sorted(p for p, k in kinds.items() if k - {"object", "void"} or k == {"void"}):  # what is an object everywhere has only its fields
+        at = "$" + "".join('["' + x.replace("\\", "\\\\").replace('"', '\\"') + '"]' for x in p)
+        kind = _settled(kinds[p])
+        cols.append(F.try_variant_get("v", at, kind).alias("_".join(p)))
+    out = rows.select(*cols)
+    days = {name: F.round((F.col(b) - F.col(a)) / 86400.0, 1) for name, (a, b) in (derive or {}).items()}
+    return out.withColumns(days | {c: F.timestamp_seconds(F.col(c)) for c in epoch_columns}) if days or epoch_columns else out
+
+
 def write_output(df: DataFrame, extra: DataFrame, key: list[str]) -> DataFrame:
     """Model output beside its input by the row key; carried columns keep their types."""
     return df.join(extra, key, "left")
