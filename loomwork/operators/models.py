@@ -113,6 +113,25 @@ def error_by_group(pred: DataFrame, group: str, y: str = "_y", p: str = "predict
     return pred.groupBy(group).agg(F.count("*").alias("n"), F.round(F.avg(F.abs(e)), 6).alias("mae"), F.round(F.avg(e), 6).alias("bias"))
 
 
+def residual_histogram(pred: DataFrame, bins: int = 10, y: str = "_y", p: str = "prediction") -> DataFrame:
+    """(bin, low, high, n): residuals in bins of equal width between their ends; two scans."""
+    e = (F.col(y) - F.col(p)).cast("double")
+    ends = pred.agg(F.min(e).alias("a"), F.max(e).alias("b")).first()
+    if ends.a is None:
+        return pred.select(F.lit(0).alias("bin"), F.lit(0.0).alias("low"), F.lit(0.0).alias("high"), F.lit(0).cast("long").alias("n")).where("false")
+    width = (ends.b - ends.a) / bins or 1.0
+    place = F.least(F.lit(bins - 1), F.floor((e - ends.a) / width)).cast("int").alias("bin")
+    counts = pred.where(e.isNotNull()).groupBy(place).agg(F.count("*").alias("n"))
+    return counts.select("bin", F.round(ends.a + F.col("bin") * width, 6).alias("low"), F.round(ends.a + (F.col("bin") + 1) * width, 6).alias("high"), "n")
+
+
+def bias_over_time(pred: DataFrame, time: str, grain: str = "month", periods: int = 3, y: str = "_y", p: str = "prediction") -> DataFrame:
+    """(period, n, bias, rolling): mean residual per period and over the last ``periods`` ones (weighted by rows); windows run over the periods alone."""
+    per = pred.groupBy(F.date_trunc(grain, time).cast("date").alias("period")).agg(F.count("*").alias("n"), F.sum(F.col(y) - F.col(p)).alias("_s"))
+    w = Window.orderBy("period").rowsBetween(1 - periods, Window.currentRow)
+    return per.select("period", "n", F.round(F.col("_s") / F.col("n"), 6).alias("bias"), F.round(F.sum("_s").over(w) / F.sum("n").over(w), 6).alias("rolling"))
+
+
 def confusion(pred: DataFrame, y: str, p: str) -> DataFrame:
     return pred.groupBy(F.col(y).alias("actual"), F.col(p).alias("predicted")).agg(F.count("*").alias("n"))
 

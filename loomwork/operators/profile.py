@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 from itertools import combinations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .ranks import quantiles
+from .ranks import mid_ranks, quantiles
 
 
 def column_roles(schema: T.StructType) -> dict[str, str]:
@@ -61,6 +61,38 @@ def numeric_profile(df: DataFrame, columns: list[str]) -> DataFrame:
     )
 
 
+def temporal_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """(column, low, high, days): ends of each date or time column and the days between them, in one scan."""
+    columns = columns or [c for c, r in column_roles(df.schema).items() if r == "temporal"]
+    made = []
+    for c in columns:
+        v = F.col(c).cast("timestamp_ntz")
+        made += [F.min(v).alias(f"{c}__low"), F.max(v).alias(f"{c}__high")]
+    return _stack(df.agg(*made), columns, ["low", "high"]).withColumn("days", F.datediff("high", "low"))
+
+
+def text_profile(df: DataFrame, columns: list[str], top: int = 5) -> DataFrame:
+    """(column, value, n, rank): the most frequent values of each text column; ties by value.  One count of (column, value) pairs serves all columns, and the
+    first ones are picked per partition before any column comes together."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
+    counts = df.select(cells.alias("x")).where("x.value is not null").groupBy("x.column", "x.value").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    return counts.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
+
+
+def rank_correlation(df: DataFrame, columns: list[str]) -> DataFrame:
+    """(a, b, r): Spearman's coefficient of every pair, over the rows that are whole; ranks come from counts along range partitions."""
+    rows = df.select(*[F.col(c).cast("double").alias(c) for c in columns]).where(" and ".join(f"`{c}` is not null" for c in columns))
+    for c in columns:
+        rows = mid_ranks(rows, c, "_r").drop(c).withColumnRenamed("_r", c)
+    return correlation(rows, columns)
+
+
+def top_pairs(pairs: DataFrame, k: int = 10) -> DataFrame:
+    """The ``k`` pairs of a correlation table that go together most, either way."""
+    return pairs.where(F.col("r").isNotNull() & ~F.isnan("r")).orderBy(F.desc(F.abs("r")), "a", "b").limit(k)
+
+
 def correlation(df: DataFrame, columns: list[str]) -> DataFrame:
     """(a, b, r) of every pair, in one scan; pairs drop rows with a null on either side."""
     pairs = list(combinations(columns, 2))

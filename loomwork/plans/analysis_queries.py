@@ -144,3 +144,13 @@ def register(r: Registry) -> None:
     add("ml_roles", "lineitem", lambda d: d.sparkSession.createDataFrame([(c, "numeric" if r == "numeric" else "other", md.is_id_like(d, c)) for c, r in column_roles(d.schema).items()], "name string, role string, id_like boolean"),
         """SELECT name, CASE WHEN name IN ('l_orderkey', 'l_linenumber', 'l_partkey', 'l_suppkey', 'l_quantity', 'l_extendedprice', 'l_discount', 'l_tax') THEN 'numeric' ELSE 'other' END AS role, coalesce(d > 30 AND d > 0.05 * n, false) AS id_like
            FROM (SELECT column_name AS name FROM duckdb_columns() WHERE table_name = 'lineitem') LEFT JOIN (SELECT 'l_shipdate' AS name, count(DISTINCT l_shipdate) AS d, count(*) AS n FROM lineitem) USING (name)""")
+    add("ml_evaluate__residuals", "lineitem", lambda d: md.residual_histogram(pred(d)),
+        """WITH e AS (SELECT l_extendedprice - l_quantity * 1500 AS e FROM lineitem), s AS (SELECT min(e) AS a, (max(e) - min(e)) / 10 AS w FROM e), b AS (SELECT least(9, floor((e - a) / w))::INT AS bin, a, w FROM e, s)
+           SELECT bin, round(a + bin * w, 6) AS low, round(a + (bin + 1) * w, 6) AS high, count(*) AS n FROM b GROUP BY bin, a, w""")
+    add("ml_evaluate__bias_over_time", "lineitem", lambda d: md.bias_over_time(d.select("l_shipdate", F.col("l_extendedprice").alias("_y"), (F.col("l_quantity") * 1500).alias("prediction")), "l_shipdate"),
+        """WITH g AS (SELECT date_trunc('month', l_shipdate)::DATE AS period, count(*) AS n, sum(l_extendedprice - l_quantity * 1500) AS s FROM lineitem GROUP BY 1)
+           SELECT period, n, round(s / n, 6) AS bias, round(sum(s) OVER w / sum(n) OVER w, 6) AS rolling FROM g WINDOW w AS (ORDER BY period ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)""")
+    add("drift__psi", "orders", lambda d: rounded(sa.drift(d.where("o_orderstatus = 'F'"), d.where("o_orderstatus = 'O'"), "o_totalprice").select("psi", "sd_shift"), 4),
+        """WITH a AS (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'O'), q AS (SELECT DISTINCT unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS c FROM a),
+           x AS (SELECT (SELECT count(*) FROM q WHERE v > c) AS k, 1 AS s FROM a UNION ALL SELECT (SELECT count(*) FROM q WHERE v > c), 0 FROM b), n AS (SELECT k, greatest(sum(s) / (SELECT count(*) FROM a), 1e-6) AS fa, greatest(sum(1 - s) / (SELECT count(*) FROM b), 1e-6) AS fb FROM x GROUP BY k)
+           SELECT round((SELECT sum((fb - fa) * ln(fb / fa)) FROM n), 4) AS psi, round((SELECT stddev_pop(v) FROM b) - (SELECT stddev_pop(v) FROM a), 4) AS sd_shift""")

@@ -72,6 +72,15 @@ def register(r: Registry) -> None:
     add = r.add
     add("profile__nulls", "orders", lambda d: pf.null_profile(d.select(F.nullif("o_orderstatus", F.lit("F")).alias("s"), "o_custkey")).drop("distinct"),
         "SELECT 's' AS \"column\", count(*) AS rows, count(*) FILTER (o_orderstatus = 'F') AS nulls, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS null_percent FROM orders UNION ALL SELECT 'o_custkey', count(*), 0, 0 FROM orders")
+    add("profile__temporal", "orders", lambda d: pf.temporal_profile(d), "SELECT 'o_orderdate' AS \"column\", min(o_orderdate)::TIMESTAMP AS low, max(o_orderdate)::TIMESTAMP AS high, date_diff('day', min(o_orderdate), max(o_orderdate))::INT AS days FROM orders")
+    add("profile__text", "orders", lambda d: pf.text_profile(d, ["o_orderstatus", "o_orderpriority"]),
+        """WITH c AS (SELECT 'o_orderstatus' AS "column", o_orderstatus AS value, count(*) AS n FROM orders GROUP BY 2 UNION ALL SELECT 'o_orderpriority', o_orderpriority, count(*) FROM orders GROUP BY 2)
+           SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n DESC, value)::INT AS rank FROM c WHERE value IS NOT NULL QUALIFY rank <= 5""")
+    ranked = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in ("l_quantity", "l_extendedprice", "l_discount"))
+    spearman = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, round(corr({a}, {b}), 6) AS r FROM k" for a, b in (("l_quantity", "l_extendedprice"), ("l_quantity", "l_discount"), ("l_extendedprice", "l_discount")))
+    three = ["l_quantity", "l_extendedprice", "l_discount"]
+    add("eda_corr__spearman", "lineitem", lambda d: pf.rank_correlation(d, three), f"WITH k AS (SELECT {ranked} FROM lineitem) {spearman}")
+    add("eda_corr__top_pairs", "lineitem", lambda d: pf.top_pairs(pf.rank_correlation(d, three), 2), f"WITH k AS (SELECT {ranked} FROM lineitem), p AS ({spearman}) SELECT * FROM p ORDER BY abs(r) DESC, a, b LIMIT 2")
     add("profile__numeric", "lineitem", lambda d: pf.numeric_profile(d, NUMBERS), " UNION ALL ".join(
         f"""SELECT '{c}' AS "column", min({c}) AS low, max({c}) AS high, round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS sd, round(median({c}), 4) AS median, round(any_value(q1), 4) AS q1, round(any_value(q3), 4) AS q3,
             count(*) FILTER ({c} < q1 - 1.5 * (q3 - q1) OR {c} > q3 + 1.5 * (q3 - q1)) AS outliers

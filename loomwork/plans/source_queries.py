@@ -133,6 +133,20 @@ def ss_rollup(spark, sf_dir):
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total")
 
 
+def ss_sliding(spark, sf_dir):
+    stream, work = streamed(spark, sf_dir, "events")
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drained(jobs.rollup(timed, "ts", "1 hour", {"n": "count(*)"}, ["event_type"], "6 hours", "2 hours"), work)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n")
+
+
+def ss_session(spark, sf_dir):
+    stream, work = streamed(spark, sf_dir, "events")
+    timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
+    out = drained(jobs.rollup(timed, "ts", "1 hour", {"n": "count(*)"}, ["user_id"], session_gap="30 minutes"), work)
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "user_id", "n")
+
+
 def ss_dedupe(spark, sf_dir):
     stream, work = streamed(spark, sf_dir, "events")
     timed = stream.withColumn("ts", F.col("ts").cast("timestamp"))
@@ -193,6 +207,11 @@ def register(r: Registry) -> None:
         "ss_ingest": (ss_ingest, "SELECT o_orderkey, year(o_orderdate) AS year FROM orders WHERE o_totalprice > 1000"),
         "ss_quality": (ss_quality, "SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') AND o_totalprice >= 1000 THEN 'good' ELSE 'bad' END AS \"where\" FROM orders"),
         "ss_rollup": (ss_rollup, "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2 HAVING start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"),
+        "ss_rollup__sliding": (ss_sliding, """WITH w AS (SELECT event_type, ts, time_bucket(INTERVAL 2 HOURS, ts) - INTERVAL 2 HOURS * i AS start FROM events, range(3) r(i))
+            SELECT start, event_type, count(*) AS n FROM w GROUP BY 1, 2 HAVING start + INTERVAL 6 HOURS <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""),
+        "ss_rollup__session": (ss_session, """WITH l AS (SELECT user_id, ts, (coalesce(ts - lag(ts) OVER w >= INTERVAL 30 MINUTES, true))::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+            s AS (SELECT user_id, ts, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM l)
+            SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTES AS "end", user_id, count(*) AS n FROM s GROUP BY user_id, k HAVING "end" <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""),
         "ss_dedupe": (ss_dedupe, "SELECT DISTINCT user_id, event_type FROM events"),
         "ss_pair": (ss_pair, PAIR_SQL),
         "ss_change": (ss_change, CHANGE_SQL),
