@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..tables import broadcast_if_small, stored
 from .nearest import nearest
 from .profile import column_roles
+from .ranks import quantiles
 
 
 def is_id_like(df: DataFrame, column: str) -> bool:
@@ -187,11 +188,35 @@ def permutation_importance(model: PipelineModel, pred_src: DataFrame, target: st
     return reduce(DataFrame.unionByName, out)
 
 
+def partial_dependence(model: PipelineModel, df: DataFrame, feature: str, grid: list[float] | None = None, points: int = 10) -> DataFrame:
+    """(value, prediction, n): mean prediction with the feature set to each value of a grid (its own quantiles if none is given).
+
+    A row meets the grid as it is scored and goes into one partial sum a grid point; what is shuffled has a row a grid point and task."""
+    grid = grid if grid is not None else sorted({q for q in quantiles(df, {"v": feature}, [i / (points - 1) for i in range(points)])["v"] if q is not None})
+    values = F.explode(F.array(*[F.lit(float(v)) for v in grid])).alias("_value")
+    src = df.drop(feature).select("*", values).withColumn(feature, F.col("_value"))
+    return model.transform(src).groupBy(F.col("_value").alias("value")).agg(F.avg("prediction").alias("prediction"), F.count("*").alias("n"))
+
+
+def row_contributions(model: PipelineModel, df: DataFrame, row: Column, features: list[str]) -> DataFrame:
+    """(feature, value, contribution): how far the prediction of the one row that ``row`` picks falls when a feature is set to the mean of all rows."""
+    means = df.agg(*[F.avg(f).alias(f) for f in features]).first()
+    one = df.where(row).limit(1)
+    swaps = [F.struct(F.lit("").alias("_swap"), *[F.col(f).cast("double").alias(f) for f in features])]
+    for c in features:
+        swaps.append(F.struct(F.lit(c).alias("_swap"), *[(F.lit(means[f]) if f == c else F.col(f)).cast("double").alias(f) for f in features]))
+    told = one.select(F.explode(F.array(*swaps)).alias("s"), *[F.col(f).cast("double").alias(f"_own_{f}") for f in features], *[c for c in df.columns if c not in features]).select("s.*", *[c for c in df.columns if c not in features], *[f"_own_{f}" for f in features])
+    scored = stored(model.transform(told).select("_swap", "prediction", *[f"_own_{f}" for f in features]), "swaps")
+    base = scored.where("_swap = ''").select(F.col("prediction").alias("_base"))
+    own = F.coalesce(*[F.when(F.col("_swap") == f, F.col(f"_own_{f}")) for f in features])
+    return scored.where("_swap <> ''").join(F.broadcast(base)).select(F.col("_swap").alias("feature"), own.alias("value"), (F.col("_base") - F.col("prediction")).alias("contribution"))
+
+
 def random_search(df: DataFrame, target: str, features: list[str], key: list[str], trials: int = 5, folds: int = 3, seed: int = 42) -> DataFrame:
     """(trial, regParam, elasticNetParam, rmse) of randomly drawn linear models, cross-validated by hashed folds."""
     rng = np.random.default_rng(seed)
     rows = df.where(F.col(target).isNotNull()).withColumn("_y", F.col(target).cast("double"))
-    prepared = Pipeline(stages=prep_stages(df, features)).fit(rows).transform(rows).select("features", "_y", (fold_column(key, seed) % folds).alias("_f"))
+    prepared = stored(Pipeline(stages=prep_stages(df, features)).fit(rows).transform(rows).select("features", "_y", (fold_column(key, seed) % folds).alias("_f")), "search-rows")
     out = []
     for t in range(trials):
         reg, net = float(10 ** rng.uniform(-3, 1)), float(rng.uniform())

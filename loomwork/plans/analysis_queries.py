@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.ml import Pipeline
 from pyspark.sql import functions as F
 
 from ..operators import models as md
@@ -154,3 +155,14 @@ def register(r: Registry) -> None:
         """WITH a AS (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_totalprice AS v FROM orders WHERE o_orderstatus = 'O'), q AS (SELECT DISTINCT unnest(quantile_cont(v, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9])) AS c FROM a),
            x AS (SELECT (SELECT count(*) FROM q WHERE v > c) AS k, 1 AS s FROM a UNION ALL SELECT (SELECT count(*) FROM q WHERE v > c), 0 FROM b), n AS (SELECT k, greatest(sum(s) / (SELECT count(*) FROM a), 1e-6) AS fa, greatest(sum(1 - s) / (SELECT count(*) FROM b), 1e-6) AS fb FROM x GROUP BY k)
            SELECT round((SELECT sum((fb - fa) * ln(fb / fa)) FROM n), 4) AS psi, round((SELECT stddev_pop(v) FROM b) - (SELECT stddev_pop(v) FROM a), 4) AS sd_shift""")
+
+    def line(d):
+        rows = d.withColumn("_y", F.col("l_extendedprice"))
+        return Pipeline(stages=[*md.prep_stages(d, ["l_quantity", "l_discount"]), md.estimator("linear", "regression")]).fit(rows)
+
+    slopes = """WITH s AS (SELECT covar_pop(l_extendedprice, l_quantity) AS yq, covar_pop(l_extendedprice, l_discount) AS yd, covar_pop(l_quantity, l_discount) AS qd, var_pop(l_quantity) AS qq, var_pop(l_discount) AS dd, avg(l_extendedprice) AS y, avg(l_quantity) AS q, avg(l_discount) AS d, count(*) AS n FROM lineitem),
+           b AS (SELECT *, (dd * yq - qd * yd) / (qq * dd - qd * qd) AS bq, (qq * yd - qd * yq) / (qq * dd - qd * qd) AS bd FROM s)"""
+    add("ml_pdp", "lineitem", lambda d: rounded(md.partial_dependence(line(d), d, "l_quantity", [1.0, 10.0, 25.0, 50.0]), 2), slopes + " SELECT v AS value, round(y + bq * (v - q), 2) AS prediction, n FROM b, (SELECT unnest([1.0, 10.0, 25.0, 50.0])::DOUBLE AS v)")
+    first = "l_extendedprice = (SELECT max(l_extendedprice) FROM lineitem)"
+    add("ml_pdp__row", "lineitem", lambda d: rounded(md.row_contributions(line(d), d, F.col("l_extendedprice") == d.agg(F.max("l_extendedprice")).first()[0], ["l_quantity", "l_discount"]), 2),
+        slopes + f" SELECT unnest(['l_quantity', 'l_discount']) AS feature, unnest([l_quantity::DOUBLE, l_discount]) AS value, round(unnest([bq * (l_quantity - q), bd * (l_discount - d)]), 2) AS contribution FROM b, (SELECT * FROM lineitem WHERE {first} LIMIT 1)")
