@@ -192,4 +192,38 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_runs", (-F.col("best.start")).alias("start"), length.alias("length"), period.alias("period"), exponent.alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
 
 
+ORACLE = {
+    "op12_periodic_runs": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+         xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: ascii(c)::BIGINT)),
+           lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda x, z: xor(x >> 1, 3988292384::BIGINT * (x & 1))))) AS h
+  FROM documents
+), p AS (
+  SELECT *, len(w) AS n, h // 10 AS g, (h // 10) % greatest(len(w), 1) AS a FROM d
+), t AS (
+  SELECT rid, n, i, w[1 + CASE WHEN coalesce(h % 10 = 0, false) AND i >= a THEN a + (i - a) % (1 + (n - a) // (3 + g % 8)) ELSE i END] AS word
+  FROM (SELECT *, unnest(range(n)) AS i FROM p)
+), same AS (
+  SELECT x.rid, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.rid = y.rid AND x.word = y.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n
+), stretch AS (
+  SELECT rid, q, min(i) AS s, count(*) + q AS k FROM (SELECT *, i - row_number() OVER (PARTITION BY rid, q ORDER BY i) AS island FROM same) GROUP BY rid, q, island
+), long AS (
+  SELECT * FROM stretch WHERE k >= greatest(6, 4 * q)
+), run AS (
+  SELECT * FROM long r WHERE NOT EXISTS (SELECT 1 FROM long o WHERE o.rid = r.rid AND o.q < r.q AND o.s <= r.s AND o.s + o.k >= r.s + r.k)
+), told AS (
+  SELECT rid, count(*) AS n_runs, string_agg(s || ',' || k || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         first(struct_pack(s := s, k := k, q := q) ORDER BY k DESC, s, q) AS best
+  FROM run GROUP BY rid
+), kept AS (
+  SELECT t.rid, string_agg(word, ' ' ORDER BY i) AS collapsed FROM t
+  WHERE NOT EXISTS (SELECT 1 FROM run WHERE run.rid = t.rid AND t.i >= s + q AND t.i < s + k) GROUP BY t.rid
+)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, CAST(best.s AS BIGINT) AS start, CAST(best.k AS BIGINT) AS length, CAST(best.q AS BIGINT) AS period,
+       CAST(1000 * best.k // best.q AS BIGINT) AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM p LEFT JOIN told USING (rid) LEFT JOIN kept USING (rid)
+"""
+}
+
 QUERIES = {"op12_periodic_runs": op12_periodic_runs}
