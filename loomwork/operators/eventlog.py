@@ -100,8 +100,9 @@ def missing(log: DataFrame, end_activities: list[str], expected: list[str]) -> D
 
 
 def zones(raw: DataFrame, column: str) -> DataFrame:
-    """(case, offsets): cases whose written offset changes."""
-    offset = F.regexp_extract(column, r"(Z|[+-]\d\d:?\d\d)$", 1)
+    """(case, offsets): cases whose written offset changes; times without one say nothing."""
+    offset = F.nullif(F.regexp_extract(column, r"(Z|\d[+-]\d\d:?\d\d)$", 1), F.lit(""))
+    offset = F.regexp_replace(offset, r"^\d", "")
     seen = raw.groupBy("case").agg(F.array_sort(F.collect_set(offset)).alias("offsets"))
     return seen.where(F.size("offsets") > 1)
 

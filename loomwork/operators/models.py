@@ -271,9 +271,11 @@ def isolation_forest(df: DataFrame, features: list[str], key: list[str], trees:
     # each tree draws from all rows by its own hash; ties and repeated keys are broken by the values
     total = src.count()
     share = min(1.0, 4.0 * sample / max(1, total))
-    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("_tree")
-    drawn = src.select(*[F.col(f).cast("double").alias(f) for f in features], F.struct(*key).alias("_key"), tree)
-    drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed), "_tree", "_key")).where(F.pmod("_h", F.lit(1 << 30)) < int(share * (1 << 30)))
+    # a row finds its trees before it is repeated for them
+    place = lambda t: F.xxhash64(F.lit(seed), t, F.struct(*key).alias("_key"))
+    tree = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: F.pmod(place(t), F.lit(1 << 30)) < int(share * (1 << 30)))
+    drawn = src.select(*[F.col(f).cast("double").alias(f) for f in features], F.struct(*key).alias("_key"), F.explode(tree).alias("_tree"))
+    drawn = drawn.withColumn("_h", F.xxhash64(F.lit(seed), "_tree", "_key"))
     order = Window.partitionBy("_tree").orderBy("_h", *features)
     drawn = drawn.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= sample)
     table = drawn.orderBy("_tree", "_r").select("_tree", *features).toPandas()

@@ -78,8 +78,8 @@ def register(r: Registry) -> None:
     add("el_status", "events", lambda e: el.status(log(e), ["purchase"]), f"""WITH {L} SELECT "case", last(activity ORDER BY "end", row_id) AS last_activity, last(activity ORDER BY "end", row_id) = 'purchase' AS closed FROM l GROUP BY 1""")
     add("el_missing", "events", lambda e: el.missing(log(e), ["purchase"], REF),
         f"""WITH {L}, c AS (SELECT "case" FROM l GROUP BY 1 HAVING last(activity ORDER BY "end", row_id) = 'purchase') SELECT "case", activity FROM c, (SELECT unnest({REF}) AS activity) x WHERE NOT EXISTS (SELECT 1 FROM l WHERE l."case" = c."case" AND l.activity = x.activity)""")
-    add("el_zones", "events", lambda e: el.zones(raw(e).where("event_id % 5 in (1, 4)"), "raw").select("case", F.size("offsets").alias("n")),
-        "SELECT user_id AS \"case\", 2 AS n FROM events WHERE event_id % 5 IN (1, 4) GROUP BY 1 HAVING count(DISTINCT event_id % 5) = 2")
+    add("el_zones", "events", lambda e: el.zones(raw(e).withColumn("raw", F.when(F.col("event_id") % 5 == 4, F.concat("raw", F.lit("-03:00"))).otherwise(F.col("raw"))), "raw").select("case", F.size("offsets").alias("n")),
+        "SELECT user_id AS \"case\", 2 AS n FROM events GROUP BY 1 HAVING count(DISTINCT CASE WHEN event_id % 5 IN (1, 4) THEN event_id % 5 END) = 2")
     add("pm_dfg", "events", lambda e: pm.dfg(intervals(e), 0.02, 2), f"WITH {I}, {S}, {DFG} SELECT * FROM dfg")
     add("pm_variants", "events", lambda e: pm.variants(intervals(e)),
         f"""WITH {I}, {T}, v AS (SELECT variant, count(*) AS n, avg(d) AS m, median(d) AS q, min("case") AS example FROM t GROUP BY 1), x AS (SELECT * FROM v ORDER BY n DESC, variant LIMIT 20)
