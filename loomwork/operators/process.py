@@ -306,3 +306,33 @@ def arrivals(log: DataFrame) -> DataFrame:
     over = edge.withColumn("g", seconds(F.lag("z").over(Window.orderBy("day")), F.col("a"))).select("g")
     g = gaps.select("g").union(over).where("g is not null")
     return g.agg(F.count("*").alias("n"), F.round(F.avg("g"), 4).alias("mean_gap"), F.round(F.stddev_samp("g") / F.avg("g"), 6).alias("cv"))
+
+
+def activity_parameters(log: DataFrame) -> DataFrame:
+    """(activity, visits, basis, samples, mean_hours, sd_hours, servers, servers_basis) of each activity, for a queue model.
+
+    Where every instance has a start, durations are service times and there are as many servers as resources, or, without resources, as instances at the
+    same time at most; else the time since the case's event before stands in, waiting included, and servers are not told."""
+    w = Window.partitionBy("case").orderBy(*BY_CASE)
+    hours = lambda c: F.when(c.isNotNull(), F.greatest(F.lit(0.0), c / 3600))
+    rows = log.withColumns({"_busy": hours(seconds("start", "end")), "_since": hours(seconds(F.lag("end").over(w), F.col("end")))})
+    per = rows.groupBy("activity").agg(
+        F.count("*").alias("visits"), (F.count("start") == F.count("*")).alias("_all"), F.countDistinct("resource").alias("_res"),
+        *[f(c).alias(n + c) for c in ("_busy", "_since") for n, f in (("n", F.count), ("m", F.avg), ("s", F.stddev_samp))],
+    )
+    pick = lambda n: F.when(F.col("_all"), F.col(n + "_busy")).otherwise(F.col(n + "_since"))
+    # instances under way: starts count up, ends down; the sweep runs per activity and day, with what the days before leave open
+    turns = log.where("start is not null").select("activity", F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("d")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("d")))).alias("x"))
+    turns = turns.select("activity", F.to_date("x.at").alias("day"), "x.at", "x.d").groupBy("activity", "day", "at").agg(F.sum("d").alias("d"))
+    days = turns.groupBy("activity", "day").agg(F.sum("d").alias("net"))
+    before = Window.partitionBy("activity").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("activity", "day", F.coalesce(F.sum("net").over(before), F.lit(0)).alias("open"))
+    sweep = turns.withColumn("level", F.sum("d").over(Window.partitionBy("activity", "day").orderBy("at")))
+    peak = sweep.join(days, ["activity", "day"]).groupBy("activity").agg(F.max(F.col("level") + F.col("open")).alias("_peak"))
+    out = per.join(peak, "activity", "left")
+    servers = F.when(F.col("_all"), F.when(F.col("_res") > 0, F.col("_res")).otherwise(F.greatest(F.lit(1), F.coalesce("_peak", F.lit(1)))))
+    basis = F.when(F.col("_all"), F.when(F.col("_res") > 0, "resources").otherwise("concurrency"))
+    return out.select(
+        "activity", "visits", F.when(F.col("_all"), "service").otherwise("elapsed").alias("basis"), pick("n").alias("samples"), F.round(pick("m"), 6).alias("mean_hours"),
+        F.round(pick("s"), 6).alias("sd_hours"), servers.cast("long").alias("servers"), basis.alias("servers_basis"),
+    )

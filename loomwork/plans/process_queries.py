@@ -136,6 +136,15 @@ def register(r: Registry) -> None:
     add("pm_season__tests", "events", lambda e: six(pm.season_tests(log(e)).drop("p")),
         f"{season_sql} SELECT part, round(sum((arrivals - ex) ** 2 / ex), 6) AS statistic, count(*) - 1 AS df, round(min(ex), 6) AS min_expected, min(ex) >= 5 AS reliable FROM g GROUP BY part")
     add("pm_params__routing", "events", lambda e: pm.routing(log(e)), f"WITH {L}, {S} SELECT activity, nxt AS next, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY activity), 6) AS share FROM s GROUP BY 1, 2")
+    add("pm_params__service", "events", lambda e: pm.activity_parameters(intervals(e)),
+        f"""WITH {I} SELECT activity, count(*) AS visits, 'service' AS basis, count(*) AS samples, round(avg(greatest(0, {SEC('start', '"end"')} / 3600)), 6) AS mean_hours, round(stddev_samp(greatest(0, {SEC('start', '"end"')} / 3600)), 6) AS sd_hours,
+            count(DISTINCT resource) AS servers, 'resources' AS servers_basis FROM l GROUP BY 1""")
+    add("pm_params__concurrency", "events", lambda e: pm.activity_parameters(intervals(e).withColumn("resource", F.lit(None).cast("string"))).select("activity", "servers", "servers_basis"),
+        f"""WITH {I}, t AS (SELECT activity, tm, sum(d) AS d FROM (SELECT activity, start AS tm, 1 AS d FROM l UNION ALL SELECT activity, "end", -1 FROM l) GROUP BY 1, 2), r AS (SELECT activity, sum(d) OVER (PARTITION BY activity ORDER BY tm) AS level FROM t)
+            SELECT activity, CAST(max(level) AS BIGINT) AS servers, 'concurrency' AS servers_basis FROM r GROUP BY 1""")
+    add("pm_params__elapsed", "events", lambda e: pm.activity_parameters(log(e)),
+        f"""WITH {L}, s AS (SELECT activity, greatest(0, {SEC(f'lag("end") {OVER}', '"end"')} / 3600) AS g, lag("end") {OVER} IS NOT NULL AS has FROM l)
+            SELECT activity, count(*) AS visits, 'elapsed' AS basis, count(*) FILTER (has) AS samples, round(avg(g) FILTER (has), 6) AS mean_hours, round(stddev_samp(g) FILTER (has), 6) AS sd_hours, NULL::BIGINT AS servers, NULL::VARCHAR AS servers_basis FROM s GROUP BY 1""")
     add("pm_params__arrivals", "events", lambda e: pm.arrivals(log(e)),
         f"""WITH {L}, c AS (SELECT min("end") AS t FROM l GROUP BY "case"), g AS (SELECT {SEC('lag(t) OVER (ORDER BY t)', 't')} AS g FROM c) SELECT count(g) AS n, round(avg(g), 4) AS mean_gap, round(stddev_samp(g) / avg(g), 6) AS cv FROM g""")
     add("pm_split", "events", lambda e: el.split_cases(log(e)),

@@ -171,3 +171,15 @@ def test_lack_of_fit_and_lenth(spark):
     s0 = 1.5 * np.median(effects)
     pse = 1.5 * np.median(effects[effects < 2.5 * s0])
     assert out["a"].pse == pytest.approx(pse) and [t for t, x in out.items() if x.active] == ["a"] and out["a"].simultaneous > out["a"].margin
+
+
+def test_parameters_of_activities(spark):
+    rows = [("c1", "a", 0, 60, "r1"), ("c1", "b", None, 120, "r2"), ("c2", "a", 30, 90, "r1"), ("c2", "b", 100, 160, None), ("c3", "a", 90, 80, "r3")]
+    log = spark.createDataFrame([(c, a, s, e, r, f"{i}") for i, (c, a, s, e, r) in enumerate(rows)], '`case` string, activity string, start int, `end` int, resource string, row_id string')
+    log = log.withColumns({c: F.timestamp_seconds(F.col(c) * 60) for c in ("start", "end")})
+    got = {r.activity: r for r in pm.activity_parameters(log).collect()}
+    a, b = got["a"], got["b"]
+    assert (a.visits, a.basis, a.samples, a.servers, a.servers_basis) == (3, "service", 3, 2, "resources") and a.mean_hours == pytest.approx(2 / 3, abs=1e-6)
+    assert (b.basis, b.samples, b.servers) == ("elapsed", 2, None) and b.mean_hours == pytest.approx((60 + 70) / 120, abs=1e-6)
+    alone = {r.activity: r for r in pm.activity_parameters(log.where("activity = 'a' and `case` <> 'c3'").withColumn("resource", F.lit(None).cast("string"))).collect()}
+    assert (alone["a"].servers, alone["a"].servers_basis) == (2, "concurrency")
