@@ -75,6 +75,32 @@ def cross_validate(df: DataFrame, target: str, features: list[str] | None, key:
     return df.sparkSession.createDataFrame(out, "fold int, metric string, value double, n long")
 
 
+#: Scores of a fit check: a gap beyond which training is much better than the held-out rows, a good and a weak score.
+GAP, GOOD, WEAK = 0.15, 0.7, 0.5
+
+
+def fit_check(df: DataFrame, target: str, features: list[str] | None, key: list[str], algorithm: str = "linear", folds: int = 3, seed: int = 42) -> DataFrame:
+    """(metric, train, held_out, cross_validated, gap, verdict) of a model: overfitting, underfitting or balanced.  Rows are prepared and written once; one
+    fifth is held out of the fit, of each class alike."""
+    features = features or usable_features(df.drop(*key), target)
+    task = detect_task(df, target)
+    rows, stages = _ready(df, target, features, task)
+    rows = split(rows, target if task == "classification" else None, key, 0.2, seed)
+    rows = stored(Pipeline(stages=stages).fit(rows.where("not held_out")).transform(rows).select("features", "_y", "held_out"), "fit-check")
+    learn = rows.where("not held_out")
+    model = with_layers(estimator(algorithm, task), learn).fit(learn)
+    own, other = (score(model.transform(part), task).first() for part in (learn, rows.where("held_out")))
+    cv = cross_validate(df, target, features, key, algorithm, folds, seed).agg(F.avg("value").alias("v")).first().v
+    if own.value is None or other.value is None:
+        verdict = None
+    elif own.value - other.value > GAP and own.value > GOOD:
+        verdict = "overfitting"
+    else:
+        verdict = "underfitting" if own.value < WEAK and other.value < WEAK else "balanced"
+    gap = own.value - other.value if verdict else None
+    return df.sparkSession.createDataFrame([(own.metric, own.value, other.value, cv, gap, verdict)], "metric string, train double, held_out double, cross_validated double, gap double, verdict string")
+
+
 def _shelf(spark: SparkSession, name: str) -> str:
     if not re.fullmatch(r"[A-Za-z0-9_-]+", name):
         raise StepError(f"a model's name has letters, digits, _ and - only, not {name!r}")

@@ -131,6 +131,7 @@ def register(r: Registry) -> None:
         "SELECT o_orderstatus, CAST(n - t AS BIGINT) AS train, CAST(t AS BIGINT) AS test FROM (SELECT o_orderstatus, count(*) AS n, least(count(*) - 1, greatest(1, round(0.2 * count(*)))) AS t FROM orders GROUP BY 1)")
     add("ml_train__cv", "lineitem", lambda d: tr.cross_validate(d, "l_extendedprice", feats, key))
     add("ml_train__cv_classes", "lineitem", lambda d: tr.cross_validate(d, "l_linestatus", ["l_quantity", "l_returnflag"], key, "logistic", 3))
+    add("ml_fit_gap__check", "lineitem", lambda d: tr.fit_check(d, "l_extendedprice", feats, key))
     add("ml_train__ridge", "lineitem", lambda d: md.regression_metrics(md.train(d, "l_extendedprice", feats, key, "ridge")[1]))
     add("ml_train__gradient_boosting", "part", lambda d: md.regression_metrics(md.train(d, "p_retailprice", ["p_size", "p_type"], ["p_partkey"], "gradient_boosting")[1]))
 

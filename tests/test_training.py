@@ -30,6 +30,16 @@ def test_folds_hold_each_row_once(rows):
     assert all(r.metric == "r2" and r.value > 0.98 for r in out)
 
 
+def test_fit_is_checked(rows, spark):
+    good = tr.fit_check(rows.where("x is not null"), "y", ["x", "c"], ["id"]).first()
+    assert good.verdict == "balanced" and good.train > 0.98 and good.cross_validated > 0.98 and abs(good.gap) < 0.05
+    noise = rows.where("id < 200").withColumn("y", F.pmod(F.xxhash64("id"), F.lit(1000)) / 7.0)
+    assert tr.fit_check(noise, "y", ["x"], ["id"]).first().verdict == "underfitting"
+    wide = noise.where("id < 60").withColumn("x", F.pmod(F.xxhash64(F.lit(3), "id"), F.lit(100_000)) / 1.0)
+    found = tr.fit_check(wide, "y", ["x"], ["id"], "gradient_boosting", 2).first()
+    assert found.verdict == "overfitting" and found.gap > 0.15
+
+
 def test_models_are_kept_by_name(rows, spark):
     told = tr.train_saved(rows, "y", ["x", "c"], ["id"], "line").first()
     model, about = tr.load_model(spark.newSession(), "line")
