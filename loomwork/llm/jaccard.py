@@ -47,7 +47,7 @@ LIGHT_MOST = 16
 SKETCH_BITS, PIECE_BITS = 22, 14
 #: Bytes of text that are hashed at once; a longer text is hashed by itself.
 SLICE = 1 << 20
-#: One in so many keys is joined first; nodes drawn of each key that is still open.
+#: One in so many keys is joined first, in the first and in the last turns; nodes drawn of each key that is still open.
 SOME, DRAWS = 8, 8
 _U = np.uint64
 BLANK = np.zeros(256, dtype=bool)
@@ -314,8 +314,9 @@ def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, n
     are ``good``, an expression in va, vb, na and nb; None if there are none.  ``bits`` (node, v) are their bitmaps.
 
     A key's least node (by root) is compared with those of other roots: under one key in SOME, then under all.  Of what is still of different roots under a key,
-    DRAWS nodes drawn by a hash are compared with all others, and at last all with all; there bitmaps decide within the join.  Components of
-    all links come out, and what is connected isn't compared again."""
+    DRAWS nodes drawn by a hash are compared with all others, twice; at last all with all, again under one key in SOME, for a pair of many common keys
+    would come once for each, and then under all keys.  In these turns bitmaps decide within the join.  Components of all links come out, and what is
+    connected isn't compared again."""
 
     def fits(a: str, b: str):
         return (den * F.least(a, b) >= num * F.greatest(a, b)) & (F.col("root") != F.col("ra"))
@@ -328,29 +329,30 @@ def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, n
         return written(one.join(pairs, "a").join(other, "b").where(good).select("a", "b"), name + "-links")
 
     comp = None
-    for turn in range(4):
-        at = members.where(F.pmod(F.shiftright("key", 20), F.lit(SOME)) == 0) if turn == 0 else members
+    turns = [("least", True), ("least", False), ("drawn", False), ("drawn", False), ("all", True), ("all", False)]
+    for turn, (way, some) in enumerate(turns):
+        at = members.where(F.pmod(F.shiftright("key", 20), F.lit(SOME)) == 0) if some else members
         labelled = at.withColumn("root", F.col("node"))
         if comp is not None:
             labelled = at.join(broadcast_if_small(comp), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         first = labelled.groupBy("key").agg(F.min(F.struct("root", "node", "n")).alias("x"), F.max("root").alias("top")).where("x.root <> top")
         first = written(first.select("key", F.col("x.root").alias("ra"), F.col("x.node").alias("a"), F.col("x.n").alias("na")), name + "-first")
         if first.isEmpty():
-            if turn == 0:
+            if some:
                 continue
             break
         labelled = written(labelled.join(broadcast_if_small(first.select("key")), "key", "left_semi"), name + "-open")
-        if turn < 2:
+        if way == "least":
             pairs = labelled.join(first, "key").where(fits("n", "na"))
         else:
             labelled = written(labelled.join(bits, "node"), name + "-marked")
-            if turn == 2:
-                odd = labelled.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node")))).where(F.col("no") <= DRAWS)
+            if way == "drawn":
+                odd = labelled.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn))))).where(F.col("no") <= DRAWS)
             else:
                 odd = labelled.join(first.select("key", F.col("ra").alias("main")), "key").where("root <> main")
-            main = F.col("main") if turn == 3 else F.col("root")
+            main = F.col("main") if way == "all" else F.col("root")
             odd = written(odd.select("key", main.alias("main"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("v").alias("va")), name + "-odd")
-            once = F.lit(True) if turn == 2 else (F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))
+            once = F.lit(True) if way == "drawn" else (F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))
             pairs = labelled.join(odd, "key").where(fits("n", "na") & once & alike)
         links = verified(pairs.select("a", F.col("node").alias("b")))
         if links.isEmpty():
