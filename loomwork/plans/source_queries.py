@@ -154,10 +154,17 @@ def ss_dedupe(spark, sf_dir):
 
 
 def ss_pair(spark, sf_dir):
-    stream, work = streamed(spark, sf_dir, "events")
-    both = F.explode(F.array(F.struct(F.lit("start").alias("lifecycle"), F.col("ts").cast("timestamp").alias("ts")), F.struct(F.lit("complete").alias("lifecycle"), (F.col("ts") + F.expr("interval 1 minute")).cast("timestamp").alias("ts"))))
-    life = stream.select(F.col("user_id").alias("case"), F.col("event_type").alias("activity"), both.alias("e")).select("case", "activity", "e.ts", "e.lifecycle")
-    return drained(jobs.pair(life, 3_600_000, "1000 days"), work)
+    """Starts and completes lie in different files, each a micro-batch; a closing event of its own key comes last and moves the watermark past all."""
+    events, work = spark.read.parquet(f"{sf_dir}/events.parquet"), scratch(spark, "stream")
+    keyed = events.select(F.col("user_id").alias("case"), F.col("event_type").alias("activity"), F.col("ts").cast("timestamp").alias("at"))
+    both = F.explode(F.array(F.struct("at", F.lit("start").alias("lifecycle")), F.struct((F.col("at") + F.expr("interval 1 minute")).alias("at"), F.lit("complete").alias("lifecycle"))))
+    life = keyed.select("case", "activity", both.alias("e")).select("case", "activity", F.col("e.at").alias("ts"), "e.lifecycle")
+    life.repartition(2, "lifecycle", "ts").write.parquet(f"{work}/in")
+    closing = life.agg((F.max("ts") + F.expr("interval 2000 days")).alias("ts"))
+    closing = closing.select(F.lit(-1).cast(life.schema["case"].dataType).alias("case"), F.lit("").alias("activity"), "ts", F.lit("start").alias("lifecycle"))
+    closing.coalesce(1).write.mode("append").parquet(f"{work}/in")
+    stream = jobs.file_stream(spark, f"{work}/in", life.schema, files_per_batch=1)
+    return drained(jobs.pair(stream, 3_600_000, "1000 days"), work)
 
 
 def ss_change(spark, sf_dir):

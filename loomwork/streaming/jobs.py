@@ -6,7 +6,6 @@ import json
 from collections import deque
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,8 +16,9 @@ from ..operators.quality import fails
 from ..plans.versions import replay
 
 
-def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", glob: str | None = None) -> DataFrame:
+def file_stream(spark: SparkSession, folder: str, schema, fmt: str = "parquet", glob: str | None = None, files_per_batch: int | None = None) -> DataFrame:
     reader = spark.readStream.schema(schema).format(fmt)
+    reader = reader.option("maxFilesPerTrigger", files_per_batch) if files_per_batch else reader
     return (reader.option("pathGlobFilter", glob) if glob else reader).load(folder)
 
 
@@ -61,43 +61,61 @@ def dedupe(stream: DataFrame, time: str, keys: list[str], watermark: str) -> Dat
 
 
 class Pairing(StatefulProcessor):
-    """First in, first out pairing of starts and completes of a key; an open start that outlives the timeout comes out unmatched.
+    """First in, first out pairing of starts and completes of a key in event time, whatever order files and micro-batches bring them in.
 
-    The rows of a key and micro-batch come in several chunks without an order: their times (a number each) are gathered and
-    sorted first.  Micro-batches must follow each other in event time."""
+    Events are held until the watermark has passed them and are then paired by time, starts before completes of the same time.  A start
+    that is open for longer than the timeout comes out unmatched.  A key has one timer: its first event held or, if earlier, the timeout
+    of its oldest open start.  What a key holds is bounded by the watermark's delay and the timeout."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open = handle.getValueState("open", "starts string")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
-        waiting = json.loads(self.open.get()[0]) if self.open.exists() else []
-        out = []
-        chunks = [(pdf["ms"].to_numpy(dtype="int64"), (pdf["lifecycle"] != "start").to_numpy(dtype="int64")) for pdf in rows]
-        times, ends = (np.concatenate(x) for x in zip(*chunks))
-        waiting = deque(waiting)
-        for i in np.lexsort((ends, times)).tolist():
-            ts = int(times[i])
-            if not ends[i]:
-                waiting.append(ts)
+        self.held = handle.getListState("held", "ms long, ends boolean")
+        self.open = handle.getListState("open", "ms long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for pdf in rows:
+            times = pdf["ms"].astype("int64")
+            self.held.appendList(list(zip(times.tolist(), (pdf["lifecycle"] != "start").tolist())))
+            first = int(times.min()) if first is None else min(first, int(times.min()))
+        if first is not None:
+            self.handle.registerTimer(first)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
+        held = list(self.held.get())
+        known, out = [ms for (ms,) in self.open.get()], []
+        waiting, due = deque(known), sorted(x for x in held if x[0] <= now)
+
+        def give_up(before: int) -> None:
+            """Starts whose timeout lies before this time."""
+            while waiting and waiting[0] + self.timeout_ms < before:
+                out.append((*key, waiting.popleft(), None, "start without complete"))
+
+        for ms, ends in due:
+            give_up(ms)
+            if not ends:
+                waiting.append(ms)
             elif waiting:
-                out.append((*key, waiting.popleft(), ts, "paired"))
+                out.append((*key, waiting.popleft(), ms, "paired"))
             else:
-                out.append((*key, None, ts, "complete without start"))
-        for ts in set(waiting):
-            self.handle.registerTimer(ts + self.timeout_ms)
-        self.open.update((json.dumps(list(waiting)),))
-        yield pd.DataFrame(out, columns=["case", "activity", "start_ms", "end_ms", "status"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
-
-    def handleExpiredTimer(self, key, timer, expired) -> Iterator[pd.DataFrame]:
-        now = expired.getExpiryTimeInMs()
-        waiting = json.loads(self.open.get()[0]) if self.open.exists() else []
-        late = [t for t in waiting if t + self.timeout_ms <= now]
-        self.open.update((json.dumps([t for t in waiting if t + self.timeout_ms > now]),))
-        yield pd.DataFrame([(*key, t, None, "start without complete") for t in late], columns=["case", "activity", "start_ms", "end_ms", "status"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
+                out.append((*key, None, ms, "complete without start"))
+        give_up(now + 1)
+        later = [tuple(x) for x in held if x[0] > now]
+        for state, values, changed in ((self.held, later, bool(due)), (self.open, [(ms,) for ms in waiting], list(waiting) != known)):
+            if changed and values:
+                state.put(values)
+            elif changed:
+                state.clear()
+        wakes = [ms for ms, _ in later] + [ms + self.timeout_ms for ms in list(waiting)[:1]]
+        if wakes:
+            self.handle.registerTimer(min(wakes))
+        if out:
+            yield pd.DataFrame(out, columns=["case", "activity", "start_ms", "end_ms", "status"]).astype({"start_ms": "Int64", "end_ms": "Int64"})
 
     def close(self) -> None:
         pass
@@ -107,8 +125,8 @@ PAIRED = "case long, activity string, start_ms long, end_ms long, status string"
 
 
 def pair(stream: DataFrame, timeout_ms: int, watermark: str) -> DataFrame:
-    """``stream`` (case, activity, ts, lifecycle) paired by event time."""
-    rows = stream.withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
+    """``stream`` (case, activity, ts, lifecycle) paired by event time once the watermark has passed; rows without a time are left out."""
+    rows = stream.where("ts is not null").withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
     return rows.groupBy("case", "activity").transformWithStateInPandas(Pairing(timeout_ms), PAIRED, "Append", "EventTime")
 
 
@@ -118,7 +136,7 @@ class Changes(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getValueState("seen", "lines string")
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timer) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         out = []
         known = json.loads(self.seen.get()[0]) if self.seen.exists() else None
         # the chunks of a key's micro-batch have no order among them; a key is one page, whose fetches are few
