@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
+from ..tables import stored
 from .ranks import mid_ranks, running_sum, quantiles
 
 
@@ -182,6 +183,28 @@ def trend(df: DataFrame, date: str, value: str) -> DataFrame:
     return g.crossJoin(F.broadcast(r)).select("period", "n", F.round("total", 2).alias("total"), F.round("mean", 4).alias("mean"), "r")
 
 
+def trend_findings(df: DataFrame, date: str, value: str, group: str, top: int = 5, alpha: float = 0.05, least: float = 0.5) -> DataFrame:
+    """(group, grain, periods, r, p, found) of the whole table (a null group) and of its ``top`` groups by total.
+
+    Periods have five rows or more; from three of them on r is the correlation of their totals with their numbers and p its two-sided t test.  A
+    trend is found in five periods or more where p is below ``alpha`` and |r| at least ``least``.  Rows without a group count for the whole only."""
+    span = df.where(F.col(value).isNotNull()).agg(F.datediff(F.max(date), F.min(date)).alias("d")).first().d or 0
+    grain = "year" if span > 1100 else "month" if span > 120 else "day"
+    cells = df.where(F.col(date).isNotNull() & F.col(value).isNotNull()).groupBy(F.date_trunc(grain, date).cast("date").alias("period"), F.col(group).alias("_g"))
+    cells = stored(cells.agg(F.count("*").alias("n"), F.sum(value).cast("double").alias("total")), "trend-cells")
+    leaders = cells.where("_g is not null").groupBy("_g").agg(F.sum("total").alias("t")).orderBy(F.desc("t"), "_g").limit(top).select("_g")
+    whole = cells.groupBy("period").agg(F.sum("n").alias("n"), F.sum("total").alias("total")).select("period", F.lit(None).cast(cells.schema["_g"].dataType).alias("_g"), "n", "total")
+    series = whole.unionByName(cells.join(F.broadcast(leaders), "_g").select("period", "_g", "n", "total")).where("n >= 5")
+    number = F.datediff("period", F.lit("1970-01-01").cast("date")).cast("double")
+    rows = []
+    for x in series.groupBy("_g").agg(F.count("*").alias("k"), F.corr(number, "total").alias("r")).collect():  # top + 1 rows
+        r = None if x.r is None or x.k < 3 or math.isnan(x.r) else max(-1.0, min(1.0, x.r))
+        p = None if r is None else 0.0 if abs(r) == 1 else tails.t_tail(abs(r) * math.sqrt((x.k - 2) / (1 - r * r)), x.k - 2)
+        rows.append((x["_g"], grain, x.k, r, p, bool(p is not None and x.k >= 5 and p < alpha and abs(r) >= least)))
+    kind = cells.schema["_g"].dataType.simpleString()
+    return df.sparkSession.createDataFrame(rows, f"`{group}` {kind}, grain string, periods long, r double, p double, found boolean")
+
+
 def group_gap(df: DataFrame, group: str, value: str) -> DataFrame:
     """Best against worst group by mean: Welch's p and the relative gap."""
     g = moments(df, value, group).where("n >= 5")

@@ -65,6 +65,10 @@ def register(r: Registry) -> None:
            SELECT round(max(g), 4) AS ks, round(sum(g * (nx - v)), 4) AS wasserstein, round((SELECT avg(o_totalprice) FROM orders WHERE o_orderstatus = 'O') - (SELECT avg(o_totalprice) FROM orders WHERE o_orderstatus = 'F'), 4) AS mean_shift FROM d""")
     add("st_trend", "orders", lambda d: sa.trend(d, "o_orderdate", "o_totalprice"),
         """WITH g AS (SELECT date_trunc('year', o_orderdate)::DATE AS period, count(*) AS n, sum(o_totalprice) AS t, avg(o_totalprice) AS m FROM orders GROUP BY 1 HAVING count(*) >= 5) SELECT period, n, round(t, 2) AS total, round(m, 4) AS mean, (SELECT round(corr(date_diff('day', DATE '1970-01-01', period)::DOUBLE, t), 6) FROM g) AS r FROM g""")
+    add("st_trend__groups", "orders", lambda d: rounded(sa.trend_findings(d, "o_orderdate", "o_totalprice", "o_orderpriority", 3).drop("p"), 6),
+        """WITH c AS (SELECT date_trunc('year', o_orderdate)::DATE AS period, o_orderpriority AS g, count(*) AS n, sum(o_totalprice) AS t FROM orders GROUP BY 1, 2), top AS (SELECT g FROM c GROUP BY g ORDER BY sum(t) DESC, g LIMIT 3),
+           s AS (SELECT NULL AS g, period, sum(n) AS n, sum(t) AS t FROM c GROUP BY period UNION ALL SELECT g, period, n, t FROM c JOIN top USING (g)), k AS (SELECT g, count(*) AS k, corr(date_diff('day', DATE '1970-01-01', period)::DOUBLE, t) AS r FROM s WHERE n >= 5 GROUP BY g)
+           SELECT g AS o_orderpriority, 'year' AS grain, k AS periods, round(r, 6) AS r, k >= 5 AND abs(r) >= 0.5 AND abs(r) * sqrt((k - 2) / (1 - r * r)) > (CASE k WHEN 5 THEN 3.182446 WHEN 6 THEN 2.776445 WHEN 7 THEN 2.570582 WHEN 8 THEN 2.446912 WHEN 9 THEN 2.364624 END) AS found FROM k""")
     add("st_groups", "orders", lambda d: rounded(sa.group_gap(d, "o_orderpriority", "o_totalprice").select("best", "worst", "t", "gap")),
         """WITH g AS (SELECT o_orderpriority AS g, count(*) AS n, avg(o_totalprice) AS m, var_samp(o_totalprice) AS v FROM orders GROUP BY 1 HAVING count(*) >= 5), a AS (SELECT * FROM g ORDER BY m DESC, g LIMIT 1), b AS (SELECT * FROM g ORDER BY m, g LIMIT 1) SELECT a.g AS best, b.g AS worst, round((a.m - b.m) / sqrt(a.v / a.n + b.v / b.n), 5) AS t, round((a.m - b.m) / abs(b.m), 5) AS gap FROM a, b""")
     add("st_outliers", "orders", lambda d: sa.outlier_share(d, "o_totalprice"),

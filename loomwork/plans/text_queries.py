@@ -30,6 +30,11 @@ def register(r: Registry) -> None:
     add("txt_bm25", "documents", lambda d: tj.bm25(d, "doc_id", "text", ["there", "onen"]),
         f"""WITH t AS (SELECT doc_id AS id, {TOK.format('text')} AS t FROM documents), f AS (SELECT id, len(t) AS len, len(list_filter(t, lambda x: starts_with(x, 'there')))::DOUBLE AS tf0, len(list_filter(t, lambda x: starts_with(x, 'onen')))::DOUBLE AS tf1 FROM t),
             s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f), g AS (SELECT id, round({part(0)} + {part(1)}, 6) AS score FROM f, s) SELECT * FROM g WHERE score > 0""")
+    def both(i, q):
+        return f"2.0 * len(list_filter(a, lambda x: starts_with(x, '{q}'))) + len(list_filter(t, lambda x: starts_with(x, '{q}'))) AS tf{i}"
+    add("txt_bm25__weights", "documents", lambda d: tj.bm25(d, "doc_id", {"source": 2.0, "text": 1.0, "lang": 0.0}, ["web", "there"]),
+        f"""WITH t AS (SELECT doc_id AS id, coalesce({TOK.format('source')}, []) AS a, coalesce({TOK.format('text')}, []) AS t FROM documents), f AS (SELECT id, len(a) + len(t) AS len, {both(0, 'web')}, {both(1, 'there')} FROM t),
+            s AS (SELECT count(*) AS n, avg(len) AS av, count(*) FILTER (tf0 > 0) AS df0, count(*) FILTER (tf1 > 0) AS df1 FROM f), g AS (SELECT id, round(({part(0)} + {part(1)})::DOUBLE, 6) AS score FROM f, s) SELECT * FROM g WHERE score > 0""")
     add("txt_pii", "documents", lambda d: tj.scan_pii(d, "doc_id", "text"))
     add("txt_pii_mask", "documents", lambda d: tj.mask(d, "doc_id", "text"))
     add("txt_name_match", "part", lambda d: tj.name_matches(d, d, "p_name", "p_name", 0.3),
@@ -41,6 +46,10 @@ def register(r: Registry) -> None:
             SELECT q, name, round(score, 6) AS score FROM s WHERE score >= 0.78 QUALIFY row_number() OVER (PARTITION BY q ORDER BY round(score, 6) DESC, name) <= 3""")
     add("txt_amounts", "part", lambda d: d.select("p_partkey", tj.parse_amount(F.expr("case p_partkey % 4 when 0 then concat('EUR 1.', lpad(p_size, 3, '0'), ',50') when 1 then concat('$1,', lpad(p_size, 3, '0'), '.50') when 2 then concat(p_size, ',5') else concat('1.', lpad(p_size, 3, '0')) end")).alias("v")),
         "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 1000.5 + p_size WHEN 1 THEN 1000.5 + p_size WHEN 2 THEN p_size + 0.5 ELSE 1000 + p_size END::DOUBLE AS v FROM part")
+    # "1.050" is 1050 by itself, but 1.05 in a column whose other values show a decimal point
+    made = "case p_partkey % 3 when 0 then concat('1.', lpad(p_size, 3, '0')) when 1 then concat('USD ', p_size, '.5') else concat('$1,', lpad(p_size, 3, '0'), '.50') end"
+    add("txt_amounts__column", "part", lambda d: tj.parse_amounts(d.select("p_partkey", F.expr(made).alias("amount")), "amount", "v").select("p_partkey", F.round("v", 6).alias("v")),
+        "SELECT p_partkey, round(CASE p_partkey % 3 WHEN 0 THEN 1 + p_size / 1000.0 WHEN 1 THEN p_size + 0.5 ELSE 1000.5 + p_size END, 6)::DOUBLE AS v FROM part")
     add("url_normalise", "pages", lambda d: d.select("page_id", tx.normalize_url(F.col("url")).alias("v")),
         """WITH u AS (SELECT page_id, url, lower(regexp_extract(url, '^([A-Za-z]+)://', 1)) AS s, lower(regexp_replace(regexp_extract(url, '://([^/?#]*)', 1), ':(80|443)$', '')) AS h, regexp_extract(regexp_replace(url, '#.*$', ''), '://[^/?]*([^?]*)', 1) AS p, regexp_extract(regexp_replace(url, '#.*$', ''), '\\?(.*)$', 1) AS q FROM pages),
            w AS (SELECT *, list_sort(list_filter(string_split(q, '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|fbclid|gclid|mc_cid|mc_eid|ref)(=|$)'))) AS l FROM u)

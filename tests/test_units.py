@@ -96,6 +96,47 @@ def test_personal_data():
     assert [k for _, _, k in tj.pii_spans(text, ["email", "dni", "iban", "card"])] == ["email", "dni", "iban", "card"]
 
 
+def test_company_numbers():
+    # digits 1234567 have the control 4, the letter D; A to H take digits, P letters, C both
+    good, bad = ["A58818501", "B12345674", "P1234567D", "C12345674", "C1234567D"], ["A58818502", "B1234567D", "P12345674", "C12345675", "K12345674"]
+    assert [tj.pii_spans(f"({x})", ["cif"]) for x in good] == [[(1, 10, "cif")]] * len(good)
+    assert [tj.pii_spans(f"({x})", ["cif"]) for x in bad] == [[]] * len(bad)
+
+
+def test_amounts_by_the_mark_of_their_column(spark):
+    def read(values):
+        df = spark.createDataFrame(list(enumerate(values)), "i int, a string")
+        mark = tj.decimal_mark(df, "a").first()
+        return mark, [r.v for r in tj.parse_amounts(df, "a", "v").orderBy("i").collect()]
+
+    spanish = ["1.234", "12,5", "1.234.567", "9.999,95", "-0,125", None, "none", "7", "12."]
+    assert read(spanish) == ((",", 0, 4), [1234.0, 12.5, 1234567.0, 9999.95, -0.125, None, None, 7.0, 12.0])
+    english = ["1.234", "12.5", "1,234", "1,234.5"]
+    assert read(english) == ((".", 2, 0), [1.234, 12.5, 1234.0, 1234.5])
+    assert read(["1.234", "1,234"]) == ((None, 0, 0), [1234.0, 1234.0])
+    assert read([]) == ((None, 0, 0), [])
+
+
+def test_trend_findings(spark):
+    rng = random.Random(5)
+    rows = [(f"2024-01-{d:02d}", g, value) for d in range(1, 11) for g, value in (("up", 10.0 * d), ("flat", 50.0 + rng.random()), (None, 1.0)) for _ in range(5)]
+    rows += [("2024-01-20", "up", 1e6)] * 4 + [(None, "up", 1.0), ("2024-01-21", "up", None)]  # a period of four rows, rows without a date or value
+    df = spark.createDataFrame(rows, "d string, g string, v double").withColumn("d", F.to_date("d"))
+    got = {r.g: r for r in sa.trend_findings(df, "d", "v", "g").collect()}
+    assert set(got) == {None, "up", "flat"} and {r.grain for r in got.values()} == {"day"} and {r.periods for r in got.values()} == {10}
+    assert abs(got["up"].r - 1) < 1e-9 and got["up"].found and got["up"].p < 1e-6 and got[None].found and not got["flat"].found
+    assert {r.g for r in sa.trend_findings(df, "d", "v", "g", top=1).collect()} == {None, "up"}
+    assert [tuple(r) for r in sa.trend_findings(df.limit(0), "d", "v", "g").collect()] == []
+
+
+def test_weighted_columns(spark):
+    df = spark.createDataFrame([(1, "red", "blue"), (2, "blue", "red red"), (3, None, "green"), (4, "red", None)], "i int, a string, b string")
+    once = {r.id: r.score for r in tj.bm25(df, "i", {"a": 1.0, "b": 1.0}, ["red"]).collect()}
+    twice = {r.id: r.score for r in tj.bm25(df, "i", {"a": 5.0, "b": 1.0}, ["red"]).collect()}
+    assert set(once) == {1, 2, 4} == set(twice) and once[2] > once[1] and twice[1] > twice[2]
+    assert tj.bm25(df, "i", {"a": 0.0, "b": 3.0}, ["red"]).select("id").collect() == [(2,)]
+
+
 def test_chunks_cover_the_text():
     text = ("word " * 50 + ".\n") * 40
     spans = tj.chunk_spans(text)
