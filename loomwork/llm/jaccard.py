@@ -345,15 +345,16 @@ def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, n
         if way == "least":
             pairs = labelled.join(first, "key").where(fits("n", "na"))
         else:
-            labelled = written(labelled.join(bits, "node"), name + "-marked")
             if way == "drawn":
                 odd = labelled.withColumn("no", F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("node", F.lit(turn))))).where(F.col("no") <= DRAWS)
             else:
                 odd = labelled.join(first.select("key", F.col("ra").alias("main")), "key").where("root <> main")
             main = F.col("main") if way == "all" else F.col("root")
-            odd = written(odd.select("key", main.alias("main"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("v").alias("va")), name + "-odd")
+            # ids are drawn and written; bitmaps come in on the way to the join by key, once for either side
+            odd = written(odd.select("key", main.alias("main"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na")), name + "-odd")
+            odd = odd.join(bits.select(F.col("node").alias("a"), F.col("v").alias("va")), "a")
             once = F.lit(True) if way == "drawn" else (F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))
-            pairs = labelled.join(odd, "key").where(fits("n", "na") & once & alike)
+            pairs = labelled.join(bits, "node").join(odd, "key").where(fits("n", "na") & once & alike)
         links = verified(pairs.select("a", F.col("node").alias("b")))
         if links.isEmpty():
             continue
