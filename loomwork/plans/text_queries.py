@@ -61,12 +61,22 @@ def register(r: Registry) -> None:
             SELECT doc_id, CASE WHEN regexp_matches(lower(text), '{tj.REFUSED}') AND w < 200 THEN 'blocked' WHEN w < 50 THEN 'too_short' WHEN sh > 0.7 * len(l) THEN 'navigation' ELSE 'ok' END AS quality FROM s""")
     units = ", ".join(f"'{u}'" for u in tj.UNITS)
     words = "regexp_split_to_array(trim(regexp_replace(lower(raw), '\\s+', ' ', 'g')), ' ')"
-    norm = f"""array_to_string(list_filter(w, lambda x, i: NOT (regexp_matches(x, '{tj.CLOCK}') OR regexp_matches(x, '{tj.NAME}') OR x = 'ago'
-        OR (x IN ({units}) AND coalesce(w[i + 1] = 'ago', false)) OR (regexp_matches(x, '^[0-9]+$') AND coalesce(w[i + 1] IN ({units}), false) AND coalesce(w[i + 2] = 'ago', false)))), ' ')"""
+    marks = tj.MARKS.replace("'", "''")
+    heads = ", ".join(f"'{h}'" for h in tj.HEADS)
+    def there(k):
+        return f"i + {k} > 0 AND " if k < 0 else ""
+    def head(k):
+        return f"({there(-k)}coalesce(c[i + {-k}] IN ({heads}), false) AND coalesce(regexp_matches(c[i + {1 - k}], '^[0-9]+$'), false) AND coalesce(regexp_matches(c[i + {2 - k}], '^[a-z]+$'), false))"
+    norm = f"""array_to_string(list_filter(w, lambda x, i: NOT (regexp_matches(c[i], '{tj.CLOCK}') OR regexp_matches(c[i], '{tj.NAME}') OR c[i] = 'ago'
+        OR (regexp_matches(c[i], '{tj.DAY}') AND coalesce(regexp_matches(c[i + 1], '{tj.CLOCK}'), false)) OR {head(0)} OR {head(1)} OR {head(2)}
+        OR (c[i] IN ({units}) AND coalesce(c[i + 1] = 'ago', false)) OR (regexp_matches(c[i], '^[0-9]+$') AND coalesce(c[i + 1] IN ({units}), false) AND coalesce(c[i + 2] = 'ago', false)))), ' ')"""
+    def worded(raw):
+        return rf"(SELECT doc_id, w, list_transform(w, lambda x: regexp_replace(x, '{marks}', '', 'g')) AS c FROM (SELECT doc_id, {words} AS w FROM (SELECT doc_id, unnest(string_split({raw}, chr(10))) AS raw FROM documents)))"
+    fetched = r"'new line' || chr(10) || regexp_replace(text, '^[^\n]*\n', '')"
     def after(d):
         return d.select("doc_id", F.concat(F.lit("new line\n"), F.regexp_replace("text", "^[^\n]*\n", "")).alias("text"))
     add("page_change", "documents", lambda d: tj.page_changes(d, after(d), "doc_id", "text"),
-        rf"""WITH a AS (SELECT DISTINCT doc_id, {norm} AS line FROM (SELECT doc_id, {words} AS w FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS raw FROM documents))), b AS (SELECT DISTINCT doc_id, {norm} AS line FROM (SELECT doc_id, {words} AS w FROM (SELECT doc_id, unnest(string_split('new line' || chr(10) || regexp_replace(text, '^[^\n]*\n', ''), chr(10))) AS raw FROM documents)))
+        rf"""WITH a AS (SELECT DISTINCT doc_id, {norm} AS line FROM {worded("text")}), b AS (SELECT DISTINCT doc_id, {norm} AS line FROM {worded(fetched)})
             SELECT doc_id, 'added' AS change, line FROM b WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM a WHERE a.doc_id = b.doc_id AND a.line = b.line) UNION ALL SELECT doc_id, 'removed', line FROM a WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE a.doc_id = b.doc_id AND a.line = b.line)""")
     cos = """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), s AS (SELECT q.vec_id AS query, e.vec_id AS id, list_dot_product(e.v, q.v) / (sqrt(list_dot_product(e.v, e.v)) * sqrt(list_dot_product(q.v, q.v))) AS s FROM e, e q WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id),
         k AS (SELECT query, id, round(s, 5) AS score, row_number() OVER (PARTITION BY query ORDER BY s DESC, id) AS rank FROM s)"""

@@ -171,3 +171,12 @@ def test_what_moves_in_a_page_is_no_change(spark):
     page = lambda rows: spark.createDataFrame(rows, "k int, t string")
     got = tj.page_changes(page([(1, "a 10:00\nb"), (1, "c"), (2, "x")]), page([(1, "a 11:00\nc\nd\nd"), (3, "n"), (4, None)]), "k", "t")
     assert sorted(map(tuple, got.collect())) == [(1, "added", "d"), (1, "removed", "b"), (2, "removed", "x"), (3, "added", "n")]
+
+
+def test_dates_ages_and_marks_of_a_page_are_no_change(spark):
+    from pyspark.sql import functions as F
+
+    lines = ["Read on 2024-05-01 10:00 (10:05, by all)", "2024-05-01 was fine", "hace 5 minutos hoy", "Quedan 3 dias", "quedan pocos", "5 mins ago!", "7 sec ago", "id [deadbeefdeadbeef01]", "3 hace 2"]
+    want = ["read on by all)", "2024-05-01 was fine", "hoy", "", "quedan pocos", "", "", "id", "3 hace 2"]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    assert [r.y for r in df.select(tj.stable_line(F.col("x")).alias("y")).collect()] == want
