@@ -7,12 +7,11 @@ import re
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StringIndexer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..tables import broadcast_if_small, scratch, stored
-from .models import detect_task, estimator, is_id_like, prep_stages, with_layers
-from .ranks import global_rank
+from .models import detect_task, estimator, is_id_like, prep_stages, spread, with_layers
 from .steps import StepError
 
 
@@ -25,54 +24,73 @@ def usable_features(df: DataFrame, target: str) -> list[str]:
 def ranked(df: DataFrame, label: str | None, key: list[str], seed: int = 42) -> DataFrame:
     """Rows with ``_place``, from 0 in hashed order within their class, and ``_size``, the rows of the class.
 
-    The order is one over the whole table, along range partitions, so no task holds a class."""
+    A class is cut into slices by the hash, of about one size and in its order; rows are dealt by slice once, and the slices before are a count."""
     kind = (F.col(label) if label else F.lit(0)).alias("_class")
-    rows = df.select("*", kind, F.xxhash64(F.lit(seed), *key).alias("_hash"))
-    rows = stored(global_rank(rows, ["_class", "_hash", *key], "_rank"), "strata")
-    classes = rows.groupBy("_class").agg(F.count("*").alias("_size"))
-    before = Window.orderBy(F.col("_class").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)  # a row a class
-    classes = stored(classes.withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).withColumnRenamed("_class", "_of"), "strata-classes")
-    out = rows.join(broadcast_if_small(classes), F.col("_class").eqNullSafe(F.col("_of")))
-    return out.withColumn("_place", F.col("_rank") - 1 - F.col("_before")).drop("_class", "_of", "_hash", "_rank", "_before")
+    rows = df.select("*", kind, F.xxhash64(F.lit(seed), *key).alias("_hash")).withColumn("_slice", F.shiftright("_hash", 52))
+    whole = Window.partitionBy("_class")
+    before = F.sum("_n").over(whole.orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1))
+    counts = rows.groupBy("_class", "_slice").agg(F.count("*").alias("_n"))
+    counts = counts.select(F.col("_class").alias("_of"), F.col("_slice").alias("_part"), F.coalesce(before, F.lit(0)).alias("_before"), F.sum("_n").over(whole).alias("_size"))
+    order = Window.partitionBy("_class", "_slice").orderBy("_hash", *[F.col(c).asc_nulls_last() for c in key])
+    same = F.col("_class").eqNullSafe(F.col("_of")) & (F.col("_slice") == F.col("_part"))
+    out = rows.withColumn("_rank", F.row_number().over(order)).join(broadcast_if_small(stored(counts, "strata")), same)
+    return out.withColumn("_place", F.col("_rank") - 1 + F.col("_before")).drop("_class", "_slice", "_of", "_part", "_hash", "_rank", "_before")
+
+
+def _held(test_size: float) -> Column:
+    quota = F.least(F.col("_size") - 1, F.greatest(F.lit(1), F.round(test_size * F.col("_size")).cast("long")))
+    return F.col("_place") < quota
 
 
 def split(df: DataFrame, label: str | None, key: list[str], test_size: float = 0.2, seed: int = 42) -> DataFrame:
     """Rows with ``held_out``: of each class exactly the rounded share, one at least and all but one at most."""
-    quota = F.least(F.col("_size") - 1, F.greatest(F.lit(1), F.round(test_size * F.col("_size")).cast("long")))
-    return ranked(df, label, key, seed).withColumn("held_out", F.col("_place") < quota).drop("_place", "_size")
+    return ranked(df, label, key, seed).withColumn("held_out", _held(test_size)).drop("_place", "_size")
 
 
-def _ready(df: DataFrame, target: str, features: list[str], task: str) -> tuple[DataFrame, list]:
-    """(rows with a target, stages of preparation)."""
-    rows = df.where(F.col(target).isNotNull())
+def _ready(df: DataFrame, target: str, features: list[str], key: list[str], task: str) -> tuple[DataFrame, list]:
+    """(rows with a target, of the columns that a model needs; stages of preparation)."""
+    rows = df.where(F.col(target).isNotNull()).select(*dict.fromkeys([*features, target, *key]))
     stages = prep_stages(df, features)
     if task == "classification":
         return rows, [*stages, StringIndexer(inputCol=target, outputCol="_y", stringOrderType="alphabetAsc", handleInvalid="keep")]
     return rows.withColumn("_y", F.col(target).cast("double")), stages
 
 
-def score(pred: DataFrame, task: str) -> DataFrame:
-    """(metric, value, n): r2 of a regression, accuracy of a classification."""
-    y, p = F.col("_y"), F.col("prediction")
-    r2 = 1 - F.try_divide(F.sum((y - p) ** 2), F.sum(y * y) - F.sum(y) ** 2 / F.count("*"))
-    value = r2 if task == "regression" else F.avg((y == p).cast("double"))
-    return pred.agg(F.lit("r2" if task == "regression" else "accuracy").alias("metric"), F.round(value, 6).alias("value"), F.count("*").alias("n"))
+def score(pred: DataFrame, task: str, weight: Column | float = 1.0) -> DataFrame:
+    """(metric, value, n): r2 of a regression, accuracy of a classification; a row counts as often as its weight says."""
+    y, p, weight = F.col("_y"), F.col("prediction"), weight if isinstance(weight, Column) else F.lit(weight)
+    n = F.sum(weight)
+    r2 = 1 - F.try_divide(F.sum(weight * (y - p) ** 2), F.sum(weight * y * y) - F.sum(weight * y) ** 2 / n)
+    value = r2 if task == "regression" else F.try_divide(F.sum(weight * (y == p).cast("double")), n)
+    return pred.agg(F.lit("r2" if task == "regression" else "accuracy").alias("metric"), F.round(value, 6).alias("value"), F.coalesce(n, F.lit(0)).cast("long").alias("n"))
 
 
 def cross_validate(df: DataFrame, target: str, features: list[str] | None, key: list[str], algorithm: str = "linear", folds: int = 5, seed: int = 42) -> DataFrame:
     """(fold, metric, value, n): folds of equal size, of each class alike; the rows are prepared and written once for all of them."""
     features = features or usable_features(df.drop(*key), target)
     task = detect_task(df, target)
-    rows, stages = _ready(df, target, features, task)
-    rows = ranked(rows, target if task == "classification" else None, key, seed).withColumn("_fold", (F.col("_place") % folds).cast("int"))
-    rows = stored(Pipeline(stages=stages).fit(rows).transform(rows).select("features", "_y", "_fold"), "folds")
+    rows, stages = _ready(df, target, features, key, task)
+    dealt = ranked(rows, target if task == "classification" else None, key, seed)
+    return _folds(dealt, Pipeline(stages=stages).fit(rows), task, [*features, target], key, algorithm, folds)
+
+
+def _folds(dealt: DataFrame, prepared: PipelineModel, task: str, columns: list[str], key: list[str], algorithm: str, folds: int) -> DataFrame:
+    """Equal rows of a fold are one row with their number as its weight where a model has the same solution for both."""
+    dealt = dealt.withColumn("_fold", (F.col("_place") % folds).cast("int"))
+    if algorithm == "logistic":
+        dealt = dealt.groupBy("_fold", *dict.fromkeys(columns)).agg(F.count("*").cast("double").alias("_w")).withColumn("_k", F.xxhash64("_fold", *columns))
+    else:
+        dealt = dealt.select("_fold", *dict.fromkeys(columns + (["_y"] if "_y" in dealt.columns else [])), F.lit(1.0).alias("_w"), F.xxhash64(*key).alias("_k"))
+    rows = stored(prepared.transform(dealt).select("features", "_y", "_fold", "_w", "_k"), "folds")
     out = []
     for f in range(folds):
-        learn = rows.where(F.col("_fold") != f)
-        model = with_layers(estimator(algorithm, task), learn).fit(learn)
-        r = score(model.transform(rows.where(F.col("_fold") == f)), task).first()
+        learn, made = rows.where(F.col("_fold") != f), estimator(algorithm, task)
+        if algorithm == "logistic":
+            made.setWeightCol("_w")
+        model = with_layers(made, learn).fit(spread(learn, made))
+        r = score(model.transform(rows.where(F.col("_fold") == f)), task, F.col("_w")).first()
         out.append((f, r.metric, r.value, r.n))
-    return df.sparkSession.createDataFrame(out, "fold int, metric string, value double, n long")
+    return dealt.sparkSession.createDataFrame(out, "fold int, metric string, value double, n long")
 
 
 #: Scores of a fit check: a gap beyond which training is much better than the held-out rows, a good and a weak score.
@@ -84,13 +102,15 @@ def fit_check(df: DataFrame, target: str, features: list[str] | None, key: list[
     fifth is held out of the fit, of each class alike."""
     features = features or usable_features(df.drop(*key), target)
     task = detect_task(df, target)
-    rows, stages = _ready(df, target, features, task)
-    rows = split(rows, target if task == "classification" else None, key, 0.2, seed)
-    rows = stored(Pipeline(stages=stages).fit(rows.where("not held_out")).transform(rows).select("features", "_y", "held_out"), "fit-check")
-    learn = rows.where("not held_out")
-    model = with_layers(estimator(algorithm, task), learn).fit(learn)
-    own, other = (score(model.transform(part), task).first() for part in (learn, rows.where("held_out")))
-    cv = cross_validate(df, target, features, key, algorithm, folds, seed).agg(F.avg("value").alias("v")).first().v
+    rows, stages = _ready(df, target, features, key, task)
+    # one order serves both: the held-out rows are the first of it, the folds take turns in it
+    dealt = stored(ranked(rows, target if task == "classification" else None, key, seed), "fit-check-order")
+    cut = dealt.withColumn("held_out", _held(0.2))
+    ready = stored(Pipeline(stages=stages).fit(cut.where("not held_out")).transform(cut).select("features", "_y", "held_out", F.xxhash64(*key).alias("_k")), "fit-check")
+    learn, made = ready.where("not held_out"), estimator(algorithm, task)
+    model = with_layers(made, learn).fit(spread(learn, made))
+    own, other = (score(model.transform(part), task).first() for part in (learn, ready.where("held_out")))
+    cv = _folds(dealt, Pipeline(stages=stages).fit(dealt), task, [*features, target], key, algorithm, folds).agg(F.avg("value").alias("v")).first().v
     if own.value is None or other.value is None:
         verdict = None
     elif own.value - other.value > GAP and own.value > GOOD:
@@ -122,12 +142,12 @@ def train_saved(df: DataFrame, target: str, features: list[str] | None, key: lis
     """(metric, value, n) of the held-out rows of a stratified split; the model is stored by name with its target, features, task and score."""
     features = features or usable_features(df.drop(*key), target)
     task = detect_task(df, target)
-    rows, stages = _ready(df, target, features, task)
+    rows, stages = _ready(df, target, features, key, task)
     rows = stored(split(rows, target if task == "classification" else None, key, test_size, seed), "split")
     learn = rows.where("not held_out")
     prepared = Pipeline(stages=stages).fit(learn)
-    ready = stored(prepared.transform(learn).select("features", "_y"), "model-rows")
-    fitted = with_layers(estimator(algorithm, task), ready).fit(ready)
+    ready, made = stored(prepared.transform(learn).select("features", "_y", F.xxhash64(*key).alias("_k")), "model-rows"), estimator(algorithm, task)
+    fitted = with_layers(made, ready).fit(spread(ready, made))
     told = stored(score(fitted.transform(prepared.transform(rows.where("held_out"))), task), "score")
     r = told.first()
     model = PipelineModel(stages=[s for s in prepared.stages if not (task == "classification" and s is prepared.stages[-1])] + [fitted])

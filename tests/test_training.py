@@ -75,3 +75,57 @@ def test_files_of_a_folder_by_header(spark, tmp_path):
         (tmp_path / name).write_text(text)
     got = {(r.source_file.replace("%20", " "), r.x, r.y, r.z) for r in rd.read_folder(spark, str(tmp_path)).collect()}
     assert got == {("a b.csv", "1", "2", None), ("c.csv", "3", "4", None), ("d+e.csv", None, "5", "6")}
+
+
+def test_slices_give_the_order_of_the_whole_class(rows):
+    n = 600
+    got = tr.ranked(rows, "kind", ["id"]).select("id", "kind", "_place", "_size", F.xxhash64(F.lit(42), "id").alias("h")).collect()
+    for kind in {r.kind for r in got}:
+        mine = sorted((r for r in got if r.kind == kind), key=lambda r: (r.h, r.id))
+        assert [r._place for r in mine] == list(range(len(mine))) and {r._size for r in mine} == {len(mine)}
+    assert len(got) == n + 3
+
+
+def test_equal_rows_weigh_as_often_as_they_stand(rows):
+    easy = rows.where("x is not null").withColumn("big", F.when((F.col("x") > 6) != (F.col("id") % 10 == 0), "yes").otherwise("no"))
+    got = tr.cross_validate(easy, "big", ["x"], ["id"], "logistic", 3).collect()
+    assert sum(r.n for r in got) == easy.count() and all(0.85 < r.value < 0.95 for r in got)
+
+
+def test_prepared_rows_are_spread_by_size(rows, monkeypatch):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression, RandomForestRegressor
+
+    from loomwork.operators import models as md
+
+    ready = VectorAssembler(inputCols=["x", "y"], outputCol="features").transform(rows.where("x is not null")).withColumn("_k", F.xxhash64("id")).coalesce(1)
+    monkeypatch.setattr(md, "TASK_BYTES", 8000)
+    wide = md.spread(ready, RandomForestRegressor())
+    assert wide.rdd.getNumPartitions() == 7 and max(wide.rdd.glom().map(len).collect()) < 150 and wide.count() == 602
+    assert md.spread(ready, LinearRegression()) is ready
+
+
+def test_leaves_by_masks_are_those_of_the_tree():
+    import numpy as np
+
+    from loomwork.operators.models import _masks
+
+    rng = np.random.default_rng(4)
+    tree = lambda d: float(rng.random()) if d == 0 or rng.random() < 0.1 else (int(rng.integers(3)), float(rng.integers(8)), tree(d - 1), tree(d - 1))
+    t = (0, 3.0, tree(7), tree(7))
+    leaves, by = _masks(t, 3)
+    assert len(leaves) > 64
+    for x in [*rng.integers(-1, 9, (300, 3)).astype(float), np.array([np.nan, 1.0, 2.0])]:
+        node = t
+        while isinstance(node, tuple):
+            node = node[2] if x[node[0]] < node[1] else node[3]
+        bits = np.unpackbits(np.bitwise_and.reduce([m[np.searchsorted(c, v, side="right")] for (c, m), v in zip(by, x)]).view(np.uint8), bitorder="little")
+        assert leaves[bits.argmax()] == node
+
+
+def test_masks_come_in_small_batches(spark, monkeypatch):
+    from loomwork.operators import textjobs as tj
+
+    monkeypatch.setattr(tj, "MASK_ROWS", 2)
+    df = spark.createDataFrame([(1, "a@b.com x"), (2, None), (3, "plain"), (4, ""), (5, "x a@b.com")], "i int, t string").coalesce(1)
+    assert [tuple(r) for r in tj.mask(df, "i", "t").orderBy("id").collect()] == [(1, "[email] x"), (2, ""), (3, "plain"), (4, ""), (5, "x [email]")]
