@@ -5,8 +5,8 @@ chunk ends after a line whose rolling hash is less than its neighbours'.  A boun
 alone, so the chunks of a passage are the same wherever it stands, but for its first and last ones, and no chunk has
 fewer than two lines (the last line of a text is not cut off either).  Chunks of
 two lines or more that occur more than once in the corpus keep their first occurrence (smallest
-doc_id, then place); the others are removed.  The hash of a chunk only proposes; chunks are grouped by
-their bytes.
+doc_id, then place); the others are removed.  The 64-bit hash of a chunk only proposes; chunks are grouped by
+the SHA-256 of their bytes.
 
 Edge cases: a null text has no lines and stays null; an empty text is one empty line; a null doc_id
 comes after all others; repeated rows are repeated chunks (the first row keeps them); texts without a
@@ -71,7 +71,9 @@ def dedup_chunks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     multi = rows.select("id", "rid", F.posexplode("chunks").alias("no", "c")).where("c.n > 1")
     multi = multi.select("id", "rid", "no", F.xxhash64("c.t").alias("h"), F.col("c.t").alias("t"))
     again = written(multi.groupBy("h").agg(F.count("*").alias("k")).where("k > 1").select("h"), "lines-again")
-    found = written(multi.join(broadcast_if_small(again), "h"), "lines-found")
+    # of chunks that may stand twice only the digest travels, not the text
+    digest = F.unhex(F.sha2(F.col("t").cast("binary"), 256)).alias("t")
+    found = written(multi.join(broadcast_if_small(again), "h").select("id", "rid", "no", "h", digest), "lines-found")
     at = F.struct(F.col("id").isNull().alias("null"), "id", "rid", "no")
     kept = found.groupBy("h", "t").agg(F.min(at).alias("keep"), F.count("*").alias("k")).where("k > 1").select("h", "t", "keep")
     kept = written(kept, "lines-kept")

@@ -72,3 +72,17 @@ def test_empty_table_and_native_plan(spark):
     assert lc.dedup_chunks(df).count() == 0
     plan = lc.op6_line_chunks(spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_of_repeated_chunks_are_written_once(spark, monkeypatch):
+    from loomwork.llm import line_chunks
+
+    kinds = {}
+
+    def seen(df, name):
+        kinds[name] = dict(df.dtypes)
+        return df.localCheckpoint()
+
+    monkeypatch.setattr(line_chunks, "written", seen)
+    line_chunks.dedup_chunks(spark.createDataFrame([(1, "a\nb\nc"), (2, "a\nb\nc")], "doc_id long, text string")).collect()
+    assert kinds["lines-found"]["t"] == kinds["lines-kept"]["t"] == "binary" and "string" not in kinds["lines-kept"].values()
