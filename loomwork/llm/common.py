@@ -19,6 +19,9 @@ CROWD, DRAWS = 16, 8
 #: Most bits of a sieve (32 MB); the fewest are SIEVE_LEAST.
 SIEVE_BITS, SIEVE_LEAST = 28, 16
 
+#: Rows for which a table of ids gets one more partition.
+PART_ROWS = 20_000
+
 #: Byte table that lower-cases A-Z and leaves every other byte of UTF-8 alone.
 LOWER_ASCII = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
@@ -37,6 +40,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return stored(df, name)
 
 
+def gathered(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` in as many partitions as so many rows of ids need, at most those it has: a small table is not hundreds of files, nor are its shuffles."""
+    return df.coalesce(max(1, min(partitions_of(df.sparkSession), rows // PART_ROWS)))
+
+
 def connected_components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(a, b) long pairs -> (node, root) for every node of an edge; root is the least
     node of its component.  Alternates large-star and small-star steps (Kiveris et al.,
@@ -47,6 +55,7 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
     split the many edges of a hub v.  Small-star hangs u and its other smaller neighbours on the least of them."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = written(e, name)
+    size = e.count()
 
     def stars(e: DataFrame) -> bool:
         ends = e.select(F.col("u").alias("node"), F.lit(1).alias("low"), F.lit(0).alias("high"))
@@ -55,12 +64,12 @@ def connected_components(edges: DataFrame, name: str = "components") -> DataFram
         return sums.where("low > 1 or low = 1 and high = 1").isEmpty()
 
     while not stars(e):
-        least = written(e.groupBy("u").agg(F.min("v").alias("m")), name)
+        least = written(gathered(e.groupBy("u").agg(F.min("v").alias("m")), size), name)
         large = e.join(least.withColumnRenamed("u", "v"), "v", "left").select("u", F.coalesce("m", "v").alias("v"))
-        small = large.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+        small = gathered(gathered(large, size).withColumn("m", F.min("v").over(Window.partitionBy("u"))), size)
         both = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
         small = small.select(F.explode(both).alias("x")).select("x.u", "x.v").where("u <> v")
-        e = written(small.distinct(), name)
+        e = written(gathered(small.distinct(), size), name)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select("v", "v").distinct())
 
 

@@ -12,7 +12,7 @@ The boundary is chosen by cost: what it takes to enumerate the subsets of the se
 Both are summed over all sets of at most LIGHT_MOST shingles.  Rarity and lengths come from a sketch of fixed size over all texts: 2^SKETCH_BITS counters of
 shingle hashes; any order of the shingles gives the same links.
 
-Equal sets collapse first to one node, by 128 bits of hash.  Only keys that two nodes share are joined; each key's least node is compared with the others, first
+Equal sets collapse first to one node, by 128 bits of hash.  Only keys that two nodes share are joined, one of those that have the same nodes; each key's least node is compared with the others, first
 under an eighth of the keys, and what is already connected is not compared again, so the links of a group of near copies don't grow with its square.
 
 A node has a bitmap of one or two bits a shingle, the parity of the hashes that fall on each bit.  The bits in which two differ are at most the shingles that
@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import (
-    LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connected_components, mix64, partitions_of, read_table, runs, slices, span_hashes, utf8, written,
+    LOWER_ASCII, WEIGHTS, Sieve, broadcast_if_small, connected_components, gathered, mix64, partitions_of, read_table, runs, slices, span_hashes, utf8, written,
 )
 
 WIDTH, NUM, DEN = 4, 85, 100
@@ -269,7 +269,7 @@ def small_keys(nodes: DataFrame, counts, boundary: int, num: int, den: int) -> D
 
 
 def shared_members(keyed: DataFrame, name: str) -> DataFrame | None:
-    """Written (key, node, n) of written (node, n, keys), for keys of two nodes or more; None if there is none.
+    """Written (key, node, n) of written (node, n, keys), for keys of two nodes or more, one of those with the same nodes; None if there is none.
     Keys are counted with map-side combination; a bitmap of those that matter sieves the nodes' keys, so few others are shuffled."""
     keyed = keyed.select("node", "n", "keys")
     keys = keyed.select(F.explode("keys").alias("key"), "node").groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"))
@@ -287,7 +287,17 @@ def shared_members(keyed: DataFrame, name: str) -> DataFrame | None:
             row = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column(0).take(row), b.column(1).take(row)], ["key", "node", "n"])
 
-    return written(keyed.mapInArrow(run, "key long, node long, n long").join(broadcast_if_small(shared), "key", "left_semi"), name + "-members")
+    hits = written(keyed.mapInArrow(run, "key long, node long, n long").join(broadcast_if_small(shared), "key", "left_semi"), name + "-hits")
+    return one_of_equal(hits, name + "-members")
+
+
+def one_of_equal(members: DataFrame, name: str) -> DataFrame:
+    """Written ``members`` under one key of those that have the same two nodes or more; the others would give the same pairs.
+    Equal sets of nodes agree in their least, their greatest, their number and 128 bits of hash."""
+    hashes = [F.bit_xor(F.xxhash64("node", F.lit(i))).alias(f"x{i}") for i in (0, 1)]
+    same = members.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("b"), F.count("*").alias("k"), *hashes).where("a <> b")
+    kept = written(same.groupBy("a", "b", "k", "x0", "x1").agg(F.min("key").alias("key")).select("key"), name + "-kept")
+    return written(members.join(broadcast_if_small(kept), "key", "left_semi"), name)
 
 
 def sets_of(docs: DataFrame, text_col: str, wanted: DataFrame, width: int, name: str) -> DataFrame:
@@ -325,23 +335,25 @@ def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, n
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, other = (values.select(*[F.col(c).alias(d + x) for c, d in (("node", ""), ("n", "n"), ("v", "v"))]) for x in "ab")
-        pairs = broadcast_if_small(written(pairs.distinct(), name + "-near"))
+        pairs = broadcast_if_small(written(gathered(pairs.distinct(), size), name + "-near"))
         return written(one.join(pairs, "a").join(other, "b").where(good).select("a", "b"), name + "-links")
 
-    comp = None
+    comp, left, size = None, members, members.count()
     turns = [("least", True), ("least", False), ("drawn", False), ("drawn", False), ("all", True), ("all", False)]
     for turn, (way, some) in enumerate(turns):
-        at = members.where(F.pmod(F.shiftright("key", 20), F.lit(SOME)) == 0) if some else members
+        at = left.where(F.pmod(F.shiftright("key", 20), F.lit(SOME)) == 0) if some else left
         labelled = at.withColumn("root", F.col("node"))
         if comp is not None:
             labelled = at.join(broadcast_if_small(comp), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
         first = labelled.groupBy("key").agg(F.min(F.struct("root", "node", "n")).alias("x"), F.max("root").alias("top")).where("x.root <> top")
-        first = written(first.select("key", F.col("x.root").alias("ra"), F.col("x.node").alias("a"), F.col("x.n").alias("na")), name + "-first")
+        first = written(gathered(first.select("key", F.col("x.root").alias("ra"), F.col("x.node").alias("a"), F.col("x.n").alias("na")), size), name + "-first")
         if first.isEmpty():
             if some:
                 continue
             break
-        labelled = written(labelled.join(broadcast_if_small(first.select("key")), "key", "left_semi"), name + "-open")
+        labelled = written(gathered(labelled.join(broadcast_if_small(first.select("key")), "key", "left_semi"), size), name + "-open")
+        if not some:  # a key whose nodes have one root is done for good
+            left = labelled.select("key", "node", "n")
         if way == "least":
             pairs = labelled.join(first, "key").where(fits("n", "na"))
         else:
@@ -351,7 +363,7 @@ def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, n
                 odd = labelled.join(first.select("key", F.col("ra").alias("main")), "key").where("root <> main")
             main = F.col("main") if way == "all" else F.col("root")
             # ids are drawn and written; bitmaps come in on the way to the join by key, once for either side
-            odd = written(odd.select("key", main.alias("main"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na")), name + "-odd")
+            odd = written(gathered(odd.select("key", main.alias("main"), F.col("root").alias("ra"), F.col("node").alias("a"), F.col("n").alias("na")), size), name + "-odd")
             odd = odd.join(bits.select(F.col("node").alias("a"), F.col("v").alias("va")), "a")
             once = F.lit(True) if way == "drawn" else (F.col("root") == F.col("main")) | (F.col("a") < F.col("node"))
             pairs = labelled.join(bits, "node").join(odd, "key").where(fits("n", "na") & once & alike)
@@ -387,7 +399,7 @@ def jaccard_nodes(
         sets = sets_of(docs, text_col, written(nodes.join(wanted, "node", "left_semi"), name + "-wanted"), width, name)
         common = F.size(F.array_intersect("va", "vb"))
         exact = den * common >= num * (F.col("na") + F.col("nb") - common)
-        comp = link(written(members.join(wanted, "node", "left_semi"), name + "-asked"), bits.select("node", "v"), sets, exact, num, den, name)
+        comp = link(one_of_equal(members.join(wanted, "node", "left_semi"), name + "-asked"), bits.select("node", "v"), sets, exact, num, den, name)
     return rows.select("id", "n", "h1", "h2"), nodes.drop("small"), comp
 
 

@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 
+from loomwork.llm import common
 from loomwork.llm import jaccard as jc
 
 from .test_simhash import classes
@@ -118,6 +119,21 @@ def test_many_near_copies_and_a_common_passage(spark):
     assert run(spark, rows) == brute(rows)
 
 
+def test_keys_of_the_same_nodes_come_once(spark):
+    rows = [(100 + k, n, 20) for k in range(30) for n in (1, 2)] + [(7, n, 20) for n in (1, 2, 3)] + [(8, n, 20) for n in (1, 4, 3)] + [(9, 5, 20)]
+    got = jc.one_of_equal(spark.createDataFrame(rows, "key long, node long, n long"), "test").collect()
+    assert sorted(map(tuple, got)) == sorted(r for r in rows if r[0] in (100, 7, 8))
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    made = []
+    monkeypatch.setattr(common, "written", lambda df, name: made.append(df.rdd.getNumPartitions()) or df.localCheckpoint())
+    edges = spark.createDataFrame([(i, i + 1) for i in range(12)], "a long, b long").repartition(9, "a")
+    monkeypatch.setattr(common, "PART_ROWS", 6)
+    assert {tuple(r) for r in common.connected_components(edges, "test").collect()} == {(i, 0) for i in range(13)}
+    assert len(made) > 2 and max(made[1:]) <= 2
+
+
 def test_other_widths_and_thresholds(spark):
     rows = made(random.Random(6), [*range(1, 20), 40, 80], [0, 1, 2, 4])
     assert run(spark, rows, width=2, num=3, den=4) == brute(rows, 2, 3, 4)
