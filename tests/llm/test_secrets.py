@@ -95,3 +95,26 @@ def test_rare_findings_still_train_a_network(spark):
     assert sc.train(spark.createDataFrame(rows, "doc_id long, text string"), max_rows=400) is not None
     with pytest.warns(UserWarning, match="no network"):
         assert sc.train(spark.createDataFrame(rows[1:400], "doc_id long, text string")) is None
+
+
+def test_all_candidates_train_whatever_the_partitions(spark):
+    """A kind of secret that only a few of many rows hold is learned; shards and partitions are averaged to the same network."""
+    rng = np.random.default_rng(9)
+    key = lambda n: "".join(rng.choice(list("0123456789abcdef"), n))
+    rows = [(i, f"see https-example-org-pages-{'abcdefgh'[i % 8]}{i}-about and password = {key(36)} end" if i % 3 == 0 else f"the wordwordwordword{'x' * (i % 30)} {i}") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ex = sc.examples(docs)
+    assert ex.select("occ").distinct().count() == sum(len(f) + len(sc.candidates(t, f)) for _, t in rows for f in [sc.findings(t)])
+    nets = [sc.train(d, max_rows=800) for d in (docs, docs.repartition(7, "text"))]
+    assert all(np.array_equal(getattr(nets[0], a), getattr(nets[1], a)) for a in ("kernel", "bias", "out"))
+    assert abs(nets[0].threshold - nets[1].threshold) < 1e-6
+    found = np.mean([any(k == 3 for _, k, _ in sc.all_spans(f"credential = {key(20)}-{key(19)} end", nets[0])[0]) for _ in range(60)])
+    false = np.mean([bool(sc.all_spans(t, nets[0])[0]) for _, t in rows[1::3]])
+    assert found > 0.7 and false < 0.02
+
+
+def test_calibration_by_aggregations_is_that_of_one_machine(spark):
+    rng = np.random.default_rng(4)
+    z, y = rng.normal(0, 3, 500), rng.integers(0, 2, 500)
+    rows = spark.createDataFrame([(int(b), float(a + 2 * b)) for a, b in zip(z, y)], "y int, z double")
+    assert np.allclose(sc.platt_rows(rows), sc.platt(z + 2 * y, y), atol=1e-6)
