@@ -58,7 +58,32 @@ def donors(attempt: int) -> np.ndarray:
     return (mix64(np.arange(BINS, dtype=np.uint64) + np.uint64((attempt + 1) << 32)) % np.uint64(BINS)).astype(np.int64)
 
 
-_DONORS = [donors(a) for a in range(64)]
+#: Attempts that are kept at hand, made as they are needed.
+DONORS_KEPT = 4096
+_donors = np.zeros((0, BINS), np.int16)
+
+
+def asked(start: int, stop: int) -> np.ndarray:
+    """``donors`` of these attempts, a row each."""
+    global _donors
+    if stop > DONORS_KEPT:
+        return np.stack([donors(a) for a in range(start, stop)])
+    if stop > len(_donors):
+        _donors = np.concatenate([_donors, [donors(a).astype(np.int16) for a in range(len(_donors), stop)]])
+    return _donors[start:stop]
+
+
+def densified(low: np.ndarray, filled: np.ndarray) -> np.ndarray:
+    """``low`` with every empty bin as the first filled one that it asks; attempts are looked at in blocks, each twice as long."""
+    empty, attempt, more = np.flatnonzero(~filled), 0, 4
+    while len(empty):
+        ask = asked(attempt, attempt + more)[:, empty]
+        got = filled[ask]
+        first, who = got.argmax(axis=0), np.arange(len(empty))
+        has = got[first, who]
+        low[empty[has]] = low[ask[first, who][has]]
+        empty, attempt, more = empty[~has], attempt + more, min(2 * more, 512)
+    return low
 
 
 def fingerprint(text: bytes) -> bytes:
@@ -73,12 +98,7 @@ def fingerprint(text: bytes) -> bytes:
     filled = np.zeros(BINS, dtype=bool)
     low[bins[first]] = (h[first] & np.uint64((1 << LOW_BITS) - 1)).astype(np.uint8)
     filled[bins[first]] = True
-    empty, attempt = np.flatnonzero(~filled), 0
-    while len(empty):
-        ask = (_DONORS[attempt] if attempt < len(_DONORS) else donors(attempt))[empty]
-        got = filled[ask]
-        low[empty[got]] = low[ask[got]]
-        empty, attempt = empty[~got], attempt + 1
+    low = densified(low, filled)
     packed = np.packbits(np.unpackbits(low[:, None], axis=1, bitorder="little")[:, :LOW_BITS].ravel(), bitorder="little").tobytes()
     return packed if packed != EMPTY else b"\x01" + EMPTY[1:]
 

@@ -59,3 +59,27 @@ def test_empty_and_case():
     assert oph.fingerprint(b"") == oph.fingerprint(b" \n\t") == oph.EMPTY
     assert oph.likeness(oph.EMPTY, oph.EMPTY) == 1 and oph.likeness(oph.EMPTY, oph.fingerprint(b"a")) == 0
     assert oph.fingerprint(b"One TWO three") == oph.fingerprint(b"one  two\nthree")
+
+
+def test_empty_bins_are_filled_attempt_by_attempt(monkeypatch):
+    rng = np.random.default_rng(3)
+    for kept in (oph.DONORS_KEPT, 100):
+        monkeypatch.setattr(oph, "DONORS_KEPT", kept)
+        for n in (1, 2, 9, 200, 511, 512):
+            filled = np.zeros(oph.BINS, bool)
+            filled[rng.choice(oph.BINS, n, replace=False)] = True
+            low = np.where(filled, rng.integers(0, 16, oph.BINS), 0).astype(np.uint8)
+            want, left, attempt = low.copy(), np.flatnonzero(~filled), 0
+            while len(left):
+                ask = oph.donors(attempt)[left]
+                want[left[filled[ask]]] = low[ask[filled[ask]]]
+                left, attempt = left[~filled[ask]], attempt + 1
+            assert (oph.densified(low.copy(), filled) == want).all()
+
+
+def test_a_fingerprint_looks_at_blocks_of_attempts(monkeypatch):
+    calls = []
+    real = oph.asked
+    monkeypatch.setattr(oph, "asked", lambda a, b: calls.append(a) or real(a, b))
+    oph.fingerprint(b"one two three four five six seven")
+    assert 0 < len(calls) < 30
