@@ -7,6 +7,7 @@ from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -60,58 +61,82 @@ def dedupe(stream: DataFrame, time: str, keys: list[str], watermark: str) -> Dat
     return stream.withWatermark(time, watermark).dropDuplicatesWithinWatermark(keys)
 
 
+#: What an event held in state is: a start, a complete, or a start that has been passed and is open.
+START, COMPLETE, OPEN = 0, 1, 2
+_HELD = pa.schema([("case", pa.string()), ("activity", pa.string()), ("ms", pa.int64()), ("kind", pa.int8())])
+
+
+def packed(columns: list) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _HELD) as out:
+        out.write_batch(pa.RecordBatch.from_arrays([pa.array(c, f.type, from_pandas=True) for c, f in zip(columns, _HELD)], schema=_HELD))
+    return sink.getvalue().to_pybytes()
+
+
+def unpacked(blob: bytes) -> Iterator[tuple]:
+    return zip(*[c.to_pylist() for c in pa.ipc.open_stream(blob).read_all().columns])
+
+
 class Pairing(StatefulProcessor):
-    """First in, first out pairing of starts and completes of a key in event time, whatever order files and micro-batches bring them in.
+    """First in, first out pairing of starts and completes of a (case, activity) in event time, whatever order files and micro-batches bring them in.
 
     Events are held until the watermark has passed them and are then paired by time, starts before completes of the same time.  A start
-    that is open for longer than the timeout comes out unmatched.  A key has one timer: its first event held or, if earlier, the timeout
-    of its oldest open start.  What a key holds is bounded by the watermark's delay and the timeout."""
+    that is open for longer than the timeout comes out unmatched.  State is kept by buckets of many pairs of case and activity, each batch's events of a
+    bucket as one packed value, so calls to the state don't grow with the keys.  A bucket's timer is its first event held or, if earlier, the
+    timeout of its oldest open start.  What a bucket holds is bounded by the watermark's delay and the timeout."""
 
     def __init__(self, timeout_ms: int):
         self.timeout_ms = timeout_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", "ms long, ends boolean")
-        self.open = handle.getListState("open", "ms long")
+        self.held = handle.getListState("held", "events binary")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        first = None
+        first, blobs = None, []
         for pdf in rows:
             times = pdf["ms"].astype("int64")
-            self.held.appendList(list(zip(times.tolist(), (pdf["lifecycle"] != "start").tolist())))
+            blobs.append((packed([pdf["case"], pdf["activity"], times, (pdf["lifecycle"] != "start").astype("int8")]),))
             first = int(times.min()) if first is None else min(first, int(times.min()))
-        if first is not None:
+        if blobs:
+            self.held.appendList(blobs)
             self.handle.registerTimer(first)
         return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         now = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
-        held = list(self.held.get())
-        known, out = [ms for (ms,) in self.open.get()], []
-        waiting, due = deque(known), sorted(x for x in held if x[0] <= now)
+        pairs: dict[tuple, list] = {}
+        for (blob,) in self.held.get():
+            for case, activity, ms, kind in unpacked(bytes(blob)):
+                pairs.setdefault((case, activity), []).append((ms, kind))
+        out, kept, wakes, changed = [], [], [], False
 
-        def give_up(before: int) -> None:
+        def give_up(pair: tuple, waiting: deque, before: int) -> None:
             """Starts whose timeout lies before this time."""
             while waiting and waiting[0] + self.timeout_ms < before:
-                out.append((*key, waiting.popleft(), None, "start without complete"))
-
-        for ms, ends in due:
-            give_up(ms)
-            if not ends:
-                waiting.append(ms)
-            elif waiting:
-                out.append((*key, waiting.popleft(), ms, "paired"))
-            else:
-                out.append((*key, None, ms, "complete without start"))
-        give_up(now + 1)
-        later = [tuple(x) for x in held if x[0] > now]
-        for state, values, changed in ((self.held, later, bool(due)), (self.open, [(ms,) for ms in waiting], list(waiting) != known)):
-            if changed and values:
-                state.put(values)
-            elif changed:
-                state.clear()
-        wakes = [ms for ms, _ in later] + [ms + self.timeout_ms for ms in list(waiting)[:1]]
+                out.append((*pair, waiting.popleft(), None, "start without complete"))
+
+        for pair, events in pairs.items():
+            waiting = deque(sorted(ms for ms, kind in events if kind == OPEN))
+            due = sorted(x for x in events if x[1] != OPEN and x[0] <= now)
+            known = len(out)
+            for ms, kind in due:
+                give_up(pair, waiting, ms)
+                if kind == START:
+                    waiting.append(ms)
+                elif waiting:
+                    out.append((*pair, waiting.popleft(), ms, "paired"))
+                else:
+                    out.append((*pair, None, ms, "complete without start"))
+            give_up(pair, waiting, now + 1)
+            changed |= bool(due) or len(out) > known
+            later = [x for x in events if x[1] != OPEN and x[0] > now]
+            kept += [(*pair, *x) for x in later] + [(*pair, ms, OPEN) for ms in waiting]
+            wakes += [ms for ms, _ in later] + [ms + self.timeout_ms for ms in list(waiting)[:1]]
+        if changed and kept:
+            self.held.put([(packed(list(zip(*kept))),)])
+        elif changed:
+            self.held.clear()
         if wakes:
             self.handle.registerTimer(min(wakes))
         if out:
@@ -121,13 +146,16 @@ class Pairing(StatefulProcessor):
         pass
 
 
-PAIRED = "case long, activity string, start_ms long, end_ms long, status string"
+PAIRED = "case string, activity string, start_ms long, end_ms long, status string"
 
 
-def pair(stream: DataFrame, timeout_ms: int, watermark: str) -> DataFrame:
-    """``stream`` (case, activity, ts, lifecycle) paired by event time once the watermark has passed; rows without a time are left out."""
+def pair(stream: DataFrame, timeout_ms: int, watermark: str, buckets: int = 1024) -> DataFrame:
+    """``stream`` (case, activity, ts, lifecycle) paired by event time once the watermark has passed; rows without a time are left out.
+    ``buckets`` is the number of state keys: what one of them holds must fit in a task."""
     rows = stream.where("ts is not null").withWatermark("ts", watermark).withColumn("ms", F.unix_millis("ts"))
-    return rows.groupBy("case", "activity").transformWithStateInPandas(Pairing(timeout_ms), PAIRED, "Append", "EventTime")
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("case", "activity"), F.lit(buckets))).withColumn("case", F.col("case").cast("string"))
+    found = rows.groupBy("bucket").transformWithStateInPandas(Pairing(timeout_ms), PAIRED, "Append", "EventTime")
+    return found.withColumn("case", F.col("case").cast("long"))
 
 
 class Changes(StatefulProcessor):

@@ -6,6 +6,8 @@ import random
 from collections import deque
 from datetime import datetime, timedelta, timezone
 
+import pandas as pd
+
 from loomwork.plans.source_queries import drained
 from loomwork.streaming import jobs
 from loomwork.tables import scratch
@@ -69,3 +71,52 @@ def test_only_what_the_watermark_has_passed_comes_out(spark):
     # the second batch finds the start timed out, and the third file's complete lies behind what has been paired: it is dropped
     got = run(spark, [[(1, "x", 0, "start"), (1, "x", 16 * day, "complete")], [(1, "x", 17 * day, "start")], [(1, "x", 1000, "complete")]], 5 * day)
     assert got == [(1, "x", 0, None, "start without complete")]
+
+
+def test_calls_to_the_state_do_not_grow_with_the_keys():
+    calls = []
+
+    class Held:
+        values = []
+
+        def appendList(self, values):
+            calls.append("append")
+            self.values = self.values + values
+
+        def get(self):
+            calls.append("get")
+            return iter(self.values)
+
+        def put(self, values):
+            calls.append("put")
+            self.values = values
+
+        def clear(self):
+            calls.append("clear")
+            self.values = []
+
+    class Handle:
+        timers = []
+
+        def getListState(self, *_):
+            return Held()
+
+        def registerTimer(self, at):
+            self.timers.append(at)
+
+    class At:
+        def __init__(self, ms):
+            self.getCurrentWatermarkInMs = self.getExpiryTimeInMs = lambda: ms
+
+    pairing = jobs.Pairing(5000)
+    pairing.init(Handle())
+    keys = [str(i) for i in range(500)] + [None]
+    for kind, ms in (("complete", 1000), ("start", 0), ("start", 9000)):
+        batch = pd.DataFrame({"case": keys, "activity": "a", "ms": ms, "lifecycle": kind})
+        assert list(pairing.handleInputRows((3,), iter([batch]), None)) == []
+    got = pd.concat(pairing.handleExpiredTimer((3,), At(2000), At(0)))
+    assert (got.status == "paired").all() and len(got) == 501 and got.case.isna().sum() == 1
+    assert list(pairing.handleExpiredTimer((3,), At(9500), At(9000))) == [] and Handle.timers[-1] == 14_000
+    late = pd.concat(pairing.handleExpiredTimer((3,), At(14_001), At(14_000)))
+    assert len(late) == 501 and (late.status == "start without complete").all() and pairing.held.values == []
+    assert calls == ["append"] * 3 + ["get", "put"] * 2 + ["get", "clear"]
