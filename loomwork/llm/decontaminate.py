@@ -77,12 +77,9 @@ def doc_shingles(rows: DataFrame, sizes: list[int]) -> DataFrame:
     return reduce(DataFrame.unionByName, [of(k) for k in sizes])
 
 
-def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(rows, hits): ``rows`` has a row per document row (rid, id, n_words, words); ``hits`` has
-    (rid, n_hit, items) for those in which a window occurs."""
-    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
-    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "id", F.size("words").alias("n_words"), "words")
-    rows = written(rows, "decon-words")
+def occurrences(rows: DataFrame, bench: DataFrame, single: bool = True) -> DataFrame:
+    """Written (rid, start, stop, item_id) of the windows that occur in ``rows`` (rid, n_words, words); ``single``: False if
+    several rows, all of the same words, may have one rid."""
     grams = written(windows_of(bench), "decon-shingles")
     sizes = sorted(r.k for r in grams.select("k").distinct().collect()) or [SHINGLE]
     asked = broadcast_if_small(written(grams.select("h").distinct(), "decon-asked"))
@@ -97,14 +94,25 @@ def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     found = doc_shingles(rows, sizes).join(broadcast_if_small(prefix.select("h", "win", "at", F.size("item_words").alias("len"))), "h")
     start = F.col("pos") - F.col("at")
     bound = found.where((start >= 0) & (start + F.col("len") <= F.col("n_words")))
-    cand = written(bound.select("rid", start.alias("start"), "win"), "decon-candidates")
+    cand = bound.select("rid", start.alias("start"), "win")
+    cand = written(cand if single else cand.distinct(), "decon-candidates")
 
     near = broadcast_if_small(written(cand.select("rid").distinct(), "decon-documents"))
     texts = rows.join(near, "rid", "left_semi").select("rid", "words")
+    texts = texts if single else texts.dropDuplicates(["rid"])
     told = cand.join(broadcast_if_small(prefix.select("win", "item_id", "item_words").distinct()), "win")
     same = (told["rid"] == texts["rid"]) & (F.slice(texts["words"], told["start"] + 1, F.size(told["item_words"])) == told["item_words"])
     occ = told.join(texts, same).select(told["rid"], "start", (F.col("start") + F.size("item_words")).alias("stop"), "item_id")
-    occ = written(occ, "decon-occurrences")
+    return written(occ, "decon-occurrences")
+
+
+def contamination(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(rows, hits): ``rows`` has a row per document row (rid, id, n_words, words); ``hits`` has
+    (rid, n_hit, items) for those in which a window occurs."""
+    rows = docs.select(F.col(id_col).alias("id"), words_of(F.col(text_col)).alias("words"))
+    rows = rows.select(F.monotonically_increasing_id().alias("rid"), "id", F.size("words").alias("n_words"), "words")
+    rows = written(rows, "decon-words")
+    occ = occurrences(rows, bench)
 
     # words inside any occurrence: length of the union of the intervals
     spans = occ.groupBy("rid", "start").agg(F.max("stop").alias("stop"))
@@ -129,11 +137,14 @@ def op4_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def drop_contaminated(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` in which no window occurs, with their own columns."""
-    whole = docs.withColumn("_row", F.struct(*[F.col(c) for c in docs.columns]))
-    rows, hits = contamination(whole, bench, "_row", text_col)
-    bad = written(hits.select("rid"), "decon-dropped")
-    return rows.join(broadcast_if_small(bad), "rid", "left_anti").select("id.*")
+    """The rows of ``docs`` in which no window occurs, with their own columns.  A row is known by the SHA-256 of its text, so
+    that neither texts nor their words are written: ``docs`` is read again instead."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rid = F.unhex(F.sha2(text.cast("binary"), 256)).alias("rid")
+    rows = docs.select(rid, words_of(F.col(text_col)).alias("words")).select("rid", F.size("words").alias("n_words"), "words")
+    bad = written(occurrences(rows, bench, single=False).select("rid").distinct(), "decon-dropped")
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("whole"), rid)
+    return whole.join(broadcast_if_small(bad), "rid", "left_anti").select("whole.*")
 
 
 ORACLE = {

@@ -245,7 +245,7 @@ def large_keys(docs: DataFrame, text_col: str, counts, width: int, num: int, den
                     if len(s) > LIGHT_MOST and (h := set_hashes(s)) not in seen:
                         seen.add(h)
                         keys = prefix_keys(s, counts.value, num, den)
-                        new.append((h, np.append(keys, more(s)) if more else keys, parity_bits(s)))
+                        new.append((h, np.append(keys, more(s).view(np.uint64)) if more else keys, parity_bits(s)))
                 columns = [pa.array([h[x] for h, *_ in new], pa.int64()) for x in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*columns, *[_lists([x[i] for x in new]) for i in (1, 2)]], ["h1", "h2", "keys", "bits"])
 
@@ -287,8 +287,8 @@ def shared_members(keyed: DataFrame, name: str) -> DataFrame | None:
             row = pa.array(row[hit])
             yield pa.RecordBatch.from_arrays([pa.array(flat[hit]), b.column(0).take(row), b.column(1).take(row)], ["key", "node", "n"])
 
-    hits = written(keyed.mapInArrow(run, "key long, node long, n long").join(broadcast_if_small(shared), "key", "left_semi"), name + "-hits")
-    return one_of_equal(hits, name + "-members")
+    # keys that the sieve lets through by chance have one node and go with those of equal nodes
+    return one_of_equal(written(keyed.mapInArrow(run, "key long, node long, n long"), name + "-hits"), name + "-members")
 
 
 def one_of_equal(members: DataFrame, name: str) -> DataFrame:
@@ -325,8 +325,8 @@ def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, n
 
     A key's least node (by root) is compared with those of other roots: under one key in SOME, then under all.  Of what is still of different roots under a key,
     DRAWS nodes drawn by a hash are compared with all others, twice; at last all with all, again under one key in SOME, for a pair of many common keys
-    would come once for each, and then under all keys.  In these turns bitmaps decide within the join.  Components of all links come out, and what is
-    connected isn't compared again."""
+    would come once for each, and then under all keys.  In these turns bitmaps decide within the join.  Keys of so few nodes that all were
+    compared leave.  Components of all links come out, and what is connected isn't compared again."""
 
     def fits(a: str, b: str):
         return (den * F.least(a, b) >= num * F.greatest(a, b)) & (F.col("root") != F.col("ra"))
@@ -335,25 +335,30 @@ def link(members: DataFrame, bits: DataFrame, values: DataFrame, good: Column, n
 
     def verified(pairs: DataFrame) -> DataFrame:
         one, other = (values.select(*[F.col(c).alias(d + x) for c, d in (("node", ""), ("n", "n"), ("v", "v"))]) for x in "ab")
-        pairs = broadcast_if_small(written(gathered(pairs.distinct(), size), name + "-near"))
-        return written(one.join(pairs, "a").join(other, "b").where(good).select("a", "b"), name + "-links")
+        pairs = written(gathered(pairs.distinct(), size), name + "-near")
+        # only values that are asked for move
+        other = other.join(broadcast_if_small(pairs.select("b").distinct()), "b", "left_semi")
+        return written(one.join(broadcast_if_small(pairs), "a").join(other, "b").where(good).select("a", "b"), name + "-links")
 
     comp, left, size = None, members, members.count()
+    done = 1  # keys of so many nodes have no pair that is not yet compared
     turns = [("least", True), ("least", False), ("drawn", False), ("drawn", False), ("all", True), ("all", False)]
     for turn, (way, some) in enumerate(turns):
         at = left.where(F.pmod(F.shiftright("key", 20), F.lit(SOME)) == 0) if some else left
         labelled = at.withColumn("root", F.col("node"))
         if comp is not None:
             labelled = at.join(broadcast_if_small(comp), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        first = labelled.groupBy("key").agg(F.min(F.struct("root", "node", "n")).alias("x"), F.max("root").alias("top")).where("x.root <> top")
+        first = labelled.groupBy("key").agg(F.min(F.struct("root", "node", "n")).alias("x"), F.max("root").alias("top"), F.count("*").alias("k"))
+        first = first.where((F.col("x.root") != F.col("top")) & (F.col("k") > done))
         first = written(gathered(first.select("key", F.col("x.root").alias("ra"), F.col("x.node").alias("a"), F.col("x.n").alias("na")), size), name + "-first")
         if first.isEmpty():
             if some:
                 continue
             break
         labelled = written(gathered(labelled.join(broadcast_if_small(first.select("key")), "key", "left_semi"), size), name + "-open")
-        if not some:  # a key whose nodes have one root is done for good
+        if not some:  # a key whose nodes have one root, or are all compared, is done for good
             left = labelled.select("key", "node", "n")
+            done = max(done, DRAWS if way == "drawn" else 2)
         if way == "least":
             pairs = labelled.join(first, "key").where(fits("n", "na"))
         else:

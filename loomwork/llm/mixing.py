@@ -228,10 +228,11 @@ def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def apply_rates(docs: DataFrame, model: Model, targets: dict[str, float] | None = None) -> DataFrame:
     """``docs`` with each row repeated floor(rate) times, and once more with the probability of
     the rest: a hash of the row's id and text decides, so a rerun gives the same rows."""
-    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
-    member = written(soft_membership(whole, model, ["_row"]), "mix-membership")
+    member = written(soft_membership(docs.select("text"), model, []), "mix-membership")
     steps, _ = fit_rates(member, targets or TARGETS)
-    rated = member.withColumn("_rate", _rate(steps))
+    # posteriors are taken once more with the rows, which are larger than all else and so are not written
+    whole = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    rated = soft_membership(whole, model, ["_row"]).withColumn("_rate", _rate(steps))
     draw = F.pmod(F.xxhash64("_row.doc_id", "_row.text"), F.lit(1 << 20)) / float(1 << 20)
     copies = (F.floor("_rate") + F.when(draw < F.col("_rate") - F.floor("_rate"), 1).otherwise(0)).cast("int")
     return rated.select(F.explode(F.array_repeat("_row", copies)).alias("_row")).select("_row.*")

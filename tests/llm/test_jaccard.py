@@ -2,9 +2,11 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from loomwork.llm import common
 from loomwork.llm import jaccard as jc
+from loomwork.llm.simhash import ring_keys
 
 from .test_simhash import classes
 
@@ -155,3 +157,30 @@ def test_boundary_follows_cost(spark):
 def test_empty_table(spark, tmp_path):
     frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     assert jc.op13_jaccard_join(spark, str(tmp_path)).collect() == []
+
+
+def test_further_keys_stay_whole(spark):
+    """Keys that are given besides a set's own keep all their 64 bits, and the sieve tells shared keys from others."""
+    text = " ".join(f"w{i}" for i in range(400))
+    s = jc.shingle_sets([text.encode()], 5)[0]
+    counts = spark.sparkContext.broadcast(np.zeros(1 << jc.SKETCH_BITS, np.uint32))
+    row = jc.large_keys(frame(spark, [(1, text)]), "text", counts, 5, 80, 100, ring_keys).first()
+    own = jc.prefix_keys(s, counts.value, 80, 100).view(np.int64).tolist()
+    assert row["keys"] == own + ring_keys(s).tolist()
+
+
+def test_keys_whose_nodes_are_all_compared_leave(spark, monkeypatch):
+    """A key of two unlike nodes is compared once, one of DRAWS nodes is not compared again after they were all drawn."""
+    names, keep = [], jc.written
+    monkeypatch.setattr(jc, "written", lambda df, name: names.append(name) or keep(df, name))
+    nodes = [(i, 64, [1 << (i % 60) + 1]) for i in range(14)]
+    members = [(8 << 20 | 1, 0), (8 << 20 | 1, 1), *[(8 << 20 | 2, i) for i in range(2, 2 + jc.DRAWS)]]
+
+    def turns(rows):
+        names.clear()
+        values = keep(spark.createDataFrame(nodes, "node long, n long, v array<long>"), "t-values")
+        held = keep(spark.createDataFrame([(k, i, 64) for k, i in rows], "key long, node long, n long"), "t-members")
+        assert jc.link(held, values.select("node", "v"), values, F.lit(False), 85, 100, "t") is None
+        return names.count("t-odd")
+
+    assert [turns(members[:2]), turns(members)] == [0, 1]

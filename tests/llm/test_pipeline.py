@@ -5,6 +5,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as cp
 from loomwork.llm import compression_quality as cq
+from loomwork.llm import decontaminate as dc
 from loomwork.llm import mixing as mx
 from loomwork.llm import wavelet as wv
 
@@ -106,3 +107,16 @@ def test_stages_with_nothing_and_with_odd_rows(spark, tmp_path):
 def test_run_gives_the_last_stage(spark):
     out = cp.run(spark, SF)
     assert out.columns == ["doc_id", "start", "n_tokens", "ids_crc32"] and out.count() > 0
+
+
+def test_stages_write_no_texts_besides_their_result(spark, monkeypatch):
+    """Decontamination and mixing write neither whole rows nor the words of all texts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    found = []
+    for module in (dc, mx):
+        keep = module.written
+        monkeypatch.setattr(module, "written", lambda df, name, keep=keep: found.append((name, df.columns)) or keep(df, name))
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert dc.drop_contaminated(docs.union(docs), bench).count() == 2 * dc.drop_contaminated(docs, bench).count() > 0
+    assert mx.apply_rates(docs, mx.train(docs, spark.read.parquet(f"{SF}/labels.parquet"))).count() > 0
+    assert found and not [x for x in found if {"text", "_row", "id"} & set(x[1]) or x[0] == "decon-words"]
